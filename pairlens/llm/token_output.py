@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import ranges, stored, tune
 from .tokens import token_cache
 
 _HEAD = struct.Struct("<4sIIIIQI")
@@ -109,19 +109,25 @@ class Shard:
         at += 4 * n_docs
         self.symbols = np.frombuffer(blob, f"<u{width}", n_symbols, at)
         self._ends: np.ndarray | None = None
+        self._flat: np.ndarray | None = None
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        seq = seq.astype(np.uint32)
-        while len(self.rules) and (rule := seq >= self.first).any():
-            size = 1 + rule.astype(np.int64)
-            at = np.cumsum(size) - size
-            out = np.empty(int(size.sum()), np.uint32)
-            pair = self.rules[seq[rule] - self.first]
-            out[at[~rule]] = seq[~rule]
-            out[at[rule]] = pair[:, 0]
-            out[at[rule] + 1] = pair[:, 1]
-            seq = out
-        return seq
+        rule = np.flatnonzero(seq >= self.first) if len(self.rules) else np.zeros(0, np.int64)
+        if not len(rule):
+            return seq.astype(np.uint32)
+        if self._flat is None:  # every rule written out, by way of the rules before it
+            done: list[np.ndarray] = []
+            for a, b in self.rules.tolist():
+                done.append(np.concatenate([done[x - self.first] if x >= self.first else np.array([x], np.uint32) for x in (a, b)]))
+            self._flat = np.concatenate(done)
+            self._begin = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        size = np.ones(len(seq), np.int64)
+        which = seq[rule].astype(np.int64) - self.first
+        size[rule] = self.lengths[which]
+        out = np.repeat(seq.astype(np.uint32), size)
+        at = (np.cumsum(size) - size)[rule]
+        out[ranges(at, self.lengths[which])] = self._flat[ranges(self._begin[which], self.lengths[which])]
+        return out
 
     def all(self) -> np.ndarray:
         """Every id of the shard."""
@@ -200,7 +206,9 @@ def read_shards(shards: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + start), pa.array(shard.doc_lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    placed = shards.join(base, "part").select((F.col("base") + F.col("first_token")).alias("start"), "doc_ids", "shard")
+    placed = shards.join(F.broadcast(base), "part").select(  # as many rows as there were writing tasks
+        (F.col("base") + F.col("first_token")).alias("start"), "doc_ids", "shard"
+    )
     return placed.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

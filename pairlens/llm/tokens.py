@@ -3,82 +3,99 @@
 A blank between two characters that are not white space always ends a piece of
 pre-tokenization for both vocabularies used here, so the ids of a text are the
 ids of its pieces one after the other. Texts with any other white-space pattern
-go to the library whole. Ids come as little-endian unsigned 32-bit bytes.
+go to the library whole. A piece of Latin letters, with ASCII marks after them
+perhaps, goes to the library's model at once, as its normalizer and pre-tokenizer
+would pass it on; any other piece goes through the whole tokenizer. Ids come as
+little-endian unsigned 32-bit bytes.
 """
 
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-#: Entries a worker keeps; beyond it the cache starts anew. Only memory depends on it.
-CACHE_ENTRIES = 600_000
+#: Pieces in each of the two generations a worker keeps. Only memory and time depend on it.
+CACHE_ENTRIES = 400_000
+#: White space other than single blanks and line ends between words.
+_ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Up to here letters and their lower case are the same in every version of Unicode since 5.
+_LATIN = "ɏ"
+
+
+class _Known(dict):
+    """Ids by piece; the older generation is asked before the library."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn, self.older = learn, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        self[piece] = ids = self.learn(piece) if ids is None else ids
+        return ids
 
 
 class TokenCache:
-    """Ids by piece. ``drops_space``: the vocabulary ignores white space, so a line end is as good as a blank."""
+    """Token ids of texts by the vocabulary file at ``path``."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.drops_space = not self._ids("a b") != self._ids("a  b")
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.drops_space = self._ids("a b") == self._ids("a  b")
+        letters = self.tokenizer.pre_tokenizer.pre_tokenize_str
+        # How the library writes the bytes that texts hold: learned from its own pre-tokenizer.
+        self.written = {c: "".join(x for x, _ in letters(c)) for c in map(chr, range(33, 0x250)) if c.isalpha()}
+        self.blank = "" if self.drops_space else letters(" a")[0][0][:-1]
+        self.known = _Known(self._learn)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _pieces(self, text: str) -> list[str] | None:
-        if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if " ".join(text.split()) != text.replace("\n", " "):
-            return None  # white space of another kind, or more than one character of it
-        # A piece stands for the blank before it as well; one that begins with a line end has none.
-        return (" " + text).replace("\n", " \n").split(" ")[1:]
+    def _bytes(self, text: str) -> bytes:
+        return np.array(self._ids(text), "<u4").tobytes()
 
-    def _shown(self, piece: str) -> str:
-        return piece if self.drops_space or piece[:1] == "\n" else " " + piece
+    def _model(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+
+    def _learn(self, piece: str) -> bytes:
+        """Ids of a piece with the blank before it; a piece that begins with a line end has none."""
+        core = piece.rstrip(_MARKS)
+        shown = core.lower() if self.drops_space else core
+        if core.isalpha() and max(core) <= _LATIN and max(shown) <= _LATIN:
+            if len(core) < len(piece):
+                return self.known[core] + self.known["\0" + piece[len(core) :]]
+            return self._model(self.blank + (shown if shown.isascii() else "".join(map(self.written.__getitem__, shown))))
+        if piece[:1] == "\0" and len(piece) > 1 and not piece[1:].strip(_MARKS):
+            return self._bytes(piece[1:])  # marks right after letters
+        return self._bytes(piece if self.drops_space or piece[:1] == "\n" else " " + piece)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
-        known = self.known
+        known, out = self.known, []
         if len(known) > CACHE_ENTRIES:
+            known.older = dict(known)
             known.clear()
-        cut = [self._pieces(t) if t else [] for t in texts]
-        missing: set[str] = set()
-        for pieces in cut:
-            if pieces:
-                missing.update(pieces if self.drops_space else pieces[1:])
-        self._learn([p for p in missing if p not in known])
-        out = []
-        for text, pieces in zip(texts, cut, strict=True):
-            if pieces is None:
+        find = known.__getitem__
+        for text in texts:
+            if not text or "<|" in text or "\0" in text:  # special strings may be cut otherwise
+                out.append(self._bytes(text) if text else b"")
+            elif self.drops_space:
+                out.append(b"".join(map(find, text.replace("\n", " ").split(" "))))
+            elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text):
                 out.append(self._bytes(text))
-            elif self.drops_space or not pieces:
-                out.append(b"".join(map(known.__getitem__, pieces)))
             else:
-                out.append(self._bytes(pieces[0]) + b"".join(map(known.__getitem__, pieces[1:])))
+                pieces = text.replace("\n", " \n").split(" ")
+                out.append(self._bytes(pieces[0]) + b"".join(map(find, pieces[1:])))
         return out
 
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self._ids(text), "<u4").tobytes()
-
-    def _learn(self, pieces: list[str]) -> None:
-        for a in range(0, len(pieces), 2000):
-            some = pieces[a : a + 2000]
-            # Each piece is a word of its own to the library, which says for each id whose it is.
-            found = self.tokenizer.encode([self._shown(p) for p in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, "<u4").tobytes()
-            owner = np.array([-1 if w is None else w for w in found.word_ids] if None in found.word_ids else found.word_ids, np.int64)
-            if len(owner) and (owner.min() < 0 or (np.diff(owner) < 0).any()):
-                self.known.update((p, self._bytes(self._shown(p))) for p in some)
-                continue
-            cuts = (4 * np.searchsorted(owner, np.arange(len(some) + 1))).tolist()
-            self.known.update(zip(some, map(ids.__getitem__, map(slice, cuts, cuts[1:])), strict=True))
-
 
 @lru_cache(maxsize=4)
 def token_cache(path: str) -> TokenCache:
