@@ -1,8 +1,77 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlens.llm.common import stored
+from pairlens.llm.decontaminate import contaminated
+from pairlens.llm.packing import best_fit_packing
+from pairlens.llm.quality import score, train
+from pairlens.llm.queries import remainder, table, tokenizer
+from pairlens.llm.simhash import simhash_groups
+from pairlens.llm.suffix_dedup import suffix_dedup
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: No SQL twin: training and packing are not SQL. tests/llm holds the stages against plain Python.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least 0.3; the model learns as in op2. Null ids and texts are scored like any other."""
+    held = remainder("doc_id", 5) == 0
+    model = train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where(~held))
+    scored = score(docs, model, held, keep=COLUMNS)
+    return scored.where("predicted = 1").select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(COLUMNS)])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group (5-word shingles): the one with the group's smallest doc_id.
+
+    Rows that share that id are reduced to the first by text; rows without an id stay only
+    where no row of their group has one.
+    """
+    groups = simhash_groups(docs, radius=3, words=5)
+    first = groups.where("doc_id <=> component_id").select("doc_id").distinct()
+    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
+    whole = F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")
+    return kept.groupBy("doc_id").agg(whole).select("doc_id", "r.*").select(*COLUMNS)
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every text without the bytes of strings of 200 bytes that start more than once; every document stays.
+
+    A character cut in half at an edge of a removed run goes with it. n_chars is counted anew.
+    """
+    cut = suffix_dedup(docs, length=200, keep=COLUMNS)
+    text = F.when(F.col("kept_1").isNotNull(), F.col("text"))
+    return cut.select(F.col("kept_0").alias("doc_id"), text.alias("text"), F.col("kept_2").alias("lang"), F.col("kept_3").alias("source"), F.length(text).cast("long").alias("n_chars"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item; rows without an id stay."""
+    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 4096 tokens."""
+    return best_fit_packing(docs, tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+STAGES = [
+    ("quality_filter", quality_filter),
+    ("near_dedup", near_dedup),
+    ("repeat_removal", repeat_removal),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order over the documents table."""
+    docs = table(spark, sf_dir, "documents").select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return docs
