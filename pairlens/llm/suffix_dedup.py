@@ -251,14 +251,16 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int)
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c1, c2, lead, body in zip(*(batch.column(c).to_pylist() for c in ("c1", "c2", "lead", "body")), strict=True):
+            for gram_key, c1, c2, lead, body in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "lead", "body")), strict=True):
                 starts = range(len(body) - length + 1)
                 if len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array([c1] * len(starts), pa.int64()), pa.array([c2] * len(starts), pa.int64()), pa.array([s - lead for s in starts], pa.int32()), pa.array([hashlib.blake2b(body[s : s + length], digest_size=16).digest() for s in starts], pa.binary())], ["c1", "c2", "from", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array([gram_key] * len(starts), pa.int64()), pa.array([c1] * len(starts), pa.int64()), pa.array([c2] * len(starts), pa.int64()), pa.array([s - lead for s in starts], pa.int32()), pa.array([hashlib.blake2b(body[s : s + length], digest_size=16).digest() for s in starts], pa.binary())], ["gram", "c1", "c2", "from", "digest"])
 
-    every = contexts.where("many").mapInArrow(strings, "c1 long, c2 long, from int, digest binary")
-    twice = every.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    many = every.join(twice, "digest").groupBy("c1", "c2").agg(F.collect_list(F.struct("from", (F.col("from") + length).alias("to"))).alias("spans"))
+    every = contexts.where("many").mapInArrow(strings, "gram long, c1 long, c2 long, from int, digest binary")
+    # A string may hold several anchors, so it is counted by gram and place: there one start is one row.
+    place = ["gram", "from", "digest"]
+    twice = every.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place)
+    many = every.join(twice, place).groupBy("c1", "c2").agg(F.collect_list(F.struct("from", (F.col("from") + length).alias("to"))).alias("spans"))
     partial = few.union(many)
     known = kinds.where("n > 1").select("c1", "c2", F.lit(None).cast("array<struct<from:int,to:int>>").alias("spans")).union(partial.join(kinds.where("n > 1"), ["c1", "c2"], "left_anti"))
     known = stored(known, "spans")
