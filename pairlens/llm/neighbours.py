@@ -88,7 +88,7 @@ def best(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, rough: np.ndar
     return ids[at][order], score[order]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 6, hashes: int = 3, width: float = 0.6, visits: int = 60, chunk_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, hashes: int = 3, width: float = 0.6, visits: int = 90, chunk_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score (inner product) of each query's ``k`` nearest other rows.
 
     Vectors that are null, zero, or hold null or non-finite components take no part,
