@@ -278,7 +278,7 @@ def keep_mask(size: int, found: list[dict], length: int, gram: int) -> np.ndarra
     return np.cumsum(step[:-1]) == 0
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contexts: int = 20_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contexts: int = 4000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what stays; of a character cut in half, nothing) and the columns of ``keep`` (as kept_0 ...) of every row.
 
     Each byte in a string of ``length`` bytes that also starts anywhere else, in the
