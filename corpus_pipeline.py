@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.common import stored
 from pairlens.llm.decontaminate import contaminated
+from pairlens.llm.near_copies import drop_near_copies
 from pairlens.llm.packing import best_fit_packing
 from pairlens.llm.quality import score, train
 from pairlens.llm.queries import remainder, table, tokenizer
-from pairlens.llm.simhash import simhash_groups
 from pairlens.llm.suffix_dedup import suffix_dedup
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -27,16 +27,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (5-word shingles): the one with the group's smallest doc_id.
-
-    Rows that share that id are reduced to the first by text; rows without an id stay only
-    where no row of their group has one.
-    """
-    groups = simhash_groups(docs, radius=3, words=5)
-    first = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(first, docs.doc_id.eqNullSafe(first.doc_id), "left_semi")
-    whole = F.min(F.struct("text", "lang", "source", "n_chars")).alias("r")
-    return kept.groupBy("doc_id").agg(whole).select("doc_id", "r.*").select(*COLUMNS)
+    """One document of each near-duplicate group (5-word shingles, similarity of 0.8 or more): see drop_near_copies."""
+    return drop_near_copies(docs).select(*COLUMNS)
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

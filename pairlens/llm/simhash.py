@@ -24,26 +24,35 @@ from .common import drop_stored, stored, tune
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
-    """64 bits: each set if it is set in over half the shingles' XXH64 values (repeats count); zero without words."""
+def _shingles(text: bytes, words: int, seed: int) -> np.ndarray:
+    """XXH64 of every run of ``words`` words (fewer words: of them all; none: no value)."""
     from xxhash import xxh64_intdigest
 
     tokens = text.translate(_LOWER).split()
     if not tokens:
-        return 0
-    if len(tokens) <= words:
-        return xxh64_intdigest(b" ".join(tokens), seed)
+        return np.zeros(0, "<u8")
     joined = b" ".join(tokens)
+    if len(tokens) <= words:
+        return np.array([xxh64_intdigest(joined, seed)], "<u8")
     size = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(size + 1) - 1
     starts = (ends - size)[: len(tokens) - words + 1].tolist()
-    hashes = np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], "<u8")
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)], "<u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """64 bits: each set if it is set in over half the values; zero without values."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[a : a + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
+    """64 bits: each set if it is set in over half the shingles' XXH64 values (repeats count); zero without words."""
+    return _majority(_shingles(text, words, seed))
+
+
 def fingerprints(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id and fp (the fingerprint as a signed long) of every whole text."""
 

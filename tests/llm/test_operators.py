@@ -11,6 +11,7 @@ from pairlens.llm import queries
 from pairlens.llm.chat import chat_windows, read_windows
 from pairlens.llm.decontaminate import contaminated, weighted_similarity
 from pairlens.llm.html_text import main_text
+from pairlens.llm.near_copies import Tiles, drop_near_copies, jaccard
 from pairlens.llm.neighbours import nearest
 from pairlens.llm.packing import best_fit_packing
 from pairlens.llm.simhash import fingerprint, simhash_groups
@@ -209,3 +210,51 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
     assert packed.select("doc_id").distinct().count() == docs.count()
     assert docs.where(F.col("text").isNull()).count() <= 5
+
+
+def test_near_copies_equal_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, rng.randrange(1, 150), 5000)) for i in range(60)]
+    for i in range(60, 140):
+        new = (rows[rng.randrange(12, 40)][1] if i % 2 else rows[3][1]).split()
+        for _ in range(rng.randrange(0, 4)):
+            new[rng.randrange(len(new))] = f"n{i}"
+        rows.append((i, " ".join(new).upper() if i % 5 == 0 else " ".join(new)))
+    rows += [(200, None), (201, ""), (202, " \n"), (None, rows[20][1]), (20, rows[20][1]), (None, "only here without an id"), (203, "é " * 4000)]
+    root = list(range(len(rows)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard((rows[i][1] or "").encode(), (rows[j][1] or "").encode(), 5) >= 0.8:
+                root[top(i)] = top(j)
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(top(k), []).append((r[0] is None, r[0] or 0, k))
+    want = sorted((str(rows[k][0]), str(rows[k][1])) for k in (min(g)[2] for g in groups.values()))
+    table = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, uid int, node string")
+    kept = drop_near_copies(table)
+    assert kept.columns == table.columns
+    got = sorted((str(r.doc_id), str(r.text)) for r in kept.collect())
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert 1 < len(groups) < len(rows) - 40
+    assert drop_near_copies(table.limit(0)).count() == 0
+
+
+def test_tiles_join_what_is_near():
+    rng = np.random.default_rng(5)
+    base = rng.integers(-(1 << 63), 1 << 63, (3, 4), dtype=np.int64)
+    rows = np.array([[*(base[k % 3] ^ (1 << rng.integers(0, 60, 4))), 100 + k % 7, k, k] for k in range(1500)], np.int64)
+    links = Tiles(rows, None, 0.8).forest()
+    assert len(links) == 1497 and all(a % 3 == b % 3 for a, b in links)
+    assert all((a < 700) != (b < 700) for a, b in Tiles(rows[:700], rows[700:], 0.8).forest())
+    some = rows[:600].copy()
+    every = Tiles(some, None, 0.8).nearest(1000)
+    assert sorted((min(x), max(x)) for x in every) == [(a, b) for a in range(600) for b in range(a + 3, 600, 3)]
+    some[:, -1] = np.arange(600) % 3  # the group
+    assert not Tiles(some, None, 0.8).nearest(1000)
+    assert sum(b < 0 for _, b in Tiles(rows[:600], None, 0.8).nearest(5)) == 600 - 3 * 6
