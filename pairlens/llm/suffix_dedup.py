@@ -2,8 +2,9 @@
 
 Every string of ``length`` bytes holds an anchor: the gram of ``gram`` bytes with the
 smallest hash in it. Equal strings hold equal anchors at equal places, so only anchors
-are shuffled, each with a digest of its context, the bytes that strings through it can
-reach. A context that occurs twice is removed whole. Where one gram has several
+are shuffled: first the hashes alone, to find those that occur again, then the anchors
+that have one of these, each with a digest of its context, the bytes that strings
+through it can reach. A context that occurs twice is removed whole. Where one gram has several
 different contexts, one of each goes to the gram's task, which sorts the suffixes that
 begin at the anchors, and likewise the reversed prefixes that end there: a mergesort
 whose comparisons find the common extension by binary search on prefix polynomial
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_bytes, tune
+from .common import drop_stored, slices, stored, text_bytes, tune
 
 _BASE = 0x9E3779B97F4A7C15
 _PIECE = 1 << 20
@@ -188,28 +189,57 @@ def repeated_spans(contexts: list[bytes], left: np.ndarray, length: int, gram: i
     return spans
 
 
-def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int) -> DataFrame:
-    """(uid, found): for stored ``docs`` (uid, text), anchors in repeated strings with their spans; null spans: the whole context."""
-    reach = length - gram
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
+def repeated_anchors(docs: DataFrame, length: int, gram: int, most_known: int) -> DataFrame:
+    """(uid, pos, gram, c1, c2) of every anchor whose gram is another's too; c1, c2: digest of its context."""
+    spark, reach = docs.sparkSession, length - gram
 
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(uids, text bytes, row bounds, anchors, their hashes), some texts at a time."""
         for batch in batches:
             body, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets, 4 << 20):
                 part, bounds = body[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                at, key = anchors(part, bounds, length, gram)
-                if not len(at):
-                    continue
-                row = np.searchsorted(bounds, at, side="right") - 1
-                low, high = np.maximum(bounds[row], at - reach), np.minimum(bounds[row + 1], at + length)
-                raw = part.tobytes()
-                digest = b"".join([xxh3_128_digest(raw[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)])
-                pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(at - bounds[row]), pa.array(key.view(np.int64)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["uid", "pos", "gram", "c1", "c2"])
-
-    marked = stored(docs.mapInArrow(mark, "uid long, pos long, gram long, c1 long, c2 long"), "anchors")
+                yield batch.column(0).slice(a, b - a), part, bounds, *anchors(part, bounds, length, gram)
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, _, _, key in every(batches):
+            one, count = np.unique(key.view(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one), pa.array(count > 1)], ["gram", "again"])
+
+    again = docs.mapInArrow(hashes, "gram long, again boolean").groupBy("gram").agg((F.max("again") | (F.count("*") > 1)).alias("again")).where("again").select("gram")
+    again = stored(again, "grams")
+    # Up to most_known hashes (8 bytes each) go to every task; beyond that the anchors are shuffled to them.
+    small = again.count() <= most_known
+    shared = spark.sparkContext.broadcast(np.sort(again.toArrow().column(0).to_numpy())) if small else None
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_128_digest
+
+        for uids, part, bounds, at, key in every(batches):
+            key = key.view(np.int64)
+            if shared is not None:
+                known = shared.value
+                keep = known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key if len(known) else np.zeros(len(key), bool)
+                at, key = at[keep], key[keep]
+            if not len(at):
+                continue
+            row = np.searchsorted(bounds, at, side="right") - 1
+            low, high = np.maximum(bounds[row], at - reach), np.minimum(bounds[row + 1], at + length)
+            raw = part.tobytes()
+            digest = b"".join([xxh3_128_digest(raw[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)])
+            pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([uids.take(pa.array(row)), pa.array(at - bounds[row]), pa.array(key), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["uid", "pos", "gram", "c1", "c2"])
+
+    marked = docs.mapInArrow(mark, "uid long, pos long, gram long, c1 long, c2 long")
+    marked = stored(marked if small else marked.join(again, "gram", "left_semi").select("uid", "pos", "gram", "c1", "c2"), "anchors")
+    drop_stored(again)
+    return marked
+
+
+def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int, most_known: int) -> DataFrame:
+    """(uid, found), stored: for stored ``docs`` (uid, text), anchors in repeated strings with their spans; null spans: the whole context."""
+    reach = length - gram
+    marked = repeated_anchors(docs, length, gram, most_known)
     kinds = stored(marked.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at")), "contexts")
     several = kinds.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     wanted = kinds.join(several, "gram").select(F.col("at.uid").alias("uid"), F.struct(F.col("at.pos").alias("pos"), "gram", "c1", "c2", (F.col("m") > most_contexts).alias("many")).alias("a"))
@@ -264,7 +294,10 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int)
     partial = few.union(many)
     known = kinds.where("n > 1").select("c1", "c2", F.lit(None).cast("array<struct<from:int,to:int>>").alias("spans")).union(partial.join(kinds.where("n > 1"), ["c1", "c2"], "left_anti"))
     known = stored(known, "spans")
-    return marked.join(known, ["c1", "c2"]).groupBy("uid").agg(F.collect_list(F.struct("pos", "spans")).alias("found"))
+    found = stored(marked.join(known, ["c1", "c2"]).groupBy("uid").agg(F.collect_list(F.struct("pos", "spans")).alias("found")), "found")
+    for table in (marked, kinds, contexts, known):
+        drop_stored(table)
+    return found
 
 
 def keep_mask(size: int, found: list[dict], length: int, gram: int) -> np.ndarray:
@@ -278,7 +311,7 @@ def keep_mask(size: int, found: list[dict], length: int, gram: int) -> np.ndarra
     return np.cumsum(step[:-1]) == 0
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contexts: int = 4000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contexts: int = 4000, most_known: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what stays; of a character cut in half, nothing) and the columns of ``keep`` (as kept_0 ...) of every row.
 
     Each byte in a string of ``length`` bytes that also starts anywhere else, in the
@@ -290,7 +323,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contex
     tune(docs.sparkSession)
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
     source = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *kept), "texts")
-    found = repeated_ranges(source.select("uid", "text"), length, gram, most_contexts)
+    found = repeated_ranges(source.select("uid", "text"), length, gram, most_contexts, most_known)
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

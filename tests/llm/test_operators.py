@@ -49,8 +49,8 @@ def removed_by_brute_force(texts, length):
     return gone
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_suffix_dedup_equals_brute_force(spark, most):
+@pytest.mark.parametrize(("most", "known"), [(20_000, 4_000_000), (1, 0)])
+def test_suffix_dedup_equals_brute_force(spark, most, known):
     rows = corpus()
     texts = [(r[1] or "").encode() for r in rows]
     want = []
@@ -58,7 +58,7 @@ def test_suffix_dedup_equals_brute_force(spark, most):
         rest = np.frombuffer(t, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
         want.append((str(r[0]), len(t), int(gone.sum()), runs, hashlib.sha256(rest).hexdigest()))
-    got = suffix_dedup(spark.createDataFrame(rows, DOCS), most_contexts=most).drop("text").collect()
+    got = suffix_dedup(spark.createDataFrame(rows, DOCS), most_contexts=most, most_known=known).drop("text").collect()
     assert sorted((str(r[0]), *r[1:]) for r in got) == sorted(want)
     assert suffix_dedup(spark.createDataFrame([], DOCS)).count() == 0
 
