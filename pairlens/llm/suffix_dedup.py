@@ -279,23 +279,43 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int,
 
     few = contexts.where("not many").drop("many").repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, spans_type)
 
+    # Of a gram with many contexts, strings that start in the same few places hold some bytes in common;
+    # only where these occur again are the strings themselves counted.
+    span = 16
+
+    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for key, c1, c2, lead, body in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "lead", "body")), strict=True):
+                for part in range((reach - lead) // span, (reach - lead + len(body) - length) // span + 1):
+                    low = part * span - reach + lead  # the part's first start, in the context
+                    shared = hashlib.blake2b(b"%d %d " % (key, part) + body[low + span - 1 : low + length], digest_size=16).digest()
+                    for column, value in zip(out, (c1, c2, part, shared), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["c1", "c2", "part", "shared"])
+
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for gram_key, c1, c2, lead, body in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "lead", "body")), strict=True):
-                starts = range(len(body) - length + 1)
-                if len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array([gram_key] * len(starts), pa.int64()), pa.array([c1] * len(starts), pa.int64()), pa.array([c2] * len(starts), pa.int64()), pa.array([s - lead for s in starts], pa.int32()), pa.array([hashlib.blake2b(body[s : s + length], digest_size=16).digest() for s in starts], pa.binary())], ["gram", "c1", "c2", "from", "digest"])
-
-    every = contexts.where("many").mapInArrow(strings, "gram long, c1 long, c2 long, from int, digest binary")
-    # A string may hold several anchors, so it is counted by gram and place: there one start is one row.
-    place = ["gram", "from", "digest"]
-    twice = every.groupBy(*place).agg(F.count("*").alias("n")).where("n > 1").select(*place)
-    many = every.join(twice, place).groupBy("c1", "c2").agg(F.collect_list(F.struct("from", (F.col("from") + length).alias("to"))).alias("spans"))
+            for key, c1, c2, lead, body, parts in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "lead", "body", "parts")), strict=True):
+                low = [max(0, p * span - reach + lead) for p in parts]
+                high = [min(len(body) - length, p * span - reach + lead + span - 1) for p in parts]
+                starts = [s for x, y in zip(low, high, strict=True) for s in range(x, y + 1)]
+                digests = [hashlib.blake2b(b"%d %d " % (key, s - lead) + body[s : s + length], digest_size=16).digest() for s in starts]
+                yield pa.RecordBatch.from_arrays([pa.array([c1] * len(starts), pa.int64()), pa.array([c2] * len(starts), pa.int64()), pa.array([s - lead for s in starts], pa.int32()), pa.array(digests, pa.binary())], ["c1", "c2", "from", "digest"])
+
+    full = contexts.where("many")
+    narrowed = full.mapInArrow(narrow, "c1 long, c2 long, part int, shared binary")
+    again = narrowed.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1").select("shared")
+    open_ = narrowed.join(again, "shared").groupBy("c1", "c2").agg(F.collect_list("part").alias("parts"))
+    # A string may hold several anchors, so its digest tells gram and place too: there one start is one row.
+    every = stored(full.join(open_, ["c1", "c2"]).mapInArrow(strings, "c1 long, c2 long, from int, digest binary"), "strings")
+    twice = every.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    many = every.join(twice, "digest").groupBy("c1", "c2").agg(F.collect_list(F.struct("from", (F.col("from") + length).alias("to"))).alias("spans"))
     partial = few.union(many)
     known = kinds.where("n > 1").select("c1", "c2", F.lit(None).cast("array<struct<from:int,to:int>>").alias("spans")).union(partial.join(kinds.where("n > 1"), ["c1", "c2"], "left_anti"))
     known = stored(known, "spans")
     found = stored(marked.join(known, ["c1", "c2"]).groupBy("uid").agg(F.collect_list(F.struct("pos", "spans")).alias("found")), "found")
-    for table in (marked, kinds, contexts, known):
+    for table in (marked, kinds, contexts, every, known):
         drop_stored(table)
     return found
 
