@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import drop_stored, stored, tune
 from .simhash import _majority, _shingles, components
 
 LANES = 4
@@ -202,21 +202,23 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
             alike = [jaccard(x or b"", y or b"", words) >= similarity for x, y in zip(*texts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    def side(c: str) -> DataFrame:
-        return source.select(F.col("uid").alias(c), F.col("text_").alias(f"text_{c}"))
-
     def verified(links: DataFrame) -> DataFrame:
-        return links.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long")
+        asked = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
+        texts = stored(source.join(asked, "uid", "left_semi").select("uid", "text_"), "texts")
+        sides = [texts.select(F.col("uid").alias(c), F.col("text_").alias(f"text_{c}")) for c in ("a", "b")]
+        good = stored(links.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "sound")
+        drop_stored(texts)
+        return good
 
     # A wrong link may have stood for a right one in its forest. So what the groups leave
     # apart is asked again, by the nearest partners of each fingerprint, until none has more.
     links = stored(candidate_links(classes.withColumn("group", F.col("node")), similarity).distinct(), "links")
-    sound, most = stored(verified(links), "sound"), 8
+    sound, most = verified(links), 8
     roots = components(sound)
     while not links.isEmpty():
         grouped = classes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
         links = stored(candidate_links(grouped, similarity, most).distinct(), "links")
-        more = stored(verified(links.where("b >= 0")), "sound")
+        more = verified(links.where("b >= 0"))
         if not more.isEmpty():
             sound = stored(sound.union(more), "sound")
             roots = components(sound)
@@ -226,4 +228,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     roots = roots.withColumnRenamed("root", "known")
     whole = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("known", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = whole.select(F.col("first.uid").alias("uid"))
-    return source.join(stays, "uid", "left_semi").select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])
+    kept = stored(source.join(stays, "uid", "left_semi").select(*[f"kept_{i}" for i in range(len(names))]), "kept")
+    for table in (source, classes, links, sound):
+        drop_stored(table)
+    return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])
