@@ -8,7 +8,8 @@ documents back by best fit, largest first. After each epoch an island's elite
 moves to the next island of its block through a shuffle. An island stops as soon
 as it needs no more sequences than the sum of lengths requires. The least filled
 sequence of each block goes to the next level, which packs those in the same way,
-until one block is left.
+until one block is left. A block holds tokens for four sequences at least, however
+small its pieces are, so every level has at most a quarter of the tokens before it.
 """
 
 from __future__ import annotations
@@ -135,8 +136,8 @@ class Island:
 
 def pack_level(items: DataFrame, capacity: int, level: int, block_items: int, islands: int, epochs: int, generations: int) -> tuple[DataFrame, int]:
     """Pack stored pieces; returns them with sequence_id, offset and ``spare`` (in their block's emptiest sequence), and the number of blocks."""
-    count = items.count()
-    blocks = max(1, -(-count // block_items))
+    count, tokens = items.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    blocks = max(1, min(-(-count // block_items), tokens // (4 * capacity)))
     dealt = stored(items.groupBy(F.pmod(F.xxhash64("item"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("item", "doc_id", "piece", "start", "length", "ids_crc32"))).alias("items")), "blocks")
 
     def evolve(epoch: int):

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
-from pairlens.llm import queries
+from pairlens.llm import packing, queries
 from pairlens.llm.chat import chat_windows, read_windows
 from pairlens.llm.decontaminate import contaminated, weighted_similarity
 from pairlens.llm.html_text import main_text
@@ -172,6 +172,26 @@ def test_packing_is_whole_and_gapless(spark):
     assert got.sequence_id.nunique() <= -(-got.length.sum() // 4096) + 1
 
 
+def test_packing_of_many_empty_texts_ends(spark, monkeypatch):
+    levels, pack_level = [], packing.pack_level
+
+    def counted(*args):
+        levels.append(args)
+        assert len(levels) < 9
+        return pack_level(*args)
+
+    monkeypatch.setattr(packing, "pack_level", counted)
+    rows = [(i, None if i % 2 else "", "", 0, "") for i in range(3000)]
+    rows += [(i, "some words of a short text " * 20, "", 0, "") for i in range(3000, 3300)]
+    for some in (rows[:3000], rows):
+        levels.clear()
+        got = best_fit_packing(spark.createDataFrame(some, DOCS), queries.tokenizer("word_bpe_49k.json"), block_items=256).toPandas()
+        assert sorted(got.doc_id) == [r[0] for r in some]
+        for _, seq in got.sort_values("offset").groupby("sequence_id"):
+            assert (seq.offset.to_numpy() == np.concatenate(([0], np.cumsum(seq.length)[:-1]))).all() and seq.length.sum() <= 4096
+        assert got.sequence_id.nunique() <= -(-got.length.sum() // 4096) + 1
+
+
 def test_main_text():
     html = "<html><body><nav>Home About</nav><div class='content'><h1>Title &amp; more</h1><p>First  paragraph of a\n long enough article text.</p><p>Second one with a <a href='#'>link</a> in it.</p></div><footer>Footer</footer></body></html>"
     assert main_text(html) == "Title & more\nFirst paragraph of a long enough article text.\nSecond one with a link in it."
