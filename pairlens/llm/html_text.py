@@ -4,8 +4,9 @@ Every block element of the document tree has a density: its characters for each
 in it, lowered the more of them are in links. The densities of a node's children are
 summed; the subtree with the largest sum holds the article. The lowest density on the
 path from it up to the body is the threshold at which the neighbours of that path
-belong to the article as well. Inline markup makes no nodes, and elements that are
-never part of an article (menus, forms, adverts and so on) are left out beforehand.
+belong to the article as well. Inline markup makes no nodes. What is never part of
+an article (menus, footers, scripts and so on) is left out beforehand, and so are forms
+and what is named like an advert or comments, unless it holds most of the page's text.
 """
 
 from __future__ import annotations
@@ -29,46 +30,53 @@ CLOSES_P = frozenset("address article aside blockquote center details dialog dir
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl select article section div body html main aside nav blockquote".split())
 # Elements, roles and name words that mark what is no part of an article.
-LEFT_OUT = frozenset("head nav footer aside form button select datalist dialog menu noscript template svg math canvas audio video object embed applet script style textarea title iframe noembed noframes xmp search".split())
+LEFT_OUT = frozenset("head nav footer aside button select datalist dialog menu noscript template svg math canvas audio video object embed applet script style textarea title iframe noembed noframes xmp search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footnav masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations share sharing social widget widgets pager pagination skip skiplink login search".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _WORDS = re.compile(r"[a-z]+")
 
 
 class Node:
-    """An element: its children are nodes and texts (text, whether in a link) in page order."""
+    """An element: its children are nodes and texts (text, whether in a link) in page order.
 
-    __slots__ = ("tag", "parent", "children", "out", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    ``out``: 2 for what is left out, 1 for what looks like no part of an article.
+    """
+
+    __slots__ = ("tag", "parent", "children", "out", "plain", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, out: bool):
+    def __init__(self, tag: str, parent: Node | None, out: int):
         self.tag, self.parent, self.out, self.children = tag, parent, out, []
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.plain = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _left_out(tag: str, attributes: str, stack: list[tuple[str, Node | None]]) -> bool:
+def _left_out(tag: str, attributes: str, stack: list[tuple[str, Node | None]]) -> int:
+    """``Node.out`` of an element."""
     if tag in LEFT_OUT:
-        return True
+        return 2
     if tag == "header":  # the head of a page; that of an article holds its title
-        return not any(t in ("article", "main") for t, _ in stack)
+        return 0 if any(t in ("article", "main") for t, _ in stack) else 2
+    out = int(tag == "form")
     if attributes and tag not in ("html", "body", "article", "main"):
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES:
-                return True
+            if name == "hidden" or name == "role" and value in ROLES and value != "form":
+                return 2
+            if name == "aria-hidden" and value == "true" or name == "role" and value == "form":
+                out = 1
             if name in ("class", "id"):
                 words = _WORDS.findall(value)
                 if any(w in NAMES for w in words) or "header" in words and tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and not any(t in ("article", "main") for t, _ in stack):
-                    return True
-    return False
+                    out = 1
+    return out
 
 
 def parse(html: str) -> Node:
     """The tree of block elements of a page. Unclosed and misnested tags close as browsers close them, roughly."""
-    root = Node("html", None, False)
+    root = Node("html", None, 0)
     stack: list[tuple[str, Node | None]] = []  # open tags; inline ones have no node
     node, links, at, size = root, 0, 0, len(html)
 
@@ -147,6 +155,44 @@ def parse(html: str) -> Node:
     return root
 
 
+def _settle(root: Node) -> None:
+    """Take back in what looks like no part of an article but holds most of the page's text outside links.
+
+    It stays out if an article or main element beside it has a tenth of its text.
+    """
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo += [c for c in node.children if isinstance(c, Node) and c.out < 2]
+    for node in reversed(order):
+        node.plain = sum(c.plain if isinstance(c, Node) else len(" ".join(c[0].split())) for c in node.children if not isinstance(c, str) and (c.out < 2 if isinstance(c, Node) else not c[1]))
+
+    def articles(top: Node) -> list[Node]:
+        found, todo = [], [top]
+        while todo:
+            node = todo.pop()
+            found += [node] if node.tag in ("article", "main") else []
+            todo += [c for c in node.children if isinstance(c, Node) and not c.out]
+        return found
+
+    known, todo = articles(root), [root]
+    while todo:
+        node = todo.pop()
+        if node.out:
+            if 2 * node.plain <= root.plain:
+                continue
+            above, at = set(), node
+            while at.parent is not None:
+                at = at.parent
+                above.add(id(at))
+            if any(10 * (k.plain - (node.plain if id(k) in above else 0)) >= node.plain for k in known):
+                continue
+            node.out = 0
+            known += articles(node)
+        todo += [c for c in node.children if isinstance(c, Node) and c.out < 2]
+
+
 def _measure(root: Node) -> list[Node]:
     """Counts and densities of all nodes that are not left out, children before parents."""
     order, todo = [], [root]
@@ -207,6 +253,7 @@ def main_text(html: str) -> str:
     if not html or not html.strip():
         return ""
     root = parse(html)
+    _settle(root)
     order = _measure(root)
     if not root.chars:
         return ""

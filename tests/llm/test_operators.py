@@ -198,6 +198,19 @@ def test_main_text():
     assert main_text("") == "" and main_text("<script>x</script>") == ""
 
 
+PARAGRAPHS = [f"Paragraph {i} of a text that is long enough to be the main text of a page, as it has some plain words." for i in range(6)]
+
+
+@pytest.mark.parametrize("marks", ["style='overflow:hidden'", "title='the hidden cost'", "data-id='comment-3'", "class='content has-sidebar'", "class='post no-comments'", "id=search-results-article", "role='form'"])
+def test_main_text_in_an_element_named_like_no_article(marks):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS)
+    for html in ("<body><nav><a href='/'>Home</a></nav><div {}>{}</div><footer>Footer</footer></body>", "<body><div {}><div class='sidebar'>Other news</div><div>{}</div></div></body>", "<body><main><div {}>{}</div></main><aside>Other</aside></body>"):
+        assert main_text(html.format(marks, body)) == "\n".join(PARAGRAPHS)
+    article = f"<article><p>{PARAGRAPHS[0]}</p></article>"
+    for html in ("<body>{}<div class='comments'>{}</div></body>", "<body><div class='has-sidebar'>{}<div class='comments'>{}</div></div></body>", "<body>{}<div hidden>{}</div></body>"):
+        assert main_text(html.format(article, body)) == PARAGRAPHS[0]
+
+
 def test_classifiers_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs = queries.table(spark, folder, "documents").toPandas()
