@@ -29,6 +29,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPES = frozenset("table ul ol dl select article section div body html main aside nav blockquote".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header blockquote pre figure ul ol dl table".split())
 # Elements, roles and name words that mark what is no part of an article.
 LEFT_OUT = frozenset("head nav footer aside button select datalist dialog menu noscript template svg math canvas audio video object embed applet script style textarea title iframe noembed noframes xmp search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -262,21 +263,65 @@ def main_text(html: str) -> str:
     path = [best]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    named = [n for n in path if n.tag == "article"] or [n for n in path if n.tag == "main"]
-    if named:
-        return "\n".join(_blocks([named[-1]]))
     body = next((n for n in path if n.tag == "body"), path[-1])
     threshold = min(n.density for n in path[: path.index(body) + 1])
-    chosen = best
-    for above in path[1 : path.index(body) + 1]:  # neighbours of the path that are as dense belong to the article
-        near = [k for k in above.children if isinstance(k, Node) and not k.out and k.chars and k is not chosen]
-        if any(k.density >= threshold for k in near) or any(isinstance(k, tuple) and k[0].strip() for k in above.children):
-            for k in near:
-                k.out = k.density < threshold
-            chosen = above
+    named = [k for k, n in enumerate(path) if n.tag == "article"] or [k for k, n in enumerate(path) if n.tag == "main"]
+    at = named[-1] if named else 0  # an article is whole; its neighbours are still asked for
+    chosen, main = path[at], any(n.tag == "main" for n in path[at + 1 :])
+    for below, above in zip(path[at:], path[at + 1 : path.index(body) + 1], strict=False):
+        # Neighbours of the path that are as dense, or marked as a part of the article, belong to it.
+        before, kept, more = True, [], False
+        for k, run in _runs(above):
+            if k is below:
+                before = False
+            elif k is None:
+                n = sum(len(x[0].strip()) for x in run)
+                if n <= 2 * sum(len(x[0].strip()) for x in run if x[1]):
+                    continue
+                more = True
+            elif not k.out and k.chars:
+                k.out = 0 if k.density >= threshold or _belongs(k, before, main) else 2
+                more = more or not k.out
+            kept += ["\n", *run, "\n"]
+        if more:
+            above.children, chosen = kept, above
+        main = main and above.tag != "main"
     return "\n".join(_blocks([chosen]))
 
 
+def _runs(node: Node) -> Iterator[tuple[Node | None, list]]:
+    """Children of a node: block elements one by one, and (None, texts with the inline parts between) of what lies between them."""
+    run: list = []
+    for child in node.children:
+        if isinstance(child, tuple):
+            run.append(child)
+        elif isinstance(child, Node) or run:
+            if any(x[0].strip() for x in run):
+                yield None, run
+            run = []
+            if isinstance(child, Node):
+                yield child, [child]
+    if any(x[0].strip() for x in run):
+        yield None, run
+
+
+def _belongs(node: Node, before: bool, main: bool) -> bool:
+    """Whether a neighbour of the article is marked as a part of it: its title, what main has before it, text of main, other articles."""
+    if 2 * node.link_chars >= node.chars:
+        return False
+    if main and (before or node.tag in TEXT):
+        return True
+    todo, chars, title = [node], 0, False
+    while todo:
+        k = todo.pop()
+        title = title or k.tag == "h1"
+        if k.tag == "article":
+            chars += k.chars if 2 * k.link_chars < k.chars else 0
+        else:
+            todo += [c for c in k.children if isinstance(c, Node) and not c.out]
+    return before and title or 2 * chars >= node.chars
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars (code points) of every page.
 

@@ -211,6 +211,21 @@ def test_main_text_in_an_element_named_like_no_article(marks):
         assert main_text(html.format(article, body)) == PARAGRAPHS[0]
 
 
+def test_main_text_of_several_articles():
+    parts = [f"<article><h2>Part {i}</h2>" + f"<p>{PARAGRAPHS[i]}</p>" * n + "</article>" for i, n in enumerate((9, 2, 1))]
+    whole = [line for i, n in enumerate((9, 2, 1)) for line in [f"Part {i}", *[PARAGRAPHS[i]] * n]]
+    nav, foot = "<nav><a href='/'>Home</a></nav>", "<div><a href='/a'>Other news</a> <a href='/b'>More news</a></div><footer>Footer</footer>"
+    title, lead = "<h1>A title</h1>", "<p class='lead'>A short lead.</p>"
+    for order in ((0, 1, 2), (2, 1, 0), (1, 0, 2)):
+        want = [line for i in order for line in [f"Part {i}", *[PARAGRAPHS[i]] * (9, 2, 1)[i]]]
+        mine = "".join(parts[i] for i in order)
+        assert main_text(f"<body>{nav}<main>{title}{lead}{mine}</main>{foot}</body>") == "\n".join(["A title", "A short lead.", *want])
+        assert main_text(f"<body>{nav}<div>{title}</div>{mine}{foot}</body>") == "\n".join(["A title", *want])
+    wrapped = "".join(f"<div class='part'>{p}</div>" for p in parts)
+    assert main_text(f"<body>{nav}{title}<section>{wrapped}</section>{foot}</body>") == "\n".join(["A title", *whole])
+    assert main_text(f"<body>{title}{parts[0]}<article><a href='/c'>Read this next</a></article>{foot}</body>") == "\n".join(["A title", *whole[:10]])
+
+
 def test_classifiers_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs = queries.table(spark, folder, "documents").toPandas()
