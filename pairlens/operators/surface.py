@@ -25,6 +25,8 @@ def surface(comparisons: DataFrame, endpoints: DataFrame, metric: str, band: flo
 def flatten_signals(rows: DataFrame, key: str, json: str, prefix: str = "signal") -> DataFrame:
     """(key, name, value) of every finite number or truth value in nested objects; names are joined by underscores."""
     spark = rows.sparkSession
+    for limit in ("Row", "Level"):  # read when the query runs, so they stay set for the session
+        spark.conf.set(f"spark.sql.cteRecursion{limit}Limit", "-1")
     rows.select(F.col(key).alias("k"), F.try_parse_json(F.col(json)).alias("v")).createOrReplaceTempView("pairlens_signals")
     flat = spark.sql(f"""
         WITH RECURSIVE walk(k, name, v) AS (

@@ -103,6 +103,14 @@ def test_nested_signals(spark):
     assert sorted((r.name, r.value) for r in surface.flatten_signals(rows, "k", "j").collect()) == [("signal_a_b", 1.0), ("signal_a_c", 1.0), ("signal_g", 0.5)]
 
 
+def test_nested_signals_of_many_rows_and_levels(spark):
+    many = spark.range(600_000).selectExpr("id k", """'{"k": 1}' j""")
+    got = surface.flatten_signals(many, "k", "j")
+    assert got.count() == got.select("k").distinct().count() == 600_000
+    deep = spark.createDataFrame([(1, '{"a":' * 110 + "2" + "}" * 110)], "k long, j string")
+    assert [(r.name, r.value) for r in surface.flatten_signals(deep, "k", "j").collect()] == [("signal" + "_a" * 110, 2.0)]
+
+
 def test_sources_sinks_and_stream(spark, tmp_path):
     folder = tmp_path / "steps"
     folder.mkdir()
