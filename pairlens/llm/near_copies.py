@@ -2,8 +2,9 @@
 
 Two sets of shingles that are 0.8 alike differ in about a seventh of their SimHash
 bits. 64 bits would not tell them from unrelated texts, so a fingerprint here has
-four lanes of 64, and the radius is the mean distance at the wanted similarity
-plus four standard deviations. Sizes of sets as alike as that differ by at most the
+four lanes of 64. The radius depends on the sizes of the sets: beyond it a link lies
+with a probability of at most 1e-9, reckoned exactly for small sets, whose ties
+make more bits differ. Sizes of sets as alike as that differ by at most the
 factor 1/similarity: fingerprints are dealt to tiles by size, and a tile meets itself
 and the next one. Inside a task blocks of fingerprints whose sizes are too far apart,
 or whose bit counts differ beyond the radius, are skipped; the rest is compared in full
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,48 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PRINT = [f"f{i}" for i in range(LANES)]
 
 
-def radii(similarity: float) -> tuple[int, int, int]:
-    """Distances at which sets of ``similarity`` are surely, on average and at most apart."""
+def radii(similarity: float) -> tuple[int, int]:
+    """Distances at which large sets of ``similarity`` are surely and on average apart."""
     bits = 64 * LANES
     part = math.acos(2 * similarity / (1 + similarity)) / math.pi
     spread = 4 * math.sqrt(bits * part * (1 - part))
     mean = bits * part
-    return max(0, int(mean - spread)), int(mean), min(bits, math.ceil(mean + spread))
+    return max(0, int(mean - spread)), int(mean)
+
+
+def flip(both: int, a: int, b: int) -> float:
+    """Probability that a SimHash bit differs between sets with ``both`` shingles in common, and ``a`` and ``b`` of their own."""
+    share = lambda n: np.array([math.comb(n, k) for k in range(n + 1)], float) / 2.0**n
+    at = np.arange(both + 1)
+
+    def high(own: int) -> np.ndarray:  # by the number of common shingles that have the bit
+        over = np.append(np.cumsum(share(own)[::-1])[::-1], 0.0)
+        return over[np.clip((both + own) // 2 + 1 - at, 0, own + 1)]
+
+    x, y = high(a), high(b)
+    return float((share(both) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@lru_cache
+def reach(similarity: float, miss: float = 1e-9, most: int = 64) -> np.ndarray:
+    """Radius by the size of the smaller set; the last one, that of 48 to ``most`` shingles, holds for all above.
+
+    Sets of at least ``similarity`` lie beyond it with a probability of at most ``miss``.
+    """
+    bits = 64 * LANES
+    ways = np.array([math.lgamma(bits + 1) - math.lgamma(k + 1) - math.lgamma(bits - k + 1) for k in range(bits + 1)])
+    out = np.zeros(most + 1, np.int64)
+    for n in range(1, most + 1):
+        worst = 0.0
+        for m in range(n, int(n / similarity + 1e-9) + 1):
+            least = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            worst = max([worst, *(flip(c, n - c, m - c) for c in range(least, n + 1))])
+        if worst:
+            k = np.arange(bits + 1)
+            beyond = np.cumsum(np.exp(ways + k * math.log(worst) + (bits - k) * math.log1p(-worst))[::-1])[::-1]
+            out[n] = int(np.argmax(beyond <= miss)) - 1 if beyond[-1] <= miss else bits
+    out[48:] = out[48:].max()
+    return np.maximum.accumulate(out[::-1])[::-1]
 
 
 def wide_fingerprint(text: bytes, words: int) -> list[int]:
@@ -71,7 +108,8 @@ class Tiles:
         self.prints, self.sizes = np.ascontiguousarray(rows[:, :LANES]).view(np.uint64), rows[:, LANES]
         self.nodes, self.label = rows[:, LANES + 1], np.unique(rows[:, LANES + 2], return_inverse=True)[1]
         self.counts = np.bitwise_count(self.prints).astype(np.int16)
-        self.similarity, self.limits, self.alone = similarity, radii(similarity), other is None
+        self.similarity, self.limits, self.alone = similarity, (*radii(similarity), 64 * LANES), other is None
+        self.reach = reach(similarity)
         cut = [slice(x, min(x + block, len(own))) for x in range(0, len(own), block)]
         self.first = cut
         self.second = cut if other is None else [slice(x, min(x + block, len(rows))) for x in range(len(own), len(rows), block)]
@@ -80,11 +118,15 @@ class Tiles:
         """The blocks to compare with block ``i``; within one tile those from ``i`` on."""
         return [j for j in self.second if not (self.alone and j.start < i.start) and not self._far(i, j)]
 
+    def _limit(self, i: slice, j: slice) -> int:
+        """The radius of the smallest sets of two blocks, which is the largest."""
+        return int(self.reach[min(self.sizes[i][0], self.sizes[j][0], len(self.reach) - 1)])
+
     def _far(self, i: slice, j: slice) -> bool:
         if min(self.sizes[i][-1], self.sizes[j][-1]) < self.similarity * max(self.sizes[i][0], self.sizes[j][0]):
             return True
         gap = np.maximum(self.counts[i].min(0) - self.counts[j].max(0), self.counts[j].min(0) - self.counts[i].max(0))
-        return int(np.maximum(gap, 0).sum()) > self.limits[2]
+        return int(np.maximum(gap, 0).sum()) > self._limit(i, j)
 
     def compare(self, i: slice, j: slice) -> tuple[np.ndarray, np.ndarray]:
         """(distances, which pairs are of different groups, near enough and of like size)."""
@@ -94,7 +136,7 @@ class Tiles:
             return apart, np.zeros(apart.shape, bool)
         for k in range(LANES):
             apart += np.bitwise_count(self.prints[i, k][:, None] ^ self.prints[j, k][None, :])
-        near = apart <= self.limits[2]
+        near = apart <= self._limit(i, j)
         if near.any():
             a, b = self.sizes[i][:, None], self.sizes[j][None, :]
             near &= (x[:, None] != y[None, :]) & (np.minimum(a, b) >= self.similarity * np.maximum(a, b))
@@ -180,7 +222,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     shingle, and all texts without words, null ones too, are copies of each other. A
     row without an id stays only if no row of its group has one. All columns come
     back, whatever their names; an empty table gives no rows.
-    A link whose wide fingerprints lie beyond four standard deviations is not found.
+    A link whose wide fingerprints lie beyond ``reach`` is not found (a probability of at most 1e-9).
     """
     tune(docs.sparkSession)
     names = docs.columns

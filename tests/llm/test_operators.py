@@ -293,6 +293,16 @@ def test_near_copies_equal_brute_force(spark):
     assert drop_near_copies(table.limit(0)).count() == 0
 
 
+def test_near_copies_of_many_short_texts(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(0, 6000, 2):
+        text = words(rng, 8, 5000).split()
+        rows += [(i, " ".join(text)), (i + 1, " ".join([*text, f"n{i}"] if i % 4 else [f"n{i}", *text]))]
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 6000, 2))
+
+
 def test_tiles_join_what_is_near():
     rng = np.random.default_rng(5)
     base = rng.integers(-(1 << 63), 1 << 63, (3, 4), dtype=np.int64)
