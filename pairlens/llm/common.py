@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,16 +36,33 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}_{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Write ``df`` into the shared folder as a table in buckets by ``key``: joins on it shuffle only the other side."""
+    spark = df.sparkSession
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
+    _release(spark)
+    return spark.table(name)
+
+
+def _release(spark: SparkSession) -> None:
+    """Let go of shuffle files of what is stored by now: Spark deletes them once the driver has collected its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_stored(df: DataFrame) -> None:
-    """Delete a table made by ``stored`` that no later plan reads."""
+    """Delete a table made by ``stored`` or ``bucketed`` that no later plan reads."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
     for name in df.inputFiles()[:1]:
         path = jvm.org.apache.hadoop.fs.Path(name).getParent()
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        spark.sql(f"DROP TABLE IF EXISTS `{path.getName()}`")
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

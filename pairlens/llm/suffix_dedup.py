@@ -4,14 +4,22 @@ Every string of ``length`` bytes holds an anchor: the gram of ``gram`` bytes wit
 smallest hash in it. Equal strings hold equal anchors at equal places, so only anchors
 are shuffled: first the hashes alone, to find those that occur again, then the anchors
 that have one of these, each with a digest of its context, the bytes that strings
-through it can reach. A context that occurs twice is removed whole. Where one gram has several
-different contexts, one of each goes to the gram's task, which sorts the suffixes that
-begin at the anchors, and likewise the reversed prefixes that end there: a mergesort
-whose comparisons find the common extension by binary search on prefix polynomial
-hashes. Neighbours are then compared byte by byte, which gives exact common lengths
-and shows a hash collision, after which the plain bytes are sorted. Strings through the
-anchor are equal where both orders hold two contexts together for long enough. A gram
-with very many contexts has its strings counted by digest instead.
+through it can reach. Contexts of one digest (BLAKE2b, 128 bits) are equal, and go
+whole. Where one gram has several different contexts, one of each goes to the gram's
+task, which sorts the suffixes that begin at the anchors, and likewise the reversed
+prefixes that end there: a mergesort whose comparisons find the common extension by
+binary search on prefix polynomial hashes. Neighbours are then compared byte by byte,
+which gives exact common lengths and shows a hash collision, after which the plain
+bytes are sorted. Strings through the anchor are equal where both orders hold two
+contexts together for long enough.
+
+A gram of more contexts than a task should hold is dealt out first: the places that a
+string can take around the anchor are halved, and of each half the bytes that all its
+strings share choose the group. What is alone in its group has no equal; contexts
+that agree in all bytes which the half's strings can reach are covered there, and one of
+them stands for all. So groups shrink until they can be sorted, or until one place is left.
+
+Texts are stored in buckets by row number, so that joins with them move only what joins them.
 """
 
 from __future__ import annotations
@@ -22,13 +30,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, slices, stored, text_bytes, tune
+from .common import bucketed, drop_stored, slices, stored, text_bytes, tune
 
 _BASE = 0x9E3779B97F4A7C15
-_PIECE = 1 << 20
+#: Bytes hashed at a time: their arrays stay in a core's cache.
+_PIECE = 1 << 15
 
 
 @lru_cache(maxsize=4)
@@ -84,12 +94,17 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
 
 
 class Suffixes:
-    """Suffixes of one byte array, each with its own end, compared by hashes."""
+    """Suffixes of one byte array, each with its own end, compared by hashes; sorted within groups that stand together."""
 
-    def __init__(self, code: np.ndarray, start: np.ndarray, end: np.ndarray):
+    def __init__(self, code: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray | None = None):
         self.code, self.start, self.size = code, start.astype(np.int64), (end - start).astype(np.int64)
         self.p = _prefix(code)
         self.back = _powers(1 << max(16, len(code).bit_length()), True)
+        n = len(start)
+        heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if group is not None and n else np.zeros(min(n, 1), np.int64)
+        count = np.diff(np.append(heads, n))
+        self.heads, self.longest = heads, int(count.max(initial=0))
+        self.first, self.last = np.repeat(heads, count), np.repeat(heads + count, count)
 
     def _hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
         return (self.p[at + n] - self.p[at]) * self.back[at]
@@ -112,16 +127,15 @@ class Suffixes:
         return x < y
 
     def order(self) -> np.ndarray:
-        """Mergesort from runs of one; every element finds its rank in the sibling run by binary search."""
+        """Mergesort of each group from runs of one; every element finds its rank in the sibling run by binary search."""
         n = len(self.start)
         run, width = np.arange(n), 1
         place = np.arange(n)
-        while width < n:
-            block = place // width
-            sibling = block ^ 1
-            first = sibling * width
-            low, high = np.minimum(first, n), np.minimum(first + width, n)
-            left = (block & 1) == 0
+        while width < self.longest:
+            block = (place - self.first) // width
+            sibling = self.first + (block ^ 1) * width
+            begin, high = np.minimum(sibling, self.last), np.minimum(sibling + width, self.last)
+            low, left = begin.copy(), (block & 1) == 0
             while True:
                 open_ = np.flatnonzero(low < high)
                 if not len(open_):
@@ -133,9 +147,8 @@ class Suffixes:
                 before = np.where(left[open_], self.less(other, me, common), ~self.less(me, other, common))
                 low[open_] = np.where(before, middle + 1, low[open_])
                 high[open_] = np.where(before, high[open_], middle)
-            target = np.where(left, place + low - np.minimum(first, n), place - width + low - first)
             merged = np.empty(n, np.int64)
-            merged[target] = run
+            merged[np.where(left, place, place - width) + low - begin] = run
             run, width = merged, 2 * width
         return run
 
@@ -154,39 +167,44 @@ class Suffixes:
         return out
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
-        """(order, exact common length of each with the one before it, 0 for the first)."""
+        """(order, exact common length of each with the one before it, 0 for the first of a group)."""
         order = self.order()
-        common = self.bytes_common(order[:-1], order[1:])
-        if self.less(order[1:], order[:-1], common).any():  # a hash collision misled the sort
+        common = np.concatenate(([0], self.bytes_common(order[:-1], order[1:])))
+        common[self.heads] = 0
+        wrong = self.less(order[1:], order[:-1], common[1:]) & (self.first[1:] == self.first[:-1])
+        if wrong.any():  # a hash collision misled the sort
             raw = self.code.tobytes()
-            order = np.array(sorted(range(len(order)), key=lambda k: raw[self.start[k] : self.start[k] + self.size[k]]))
-            common = self.bytes_common(order[:-1], order[1:])
-        return order, np.concatenate(([0], common))
-
-
-def repeated_spans(contexts: list[bytes], left: np.ndarray, length: int, gram: int) -> list[list[tuple[int, int]]]:
-    """Spans (from, to, relative to the anchor) of each context covered by strings that other contexts hold at the same place."""
-    n = len(contexts)
-    size = np.fromiter(map(len, contexts), np.int64, n)
-    end = np.cumsum(size)
-    code = np.frombuffer(b"".join(contexts), np.uint8)
-    anchor = end - size + left
-    right, right_common = Suffixes(code, anchor, end).sorted()
-    total = len(code)
-    back, back_common = Suffixes(code[::-1], total - anchor, total - (end - size)).sorted()
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+            order = np.array(sorted(range(len(order)), key=lambda k: (self.first[k], raw[self.start[k] : self.start[k] + self.size[k]])))
+            common = np.concatenate(([0], self.bytes_common(order[:-1], order[1:])))
+            common[self.heads] = 0
+        return order, common
+
+
+def repeated_spans(code: np.ndarray, end: np.ndarray, left: np.ndarray, group: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans covered by strings that another context of the group holds at the same place: context, first byte and end, from the anchor.
+
+    Contexts lie in ``code`` one after the other up to ``end``, each with ``left`` bytes before its anchor.
+    """
+    n, leads = len(end), length - gram + 1
+    begin = np.concatenate(([0], end[:-1])).astype(np.int64)
+    anchor, total = begin + left, len(code)
+    right, right_common = Suffixes(code, anchor, end, group).sorted()
+    back, back_common = Suffixes(np.ascontiguousarray(code[::-1]), total - anchor, total - begin, group).sorted()
+    heads = np.zeros(n, bool)
+    heads[Suffixes(code[:0], left, left, group).heads] = True
+    covered = np.zeros((n, leads + 2), np.int8)
     after, before = np.empty(n, np.int64), np.empty(n, np.int64)
-    for lead in range(length - gram + 1):  # bytes of the string before the anchor
-        after[right] = np.cumsum(right_common < length - lead)
+    for lead in range(leads):  # bytes of the string before the anchor
+        after[right] = np.cumsum(heads | (right_common < length - lead))
         before[back] = np.cumsum(back_common < lead) if lead else 0
-        _, group, count = np.unique(after * (n + 1) + before, return_inverse=True, return_counts=True)
-        for k in np.flatnonzero(count[group] > 1).tolist():
-            mine = spans[k]
-            if mine and mine[-1][0] == 1 - lead:
-                mine[-1] = (-lead, mine[-1][1])
-            else:
-                mine.append((-lead, length - lead))
-    return spans
+        key = after * (n + 1) + before
+        order = np.argsort(key, kind="stable")
+        same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+        covered[order[same], lead + 1] = covered[order[same + 1], lead + 1] = 1
+    step = np.diff(covered, axis=1)
+    who, low = np.nonzero(step > 0)
+    high = np.nonzero(step < 0)[1]
+    return who, 1 - high, length - low
 
 
 def repeated_anchors(docs: DataFrame, length: int, gram: int, most_known: int) -> DataFrame:
@@ -213,8 +231,6 @@ def repeated_anchors(docs: DataFrame, length: int, gram: int, most_known: int) -
     shared = spark.sparkContext.broadcast(np.sort(again.toArrow().column(0).to_numpy())) if small else None
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
         for uids, part, bounds, at, key in every(batches):
             key = key.view(np.int64)
             if shared is not None:
@@ -226,7 +242,7 @@ def repeated_anchors(docs: DataFrame, length: int, gram: int, most_known: int) -
             row = np.searchsorted(bounds, at, side="right") - 1
             low, high = np.maximum(bounds[row], at - reach), np.minimum(bounds[row + 1], at + length)
             raw = part.tobytes()
-            digest = b"".join([xxh3_128_digest(raw[x:y], z) for x, y, z in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)])
+            digest = b"".join([_digest(b"%d " % z, raw[x:y]) for x, y, z in zip(low.tolist(), high.tolist(), (at - low).tolist(), strict=True)])
             pair = np.frombuffer(digest, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([uids.take(pa.array(row)), pa.array(at - bounds[row]), pa.array(key), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["uid", "pos", "gram", "c1", "c2"])
 
@@ -236,129 +252,192 @@ def repeated_anchors(docs: DataFrame, length: int, gram: int, most_known: int) -
     return marked
 
 
-def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int, most_known: int) -> DataFrame:
-    """(uid, found), stored: for stored ``docs`` (uid, text), anchors in repeated strings with their spans; null spans: the whole context."""
-    reach = length - gram
-    marked = repeated_anchors(docs, length, gram, most_known)
-    kinds = stored(marked.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at")), "contexts")
-    several = kinds.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    wanted = kinds.join(several, "gram").select(F.col("at.uid").alias("uid"), F.struct(F.col("at.pos").alias("pos"), "gram", "c1", "c2", (F.col("m") > most_contexts).alias("many")).alias("a"))
-    asked = wanted.groupBy("uid").agg(F.collect_list("a").alias("asked"))
+def _digest(kind: bytes, body: bytes) -> bytes:
+    return hashlib.blake2b(kind + body, digest_size=16).digest()
+
+
+def _longs(digests: list[bytes]) -> tuple[pa.Array, pa.Array]:
+    pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                text = (batch.column("text")[k].as_py() or "").encode()
-                rows = batch.column("asked")[k].as_py()
-                for a in range(0, len(rows), 5000):
-                    some = rows[a : a + 5000]
-                    left = [min(r["pos"], reach) for r in some]
-                    yield pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in some], pa.int64()) for c in ("gram", "c1", "c2")], pa.array([r["many"] for r in some], pa.bool_()), pa.array(left, pa.int32()), pa.array([text[r["pos"] - x : r["pos"] + length] for r, x in zip(some, left, strict=True)], pa.binary())], ["gram", "c1", "c2", "many", "lead", "body"])
 
-    contexts = stored(docs.join(asked, "uid").select("text", "asked").mapInArrow(cut, "gram long, c1 long, c2 long, many boolean, lead int, body binary"), "texts")
+_CONTEXT = "uid long, pos long, single boolean, lead int, body binary"
+_SPAN = "uid long, start long, end long"
 
-    spans_type = "c1 long, c2 long, spans array<struct<from:int,to:int>>"
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+def _sorter(length: int, gram: int, batch_contexts: int = 4000):
+    """Over rows (key, then _CONTEXT) sorted by key: spans of contexts marked single, by the sort of each key's contexts."""
 
-        def flush(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            spans = repeated_spans([r[4] for r in rows], np.array([r[3] for r in rows], np.int64), length, gram)
-            keep = [k for k, s in enumerate(spans) if s]
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k in keep], pa.int64()), pa.array([rows[k][2] for k in keep], pa.int64()), pa.array([[{"from": x, "to": y} for x, y in spans[k]] for k in keep], pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))], ["c1", "c2", "spans"])
+    def flush(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        key, pos, lead = (rows.column(c).to_numpy() for c in ("key", "pos", "lead"))
+        code, bounds = text_bytes(rows.column("body"))
+        who, a, b = repeated_spans(code, bounds[1:], lead.astype(np.int64), key, length, gram)
+        keep = rows.column("single").to_numpy()[who].astype(bool)
+        who, a, b = who[keep], a[keep], b[keep]
+        if len(who):
+            yield pa.RecordBatch.from_arrays([pa.array(rows.column("uid").to_numpy()[who]), pa.array(pos[who] + a), pa.array(pos[who] + b)], ["uid", "start", "end"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        count = 0
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "lead", "body")), strict=True):
-                if len(held) >= most_contexts and row[0] != held[-1][0]:  # groups of a gram stay whole
-                    yield from flush(held)
-                    held = []
-                held.append(row)
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            at = 0
+            cuts = (np.flatnonzero(np.diff(key)) + 1).tolist()
+            for cut in [0, *cuts] if held and held[-1].column("key")[-1].as_py() != key[0] else cuts:
+                if count + cut - at >= batch_contexts:  # groups of a key stay whole
+                    if cut > at:
+                        held.append(batch.slice(at, cut - at))
+                    if held:
+                        yield from flush(held)
+                    held, count, at = [], 0, cut
+            held.append(batch.slice(at))
+            count += batch.num_rows - at
         if held:
             yield from flush(held)
 
-    few = contexts.where("not many").drop("many").repartition("gram").sortWithinPartitions("gram").mapInArrow(compare, spans_type)
+    return run
+
+
+def _sorted_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """_SPAN rows of ``contexts`` (key and _CONTEXT), each key's contexts sorted in one task."""
+    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(_sorter(length, gram), _SPAN)
+
 
-    # Of a gram with many contexts, strings that start in the same few places hold some bytes in common;
-    # only where these occur again are the strings themselves counted.
-    span = 16
+def _halves(length: int):
+    """Rows (key, low, high, _CONTEXT) to two rows each: the half's low and high, digests of what its strings share and reach."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+    names = ["key", "low", "high", "first", "last", "uid", "pos", "single", "lead", "body", "k1", "k2", "e1", "e2"]
 
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for key, c1, c2, lead, body in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "lead", "body")), strict=True):
-                for part in range((reach - lead) // span, (reach - lead + len(body) - length) // span + 1):
-                    low = part * span - reach + lead  # the part's first start, in the context
-                    shared = hashlib.blake2b(b"%d %d " % (key, part) + body[low + span - 1 : low + length], digest_size=16).digest()
-                    for column, value in zip(out, (c1, c2, part, shared), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["c1", "c2", "part", "shared"])
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out: list[list] = [[] for _ in kinds]
+            core, ext = [], []
+            for key, low, high, uid, pos, single, lead, body in zip(*(batch.column(c).to_pylist() for c in ("key", "low", "high", "uid", "pos", "single", "lead", "body")), strict=True):
+                middle = (low + high) // 2
+                for a, b in ((low, middle), (middle + 1, high)):
+                    first, last = max(a, length - (len(body) - lead)), min(b, lead)
+                    if a <= b and first <= last:
+                        part = body[lead - last : lead + length - first]
+                        for column, value in zip(out, (key, a, b, first, last, uid, pos, single, last, part), strict=True):
+                            column.append(value)
+                        core.append(_digest(b"%d %d %d " % (key, a, b), body[lead - a : lead + length - b]))
+                        ext.append(_digest(b"%d %d " % (first, last), part))
+            yield pa.RecordBatch.from_arrays([*[pa.array(v, t) for v, t in zip(out, kinds, strict=True)], *_longs(core), *_longs(ext)], names)
+
+    return run, "key long, low int, high int, first int, last int, uid long, pos long, single boolean, lead int, body binary, k1 long, k2 long, e1 long, e2 long"
+
+
+def _dealt_spans(contexts: DataFrame, length: int, gram: int, most: int) -> list[DataFrame]:
+    """Stored _SPAN tables for ``contexts`` (key and _CONTEXT) of grams that have over ``most`` contexts."""
+    found, level = [], contexts.select("*", F.lit(0).alias("low"), F.lit(length - gram).alias("high"))
+    while True:
+        run, kind = _halves(length)
+        halves = stored(level.mapInArrow(run, kind), "halves")
+        same = halves.groupBy("k1", "k2", "e1", "e2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("rep"))
+        same = stored(same, "reached")
+        covered = halves.where("single").join(same.where("n > 1").select("k1", "k2", "e1", "e2"), ["k1", "k2", "e1", "e2"])
+        found.append(stored(covered.select("uid", (F.col("pos") - F.col("last")).alias("start"), (F.col("pos") + length - F.col("first")).alias("end")), "covered"))
+        groups = same.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("k1", "k2", "m")
+        reps = same.join(groups, ["k1", "k2"]).select("k1", "k2", F.col("rep.uid").alias("uid"), F.col("rep.pos").alias("pos"), (F.col("n") == 1).alias("alone"), "m")
+        rest = halves.join(reps, ["k1", "k2", "uid", "pos"]).withColumn("single", F.col("single") & F.col("alone"))
+        rest = stored(rest.select(F.col("k1").alias("key"), "low", "high", "uid", "pos", "single", "lead", "body", "m"), "rest")
+        found.append(stored(_sorted_spans(rest.where(F.col("m") <= most), length, gram), "spans"))
+        drop_stored(halves)
+        drop_stored(same)
+        level = rest.where(F.col("m") > most).drop("m")
+        if level.isEmpty():
+            return found
+
+
+def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int, most_known: int) -> DataFrame:
+    """(uid, found), stored: for ``docs`` (uid, text) in buckets of uid, the ranges of bytes (start, end) in repeated strings; they overlap."""
+    reach = length - gram
+    marked = repeated_anchors(docs, length, gram, most_known)
+    kinds = stored(marked.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at")), "contexts")
+    several = kinds.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("gram", "m")
+    wanted = kinds.join(several, "gram").select(F.col("at.uid").alias("uid"), F.struct(F.col("at.pos").alias("pos"), "gram", (F.col("n") == 1).alias("single"), (F.col("m") > most_contexts).alias("many")).alias("a"))
+    asked = wanted.groupBy("uid").agg(F.collect_list("a").alias("asked"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, c1, c2, lead, body, parts in zip(*(batch.column(c).to_pylist() for c in ("gram", "c1", "c2", "lead", "body", "parts")), strict=True):
-                low = [max(0, p * span - reach + lead) for p in parts]
-                high = [min(len(body) - length, p * span - reach + lead + span - 1) for p in parts]
-                starts = [s for x, y in zip(low, high, strict=True) for s in range(x, y + 1)]
-                digests = [hashlib.blake2b(b"%d %d " % (key, s - lead) + body[s : s + length], digest_size=16).digest() for s in starts]
-                yield pa.RecordBatch.from_arrays([pa.array([c1] * len(starts), pa.int64()), pa.array([c2] * len(starts), pa.int64()), pa.array([s - lead for s in starts], pa.int32()), pa.array(digests, pa.binary())], ["c1", "c2", "from", "digest"])
-
-    full = contexts.where("many")
-    narrowed = full.mapInArrow(narrow, "c1 long, c2 long, part int, shared binary")
-    again = narrowed.groupBy("shared").agg(F.count("*").alias("n")).where("n > 1").select("shared")
-    open_ = narrowed.join(again, "shared").groupBy("c1", "c2").agg(F.collect_list("part").alias("parts"))
-    # A string may hold several anchors, so its digest tells gram and place too: there one start is one row.
-    every = stored(full.join(open_, ["c1", "c2"]).mapInArrow(strings, "c1 long, c2 long, from int, digest binary"), "strings")
-    twice = every.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    many = every.join(twice, "digest").groupBy("c1", "c2").agg(F.collect_list(F.struct("from", (F.col("from") + length).alias("to"))).alias("spans"))
-    partial = few.union(many)
-    known = kinds.where("n > 1").select("c1", "c2", F.lit(None).cast("array<struct<from:int,to:int>>").alias("spans")).union(partial.join(kinds.where("n > 1"), ["c1", "c2"], "left_anti"))
-    known = stored(known, "spans")
-    found = stored(marked.join(known, ["c1", "c2"]).groupBy("uid").agg(F.collect_list(F.struct("pos", "spans")).alias("found")), "found")
-    for table in (marked, kinds, contexts, every, known):
+            body, offsets = text_bytes(batch.column("text"))
+            rows = batch.column("asked")
+            owner = np.repeat(np.arange(batch.num_rows), pa.compute.list_value_length(rows).to_numpy(zero_copy_only=False))
+            a = rows.flatten()
+            pos, key, single, many = (a.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            lead = np.minimum(pos, reach)
+            low, high = offsets[owner] + pos - lead, np.minimum(offsets[owner] + pos + length, offsets[owner + 1])
+            uids = batch.column("uid").to_numpy()[owner]
+            for x in range(0, len(pos), 5000):
+                y = min(x + 5000, len(pos))
+                raw = [body[p:q].tobytes() for p, q in zip(low[x:y].tolist(), high[x:y].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(key[x:y]), pa.array(uids[x:y]), pa.array(pos[x:y]), pa.array(single[x:y], pa.bool_()), pa.array(lead[x:y].astype(np.int32)), pa.array(raw, pa.binary()), pa.array(many[x:y], pa.bool_())], ["key", "uid", "pos", "single", "lead", "body", "many"])
+
+    contexts = stored(docs.join(asked.hint("shuffle_hash"), "uid").select("uid", "text", "asked").mapInArrow(cut, f"key long, {_CONTEXT}, many boolean"), "texts")
+    parts = [stored(_sorted_spans(contexts.where("not many").drop("many"), length, gram), "spans")]
+    many = contexts.where("many").drop("many")
+    if not many.isEmpty():
+        parts += _dealt_spans(many, length, gram, most_contexts)
+    drop_stored(contexts)
+    whole = marked.join(kinds.where("n > 1").select("c1", "c2", "gram"), ["gram", "c1", "c2"])
+    ranges = whole.select("uid", F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))
+    for part in parts:
+        ranges = ranges.unionByName(part)
+    found = stored(ranges.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("found")), "found")
+    for table in (marked, kinds, *parts):
         drop_stored(table)
     return found
 
 
-def keep_mask(size: int, found: list[dict], length: int, gram: int) -> np.ndarray:
-    """Which bytes of a text of ``size`` stay."""
-    step = np.zeros(size + 1, np.int64)
-    for item in found:
-        pos, spans = item["pos"], item["spans"]
-        for a, b in [(-(length - gram), length)] if spans is None else [(s["from"], s["to"]) for s in spans]:
-            step[max(0, pos + a)] += 1
-            step[min(size, pos + b)] -= 1
+def kept_bytes(offsets: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which bytes of the texts at ``offsets`` stay, if ranges of their ``owner`` rows go."""
+    step = np.zeros(int(offsets[-1]) + 1, np.int64)
+    np.add.at(step, offsets[owner] + start, 1)
+    np.add.at(step, np.minimum(offsets[owner] + end, offsets[owner + 1]), -1)
     return np.cumsum(step[:-1]) == 0
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contexts: int = 4000, most_known: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contexts: int = 50_000, most_known: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, text (what stays; of a character cut in half, nothing) and the columns of ``keep`` (as kept_0 ...) of every row.
 
     Each byte in a string of ``length`` bytes that also starts anywhere else, in the
     same text or another, is removed; strings are judged on the input and never cross
     texts. Null text counts as empty. Repeated rows are each other's repeats, a null id
     is kept, other columns are ignored, an empty table gives no rows. A text shorter
-    than ``length`` stays whole.
+    than ``length`` stays whole; long ones are read whole. ``docs`` must read the same
+    rows in the same order each time, as tables do: rows are numbered.
+
+    A task sorts up to ``most_contexts`` contexts at once; larger groups are cut first.
+    Hashes of grams that occur again are broadcast up to ``most_known`` (8 bytes each);
+    beyond that anchors are shuffled to them. Neither changes the result.
     """
     tune(docs.sparkSession)
     kept = [F.col(c).alias(f"kept_{i}") for i, c in enumerate(keep)]
-    source = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *kept), "texts")
+    source = bucketed(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *kept), "uid", "texts")
     found = repeated_ranges(source.select("uid", "text"), length, gram, most_contexts, most_known)
     names = [f"kept_{i}" for i in range(len(keep))]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for k in range(batch.num_rows):
-                code = np.frombuffer((batch.column("text")[k].as_py() or "").encode(), np.uint8)
-                hits = batch.column("found")[k].as_py()
-                stays = keep_mask(len(code), hits, length, gram) if hits else np.ones(len(code), bool)
-                rest = code[stays].tobytes()
-                gone = np.concatenate(([False], ~stays)).astype(np.int8)
-                for column, value in zip(out, (len(code), len(code) - len(rest), int((np.diff(gone) == 1).sum()), hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore")), strict=True):
-                    column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, t) for v, t in zip(out, kinds, strict=True)], *[batch.column(c) for c in names]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *names])
+            body, offsets = text_bytes(batch.column("text"))
+            hits = batch.column("found")
+            size = pa.compute.fill_null(pa.compute.list_value_length(hits), 0).to_numpy(zero_copy_only=False)
+            flat = hits.flatten()
+            start, end = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            stays = kept_bytes(offsets, np.repeat(np.arange(batch.num_rows), size), start, end)
+            n_bytes = np.diff(offsets)
+            edge = np.flatnonzero(~stays & np.concatenate(([True], stays[:-1])))  # a run's first byte
+            begins = np.intersect1d(np.flatnonzero(~stays), offsets[:-1][n_bytes > 0])
+            runs = np.bincount(np.searchsorted(offsets, np.union1d(edge, begins), side="right") - 1, minlength=batch.num_rows)
+            rest = [body[a:b] if not k else body[a:b][stays[a:b]] for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), size.tolist(), strict=True)]
+            left = np.fromiter(map(len, rest), np.int64, len(rest))
+            shown = [x.tobytes() for x in rest]
+            texts = [x.decode("utf-8", "ignore") for x in shown]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_bytes), pa.array(n_bytes - left), pa.array(runs.astype(np.int64)), pa.array([hashlib.sha256(x).hexdigest() for x in shown], pa.string()), pa.array(texts, pa.string()), *[batch.column(c) for c in names]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *names])
 
     types = "".join(f", {n} {source.schema[n].dataType.simpleString()}" for n in names)
-    return source.join(found, "uid", "left").drop("uid").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + types)
+    return source.join(found.hint("shuffle_hash"), "uid", "left").drop("uid").mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string" + types)
