@@ -4,18 +4,20 @@ Two sets of shingles that are 0.8 alike differ in about a seventh of their SimHa
 bits. 64 bits would not tell them from unrelated texts, so a fingerprint here has
 four lanes of 64. The radius depends on the sizes of the sets: beyond it a link lies
 with a probability of at most 1e-9, reckoned exactly for small sets, whose ties
-make more bits differ. Sizes of sets as alike as that differ by at most the
-factor 1/similarity: fingerprints are dealt to tiles by size, and a tile meets itself
-and the next one. Inside a task blocks of fingerprints whose sizes are too far apart,
-or whose bit counts differ beyond the radius, are skipped; the rest is compared in full
-by exclusive-or and bit counts. A task returns a forest of its links, nearest
-first, so groups of near copies never become all pairs. Every link is then verified
-on the shingles of both texts; only verified links make groups. What is near, but
-still in different groups, is verified in further rounds.
+make more bits differ. Bit counts skip next to nothing at such radii, so fingerprints are
+dealt to tiles by the least values of their shingles under ``ROWS`` multipliers for each
+of ``BANDS`` bands: sets 0.8 alike share no tile with a probability of (1 - 0.8^ROWS)^BANDS,
+7e-10. Large tiles are cut into chunks, which meet in pairs. Inside a task blocks of
+fingerprints whose sizes are too far apart, or whose bit counts differ beyond the radius,
+are skipped; the rest is compared in full by exclusive-or and bit counts. A task returns
+a forest of its links, nearest first, so groups of near copies never become all pairs.
+Every link is then verified on the shingles of both texts; only verified links make
+groups. What is near, but still in different groups, is verified in further rounds.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, tune
+from .common import bucketed, drop_stored, stored, tune
 from .simhash import _majority, _shingles, components
 
 LANES = 4
+BANDS, ROWS = 40, 4
+#: Bands of the first round: most groups join there, and later rounds skip tiles of one group.
+FIRST = 3
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PRINT = [f"f{i}" for i in range(LANES)]
 
@@ -77,9 +82,26 @@ def reach(similarity: float, miss: float = 1e-9, most: int = 64) -> np.ndarray:
     return np.maximum.accumulate(out[::-1])[::-1]
 
 
-def wide_fingerprint(text: bytes, words: int) -> list[int]:
-    """The number of different shingles, then the lanes of the SimHash of their set (all zero without words)."""
-    hashes = np.unique(_shingles(text, words, 42))
+@lru_cache(maxsize=1)
+def _factors() -> np.ndarray:
+    return np.random.default_rng(8).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """The tile of a set of shingles in each band; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[a : a + 1024, None] * _factors()).min(0))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ (key >> np.uint64(29)) ^ column) * np.uint64(0x9E3779B97F4A7C15)
+    return (key ^ (key >> np.uint64(32))).view(np.int64).tolist()
+
+
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """The number of shingles of a set, then the lanes of its SimHash (all zero without shingles)."""
     lanes = []
     for k in range(LANES):
         x = hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
@@ -88,10 +110,10 @@ def wide_fingerprint(text: bytes, words: int) -> list[int]:
     return [len(hashes), *lanes]
 
 
-def jaccard(a: bytes, b: bytes, words: int) -> float:
-    """Share of shingles that two texts have in common; texts without words are alike."""
-    x, y = np.unique(_shingles(a, words, 42)), np.unique(_shingles(b, words, 42))
-    both = len(np.intersect1d(x, y, assume_unique=True))
+def jaccard(x: np.ndarray, y: np.ndarray) -> float:
+    """Share that two sets of shingles (sorted, each once) have in common; empty sets are alike."""
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1) if len(x) else np.zeros(0, np.int64)
+    both = int((x[at] == y).sum()) if len(x) else 0
     total = len(x) + len(y) - both
     return both / total if total else 1.0
 
@@ -189,28 +211,50 @@ class Tiles:
         return links
 
 
-def candidate_links(classes: DataFrame, similarity: float, most: int | None = None, rows_per_tile: int = 8000) -> DataFrame:
-    """Links (a, b) of ``classes`` (lanes, size, node, group): for each pair of tiles a forest, or ``Tiles.nearest``."""
-    tile = F.floor(F.log(F.greatest("size", F.lit(1))) / (1e-6 - math.log(similarity))).cast("int")
-    homes = classes.select(tile.alias("tile"), F.array(*_PRINT, "size", "node", "group").alias("row"))
-    sizes = homes.groupBy("tile").agg(F.ceil(F.count("*") / rows_per_tile).cast("int").alias("chunks"))  # a row for each power of 1/similarity
-    homes = homes.join(F.broadcast(sizes), "tile")
-    packed = homes.groupBy("tile", F.pmod(F.xxhash64("row"), F.col("chunks")).cast("int").alias("chunk")).agg(F.flatten(F.collect_list("row")).alias("own"))
-    guests = packed.select(F.explode(F.array(F.struct("tile", F.lit(True).alias("same")), F.struct((F.col("tile") - 1).alias("tile"), F.lit(False).alias("same")))).alias("t"), F.col("chunk").alias("guest"), F.col("own").alias("other"))
-    pairs = packed.join(guests.select("t.*", "guest", "other"), "tile").where("not same or chunk <= guest")
+def candidate_links(classes: DataFrame, similarity: float, most: int | None = None, bands: int = BANDS, rows_per_tile: int = 8000) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b) of ``classes`` (lanes, size, node, group, bands): for each pair of chunks a forest, or ``Tiles.nearest``; and the chunks. Both are stored.
+
+    Tiles whose rows are all of one group are left out. For forests a chunk meets itself and the next one.
+    """
+    homes = classes.select(F.explode(F.slice("bands", 1, bands)).alias("tile"), "node", "group")
+    open_ = homes.groupBy("tile").agg(F.ceil(F.count("*") / rows_per_tile).cast("int").alias("chunks"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("tile", "chunks")
+    homes = homes.join(open_, "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "chunks")
+    rows = homes.join(classes.select("node", "group", F.array(*_PRINT, "size", "node", "group").alias("row")), "node")
+    packed = rows.groupBy("tile", "chunk").agg(F.flatten(F.collect_list("row")).alias("own"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("chunks").alias("chunks"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            links = []
             for k in range(batch.num_rows):
-                own, other = (np.asarray(batch.column(c)[k].values).reshape(-1, LANES + 3) for c in ("own", "other"))
-                within = batch.column("same")[k].as_py() and batch.column("chunk")[k].as_py() == batch.column("guest")[k].as_py()
-                tiles = Tiles(own, None if within else other, similarity)
-                links = tiles.forest() if most is None else tiles.nearest(most)
-                if links:
-                    a, b = np.array(links, np.int64).T
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-    return pairs.repartition("tile", "chunk", "guest", "same").mapInArrow(run, "a long, b long")
+                own = np.asarray(batch.column("own")[k].values).reshape(-1, LANES + 3)
+                other = batch.column("other")[k].values
+                tiles = Tiles(own, None if other is None else np.asarray(other).reshape(-1, LANES + 3), similarity)
+                links += tiles.forest() if most is None else tiles.nearest(most)
+            if links:
+                a, b = np.array(sorted(set(links)), np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    packed = stored(packed, "chunks")
+    alone = packed.where("lo < hi").select("own", F.lit(None).cast("array<long>").alias("other"))
+    # Chunks of one tile meet by pairs that are named first, so that no task holds all chunks of a tile.
+    ends = packed.where("chunks > 1").select("tile", "chunk", "lo", "hi")
+    x, y = ends.alias("x"), ends.alias("y")
+    apart = (F.col("y.chunk") - F.col("x.chunk") == 1) if most is None else F.lit(True)
+    met = x.join(y, F.col("x.tile") == F.col("y.tile")).where((F.col("x.chunk") < F.col("y.chunk")) & apart & (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")))
+    met = met.select(F.col("x.tile").alias("tile"), F.col("x.chunk").alias("chunk"), F.col("y.chunk").alias("guest"))
+    sides = met.join(packed.select("tile", "chunk", "own"), ["tile", "chunk"]).join(packed.select("tile", F.col("chunk").alias("guest"), F.col("own").alias("other")), ["tile", "guest"])
+    found = alone.union(sides.select("own", "other")).mapInArrow(run, "a long, b long")
+    more = F.col("b") < 0
+    found = found.select(F.when(more, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(more, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"))
+    return stored(found.distinct(), "links"), packed
+
+
+def _joined(one: DataFrame, two: DataFrame) -> DataFrame:
+    """Both stored tables as one."""
+    out = stored(one.union(two), "links")
+    drop_stored(one)
+    drop_stored(two)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,56 +265,70 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     without ASCII white space, A-Z lower-cased; a text with fewer words is one
     shingle, and all texts without words, null ones too, are copies of each other. A
     row without an id stays only if no row of its group has one. All columns come
-    back, whatever their names; an empty table gives no rows.
-    A link whose wide fingerprints lie beyond ``reach`` is not found (a probability of at most 1e-9).
+    back, whatever their names; an empty table gives no rows; long texts are read whole.
+    A link of 0.8 is missed if its sets share no tile (7e-10; less if they are more alike)
+    or if its fingerprints lie beyond ``reach`` (at most 1e-9). ``docs`` must read the
+    same rows in the same order each time, as tables do: rows are numbered.
     """
     tune(docs.sparkSession)
     names = docs.columns
-    source = stored(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(names)]), "texts")
+    source = bucketed(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id_"), F.col(text_col).cast("string").alias("text_"), *[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(names)]), "uid", "texts")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text_").cast(pa.binary()).to_pylist()
-            values = np.array([wide_fingerprint(t or b"", words) for t in texts], np.uint64).reshape(-1, LANES + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id_"), *[pa.array(values[:, k].copy()) for k in range(LANES + 1)]], ["uid", "id_", "size", *_PRINT])
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                sets = [np.unique(_shingles(t or b"", words, 42)) for t in part.column("text_").cast(pa.binary()).to_pylist()]
+                same = np.frombuffer(b"".join(hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets), np.int64).reshape(-1, 2)
+                values = np.array([wide_fingerprint(x) for x in sets], np.uint64).reshape(-1, LANES + 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id_"), pa.array(same[:, 0].copy()), pa.array(same[:, 1].copy()), *[pa.array(values[:, k].copy()) for k in range(LANES + 1)], pa.array([band_keys(x) for x in sets], pa.list_(pa.int64()))], ["uid", "id_", "s1", "s2", "size", *_PRINT, "bands"])
 
     id_type = source.schema["id_"].dataType.simpleString()
-    marked = source.select("uid", "id_", "text_").mapInArrow(mark, f"uid long, id_ {id_type}, size long, " + ", ".join(f"{c} long" for c in _PRINT))
+    marked = source.select("uid", "id_", "text_").mapInArrow(mark, f"uid long, id_ {id_type}, s1 long, s2 long, size long, " + ", ".join(f"{c} long" for c in _PRINT) + ", bands array<long>")
     first = F.min(F.struct(F.col("id_").isNull().alias("no_id"), "id_", "uid")).alias("first")
-    classes = stored(marked.groupBy("size", *_PRINT).agg(first).withColumn("node", F.col("first.uid")), "classes")
+    same = marked.groupBy("s1", "s2").agg(first, F.first(F.struct("size", *_PRINT, "bands")).alias("p"))  # equal sets: all else is equal too
+    classes = stored(same.select(F.col("first.uid").alias("node"), "first", "p.*"), "classes")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = (batch.column(c).cast(pa.binary()).to_pylist() for c in ("text_a", "text_b"))
-            alike = [jaccard(x or b"", y or b"", words) >= similarity for x, y in zip(*texts, strict=True)]
+            ends, texts = (batch.select([x, f"text_{x}"]) for x in ("a", "b")), {}
+            for some in ends:
+                uids, first = np.unique(some.column(0).to_numpy(), return_index=True)
+                texts |= zip(uids.tolist(), some.column(1).take(pa.array(first)).cast(pa.binary()).to_pylist(), strict=True)
+            sets = {uid: np.unique(_shingles(text or b"", words, 42)) for uid, text in texts.items()}
+            alike = [jaccard(sets[x], sets[y]) >= similarity for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     def verified(links: DataFrame) -> DataFrame:
-        asked = links.select(F.explode(F.array("a", "b")).alias("uid")).distinct()
-        texts = stored(source.join(asked, "uid", "left_semi").select("uid", "text_"), "texts")
-        sides = [texts.select(F.col("uid").alias(c), F.col("text_").alias(f"text_{c}")) for c in ("a", "b")]
-        good = stored(links.join(sides[0], "a").join(sides[1], "b").select("a", "b", "text_a", "text_b").mapInArrow(verify, "a long, b long"), "sound")
-        drop_stored(texts)
-        return good
+        """Links whose texts are alike; of each link one text is shuffled, to the bucket of the other."""
+        text = source.select("uid", "text_")
+        one = links.select(F.col("a").alias("uid"), "b").hint("shuffle_hash").join(text, "uid")
+        two = one.select(F.col("b").alias("uid"), F.col("uid").alias("a"), F.col("text_").alias("text_a")).hint("shuffle_hash").join(text, "uid")
+        return stored(two.select("a", F.col("uid").alias("b"), "text_a", F.col("text_").alias("text_b")).mapInArrow(verify, "a long, b long"), "sound")
 
     # A wrong link may have stood for a right one in its forest. So what the groups leave
     # apart is asked again, by the nearest partners of each fingerprint, until none has more.
-    links = stored(candidate_links(classes.withColumn("group", F.col("node")), similarity).distinct(), "links")
-    sound, most = verified(links), 8
-    roots = components(sound)
-    while not links.isEmpty():
-        grouped = classes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node"))
-        links = stored(candidate_links(grouped, similarity, most).distinct(), "links")
-        more = verified(links.where("b >= 0"))
-        if not more.isEmpty():
-            sound = stored(sound.union(more), "sound")
+    # No link is verified twice.
+    links, chunks = candidate_links(classes.withColumn("group", F.col("node")), similarity, bands=FIRST)
+    sound, tried, most = verified(links), links, 8
+    while True:
+        drop_stored(chunks)
+        roots = components(sound)
+        grouped = stored(classes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), "grouped")
+        links, chunks = candidate_links(grouped, similarity, most)
+        fresh = stored(links.where("b >= 0").join(tried, ["a", "b"], "left_anti"), "fresh")
+        again = not links.where("b < 0").isEmpty()
+        drop_stored(links)
+        drop_stored(grouped)
+        more = verified(fresh)
+        sound, tried, most = _joined(sound, more), _joined(tried, fresh), most * 8
+        if not again:
             roots = components(sound)
-        if links.where("b < 0").isEmpty():
             break
-        most *= 8
     roots = roots.withColumnRenamed("root", "known")
     whole = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("known", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = whole.select(F.col("first.uid").alias("uid"))
-    kept = stored(source.join(stays, "uid", "left_semi").select(*[f"kept_{i}" for i in range(len(names))]), "kept")
-    for table in (source, classes, links, sound):
+    kept = stored(source.join(stays.hint("shuffle_hash"), "uid", "left_semi").select(*[f"kept_{i}" for i in range(len(names))]), "kept")
+    for table in (source, classes, chunks, sound, tried):
         drop_stored(table)
     return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])

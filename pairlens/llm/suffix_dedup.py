@@ -156,14 +156,14 @@ class Suffixes:
         """Exact common length of suffixes i and j."""
         reach = int(self.size.max(initial=0))
         out = np.zeros(len(i), np.int64)
-        for a in range(0, len(i), 20_000):
-            x, y = i[a : a + 20_000], j[a : a + 20_000]
+        for a in range(0, len(i), 2000):
+            x, y = i[a : a + 2000], j[a : a + 2000]
             step = np.arange(reach)
             limit = np.minimum(self.size[x], self.size[y])
             top = len(self.code) - 1
             same = self.code[np.minimum(self.start[x][:, None] + step, top)] == self.code[np.minimum(self.start[y][:, None] + step, top)]
             same &= step < limit[:, None]
-            out[a : a + 20_000] = np.where(same.all(1), reach, (~same).argmax(1)) if reach else 0
+            out[a : a + 2000] = np.where(same.all(1), reach, (~same).argmax(1)) if reach else 0
         return out
 
     def sorted(self) -> tuple[np.ndarray, np.ndarray]:
@@ -359,6 +359,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int,
     marked = repeated_anchors(docs, length, gram, most_known)
     kinds = stored(marked.groupBy("gram", "c1", "c2").agg(F.count("*").alias("n"), F.min(F.struct("uid", "pos")).alias("at")), "contexts")
     several = kinds.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("gram", "m")
+    several = stored(several, "several")  # so that the join below is one of two exchanges, whose large keys Spark splits
     wanted = kinds.join(several, "gram").select(F.col("at.uid").alias("uid"), F.struct(F.col("at.pos").alias("pos"), "gram", (F.col("n") == 1).alias("single"), (F.col("m") > most_contexts).alias("many")).alias("a"))
     asked = wanted.groupBy("uid").agg(F.collect_list("a").alias("asked"))
 
@@ -388,7 +389,7 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int,
     for part in parts:
         ranges = ranges.unionByName(part)
     found = stored(ranges.groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("found")), "found")
-    for table in (marked, kinds, *parts):
+    for table in (marked, kinds, several, *parts):
         drop_stored(table)
     return found
 

@@ -14,7 +14,7 @@ from pairlens.llm.html_text import main_text
 from pairlens.llm.near_copies import Tiles, drop_near_copies, jaccard
 from pairlens.llm.neighbours import nearest
 from pairlens.llm.packing import best_fit_packing
-from pairlens.llm.simhash import fingerprint, simhash_groups
+from pairlens.llm.simhash import _shingles, fingerprint, simhash_groups
 from pairlens.llm.suffix_dedup import Suffixes, suffix_dedup
 from pairlens.llm.token_output import Shard, pack_shard, token_output
 from pyspark.sql import functions as F
@@ -260,6 +260,10 @@ def test_pipeline_stages(spark):
     assert docs.where(F.col("text").isNull()).count() <= 5
 
 
+def shingle_set(text):
+    return np.unique(_shingles((text or "").encode(), 5, 42))
+
+
 def test_near_copies_equal_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, words(rng, rng.randrange(1, 150), 5000)) for i in range(60)]
@@ -278,7 +282,7 @@ def test_near_copies_equal_brute_force(spark):
 
     for i in range(len(rows)):
         for j in range(i):
-            if jaccard((rows[i][1] or "").encode(), (rows[j][1] or "").encode(), 5) >= 0.8:
+            if jaccard(*(shingle_set(rows[k][1]) for k in (i, j))) >= 0.8:
                 root[top(i)] = top(j)
     groups = {}
     for k, r in enumerate(rows):
