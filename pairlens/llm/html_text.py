@@ -4,16 +4,20 @@ Every block element of the document tree has a density: its characters for each
 in it, lowered the more of them are in links. The densities of a node's children are
 summed; the subtree with the largest sum holds the article. The lowest density on the
 path from it up to the body is the threshold at which the neighbours of that path
-belong to the article as well. Inline markup makes no nodes. What is never part of
-an article (menus, footers, scripts and so on) is left out beforehand, and so are forms
-and what is named like an advert or comments, unless it holds most of the page's text.
+belong to the article as well; inside an article or main element text elements of the
+path's neighbours do too. Inline markup makes no nodes. What HTML itself marks as no part
+of an article (menus, footers, forms, scripts and so on) is left out beforehand. A block
+whose class or id is one of a few whole names is left out only if the text outside it is
+what the page consists of. Pages are read by a scanner that looks at no character twice.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
@@ -33,11 +37,64 @@ TEXT = frozenset("p h1 h2 h3 h4 h5 h6 hgroup header blockquote pre figure ul ol
 # Elements, roles and name words that mark what is no part of an article.
 LEFT_OUT = frozenset("head nav footer aside button select datalist dialog menu noscript template svg math canvas audio video object embed applet script style textarea title iframe noembed noframes xmp search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner cookie cookies consent gdpr notice notices notification popup modal overlay newsletter subscribe subscription signup paywall sidebar sidebars menu menus nav navbar navigation breadcrumb breadcrumbs footer footnav masthead topbar toolbar comment comments disqus reply replies respond related recommended recommendations share sharing social widget widgets pager pagination skip skiplink login search".split())
+NAMES = frozenset("ad ads advert advertisement banner comments cookie-banner cookie-notice footer menu nav navbar newsletter notice sidebar sponsored".split())
+
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_NAME = re.compile(r"[^\s/>]++")
+_QUOTE_OR_END = re.compile(r"""["'>]""")
+
+
+def _tag_end(html: str, at: int, last: dict[str, int]) -> int:
+    """Place of the > that ends a start tag whose name ends at ``at``; -1 if there is none. Quotes count after an equals sign."""
+    if at > last[">"]:
+        return -1
+    seek = at
+    while True:
+        m = _QUOTE_OR_END.search(html, seek)
+        if m is None:
+            return html.find(">", at)
+        if m[0] == ">":
+            return m.start()
+        before = m.start() - 1
+        while before >= at and html[before].isspace():
+            before -= 1
+        if before >= at and html[before] == "=":
+            if m.end() > last[m[0]]:  # never closed: the tag ends at its first >
+                return html.find(">", at)
+            seek = html.find(m[0], m.end()) + 1
+        else:
+            seek = m.end()
+
+
+def _tokens(html: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, text or name, attributes, place after it) of texts, start and end tags; comments and declarations are skipped.
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
-_WORDS = re.compile(r"[a-z]+")
+    A generator that the parser may send a place to go on from.
+    """
+    at, size = 0, len(html)
+    last = {c: html.rfind(c) for c in ">\"'"}
+    while at < size:
+        open_ = html.find("<", at)
+        while 0 <= open_ < size - 1 and not (html[open_ + 1].isalpha() and html[open_ + 1].isascii() or html[open_ + 1] in "!?/"):
+            open_ = html.find("<", open_ + 1)
+        if open_ < 0 or open_ >= size - 1:
+            yield "text", html[at:], "", size
+            return
+        if open_ > at:
+            yield "text", html[at:open_], "", open_
+        mark = html[open_ + 1]
+        if html.startswith("<!--", open_):
+            end = html.find("-->", open_ + 4)
+            at = size if end < 0 else end + 3
+        elif mark in "!?" or mark == "/" and not (html[open_ + 2 : open_ + 3].isalpha() and html[open_ + 2].isascii()):
+            end = -1 if open_ > last[">"] else html.find(">", open_)
+            at = size if end < 0 else end + 1
+        else:
+            name = _NAME.match(html, open_ + 1 + (mark == "/"))
+            end = (html.find(">", name.end()) if open_ <= last[">"] else -1) if mark == "/" else _tag_end(html, name.end(), last)
+            if end < 0:
+                return  # the page ends inside a tag
+            at = (yield "end" if mark == "/" else "start", name[0].lower(), html[name.end() : end], end + 1) or end + 1
 
 
 class Node:
@@ -54,12 +111,12 @@ class Node:
         self.density = self.total = 0.0
 
 
-def _left_out(tag: str, attributes: str, stack: list[tuple[str, Node | None]]) -> int:
-    """``Node.out`` of an element."""
+def _left_out(tag: str, attributes: str, inside: bool) -> int:
+    """``Node.out`` of an element; ``inside``: within an article or main element."""
     if tag in LEFT_OUT:
         return 2
     if tag == "header":  # the head of a page; that of an article holds its title
-        return 0 if any(t in ("article", "main") for t, _ in stack) else 2
+        return 0 if inside else 2
     out = int(tag == "form")
     if attributes and tag not in ("html", "body", "article", "main"):
         for name, value in _ATTRIBUTE.findall(attributes):
@@ -68,92 +125,115 @@ def _left_out(tag: str, attributes: str, stack: list[tuple[str, Node | None]]) -
                 return 2
             if name == "aria-hidden" and value == "true" or name == "role" and value == "form":
                 out = 1
-            if name in ("class", "id"):
-                words = _WORDS.findall(value)
-                if any(w in NAMES for w in words) or "header" in words and tag not in ("h1", "h2", "h3", "h4", "h5", "h6") and not any(t in ("article", "main") for t, _ in stack):
-                    out = 1
+            if name in ("class", "id") and tag not in TEXT and tag not in INLINE and not NAMES.isdisjoint(value.split()):
+                out = 1
     return out
 
 
+class _Stack:
+    """Open tags: (name, node or None for inline ones), with the places of each name, of blocks and of scopes."""
+
+    def __init__(self):
+        self.tags: list[tuple[str, Node | None]] = []
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, node: Node | None) -> None:
+        self.places[tag].append(len(self.tags))
+        if node is not None:
+            self.blocks.append(len(self.tags))
+        self.tags.append((tag, node))
+
+    def pop(self) -> tuple[str, Node | None]:
+        tag, node = self.tags.pop()
+        self.places[tag].pop()
+        if node is not None:
+            self.blocks.pop()
+        return tag, node
+
+    def last(self, tags: Iterable[str]) -> int:
+        """Place of the innermost open tag of these names; -1 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    @property
+    def block(self) -> int:
+        return self.blocks[-1] if self.blocks else -1
+
+
 def parse(html: str) -> Node:
     """The tree of block elements of a page. Unclosed and misnested tags close as browsers close them, roughly."""
     root = Node("html", None, 0)
-    stack: list[tuple[str, Node | None]] = []  # open tags; inline ones have no node
-    node, links, at, size = root, 0, 0, len(html)
+    stack = _Stack()
+    node, links, size = root, 0, len(html)
 
-    def pop() -> None:
+    def close(down_to: int) -> None:
         nonlocal node, links
-        tag, own = stack.pop()
-        if own is not None:
-            node = own.parent
-            node.children.append("\n")
-        elif tag == "a":
-            links -= 1
-
-    while at < size:
-        m = _TOKEN.search(html, at)
-        text = html[at : m.start()] if m else html[at:]
-        if text:
-            node.children.append((text, links > 0))
-        if not m:
-            break
-        at = m.end()
-        end, start = m[1], m[2] or m[4]
-        if end:
-            end = end.lower()
-            if end == "br":
+        while len(stack.tags) > down_to:
+            tag, own = stack.pop()
+            if own is not None:
+                node = own.parent
+                node.children.append("\n")
+            elif tag == "a":
+                links -= 1
+
+    tokens, go_on = _tokens(html), None
+    while True:
+        try:
+            kind, tag, attributes, at = tokens.send(go_on)
+        except StopIteration:
+            return root
+        go_on = None
+        if kind == "text":
+            node.children.append((tag, links > 0))
+        elif kind == "end":
+            if tag == "br":
                 node.children.append((" ", False))
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == end:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if end in INLINE and stack[k][1] is not None or end not in SCOPES and stack[k][0] in ("table", "article", "body") and end != "html":
-                    break  # an end without a beginning here
-        elif start:
-            tag, attributes = start.lower(), m[3] if m[2] else m[5]
-            if tag in VOID:
-                node.children.append((" ", False) if tag != "hr" else "\n")
-                continue
+            k = stack.last([tag])
+            # An end without a beginning here: an inline one beyond a block, another one beyond a table, article or body.
+            if k >= 0 and not (tag in INLINE and stack.block > k) and (tag in SCOPES or tag == "html" or stack.last(("table", "article", "body")) < k):
+                close(k)
+        elif tag in VOID:
+            node.children.append((" ", False) if tag != "hr" else "\n")
+        else:
             if tag in CLOSES_P:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        while len(stack) > k:
-                            pop()
-                        break
-                    if stack[k][1] is not None:
-                        break
+                k = stack.last(["p"])
+                if k >= 0 and k == stack.block:
+                    close(k)
             elif tag in SIBLINGS:
-                while True:
-                    k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in SIBLINGS[tag] or stack[k][0] in SCOPES), None)
-                    if k is None or stack[k][0] not in SIBLINGS[tag]:
-                        break
-                    while len(stack) > k:
-                        pop()
-            if tag == "a" and links:  # links do not nest
-                k = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "a")
-                if all(n is None for _, n in stack[k:]):
-                    while len(stack) > k:
-                        pop()
-            out = _left_out(tag, attributes, stack)
+                while (k := stack.last(SIBLINGS[tag])) >= 0 and k > stack.last(SCOPES - SIBLINGS[tag]):
+                    close(k)
+            if tag == "a" and links and (k := stack.last(["a"])) > stack.block:  # links do not nest
+                close(k)
+            out = _left_out(tag, attributes, bool(stack.places.get("article") or stack.places.get("main")))
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                end = _raw_end(html, tag, at)
                 if not out:
-                    node.children.append((html[at : close.start() if close else size], links > 0))
-                at = close.end() if close else size
-                continue
-            if tag in INLINE and not out:
+                    node.children.append((html[at : end[0]], links > 0))
+                go_on = end[1]
+                if go_on >= size:
+                    return root
+            elif tag in INLINE and not out:
                 links += tag == "a"
-                stack.append((tag, None))
-                node.tags += 1 if tag == "a" else 0
+                stack.push(tag, None)
+                node.tags += tag == "a"
                 node.link_tags += tag == "a"
             elif not attributes.rstrip().endswith("/") or tag in CLOSES_P or tag in INLINE:
                 fresh = Node(tag, node, out)
                 node.children.append("\n" if tag not in INLINE else (" ", False))
                 node.children.append(fresh)
-                stack.append((tag, fresh))
+                stack.push(tag, fresh)
                 node = fresh
-    return root
+
+
+@lru_cache(maxsize=32)
+def _raw_close(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*+>?", re.I)
+
+
+def _raw_end(html: str, tag: str, at: int) -> tuple[int, int]:
+    """Where the text of a raw element ends, and where the page goes on."""
+    m = _raw_close(tag).search(html, at)
+    return (m.start(), m.end()) if m else (len(html), len(html))
 
 
 def _settle(root: Node) -> None:
@@ -264,28 +344,31 @@ def main_text(html: str) -> str:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     body = next((n for n in path if n.tag == "body"), path[-1])
-    threshold = min(n.density for n in path[: path.index(body) + 1])
-    named = [k for k, n in enumerate(path) if n.tag == "article"] or [k for k, n in enumerate(path) if n.tag == "main"]
-    at = named[-1] if named else 0  # an article is whole; its neighbours are still asked for
-    chosen, main = path[at], any(n.tag == "main" for n in path[at + 1 :])
-    for below, above in zip(path[at:], path[at + 1 : path.index(body) + 1], strict=False):
+    top = path.index(body)
+    threshold = min(n.density for n in path[: top + 1])
+    marked = max((k for k, n in enumerate(path) if n.tag in ("article", "main")), default=-1)
+    chosen = best
+    for k, (below, above) in enumerate(zip(path, path[1 : top + 1], strict=False)):
         # Neighbours of the path that are as dense, or marked as a part of the article, belong to it.
         before, kept, more = True, [], False
-        for k, run in _runs(above):
-            if k is below:
+        for near, run in _runs(above):
+            if near is below:
                 before = False
-            elif k is None:
+            elif near is None:
                 n = sum(len(x[0].strip()) for x in run)
                 if n <= 2 * sum(len(x[0].strip()) for x in run if x[1]):
                     continue
                 more = True
-            elif not k.out and k.chars:
-                k.out = 0 if k.density >= threshold or _belongs(k, before, main) else 2
-                more = more or not k.out
+            elif not near.out and near.chars:
+                near.out = 0 if near.density >= threshold or _belongs(near, before, k < marked) else 2
+                more = more or not near.out
             kept += ["\n", *run, "\n"]
         if more:
             above.children, chosen = kept, above
-        main = main and above.tag != "main"
+    if chosen is body and best is body:  # no part of the page stands out: containers must be as dense as the whole
+        for near in body.children:
+            if isinstance(near, Node) and not near.out and near.tag not in TEXT and near.density < threshold and not _belongs(near, False, False):
+                near.out = 2
     return "\n".join(_blocks([chosen]))
 
 
@@ -327,7 +410,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     Null or empty html, and a page without text, gives an empty text. Null ids and
     urls are kept; repeated rows give repeated results; extra columns are ignored;
-    an empty table gives no rows.
+    an empty table gives no rows. Long pages are read whole. Of equal density sums
+    that of the node nearest to the root is taken, of these the last in page order.
     """
     tune(pages.sparkSession)
 

@@ -10,7 +10,7 @@ import pytest
 from pairlens.llm import packing, queries
 from pairlens.llm.chat import chat_windows, read_windows
 from pairlens.llm.decontaminate import contaminated, weighted_similarity
-from pairlens.llm.html_text import main_text
+from pairlens.llm.html_text import extract_pages, main_text
 from pairlens.llm.near_copies import Tiles, drop_near_copies, jaccard
 from pairlens.llm.neighbours import nearest
 from pairlens.llm.packing import best_fit_packing
@@ -211,6 +211,42 @@ def test_main_text_in_an_element_named_like_no_article(marks):
         assert main_text(html.format(article, body)) == PARAGRAPHS[0]
 
 
+@pytest.mark.parametrize("marks", ["class='layout has-sidebar'", "id='page' class='no-sidebar'", "class='login-required'"])
+def test_main_text_needs_no_element_names(marks):
+    body = "".join(f"<p>{p}</p>" for p in PARAGRAPHS[:3]) + "<p class='related-work'>Related work of others.</p><p class='notice-period'>A short notice period.</p>"
+    want = "\n".join([*PARAGRAPHS[:3], "Related work of others.", "A short notice period."])
+    links = "<ul>" + "".join(f"<li><a href='/{i}'>Other page {i}</a></li>" for i in range(9)) + "</ul>"
+    assert main_text(f"<body><div {marks}><div>{links}</div><div>{body}</div><div>{links}</div></div></body>") == want
+    assert main_text(f"<body><div {marks}><article>{body}</article></div><div class='ad'>Buy this now, it is cheap.</div></body>") == want
+
+
+def test_main_text_equals_the_article_of_every_page():
+    import re
+    from html import unescape
+
+    rows = pd.read_parquet("/root/testdata/sf0.01/pages.parquet").html
+    for html in rows:
+        inner = html[html.index("<article>") : html.index("</article>")]
+        blocks = re.split(r"</?(?:article|p|h1)\b[^>]*>", re.sub(r"<br\s*/?>", " ", inner))
+        lines = [" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in blocks]
+        assert main_text(html) == "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("html", ["<a" * 20_000, "<i>" * 20_000 + "</b>" * 20_000, "<div>" * 5000 + "x", "<a '" * 20_000, "<a b='" * 20_000, "<article>" + "<i>" * 20_000 + "</div>" * 20_000, "<li><i>" * 5000, "<!--" * 50_000])
+def test_main_text_of_broken_pages_takes_no_long_time(html):
+    import time
+
+    start = time.perf_counter()
+    main_text(html)
+    assert time.perf_counter() - start < 3
+
+
+def test_pages_with_nulls_repeats_and_clashing_columns(spark):
+    rows = [(1, "u", "<p>One</p>", "a"), (1, "u", "<p>One</p>", "a"), (None, None, None, "b"), (3, "", "", "c"), (4, "v", "<p>" + "long words " * 200_000 + "</p>", "d")]
+    got = extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
+    assert sorted((str(r.page_id), str(r.url), r.text[:10], r.n_chars) for r in got) == [("1", "u", "One", 3), ("1", "u", "One", 3), ("3", "", "", 0), ("4", "v", "long words", 2_199_999), ("None", "None", "", 0)]
+
+
 def test_main_text_of_several_articles():
     parts = [f"<article><h2>Part {i}</h2>" + f"<p>{PARAGRAPHS[i]}</p>" * n + "</article>" for i, n in enumerate((9, 2, 1))]
     whole = [line for i, n in enumerate((9, 2, 1)) for line in [f"Part {i}", *[PARAGRAPHS[i]] * n]]
