@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import ast
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Every character that counts as white space in prompts.
 WHITESPACE = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+# Fixed value: SHA-256 of no bytes.
+EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 # Fixed value: the mark of a boxed answer.
 BOXED = r"\\boxed\s*\{"
 
@@ -16,12 +23,85 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    """No white space at either end."""
+    return F.regexp_replace(F.regexp_replace(text, f"^{WHITESPACE}", ""), f"{WHITESPACE}$", "")
+
+
+MESSAGES = "array<struct<role:string,content:string>>"
+
+
+@F.pandas_udf(StringType())
+def _literal_json(text: pd.Series) -> pd.Series:
+    """Python literals as JSON; null where a text is none."""
+
+    def one(value: str | None) -> str | None:
+        if value is None:
+            return None
+        try:
+            return json.dumps(ast.literal_eval(value))
+        except (ValueError, SyntaxError, MemoryError, TypeError, RecursionError):
+            return None
+
+    return text.map(one)
+
+
+def parse_messages(text: Column) -> Column:
+    """Messages of a prompt kept as text: JSON, else a Python literal (by a UDF that sees only what is no JSON); null if neither is a list of objects."""
+    as_json = F.to_json(F.try_parse_json(text))
+    shown = F.coalesce(as_json, _literal_json(F.when(as_json.isNull(), text)))
+    objects = F.try_parse_json(shown).try_cast("array<variant>")
+    listed = (F.size(objects) > 0) & F.forall(objects, lambda m: F.schema_of_variant(m).startswith("OBJECT<"))
+    return F.when(listed, F.from_json(shown, MESSAGES))
+
+
+def normalize_messages(messages: Column) -> Column:
+    """Roles without white space at the ends, contents with runs of it as one blank; null if there is no message or a part is empty."""
+    clean = F.transform(messages, lambda m: F.struct(collapse(m["content"]).alias("content"), strip(m["role"]).alias("role")))
+    fine = (F.size(clean) > 0) & F.forall(clean, lambda m: F.coalesce(F.length(m["content"]) > 0, F.lit(False)) & F.coalesce(F.length(m["role"]) > 0, F.lit(False)))
+    return F.when(fine, clean)
+
+
+def messages_id(messages: Column) -> Column:
+    """SHA-256 of the canonical JSON of normalized messages; null for a prompt that breaks the rules."""
+    clean = normalize_messages(messages)
+    return F.when(clean.isNotNull(), F.sha2(F.to_json(F.struct(clean.alias("prompt")), {"ignoreNullFields": "false"}), 256))
+
+
 def problem_id(content: Column, role: Column | None = None) -> Column:
     """SHA-256 of the canonical JSON of a one-message prompt; answers have no part in it."""
     message = F.struct(collapse(content).alias("content"), F.coalesce(role, F.lit("user")).alias("role") if role is not None else F.lit("user").alias("role"))
     return F.sha2(F.to_json(F.struct(F.array(message).alias("prompt")), {"ignoreNullFields": "false"}), 256)
 
 
+def record_answer(reward_model: Column, field: str = "ground_truth") -> Column:
+    """The stripped truth of a reward model: empty without a model, the text None for a null truth."""
+    return F.when(reward_model.isNull(), "").otherwise(strip(F.coalesce(reward_model[field].cast("string"), F.lit("None"))))
+
+
+def score_value(score: Column, field: str = "score") -> Column:
+    """A score kept as a variant: the field of an object, else the number itself."""
+    return F.coalesce(F.try_variant_get(score, f"$.{field}", "double"), F.try_variant_get(score, "$", "double"))
+
+
+def gain_difference(start: Column, opd: Column, rl: Column) -> Column:
+    """By how much one arm gains more than the other, in the order of operations that doubles need."""
+    return (rl - start) - (opd - start)
+
+
+def safe_identifier(name: Column) -> Column:
+    """Letters, digits and underscores only, and one of the first two at least."""
+    return F.coalesce(name.rlike(r"^[\p{L}\p{N}_]*[\p{L}\p{N}][\p{L}\p{N}_]*$"), F.lit(False))
+
+
+def run_id(protocol: Column, *parts: Column) -> Column:
+    return F.concat_ws("_", protocol, *parts)
+
+
+def evaluation_id(model: Column, panel: Column) -> Column:
+    return F.concat(model, F.lit("__"), F.lower(panel))
+
+
 def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
 
@@ -46,11 +126,52 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
+def _log_total(wide: Column, top: Column) -> Column:
+    return top + F.ln(F.aggregate(wide, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+
+
 def log_probability(logits: Column, index: Column) -> Column:
     """Chosen logit minus the log of the sum of exponentials, shifted by the largest."""
     wide = logits.cast("array<double>")
-    top = F.array_max(wide)
-    return F.element_at(wide, index) - top - F.ln(F.aggregate(wide, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+    return F.element_at(wide, index) - _log_total(wide, F.array_max(wide))
+
+
+def top_log_probabilities(logits: Column, k: int) -> Column:
+    """(id from 0, logprob) of the ``k`` largest logits, largest first, ties to the smaller id."""
+    wide = logits.cast("array<double>")
+    total = _log_total(wide, F.array_max(wide))
+    ranked = F.array_sort(F.transform(wide, lambda x, i: F.struct((-x).alias("minus"), i.alias("id"))))
+    return F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["id"].alias("id"), (-r["minus"] - total).alias("logprob")))
+
+
+def gathered_log_probabilities(logits: Column, ids: Column) -> Column:
+    """Log-probabilities of the listed ids (from 0)."""
+    wide = logits.cast("array<double>")
+    total = _log_total(wide, F.array_max(wide))
+    return F.transform(ids, lambda i: F.element_at(wide, i.cast("int") + 1) - total)
+
+
+def entropy(logits: Column) -> Column:
+    """Entropy of the softmax of logits, in nats: log of the total minus the mean logit."""
+    wide = logits.cast("array<double>")
+    total = _log_total(wide, F.array_max(wide))
+    return total - F.aggregate(wide, F.lit(0.0), lambda s, x: s + F.exp(x - total) * x)
+
+
+def response_slice(values: Column, response_length: Column | int) -> Column:
+    """The values that score the response's tokens: value i scores token i + 1, so the last but one and those before it."""
+    n = F.lit(response_length).cast("int") if isinstance(response_length, int) else response_length.cast("int")
+    return F.slice(values, F.size(values) - n, n)
+
+
+def token_sum(values: Column) -> Column:
+    """Sum of all token values; of nested arrays too."""
+    return F.aggregate(values.cast("array<double>"), F.lit(0.0), lambda s, x: s + x)
+
+
+def outcome_totals(scores: Column, verifier: Column, mask: Column) -> Column:
+    """What a dump of rollouts tells of a row: score and verifier reward as sums over tokens, length as the sum of the mask."""
+    return F.struct(token_sum(scores).alias("score"), token_sum(verifier).alias("verifier_reward"), token_sum(mask).cast("long").alias("response_length"))
 
 
 def is_sha256(value: Column) -> Column:

@@ -11,31 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import audit as A
+from ..operators import identity as I
 from ..operators import protocol as P
 from ..operators import surface as S
+from .registry import ORACLE_SQL, QUERIES, query, rounded, shown, table  # noqa: F401
 
 FLAGSHIP = "audit_by_step_and_total"
 N, CAP = 4, 90
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,20 +32,32 @@ def rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.resolve(rows)
 
 
-R = """WITH r AS (SELECT CAST((event_id // 4) % 8 AS INTEGER) AS step, event_id // 4 AS g, value - 250 AS score, CASE WHEN value > 300 THEN 1.0::DOUBLE ELSE 0.0 END AS outcome,
- 1 + event_id % 97 AS len, event_type = 'purchase' AS boxed FROM events), gr AS (SELECT step, g, count(*) AS n, count(*) FILTER (outcome > 0.5) AS k FROM r GROUP BY ALL) """
-LEVELS = "GROUP BY GROUPING SETS ((step), ())"
-ROWS_SQL = f"""SELECT step, count(*) AS n_rows, avg(CAST(outcome > 0.5 AS DOUBLE)) AS pass_rate, avg(CAST(boxed AS DOUBLE)) AS boxed_rate, avg(CAST(len >= {CAP} AS DOUBLE)) AS cap_rate,
- avg(len) AS mean_length, quantile_cont(CAST(len AS DOUBLE), 0.5) AS p50_length, quantile_cont(CAST(len AS DOUBLE), 0.95) AS p95_length, quantile_cont(CAST(len AS DOUBLE), 0.99) AS p99_length, CAST(max(len) AS DOUBLE) AS max_length,
- avg(score) AS mean_score, avg(abs(score)) AS mean_abs_score, quantile_cont(score, 0.05) AS p05_score, quantile_cont(score, 0.5) AS p50_score, quantile_cont(score, 0.95) AS p95_score, avg(score / len) AS mean_score_per_token,
- CASE WHEN stddev_pop(score) * stddev_pop(outcome) <> 0 THEN covar_pop(score, outcome) / (stddev_pop(score) * stddev_pop(outcome)) END AS score_outcome_pearson FROM r {LEVELS}"""
-GROUPS_SQL = f"""SELECT step, count(*) AS n_groups, avg(CAST(k = 0 AS DOUBLE)) AS all_fail_rate, avg(CAST(k > 0 AND k < n AS DOUBLE)) AS mixed_rate, avg(CAST(k = n AS DOUBLE)) AS all_correct_rate, avg(CAST(k = 0 OR k = n AS DOUBLE)) AS zero_contrast_rate FROM gr {LEVELS}"""
-DOUBLES = "pass_rate boxed_rate cap_rate mean_length p50_length p95_length p99_length max_length mean_score mean_abs_score p05_score p50_score p95_score mean_score_per_token score_outcome_pearson all_fail_rate mixed_rate all_correct_rate zero_contrast_rate".split()
+R = """WITH r AS (SELECT CAST((event_id // 4) % 8 AS INTEGER) AS step, CAST((event_id // 4) % 8 AS INTEGER) AS at_step, (event_id // 4) % 3 AS file, event_id // 4 AS g, value - 250 AS score, CASE WHEN value > 300 THEN 1.0::DOUBLE ELSE 0.0 END AS outcome,
+ CAST(1 + event_id % 97 AS DOUBLE) AS len, (value - 250) / (1 + event_id % 97) AS each, event_type = 'purchase' AS boxed FROM events), gr AS (SELECT step, file, g, count(*) AS n, count(*) FILTER (outcome > 0.5) AS k FROM r GROUP BY ALL) """
+PEARSON = "CASE WHEN stddev_pop({0}) * stddev_pop(len) <> 0 THEN covar_pop({0}, len) / (stddev_pop({0}) * stddev_pop(len)) END"
+SUMMARIES = {"mean_length": "avg(len)", "max_length": "max(len)", "pass_rate": "avg(CAST(outcome > 0.5 AS DOUBLE))", "boxed_rate": "avg(CAST(boxed AS DOUBLE))", "cap_rate": f"avg(CAST(len >= {CAP} AS DOUBLE))"}
+SUMMARIES |= {f"p{q}_length": f"quantile_cont(len, 0.{q})" for q in ("50", "95", "99")}
+SUMMARIES |= {"mean_score": "avg(score)", "mean_abs_score": "avg(abs(score))", "mean_score_per_token": "avg(each)", "mean_abs_score_per_token": "avg(abs(each))"}
+SUMMARIES |= {f"p{q}_{name}": f"quantile_cont({c}, 0.{q})" for name, c in (("score", "score"), ("score_per_token", "each")) for q in ("05", "50", "95")}
+SUMMARIES |= {"raw_score_length_pearson": PEARSON.format("score"), "per_token_score_length_pearson": PEARSON.format("each")}
+RATES = {"all_fail_rate": "k = 0", "mixed_rate": "k > 0 AND k < n", "all_correct_rate": "k = n", "zero_contrast_rate": "k = 0 OR k = n"}
+
+
+def audit_sql(by: str) -> str:
+    rows = f"SELECT {by}, count(*) AS n_rows, count(*) FILTER (outcome > 0.5) AS n_correct, count(DISTINCT g) AS unique_input_count, array_to_string(list_sort(list(DISTINCT at_step)), ',') AS steps, '2' AS padded_widths, true AS length_exact, {', '.join(f'round({v}, 6) AS {k}' for k, v in SUMMARIES.items())} FROM r GROUP BY GROUPING SETS (({by}), ())"
+    rates = f"SELECT {by}, count(*) AS n_groups, {', '.join(f'round(avg(CAST({v} AS DOUBLE)), 6) AS {k}' for k, v in RATES.items())} FROM gr GROUP BY GROUPING SETS (({by}), ())"
+    return f"{R}, a AS ({rows}), b AS ({rates}) SELECT a.*, b.* EXCLUDE ({by}) FROM a JOIN b ON a.{by} IS NOT DISTINCT FROM b.{by}"
 
 
-@query(f"{R}, a AS ({ROWS_SQL}), b AS ({GROUPS_SQL}) SELECT a.step, n_rows, n_groups, {', '.join(f'round({c}, 6) AS {c}' for c in DOUBLES)} FROM a JOIN b ON a.step IS NOT DISTINCT FROM b.step")
+@query(audit_sql("step"))
 def audit_by_step_and_total(spark, sf_dir):
-    return rounded(A.audit(rollouts(spark, sf_dir), CAP))
+    return rounded(shown(A.audit(rollouts(spark, sf_dir), CAP)))
+
+
+@query(audit_sql("file"))
+def audit_by_file_and_total(spark, sf_dir):
+    rows = rollouts(spark, sf_dir).withColumn("file", F.col("input").cast("long") % 3)
+    return rounded(shown(A.audit(rows, CAP, "file")))
 
 
 @query(R + "SELECT step, CAST(g AS VARCHAR) AS input, 'x' AS gts, n, k AS successes FROM gr")
@@ -86,11 +80,11 @@ def group_size_preview(spark, sf_dir):
  UNION ALL SELECT 'non-finite score', count(*) FILTER (event_id % 10 = 7) FROM events UNION ALL SELECT 'group size', count(*) FROM (SELECT event_id // 5 FROM events GROUP BY 1 HAVING count(*) <> 4)) WHERE n_bad > 0""")
 def rollout_violations(spark, sf_dir):
     e = F.col("event_id")
-    rows = table(spark, sf_dir, "events").select(F.lit(1).alias("step"), F.expr("event_id div 5").cast("string").alias("input"), F.lit("x").alias("gts"), F.when(e % 10 == 7, float("nan")).otherwise(1.0).alias("score"), F.array((F.col("value") > 300).cast("double")).alias("token_rewards"), (e % 50 == 3).cast("double").alias("scalar_reward"), (e % 50).alias("response_length"))
+    rows = table(spark, sf_dir, "events").select(F.lit(1).alias("step"), F.expr("event_id div 5").cast("string").alias("input"), F.lit("x").alias("gts"), F.lit("o").alias("output"), F.when(e % 10 == 7, float("nan")).otherwise(1.0).alias("score"), F.array((F.col("value") > 300).cast("double")).alias("token_rewards"), (e % 50 == 3).cast("double").alias("scalar_reward"), (e % 50).alias("response_length"))
     return A.violations(A.resolve(rows), N)
 
 
-@query(R + "SELECT 'token_rewards' AS outcome_source, count(*) AS n_rows FROM r")
+@query(R + "SELECT 'true_reward_score' AS outcome_source, count(*) AS n_rows FROM r")
 def outcome_source(spark, sf_dir):
     return A.outcome_source(rollouts(spark, sf_dir))
 
@@ -105,12 +99,10 @@ def reward_signals(spark, sf_dir):
 
 @query("SELECT event_id, round(value - avg(value) OVER (PARTITION BY user_id), 6) AS advantage FROM events")
 def centred_rewards(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    mean = e.groupBy("user_id").agg(F.avg("value").alias("m"))
-    return e.join(mean, "user_id").select("event_id", F.round(F.col("value") - F.col("m"), 6).alias("advantage"))
+    return A.centred_rewards(table(spark, sf_dir, "events"), ["user_id"], "value").select("event_id", F.round("advantage", 6).alias("advantage"))
 
 
-@query("SELECT round(avg(abs(x)), 6) AS mean_abs, round(quantile_cont(abs(x), 0.5), 6) AS p50_abs, round(quantile_cont(abs(x), 0.95), 6) AS p95_abs, round(quantile_cont(abs(x), 0.99), 6) AS p99_abs, round(avg(CAST(x > 0 AS DOUBLE)), 6) AS positive_rate, round(avg(CAST(x < 0 AS DOUBLE)), 6) AS negative_rate FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, label FROM embeddings) WHERE label % 2 = 0")
+@query("SELECT count(x) AS n_values, round(avg(CAST(x = 0 AS DOUBLE)), 6) AS zero_rate, round(avg(abs(x)), 6) AS mean_abs, round(quantile_cont(abs(x), 0.5), 6) AS p50_abs, round(quantile_cont(abs(x), 0.95), 6) AS p95_abs, round(quantile_cont(abs(x), 0.99), 6) AS p99_abs, round(avg(CAST(x > 0 AS DOUBLE)), 6) AS positive_rate, round(avg(CAST(x < 0 AS DOUBLE)), 6) AS negative_rate FROM (SELECT CAST(unnest(embedding) AS DOUBLE) AS x, label FROM embeddings) WHERE label % 2 = 0")
 def masked_token_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.explode(F.col("embedding").cast("array<double>")).alias("x"), (F.col("label") % 2 == 0).alias("m"))
     return rounded(A.masked_stats(rows, "x", "m"))
@@ -195,13 +187,13 @@ def train_eval_overlap(spark, sf_dir):
 
 @query("SELECT lang, source, count(*) AS n_rows, count(DISTINCT text) AS n_texts FROM documents GROUP BY 1, 2")
 def level_histogram(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n_rows"), F.count_distinct("text").alias("n_texts"))
+    return P.level_histogram(table(spark, sf_dir, "documents"), ["lang", "source"], "text")
 
 
-@query("""SELECT source, count(*) AS n_files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, sha256(string_agg('{"path":"' || path || '"}:' || octet_length(encode(text)) || ':' || sha256(text), ',' ORDER BY path)) AS digest FROM (SELECT source, text, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path FROM documents WHERE text IS NOT NULL) GROUP BY 1""")
+@query("""SELECT source, count(*) AS n_files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS n_bytes, sha256('{' || string_agg('"' || path || '":{"bytes":' || octet_length(encode(text)) || ',"sha256":"' || sha256(text) || '"}', ',' ORDER BY path) || '}') AS digest FROM (SELECT source, text, lpad(CAST(doc_id AS VARCHAR), 12, '0') AS path FROM documents WHERE text IS NOT NULL) GROUP BY 1""")
 def file_set_digest(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("text is not null").select("source", F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha"))
-    return P.digest_of_set(rows, ["source"], "path", "bytes", "sha")
+    return I.digest_of_set(rows, ["source"], "path", "bytes", "sha")
 
 
 ENDS = "WITH c AS (SELECT c_nationkey AS k, round(avg(c_acctbal), 4) AS m, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 4) AS m, count(*) AS n FROM supplier GROUP BY 1) "
@@ -248,25 +240,22 @@ def selected_log_probability(spark, sf_dir):
 
 @query("SELECT vec_id, i, round(CAST(embedding[64 - 9 + i + 1] AS DOUBLE), 6) AS x FROM embeddings, range(0, 8) t(i)")
 def teacher_alignment(spark, sf_dir):
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", -9, 8)).alias("i", "x"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(scalars.response_slice(F.col("embedding"), 8)).alias("i", "x"))
     return rows.select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 @query("SELECT 't' || n_nationkey || '_' || arm AS run_id, CAST(n_nationkey AS BIGINT) AS start, CAST(n_nationkey + 8 AS BIGINT) AS stop, CAST(8 * 64 * 4 AS BIGINT) AS trajectories, CAST(8 * 64 * 4 // 32 AS BIGINT) AS optimizer_steps FROM nation, (VALUES ('opd'), ('rl')) a(arm)")
 def run_plan(spark, sf_dir):
-    arms = table(spark, sf_dir, "nation").select("n_nationkey", F.explode(F.array(F.lit("opd"), F.lit("rl"))).alias("arm"))
-    k = F.col("n_nationkey").cast("long")
-    rows = F.lit(8 * 64 * 4).cast("long")
-    return arms.select(F.concat(F.lit("t"), k.cast("string"), F.lit("_"), "arm").alias("run_id"), k.alias("start"), (k + 8).alias("stop"), rows.alias("trajectories"), F.floor(rows / 32).alias("optimizer_steps"))
+    arms = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("start"), F.explode(F.array(F.lit("opd"), F.lit("rl"))).alias("arm"), F.lit(8).alias("updates"))
+    costs = P.dose(arms, 64, 4, 32, 1, 1024)
+    return costs.select(scalars.run_id(F.concat(F.lit("t"), F.col("start").cast("string")), F.col("arm")).alias("run_id"), "start", (F.col("start") + F.col("updates")).alias("stop"), "trajectories", "optimizer_steps")
 
 
-@query("SELECT lower(p_brand || '__' || p_type) AS eval_id, count(*) AS n, max(p_size) AS max_size FROM part GROUP BY 1")
+@query("SELECT p_brand || '__' || lower(p_type) AS eval_id, count(*) AS n, max(p_size) AS max_size FROM part GROUP BY 1")
 def evaluation_ids(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy(F.lower(F.concat_ws("__", "p_brand", "p_type")).alias("eval_id")).agg(F.count("*").alias("n"), F.max("p_size").alias("max_size"))
+    return table(spark, sf_dir, "part").groupBy(scalars.evaluation_id(F.col("p_brand"), F.col("p_type")).alias("eval_id")).agg(F.count("*").alias("n"), F.max("p_size").alias("max_size"))
 
 
 @query("WITH a AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS sample_index FROM events) SELECT * FROM a")
 def sample_index(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return table(spark, sf_dir, "events").select("event_id", "user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("long").alias("sample_index"))
+    return A.sample_index(table(spark, sf_dir, "events"), "user_id", "event_id").select("event_id", "user_id", "sample_index")

@@ -2,19 +2,36 @@
 
 from __future__ import annotations
 
+import hashlib
+import subprocess
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import WHITESPACE
+from ..operators.identity import MODEL_FILES, missing_files, model_files
+from ..operators.records import numbered
+
+
+FIELDS = {"step": "step", "input": "input", "gts": "gts", "output": "output", "score": "score", "true_reward_score": "token_rewards", "verifier_reward": "scalar_reward", "response_length": "response_length", "response_token_count": "response_token_count"}
+
 
 def read_rollouts(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of ``*.jsonl`` in a folder, with file, the canonical keys input and gts, and flags for optional fields.
+    """Rows of ``*.jsonl`` in a folder, with file and file_number, the canonical keys input and gts, and a has_ flag for each field.
 
-    Blank lines are skipped; a line that is no JSON raises with its file. Files have the order of their numbers.
+    A flag tells whether a line has the key at all: an explicit null is there, but null. Blank
+    lines are skipped; a line that is no JSON raises with its file and number; a folder
+    without such files raises too. ``in_file_order`` gives files the order of their numbers.
     """
-    raw = spark.read.option("pathGlobFilter", "*.jsonl").text(folder).where(F.trim("value") != "").select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
-    bad = raw.where("v is null").select("file").limit(1).collect()
+    text = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
+    if not text.inputFiles():
+        raise ValueError(f"no rollout files in {folder}")
+    raw = text.where(F.regexp_replace("value", WHITESPACE, "") != "").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"), "value")
+    bad = raw.where("v is null").select("file", "path").orderBy("path").limit(1).collect()
     if bad:
-        raise ValueError(f"invalid JSON in {bad[0].file}")
+        raise ValueError(f"invalid JSON in {bad[0].file}:{_first_bad_line(spark, bad[0].path)}")
     get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
     return raw.select(
         "file",
@@ -28,12 +45,48 @@ def read_rollouts(spark: SparkSession, folder: str) -> DataFrame:
         get("verifier_reward", "double").alias("scalar_reward"),
         get("response_length", "bigint").alias("response_length"),
         get("response_token_count", "bigint").alias("response_token_count"),
+        *[F.try_variant_get("v", f"$.{key}", "variant").isNotNull().alias(f"has_{name}") for key, name in FIELDS.items()],
     )
 
 
-def read_json_objects(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """One row for each JSON object, or each element of a JSON array, with its path."""
-    return spark.read.option("multiLine", True).json(paths).withColumn("path", F.col("_metadata.file_path"))
+def _first_bad_line(spark: SparkSession, path: str) -> int:
+    """Number of the first line of a file that is no JSON; only asked once something is wrong."""
+    lines = numbered(spark.read.text(path).coalesce(1))
+    broken = (F.regexp_replace("value", WHITESPACE, "") != "") & F.try_parse_json("value").isNull()
+    return lines.where(broken).agg(F.min("_index")).first()[0] + 1
+
+
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """Rows by file: those with numbers first, by number, then the others by name."""
+    return rows.orderBy(F.asc_nulls_last("file_number"), "file")
+
+
+def _documents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, v): each file as one variant; a file that is no JSON raises."""
+    whole = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"))
+    bad = whole.where("v is null").select("path").limit(1).collect()
+    if bad:
+        raise ValueError(f"invalid JSON in {bad[0].path}")
+    return whole
+
+
+def read_json_objects(spark: SparkSession, paths: list[str] | str, schema: str) -> DataFrame:
+    """One row for each file, which must hold one JSON object, with its path and folder."""
+    whole = _documents(spark, paths)
+    other = whole.where(~F.schema_of_variant("v").startswith("OBJECT<")).select("path").limit(1).collect()
+    if other:
+        raise TypeError(f"expected a JSON object: {other[0].path}")
+    return whole.select("path", F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.from_json(F.to_json("v"), schema).alias("o")).select("path", "folder", "o.*")
+
+
+def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row for each element of a file that must hold a JSON list of objects, with its place."""
+    whole = _documents(spark, path)
+    other = whole.where(~F.schema_of_variant("v").startswith("ARRAY<")).select("path").limit(1).collect()
+    if other:
+        raise TypeError(f"expected a JSON list: {other[0].path}")
+    items = whole.select(F.posexplode(F.col("v").cast("array<variant>")).alias("index", "v"))
+    return items.select(F.col("index").cast("long").alias("index"), F.from_json(F.to_json("v"), schema).alias("o")).select("index", "o.*")
 
 
 def read_parquet(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
@@ -45,13 +98,67 @@ def read_parquet(spark: SparkSession, path: str, required: list[str]) -> DataFra
     return df
 
 
-def tree(spark: SparkSession, folder: str, include: str = ".*") -> DataFrame:
-    """path, bytes and sha256 of every file under a folder whose path matches ``include``."""
+#: Files that identities are kept in are no part of what they identify.
+SIDECARS = ("identity.json", ".identity.json")
+#: Larger files are hashed piece by piece instead of as one value.
+PIECE = 8 << 20
+
+
+def tree(spark: SparkSession, folder: str, include: str = ".*", sidecars: tuple[str, ...] = SIDECARS) -> DataFrame:
+    """path (from the folder on), bytes and sha256 of every file under a folder whose path matches ``include``, without its own sidecars."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.where(F.col("path").rlike(include)).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = F.lit(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/")
+    inside = F.expr("substring(full, instr(full, root) + length(root))")
+    named = files.withColumn("full", F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?/", "/")).withColumn("root", root).withColumn("inside", inside)
+    kept = named.where(F.col("inside").rlike(include) & ~F.substring_index("inside", "/", -1).isin(*sidecars))
+    small = kept.where(F.col("length") < PIECE).select(F.col("inside").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = kept.where(F.col("length") >= PIECE).select(F.col("inside").alias("path"), F.col("length").alias("bytes"), F.col("full").alias("at"))
+    return small.unionByName(large.mapInPandas(_hash_large, "path string, bytes long, sha256 string"))
+
+
+def _hash_large(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files read piece by piece where they lie; the folder must be mounted on every machine, as file sizes beyond 2 GB fit no value."""
+    for frame in frames:
+        digests = []
+        for at in frame["at"]:
+            digest = hashlib.sha256()
+            with open(at, "rb") as handle:
+                for piece in iter(lambda h=handle: h.read(PIECE), b""):
+                    digest.update(piece)
+            digests.append(digest.hexdigest())
+        yield frame[["path", "bytes"]].assign(sha256=digests)
+
+
+def model_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a model that its manifest lists; one without its settings or its tokenizer raises."""
+    files = tree(spark, folder)
+    lacking = missing_files(files.withColumn("folder", F.lit(folder)), "folder", "path", MODEL_FILES).first()
+    if lacking or files.isEmpty():
+        raise ValueError(f"{folder} lacks {lacking.missing if lacking else 'all files'}")
+    return model_files(files, "path")
 
 
 def normalized_text_hash(spark: SparkSession, path: str) -> DataFrame:
     """path and SHA-256 of text files with every line end as a line feed."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.col("_metadata.file_path").alias("path"), F.sha2(F.regexp_replace("value", "\r\n?", "\n"), 256).alias("sha256"))
+
+
+def load_config(path: str) -> dict:
+    """A YAML configuration of schema version 1, read on the driver."""
+    import yaml
+
+    with open(path, encoding="utf-8") as handle:
+        config = yaml.safe_load(handle) or {}
+    if not isinstance(config, dict) or config.get("schema_version") != 1:
+        raise ValueError(f"{path}: schema_version must be 1")
+    return config
+
+
+def checkout_commit(folder: str, expected: str | None = None) -> str:
+    """The commit that a folder has checked out; another one than expected raises."""
+    got = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True)
+    commit = got.stdout.strip()
+    if got.returncode or expected is not None and commit != expected:
+        raise ValueError(f"{folder}: " + (f"commit {commit}, not {expected}" if not got.returncode else "no readable checkout"))
+    return commit

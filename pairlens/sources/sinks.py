@@ -2,21 +2,82 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import json
+import os
+import shutil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_splits(splits: DataFrame, path: str) -> None:
-    """One folder for each split, rows in their order."""
-    splits.repartition("split").sortWithinPartitions("split", "pos").write.partitionBy("split").parquet(path)
+def write_splits(records: DataFrame, path: str) -> None:
+    """One folder for each split, its rows in the order of their places over its files; the id comes first.
+
+    ``records``: see ``protocol.split_records``.
+    """
+    records.repartitionByRange("split", "pos").sortWithinPartitions("split", "pos").write.partitionBy("split").parquet(path)
+
+
+def write_schedule(schedule: DataFrame, path: str) -> None:
+    """A schedule (see ``protocol.schedule``) in the order of its updates and slots."""
+    schedule.repartitionByRange("schedule_update", "schedule_slot").sortWithinPartitions("schedule_update", "schedule_slot").write.parquet(path)
 
 
 def write_lines(rows: DataFrame, path: str) -> None:
+    """JSON lines; Spark commits them as a whole."""
     rows.write.json(path)
 
 
+def write_json(path: str, value: object) -> None:
+    """A small document (manifest, plan, command, identity) on the driver, with sorted keys; NaN is an error. It is moved into place whole."""
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(f"{path}.tmp", "w", encoding="utf-8") as handle:
+        json.dump(value, handle, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False)
+        handle.write("\n")
+    os.replace(f"{path}.tmp", path)
+
+
+def write_config(path: str, config: dict) -> None:
+    """A merged configuration as YAML, keys in their order."""
+    import yaml
+
+    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+    with open(path, "w", encoding="utf-8") as handle:
+        yaml.safe_dump(config, handle, sort_keys=False, allow_unicode=True)
+
+
+def write_surface(rows: DataFrame, folder: str, panel: str, metric: str, band: float) -> dict[str, str]:
+    """A surface as JSON and as CSV, with the names of both files. A surface has a row for each branch point of a plan.
+
+    JSON leaves out what a row lacks; the header of the CSV has the keys of all rows in order of first appearance.
+    """
+    found = []
+    for line in rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).collect():
+        row = json.loads(line.j)
+        found.append({k: v for k, v in row.items() if k != "signals"} | (row.get("signals") or {}))
+    names = {"json": os.path.join(folder, "handoff_surface.json"), "csv": os.path.join(folder, "handoff_surface.csv")}
+    write_json(names["json"], {"schema_version": 2, "panel": panel, "metric": metric, "equivalence_band": band, "rows": found})
+    with open(names["csv"], "w", encoding="utf-8", newline="") as handle:
+        writer = csv.DictWriter(handle, list(dict.fromkeys(k for row in found for k in row)))
+        writer.writeheader()
+        writer.writerows(found)
+    return names
+
+
+def copy_exact(source: str, target: str, sha256: str) -> str:
+    """Copy a file byte by byte on the driver, and hash what arrived; another digest raises."""
+    if os.path.realpath(source) != os.path.realpath(target):
+        os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
+        shutil.copyfile(source, target)
+    with open(target, "rb") as handle:
+        got = hashlib.file_digest(handle, "sha256").hexdigest()
+    if got != sha256:
+        raise ValueError(f"{target}: SHA-256 {got}, not {sha256}")
+    return got
+
+
 def write_csv(parts: list[DataFrame], path: str) -> None:
     """All rows under one header: the columns of all parts in order of first appearance; missing values are empty."""
     out = parts[0]

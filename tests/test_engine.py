@@ -7,8 +7,8 @@ import math
 import duckdb
 import pytest
 from pairlens.functions import scalars
-from pairlens.operators import audit, protocol, surface
-from pairlens.plans import catalogue, specs
+from pairlens.operators import audit, identity, protocol, quantiles, records, surface
+from pairlens.plans import catalogue_records, catalogue_surface, doctor, registry, specs  # noqa: F401
 from pairlens.sources import files, sinks
 from pairlens.streaming import steps
 from pyspark.sql import functions as F
@@ -31,10 +31,10 @@ def plain(columns, rows):
     return sorted(tuple(show(r[k]) for k in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_catalogue_equals_sql(spark, duck, name):
-    got = catalogue.QUERIES[name](spark, FOLDER)
-    want = duck.execute(catalogue.ORACLE_SQL[name])
+    got = registry.QUERIES[name](spark, FOLDER)
+    want = duck.execute(registry.ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert plain(got.columns, got.collect()) == plain(columns, want.fetchall())
@@ -54,7 +54,7 @@ def test_audit_of_two_groups(spark):
     assert (total.mean_length, total.cap_rate, total.boxed_rate, total.zero_contrast_rate) == (4.5, 0.125, 0.125, 0.5)
     assert [r.n_groups for r in audit.success_histogram(rows, 4).orderBy("successes").collect()] == [1, 1, 0, 0, 0]
     same = audit.resolve(rollouts(spark).withColumn("score", F.lit(0.1)))
-    assert audit.audit(same, 8).where("step is null").first().score_outcome_pearson is None
+    assert audit.audit(same, 8).where("step is null").first().raw_score_length_pearson is None
 
 
 def test_audit_rejects(spark):
@@ -124,6 +124,16 @@ def test_sources_sinks_and_stream(spark, tmp_path):
     (folder / "3.jsonl").write_text("{broken\n")
     with pytest.raises(ValueError, match="3.jsonl"):
         files.read_rollouts(spark, str(folder))
+    (folder / "3.jsonl").write_text('{"step": 1, "output": null}\n\n{broken\n')
+    with pytest.raises(ValueError, match="3.jsonl:3"):
+        files.read_rollouts(spark, str(folder))
+    (folder / "3.jsonl").write_text('{"step": 1, "output": null}\n')
+    flags = files.read_rollouts(spark, str(folder)).where("file_number = 3").first()
+    assert flags.has_output and flags.output is None and not flags.has_score
+    assert [r.file for r in files.in_file_order(files.read_rollouts(spark, str(folder)).select("file", "file_number").distinct()).collect()] == ["1.jsonl", "2.jsonl", "3.jsonl", "10.jsonl"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no rollout files"):
+        files.read_rollouts(spark, str(tmp_path / "none"))
     assert files.tree(spark, str(folder)).count() == 4
     sinks.write_csv([spark.range(1).toDF("id"), spark.range(1).toDF("id").withColumn("b", F.lit(2))], str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id", "b"]
@@ -137,16 +147,265 @@ def test_stream_of_steps(spark, tmp_path):
     assert done.where("step is not null").count() == 2 and done.select("batch").distinct().count() == 2
 
 
-def test_specs():
-    got = [s["run_id"] for s in specs.run_specs("p", [5], 2, 10)]
-    assert got == ["p_trunk_opd", "p_t5_opd", "p_t5_rl"]
-    assert [s["run_id"] for s in specs.run_specs("p", [0], 2, 10)] == ["p_trunk_opd", "p_t0_rl"]
-    with pytest.raises(ValueError):
-        specs.run_specs("p", [11], 2, 10)
-    assert specs.budget(50, 6, 8, 4, 50, 60.0)["updates"] == 346
+def test_merge_and_keys():
     assert specs.merge({"a": {"b": 1}}, {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}}
-    with pytest.raises(ValueError, match="a"):
-        specs.merge({"a": {}}, {"a": 1})
-    assert specs.missing_keys({"a": {"b": 1}}, ["a.b", "a.c"]) == ["a.c"]
-    assert len(specs.evaluation_plan(["m", "t"], ["x", "y"], "x", {"t"})) == 3
-    assert specs.dose(2, 8, 4, 16, 100)["optimizer_steps"] == 4
+    assert specs.merge({"a": {}}, {"a": {"b": {}}}, {"a": {}}) == {"a": {"b": {}}}
+    for left, right in (({"a": {}}, {"a": 1}), ({"a": 1}, {"a": {"b": 2}}), ({"a": {"b": 1}}, {"a": 3})):
+        with pytest.raises(ValueError, match="a"):
+            specs.merge(left, right)
+    assert specs.missing_keys({"a": {"b": 1, "d": {}}}, ["a", "a.b", "a.d", "a.c"]) == ["a.c"]
+
+
+def test_run_specs_and_stages():
+    config, runs = catalogue_surface.config, catalogue_surface.runs()
+    assert [s["run_id"] for s in specs.of_phase(runs, "discovery")] == [f"demo_1_{x}" for x in ("discovery_trunk_opd", "branch_t0_rl", "branch_t4_opd", "branch_t4_rl", "branch_t8_opd", "branch_t8_rl")]
+    assert specs.of_phase(runs, "validation") == runs[6:] and specs.of_phase(runs, "all") == runs
+    assert runs[1]["opd_counterfactual"]["source_run_id"] == "demo_1_discovery_trunk_opd" and runs[1]["resume_from_path"] is None
+    assert runs[3]["planned_dose"]["max_generated_tokens_upper_bound"] == 4 * 16 * 512
+    stages = specs.staged(config(), runs)
+    assert specs.find_spec("demo_1_branch_t4_rl", stages)["scientific_run_id"] == "demo_1_branch_t4_rl"
+    with pytest.raises(KeyError):
+        specs.find_spec("other", stages, runs)
+    for change in ({"training__staged_trunk_initial_stop": 8}, {"training__branch_horizon": 12, "training__staged_trunk_initial_stop": 12}, {"training__checkpoint_frequency": 3}):
+        with pytest.raises(ValueError):
+            specs.staged(config(**change), runs)
+    queue = [["x"]] * 12
+    source = {"config_sha256": "c", "source": {}}
+    for change in ({"training__branch_points": [11]}, {"rollout__n": 1}, {"training__ppo_mini_batch_size": 7}, {"project__protocol_id": "a/b"}, {"training__forbidden_estimators": ["a"]}, {"training__counterfactual_mode": "x"}, {"rollout__max_response_length": 0}):
+        with pytest.raises(ValueError):
+            specs.run_specs(config(**change), queue, source)
+    payload = specs.command_payload(stages[0], specs.launch_argv("m", {"a.b": True, "c": [0.9, 0.999], "d": None, "e": "x y"}), {"sha256": "i"})
+    assert payload["execution_id"] == "demo_1_discovery_trunk_opd_t0_t4" and payload["shell"] == "python -m m a.b=True 'c=[0.9,0.999]' 'e=x y'"
+
+
+def test_evaluation_plan():
+    config = catalogue_surface.config(training__branch_points=[0, 7], training__branch_horizon=5)
+    plan = specs.evaluation_plan(config, {"/d/a": "1", "/d/b": "2", "verifier": "3"})
+    assert plan["primary_comparisons"][-1]["target_step"] == 12 and len(plan["merge_specs"]) == 4
+    assert [s["model_id"] for s in plan["evaluation_specs"] if s["panel"] == "P2"] == ["demo_1_branch_t7_opd_t12", "demo_1_branch_t7_rl_t12"]
+    locked = plan["evaluation_specs"][0]["evaluation_protocol"]
+    assert locked["max_model_len"] == 640 and plan["evaluation_specs"][0]["evaluation_protocol_sha256"] == specs.digest(locked)
+    for change in ({"evaluation__primary_panel": "P9"}, {"evaluation__external_panels": ["P1"]}, {"evaluation__max_response_length": 1}):
+        with pytest.raises(ValueError):
+            specs.evaluation_plan(catalogue_surface.config(**change), {"/d/a": "1", "/d/b": "2", "verifier": "3"})
+    assert specs.budget(50, 6, 8, 4, 50, 60.0)["total_updates"] == 346
+
+
+def test_doctor(tmp_path):
+    good = doctor.inspect(catalogue_surface.config())
+    assert good["ok"] and good["warnings"] == ["unresolved path placeholder: paths.verl_root"] and good["protocol"]["response_cap"] == 512
+    strict = doctor.inspect(catalogue_surface.config(paths__student_model=str(tmp_path)), check_paths=True)
+    assert "unresolved path placeholder: paths.verl_root" in strict["errors"] and "path does not exist: paths.teacher_model=/m/t" in strict["errors"]
+    assert not any("student_model" in e for e in strict["errors"])
+    assert doctor.inspect({"schema_version": 1})["errors"][0] == "missing required key: project.protocol_id"
+    many = doctor.inspect(catalogue_surface.config(rollout__n=1, training__rl_estimator="a", training__branch_points=[4, 4]))
+    assert len(many["errors"]) == 3
+    run = catalogue_surface.runs()[0]
+    assert doctor.launch_problems(catalogue_surface.config(runtime__max_model_len=1, training__checkpoint_frequency=5), run) == ["runtime.max_model_len is below the context of 640", "the endpoint is no multiple of training.checkpoint_frequency"]
+
+
+SUMMARY = "folder string, model_id string, panel string, model_identity_sha256 string, evaluation_protocol_sha256 string, temperature double, seed long, avg_at_n double"
+
+
+def endpoints(spark, **changes):
+    """(comparisons, specifications, summaries) of two points; ``changes`` of summaries by model and field."""
+    sha = "a" * 64
+    points = spark.createDataFrame([(20, "o20", "r20"), (0, "o0", "r0")], "branch_point int, opd_model_id string, rl_model_id string")
+    plan = spark.createDataFrame([(m, "main", f"ev/{m}", '{"temperature": 0.7}') for m in ("o0", "r0", "o20", "r20")], "model_id string, panel string, output_dir string, evaluation_protocol string")
+    scores = {"o0": 0.42, "r0": 0.38, "o20": 0.51, "r20": 0.58}
+    rows = []
+    for m, score in scores.items():
+        row = {"folder": f"/x/ev/{m}", "model_id": m, "panel": "main", "model_identity_sha256": sha, "evaluation_protocol_sha256": sha, "temperature": 0.7, "seed": 1, "avg_at_n": score}
+        rows.append(tuple((row | changes.get(m, {})).values()))
+    return points, plan, surface.attach_summaries(plan, spark.createDataFrame(rows, SUMMARY), "/x")
+
+
+def test_surface_of_two_points(spark, tmp_path):
+    points, plan, held = endpoints(spark)
+    surface.check_surface(points, plan, held, "avg_at_n")
+    signals = spark.createDataFrame([("20", "signal_a_b", 0.5)], "branch_point string, name string, value double")
+    table = surface.full_surface(points, held, "main", "avg_at_n", 0.01, signals=signals)
+    got = table.collect()
+    assert [(r.branch_point, round(r.grpo_minus_opd, 6), r.preferred_arm) for r in got] == [(0, -0.04, "opd"), (20, 0.07, "rl")]
+    assert got[0].signals is None and got[1].signals == {"signal_a_b": 0.5}
+    names = sinks.write_surface(table, str(tmp_path), "main", "avg_at_n", 0.01)
+    written = json.loads(open(names["json"]).read())
+    assert written["schema_version"] == 2 and "signal_a_b" not in written["rows"][0] and written["rows"][1]["signal_a_b"] == 0.5
+    assert open(names["csv"]).readline().strip().endswith(",signal_a_b")
+
+
+@pytest.mark.parametrize(("change", "named"), [({"r20": {"seed": 2}}, "seed"), ({"r0": {"model_id": "o0"}}, "model_id"), ({"o0": {"temperature": 0.1}}, "temperature"), ({"o0": {"temperature": 0.1}, "r0": {"temperature": 0.1}}, "temperature"), ({"o0": {"evaluation_protocol_sha256": "short"}}, "malformed"), ({"o0": {"panel": "x"}}, "panel"), ({"o20": {"folder": "/y"}}, "summary"), ({"o20": {"avg_at_n": None}}, "avg_at_n is absent")])
+def test_surface_rejects(spark, change, named):
+    points, plan, held = endpoints(spark, **change)
+    with pytest.raises(ValueError, match=named):
+        surface.check_surface(points, plan, held, "avg_at_n")
+
+
+def test_surface_needs_both_specifications(spark):
+    points, plan, held = endpoints(spark)
+    with pytest.raises(ValueError, match="rl specification"):
+        surface.check_surface(points, plan, held.where("model_id <> 'r0'"), "avg_at_n")
+    with pytest.raises(ValueError, match="specified 2 times"):
+        surface.check_surface(points, plan.union(plan.limit(1)), held, "avg_at_n")
+    with pytest.raises(ValueError, match="no comparisons"):
+        surface.check_surface(points.limit(0), plan, held, "avg_at_n")
+    with pytest.raises(ValueError, match="band"):
+        surface.full_surface(points, held, "main", "avg_at_n", -1.0)
+
+
+def test_quantiles_equal_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    values = {"a": rng.normal(size=5001), "b": np.repeat([1.0, 2.0], [3, 9]), "c": np.array([7.5])}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), (None, 3.0)], "k string, x double")
+    got = {(r.k, r.level): r.value for r in quantiles.exact_quantiles(rows, ["k"], {"x": F.col("x")}, [0.0, 0.05, 0.5, 0.99, 1.0]).collect()}
+    for k, v in values.items():
+        for q in (0.0, 0.05, 0.5, 0.99, 1.0):
+            assert got[k, q] == pytest.approx(np.quantile(v, q), abs=1e-12)
+    assert got[None, 0.5] == 3.0
+
+
+def test_audit_by_file_and_dialects(spark):
+    rows = audit.resolve(rollouts(spark).withColumn("file", F.lit("1.jsonl")))
+    total = audit.audit(rows, 8, "file", lengths_exact=False).where("file is null").first()
+    assert (total.steps, total.padded_widths, total.unique_input_count, total.length_exact, total.n_correct) == ([1], [2], 2, False, 1)
+    assert audit.spanning_groups(rows, "file").isEmpty()
+    assert not audit.spanning_groups(rows.withColumn("file", F.col("score").cast("string")), "file").isEmpty()
+    scalar = audit.resolve(rollouts(spark).drop("token_rewards").withColumn("scalar_reward", F.lit(1.0)))
+    audit.check(scalar, 4)
+    plain = audit.audit(scalar, 8).where("step is null").first()
+    assert plain.mean_score is None and plain.p50_score_per_token is None and plain.p50_length is not None
+    assert audit.outcome_source(scalar).first().outcome_source == "verifier_reward"
+    assert audit.outcome_source(rows).first().outcome_source == "true_reward_score"
+    supplied = audit.resolve(rollouts(spark).withColumn("mine", F.lit(2)), supplied="mine")
+    assert supplied.agg(F.avg("length")).first()[0] == 2
+    with pytest.raises(ValueError, match="mixed dialects"):
+        audit.check(audit.resolve(rollouts(spark).withColumn("token_rewards", F.when(F.col("response_length") > 2, F.col("token_rewards"))).withColumn("scalar_reward", F.col("token_rewards")[1])), 4)
+    for n, cap in ((1, 8), (4, 0)):
+        with pytest.raises(ValueError):
+            audit.check(rows, n, cap)
+    with pytest.raises(ValueError, match="no rows"):
+        audit.check(rows.limit(0), 4)
+
+
+def test_messages(spark):
+    rows = spark.createDataFrame([(1, '[{"role": " user ", "content": " a \\u001c b\\u3000"}]'), (2, "[{'role': 'user', 'content': 'a b'}]"), (3, "[]"), (4, "no list"), (5, '[{"role": "", "content": "x"}]'), (6, None), (7, '["a"]'), (8, '{"role": "user"}')], "k long, p string")
+    ids = {r.k: r.i for r in rows.select("k", scalars.messages_id(scalars.parse_messages(F.col("p"))).alias("i")).collect()}
+    assert ids[1] == ids[2] == specs.digest({"prompt": [{"role": "user", "content": "a b"}]})
+    assert all(ids[k] is None for k in range(3, 9))
+
+
+def test_lengths_of_rendered_prompts(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    tokenizer = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    tokenizer.save(str(tmp_path / "t.json"))
+    rows = spark.createDataFrame([(1, [("user", "a b a")]), (2, [("system", "b"), ("user", "a")])], "k long, m array<struct<role:string,content:string>>")
+    shown = rows.withColumn("text", records.rendered(F.col("m"), "<", ">"))
+    assert shown.where("k = 1").first().text == "<user\na b a>\n<assistant\n"
+    sized = records.token_lengths(shown, "text", str(tmp_path / "t.json"))
+    assert sorted((r.k, r.n_tokens) for r in sized.collect()) == [(1, 5), (2, 5)]
+    assert protocol.length_audit(sized, "n_tokens", 4).first().n_overlong == 2 and protocol.length_filter(sized, "n_tokens", 5).count() == 2
+
+
+def test_mapping_of_records(spark):
+    source = spark.createDataFrame([("What?", "4", 3, "i1")], "prompt string, answer string, level int, id string")
+    made = records.native_records(records.numbered(source), "_index")
+    assert records.mapping_drift(made, made).isEmpty()
+    other = made.withColumn("prompt", F.transform("prompt", lambda m: m.withField("content", F.lit("changed"))))
+    assert [(r.row, r.fields) for r in records.mapping_drift(made, other).collect()] == [(0, "prompt")]
+    assert records.column_drift(made.drop("_index")) == [] and records.column_drift(made)
+    with pytest.raises(ValueError, match="answer"):
+        records.native_records(source.drop("answer"), "level")
+    many = records.numbered(spark.range(0, 1000, 1, 7).where("id % 3 = 0"))
+    assert [r._index for r in many.orderBy("id").collect()] == list(range(334))
+
+
+def test_identities(spark):
+    rows = spark.createDataFrame([(1, "g", 5, *["a" * 64] * 7, 42), (2, "g", 5, *["a" * 64] * 7, 43), (3, None, 5, *["b" * 64] * 6, "x", 42)], "k long, grp string, global_step long, " + ", ".join(f"{f} string" for f in identity.DIGESTS) + ", rollout_seed long")
+    assert [(r.k, r.fields) for r in identity.lock_violations(rows, "grp", "k", "k").collect()] == [(2, "rollout_seed")]
+    assert [(r.k, r.field) for r in identity.identity_violations(rows, "k").collect()] == [(3, "trainer_state_hash")]
+    same = identity.with_identity(rows).where("k = 1").first()
+    assert same.identity_sha256 == specs.digest({f: same[f] for f in (*identity.NUMBERS, *identity.DIGESTS)})
+
+
+def test_files_of_models_and_checkpoints(spark, tmp_path):
+    folder = tmp_path / "model"
+    (folder / "sub").mkdir(parents=True)
+    for name in ("config.json", "tokenizer.json", "w.safetensors", "w.partial.json", "sub/a.json", "identity.json"):
+        (folder / name).write_text(name)
+    (folder / "big.txt").write_bytes(b"x" * (files.PIECE + 1))
+    got = {r.path: (r.bytes, r.sha256) for r in files.model_folder(spark, str(folder)).collect()}
+    import hashlib
+
+    assert sorted(got) == ["big.txt", "config.json", "tokenizer.json", "w.safetensors"]
+    assert got["big.txt"] == (files.PIECE + 1, hashlib.sha256(b"x" * (files.PIECE + 1)).hexdigest())
+    listed = {p: {"bytes": b, "sha256": s} for p, (b, s) in got.items()}
+    digest = identity.digest_of_set(files.model_folder(spark, str(folder)).withColumn("m", F.lit(1)), ["m"], "path", "bytes", "sha256").first().digest
+    assert digest == specs.digest(listed)
+    (folder / "config.json").unlink()
+    with pytest.raises(ValueError, match="config.json"):
+        files.model_folder(spark, str(folder))
+    (tmp_path / "t.txt").write_bytes(b"a\r\nb\rc")
+    assert files.normalized_text_hash(spark, str(tmp_path / "t.txt")).first().sha256 == hashlib.sha256(b"a\nb\nc").hexdigest()
+
+
+def test_documents_and_configs(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"x": 1}')
+    (tmp_path / "l.json").write_text('[{"x": 1}, {"x": 2}]')
+    (tmp_path / "bad.json").write_text("{")
+    one = files.read_json_objects(spark, str(tmp_path / "a.json"), "x int").first()
+    assert one.x == 1 and one.folder.endswith(tmp_path.name)
+    assert [(r["index"], r.x) for r in files.read_json_list(spark, str(tmp_path / "l.json"), "x int").orderBy("index").collect()] == [(0, 1), (1, 2)]
+    with pytest.raises(TypeError):
+        files.read_json_objects(spark, str(tmp_path / "l.json"), "x int")
+    with pytest.raises(TypeError):
+        files.read_json_list(spark, str(tmp_path / "a.json"), "x int")
+    with pytest.raises(ValueError, match="bad.json"):
+        files.read_json_list(spark, str(tmp_path / "bad.json"), "x int")
+    sinks.write_config(str(tmp_path / "c" / "c.yaml"), {"schema_version": 1, "a": "é"})
+    assert files.load_config(str(tmp_path / "c" / "c.yaml")) == {"schema_version": 1, "a": "é"}
+    (tmp_path / "old.yaml").write_text("schema_version: 2")
+    with pytest.raises(ValueError, match="schema_version"):
+        files.load_config(str(tmp_path / "old.yaml"))
+    with pytest.raises(ValueError):
+        files.checkout_commit(str(tmp_path))
+    table = files.read_parquet(spark, f"{FOLDER}/nation.parquet", ["n_name"])
+    with pytest.raises(ValueError, match="zzz"):
+        files.read_parquet(spark, f"{FOLDER}/nation.parquet", ["zzz"])
+    assert table.count() == 25
+    sha = sinks.copy_exact(f"{FOLDER}/nation.parquet", str(tmp_path / "n.parquet"), files.tree(spark, FOLDER, "^nation").first().sha256)
+    with pytest.raises(ValueError):
+        sinks.copy_exact(f"{FOLDER}/region.parquet", str(tmp_path / "r.parquet"), sha)
+
+
+def test_splits_and_schedules_are_written_in_order(spark, tmp_path):
+    ids = spark.range(60).select(F.col("id").cast("string").alias("pid"), (F.col("id") * 2).alias("v"))
+    cut = protocol.split(ids.select("pid"), "pid", {"signal": 5, "eval": 7}, 11)
+    sinks.write_splits(protocol.split_records(cut, ids, "pid"), str(tmp_path / "s"))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.columns[0] == "pid" and back.where("split = 'eval'").count() == 7
+    schedule = protocol.schedule(protocol.prompt_queue(ids.select("pid"), "pid", 60, 30, 4, 2), ids, "pid")
+    sinks.write_schedule(schedule, str(tmp_path / "q"))
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 120
+    sinks.write_lines(schedule, str(tmp_path / "l"))
+    assert spark.read.json(str(tmp_path / "l")).count() == 120
+    with pytest.raises(ValueError):
+        protocol.branch_window(schedule, 28, 5, 30)
+    assert {r.rule for r in protocol.split_violations(ids.union(ids), "pid", {"a": 200}).collect()} == {"duplicate id", "nothing left for the trunk"}
+    assert protocol.split_violations(ids, "pid", {"a": 5}).isEmpty()
+    with pytest.raises(ValueError, match="both sides"):
+        protocol.check_overlap(ids, ids.limit(1), "pid")
+    protocol.check_overlap(ids, ids.limit(0), "pid")
+
+
+def test_masks_and_totals(spark):
+    rows = spark.createDataFrame([(1, [1.0, -2.0], [True, False]), (2, [99.0], [False])], "k long, v array<double>, m array<boolean>")
+    one = audit.masked_stats(audit.unmasked(rows, "v", "m", "k").withColumn("on", F.lit(True)), "x", "on").first()
+    assert (one.n_values, one.mean_abs, one.positive_rate, one.zero_rate) == (1, 1.0, 1.0, 0.0)
+    nested = spark.createDataFrame([(1, [[1.0, 2.0], [3.0, 4.0]], [True, False])], "k long, v array<array<double>>, m array<boolean>")
+    assert sorted(r.x for r in audit.unmasked(nested, "v", "m", "k").collect()) == [1.0, 2.0]
+    none = audit.masked_stats(rows.select(F.lit(1.0).alias("x"), F.lit(False).alias("on")), "x", "on").first()
+    assert none.n_values == 0 and none.p50_abs is None
