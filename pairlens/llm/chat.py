@@ -2,14 +2,15 @@
 
 A conversation is cut into windows at turn boundaries. Prefix sums of the turns'
 token counts choose the boundaries: turns whose sums begin in the same stride make a
-window, a stride being half of what the budget leaves beside the system turn and the
-repeated history, and a turn longer than a stride stands alone. So a window stays
-within the budget unless one turn alone exceeds it. Every window begins with the
-system turn and the last turns of the window before it; those are context and are
-masked, so each assistant text is a target once.
+window. What the budget leaves beside the system turn and the repeated history is the room;
+a turn longer than half of it stands alone, and the stride is the room less the longest of the
+other turns. So a window stays within the budget unless one turn alone exceeds it, and is as
+full as turns allow. Every window begins with the system turn and the last turns of the window
+before it; those are context and are masked, so each assistant text is a target once.
 
 A turn is ``<role>text</turn>``. In roles and texts the escapes ``\\b``, ``\\l`` and
 ``\\g`` stand for backslash, less-than and greater-than; no marker can appear there.
+Tokens are counted of turns as they are written, marks and escapes included.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ def unescape(text: Column) -> Column:
 
 
 def default_tokens(text: Column) -> Column:
-    """Estimate of a turn's tokens: a quarter of its bytes, and three for its marks."""
-    return F.ceil(F.octet_length(text) / 4) + 3
+    """Estimate of the tokens of a turn as it is written: a quarter of its bytes."""
+    return F.ceil(F.octet_length(text) / 4)
 
 
 def chat_windows(turns: DataFrame, budget: int = 2048, history_tokens: int = 256, history_turns: int = 2, tokens=default_tokens) -> DataFrame:
@@ -49,18 +50,23 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history_tokens: int = 256
     tokens. Null text and role count as empty; a null turn comes first and a null
     conv_id is a conversation of its own; rows alike in turn are ordered by role and
     text, and repeated rows are turns of their own. A conversation whose first turn
-    has the role system keeps it in every window. Extra columns are ignored; an empty
+    has the role system keeps it in every window. Equal turns are turns of their own, long
+    ones are kept whole. ``tokens`` counts a turn as it is written. Extra columns are ignored; an empty
     table gives no windows.
     """
     rows = turns.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     conv = Window.partitionBy("conv_id")
     ordered = conv.orderBy("turn", "role", "text")
-    rows = rows.withColumn("tokens", tokens(F.col("text")).cast("long")).withColumn("pos", F.row_number().over(ordered))
+    rows = rows.withColumn("open", F.concat(F.lit("<"), escape(F.col("role")), F.lit(">"))).withColumn("said", escape(F.col("text")))
+    rows = rows.withColumn("piece", F.concat("open", "said", F.lit(CLOSE)))
+    rows = rows.withColumn("tokens", tokens(F.col("piece")).cast("long")).withColumn("pos", F.row_number().over(ordered))
     rows = rows.withColumn("system", (F.col("pos") == 1) & (F.col("role") == "system"))
     body = F.when(F.col("system"), 0).otherwise(F.col("tokens"))
     head = F.max(F.when(F.col("system"), F.col("tokens")).otherwise(0)).over(conv)
-    rows = rows.withColumn("stride", F.greatest(F.lit(1), ((F.lit(budget - history_tokens) - head) / 2).cast("long")))
-    rows = rows.withColumn("cell", F.floor((F.sum(body).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - body) / F.col("stride"))).withColumn("alone", ~F.col("system") & (F.col("tokens") > F.col("stride")))
+    rows = rows.withColumn("room", F.greatest(F.lit(1), F.lit(budget - history_tokens) - head)).withColumn("alone", ~F.col("system") & (2 * F.col("tokens") > F.col("room")))
+    longest = F.max(F.when(~F.col("system") & ~F.col("alone"), F.col("tokens")).otherwise(0)).over(conv)
+    rows = rows.withColumn("stride", F.greatest(F.lit(1), F.col("room") - longest))
+    rows = rows.withColumn("cell", F.floor((F.sum(body).over(ordered.rowsBetween(Window.unboundedPreceding, 0)) - body) / F.col("stride")))
     # A window opens at the first turn that is not the system's, and where the stride changes or a long turn begins or ends.
     opens = (F.col("pos") == 1) | F.coalesce(F.lag("system").over(ordered), F.lit(False))
     opens = opens | (F.lag("cell").over(ordered) != F.col("cell")) | F.col("alone") | F.lag("alone").over(ordered)
@@ -74,9 +80,8 @@ def chat_windows(turns: DataFrame, budget: int = 2048, history_tokens: int = 256
     place = lambda window, kind: F.struct(window.cast("int").alias("window"), F.lit(kind).alias("kind"))
     later = F.when(F.col("system") & (F.col("last") > 1), F.transform(F.sequence(F.lit(2), F.greatest(F.lit(2), F.col("last"))), lambda w: place(w, 0)))
     places = F.concat(F.array(place(F.col("window"), 2)), F.when(F.col("again"), F.array(place(F.col("window") + 1, 1))).otherwise(F.array().cast("array<struct<window:int,kind:int>>")), F.coalesce(later, F.array().cast("array<struct<window:int,kind:int>>")))
-    rows = rows.withColumn("open", F.concat(F.lit("<"), escape(F.col("role")), F.lit(">"))).withColumn("said", escape(F.col("text")))
-    rows = rows.select("conv_id", "pos", "tokens", "open", "said", (F.col("role") == "assistant").alias("answer"), F.explode(places).alias("place"))
-    rows = rows.select("conv_id", F.col("place.window").alias("window"), F.col("place.kind").alias("kind"), "pos", "tokens", "answer", F.length("open").alias("lead"), F.length("said").alias("size"), F.concat("open", "said", F.lit(CLOSE)).alias("piece"))
+    rows = rows.select("conv_id", "pos", "tokens", "open", "said", "piece", (F.col("role") == "assistant").alias("answer"), F.explode(places).alias("place"))
+    rows = rows.select("conv_id", F.col("place.window").alias("window"), F.col("place.kind").alias("kind"), "pos", "tokens", "answer", F.length("open").alias("lead"), F.length("said").alias("size"), "piece")
     inside = Window.partitionBy("conv_id", "window").orderBy("kind", "pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("start", F.sum(F.length("piece")).over(inside) - F.length("piece") + F.col("lead"))
     windows = rows.groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("kind", "pos", "piece", "answer", "start", "size"))).alias("turns"), F.sum("tokens").alias("tokens"))
