@@ -1,11 +1,11 @@
 """Token-ID output: shards of ids compressed by Re-Pair grammars, decodable from any position.
 
-A shard is one binary value (little endian)::
+A shard is one binary value (its head is little endian)::
 
-    magic 'RP01' | uint32 first_symbol | uint32 n_rules | uint32 n_symbols | uint32 width
-    | uint64 n_tokens | uint32 n_docs | rules (left, right: uint32 each)
-    | uint32 expansion length of each rule | doc lengths (uint32 each)
-    | symbols (uint16 or uint32 by width)
+    magic 'RP02' | uint32 first_symbol | uint32 n_rules | uint32 n_symbols
+    | uint64 n_tokens | uint32 n_docs | uint8 bits of a value in each part that follows
+    | rules (left, right) | expansion length of each rule | doc lengths | symbols
+    each part as bits, highest first, filled up to a byte
 
 Rules replace a pair of symbols; a rule refers to ids and earlier rules only. The
 expansion lengths give the token position of every symbol, so a range of tokens is
@@ -26,56 +26,87 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranges, stored, tune
+from .common import ranges, slices, stored, tune
 from .tokens import token_cache
 
-_HEAD = struct.Struct("<4sIIIIQI")
+_HEAD = struct.Struct("<4sIIIQIBBBB")
+#: Ids read back at a time, from the symbols that cover them.
+READ = 1 << 16
 SHARD_SCHEMA = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, shard binary"
 
 
-def repair(ids: np.ndarray, rounds: int = 4, per_round: int = 1024, least: int = 8, bits: int = 18) -> tuple[np.ndarray, np.ndarray, int]:
+def repair(ids: np.ndarray, least: int = 8, bits: int = 18) -> tuple[np.ndarray, np.ndarray, int]:
     """Symbols, rules [n, 2] and the first rule's symbol for one shard of ids.
 
-    Each round counts adjacent pairs by a hash of ``bits`` bits, takes the most
-    frequent pairs (at least ``least`` uses), and replaces them from left to right.
+    Each round counts the adjacent pairs in a table of 2^bits slots, each of which stands for
+    one of its pairs, counted exactly; another hash in the next round lets the others have
+    their turn. A place is replaced if its pair is more frequent than those it overlaps, and a
+    pair replaced at half of ``least`` places or more becomes a rule. Rounds go on until no
+    pair occurs ``least`` times, by an exact count: the most frequent one always wins its places.
     """
     seq = ids.astype(np.uint32)
     first = symbol = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
+    factor = 0x9E3779B97F4A7C15
+    while len(seq) > least:
         key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
-        count = np.bincount(slot, minlength=1 << bits)
-        bar = max(least, int(np.partition(count, -per_round)[-per_round]))
-        at = np.flatnonzero(count[slot] >= bar)
-        if not len(at):
-            break
-        chosen = np.zeros(1 << bits, np.uint64)
-        chosen[slot[at]] = key[at]  # one pair of each slot; another of the same slot may come in a later round
-        at = at[chosen[slot[at]] == key[at]]
-        # Of overlapping uses, those at even places of a run of neighbours are taken.
-        head = np.concatenate(([True], np.diff(at) != 1))
-        run = np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))
-        at = at[(np.arange(len(at)) - run) % 2 == 0]
-        used, inverse, n = np.unique(slot[at], return_inverse=True, return_counts=True)
-        good = n >= 4
-        name = np.cumsum(good) - 1 + symbol
-        at, inverse = at[good[inverse]], inverse[good[inverse]]
-        if not len(at):
+        slot = ((key * np.uint64(factor)) >> np.uint64(64 - bits)).view(np.int64)
+        factor = (factor * 0x5851F42D4C957F2D + 2) & (1 << 64) - 1 | 1
+        maybe = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+        if not len(maybe):
             break
-        pair = chosen[used[good]]
+        part, where = key[maybe], slot[maybe]
+        stands = np.zeros(1 << bits, np.uint64)
+        stands[where] = part
+        mine = stands[where] == part
+        at, where = maybe[mine], where[mine]
+        count = np.bincount(where, minlength=1 << bits)
+        if count.max() < least:  # the slots' pairs are rare; are others of theirs not?
+            if np.unique(part, return_counts=True)[1].max() < least:
+                break
+            continue
+        slots = np.flatnonzero(count >= least)
+        slots = slots[np.argsort(count[slots], kind="stable")]
+        rank = np.zeros(1 << bits, np.int32)  # the most frequent highest, 0 where the pair is too rare
+        rank[slots] = np.arange(1, len(slots) + 1, dtype=np.int32)
+        here = np.zeros(len(key) + 2, np.int32)
+        here[at + 1] = rank[where]
+        places = np.flatnonzero(here)
+        left, mid, right = here[places - 1], here[places], here[places + 1]
+        # Where a pair overlaps itself, as in aaaa, every second place of the run counts.
+        run = np.maximum.accumulate(np.where(mid == left, 0, places))
+        taken = (mid >= left) & (mid >= right) & (((places - run) & 1) == 0)
+        taken, mid = places[taken] - 1, mid[taken]
+        uses = np.bincount(mid, minlength=len(slots) + 1)
+        good = uses >= max(2, least // 2)
+        taken, mid = taken[good[mid]], mid[good[mid]]
+        pair = stands[slots[np.flatnonzero(good) - 1]]
         rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        symbol += int(good.sum())
-        seq = seq.copy()
-        seq[at] = name[inverse].astype(np.uint32)
+        name = np.cumsum(good) - 1 + symbol
+        fresh = seq.copy()
+        fresh[taken] = name[mid].astype(np.uint32)
         keep = np.ones(len(seq), bool)
-        keep[at + 1] = False
-        seq = seq[keep]
+        keep[taken + 1] = False
+        seq, symbol = fresh[keep], symbol + int(good.sum())
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
+def pack_bits(values: np.ndarray) -> tuple[int, bytes]:
+    """(bits a value, the values' bits one after the other)."""
+    width = max(1, int(values.max(initial=0)).bit_length())
+    bits = np.unpackbits(values.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
+    return width, np.packbits(bits.ravel()).tobytes()
+
+
+def unpack_bits(blob: bytes, at: int, count: int, width: int) -> tuple[np.ndarray, int]:
+    """(``count`` values that begin at byte ``at``, the byte after them)."""
+    size = (count * width + 7) // 8
+    bits = np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=count * width).reshape(count, width)
+    whole = np.zeros((count, 32), np.uint8)
+    whole[:, 32 - width :] = bits
+    return np.packbits(whole, axis=1).view(">u4").ravel().astype(np.uint32), at + size
+
+
 def expansions(rules: np.ndarray, first: int) -> np.ndarray:
     """Number of ids that each rule stands for."""
     lengths = np.ones(len(rules), np.int64)
@@ -87,27 +118,23 @@ def expansions(rules: np.ndarray, first: int) -> np.ndarray:
 def pack_shard(ids: np.ndarray, doc_lengths: np.ndarray) -> bytes:
     """One shard of whole documents in the format of this module."""
     seq, rules, first = repair(ids)
-    top = first + len(rules)
-    width = 2 if top <= 1 << 16 else 4
-    head = _HEAD.pack(b"RP01", first, len(rules), len(seq), width, len(ids), len(doc_lengths))
-    return b"".join((head, rules.astype("<u4").tobytes(), expansions(rules, first).astype("<u4").tobytes(), doc_lengths.astype("<u4").tobytes(), seq.astype(f"<u{width}").tobytes()))
+    parts = [pack_bits(x) for x in (rules.ravel(), expansions(rules, first), doc_lengths, seq)]
+    head = _HEAD.pack(b"RP02", first, len(rules), len(seq), len(ids), len(doc_lengths), *[width for width, _ in parts])
+    return head + b"".join(body for _, body in parts)
 
 
 class Shard:
     """Random access to one packed shard."""
 
     def __init__(self, blob: bytes):
-        magic, self.first, n_rules, n_symbols, width, self.n_tokens, n_docs = _HEAD.unpack_from(blob)
-        if magic != b"RP01":
+        magic, self.first, n_rules, n_symbols, self.n_tokens, n_docs, *widths = _HEAD.unpack_from(blob)
+        if magic != b"RP02":
             raise ValueError("not a token shard")
-        at = _HEAD.size
-        self.rules = np.frombuffer(blob, "<u4", 2 * n_rules, at).reshape(-1, 2)
-        at += 8 * n_rules
-        self.lengths = np.frombuffer(blob, "<u4", n_rules, at)
-        at += 4 * n_rules
-        self.doc_lengths = np.frombuffer(blob, "<u4", n_docs, at).astype(np.int64)
-        at += 4 * n_docs
-        self.symbols = np.frombuffer(blob, f"<u{width}", n_symbols, at)
+        at, parts = _HEAD.size, []
+        for count, width in zip((2 * n_rules, n_rules, n_docs, n_symbols), widths, strict=True):
+            values, at = unpack_bits(blob, at, count, width)
+            parts.append(values)
+        self.rules, self.lengths, self.doc_lengths, self.symbols = parts[0].reshape(-1, 2), parts[1], parts[2].astype(np.int64), parts[3]
         self._ends: np.ndarray | None = None
         self._flat: np.ndarray | None = None
 
@@ -200,10 +227,12 @@ def read_shards(shards: DataFrame) -> DataFrame:
         for batch in batches:
             for start, docs, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 shard = Shard(blob)
-                ids = memoryview(shard.all().astype("<u4").tobytes())
                 ends = np.cumsum(shard.doc_lengths)
                 begins = ends - shard.doc_lengths
-                crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                crc: list[int] = []
+                for a, b in slices(np.concatenate(([0], ends)), READ):
+                    ids = memoryview(shard.slice(int(begins[a]), int(ends[b - 1])).astype("<u4").tobytes())
+                    crc += [zlib.crc32(ids[4 * (x - begins[a]) : 4 * (y - begins[a])]) for x, y in zip(begins[a:b].tolist(), ends[a:b].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(begins + start), pa.array(shard.doc_lengths), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = shards.join(F.broadcast(base), "part").select(  # as many rows as there were writing tasks

@@ -3,18 +3,19 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
 from pairlens.llm import packing, queries
 from pairlens.llm.chat import chat_windows, read_windows
-from pairlens.llm.decontaminate import contaminated, weighted_similarity
+from pairlens.llm.decontaminate import _words, contaminated, weighted_similarity
 from pairlens.llm.html_text import extract_pages, main_text
 from pairlens.llm.near_copies import Tiles, drop_near_copies, jaccard
 from pairlens.llm.neighbours import nearest
 from pairlens.llm.packing import best_fit_packing
-from pairlens.llm.simhash import _shingles, fingerprint, simhash_groups
+from pairlens.llm.simhash import _shingles, fingerprint, near_links, simhash_groups
 from pairlens.llm.suffix_dedup import Suffixes, suffix_dedup
 from pairlens.llm.token_output import Shard, pack_shard, token_output
 from pyspark.sql import functions as F
@@ -118,6 +119,155 @@ def test_decontamination(spark):
     assert contaminated(spark.createDataFrame(docs, DOCS), bench.limit(0)).count() == 0
 
 
+def windows_by_brute_force(text, items):
+    """{item: (first word, words, similarity)} of the best window over all windows of a text."""
+    own, found = _words(text), {}
+    for i, item in enumerate(items):
+        asked = _words(item or "")
+        n = min(len(asked), len(own))
+        for start in range(len(own) - n + 1 if n else 0):
+            part = own[start : start + n]
+            alike = float(part == asked) if min(len(part), len(asked)) < 5 else weighted_similarity(part, asked)
+            if alike >= 0.8 and alike > found.get(i, (0, 0, 0))[2]:
+                found[i] = (start, n, alike)
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(4)
+    items = [words(rng, n, 5000) for n in (5, 6, 9, 12, 15, 30, 60, 3, 1, 4)] + [None, "", words(rng, 20, 3)]
+    texts = []
+    for _ in range(150):
+        part = (items[rng.choice((0, 1, 2, 3, 4, 5, 6, 7, 9, 12))]).split()
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(part))
+            part[k : k + rng.randrange(2)] = ["new"] * rng.randrange(2)
+        texts.append(f"{words(rng, rng.randrange(40), 3000)} {' '.join(part).upper()}, {words(rng, rng.randrange(40), 3000)}")
+    texts += [None, "", items[8], items[7], f"{items[6]} {items[6]}", " ".join(items[5].split()[:26]), texts[0], "x " * 150_000 + items[4]]
+    rows = [(i if i != 5 else None, t, "", 1, "") for i, t in enumerate(texts)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = sorted((str(rows[k][0]), i, *w) for k, t in enumerate(texts) for i, w in windows_by_brute_force(t or "", items).items())
+    for size in (32 << 20, 100):
+        got = contaminated(spark.createDataFrame(rows, DOCS), bench, block_bytes=size).collect()
+        assert sorted((str(r.doc_id), r.item_id, r.window_start, r.n_words, r.similarity) for r in got) == want
+    assert len(want) > 100
+
+
+def test_tiles_of_many_chunks_lose_no_link(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 63, 12, dtype=np.uint64)
+    prints = np.unique(np.concatenate([base ^ np.uint64(1 << k) for k in range(20)] + [base ^ np.uint64(3 << k) for k in range(0, 60, 7)]))
+    links = near_links(spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long"), 3, rows_per_tile=3).collect()
+    root = {int(x): int(x) for x in prints.view(np.int64)}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        assert ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 3
+        root[top(a)] = top(b)
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 3
+    for i, j in zip(*np.nonzero(near), strict=True):
+        assert top(int(prints.view(np.int64)[i])) == top(int(prints.view(np.int64)[j]))
+
+
+def triplets(rng, bins):
+    """Lengths of which three fill a bin of 1000 each, where best fit mostly fails."""
+    out = []
+    for _ in range(bins):
+        a, b = rng.integers(250, 500, 2)
+        while not 250 <= 1000 - a - b < 500:
+            a, b = rng.integers(250, 500, 2)
+        out += [a, b, 1000 - a - b]
+    return np.array(out)
+
+
+def test_genetic_packing_beats_best_fit(spark):
+    rng = np.random.default_rng(3)
+    lengths = triplets(rng, 40)
+    plain = np.zeros(len(lengths), np.int32)
+    first = packing.best_fit(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), [], plain, 0, 1000)
+    isle = packing.Island(lengths, 1000, 7)
+    isle.start()
+    assert isle.pop[0][0] > isle.least == 40  # best fit misses the bound
+    isle.evolve(300)
+    assert isle.pop[0][0] < first
+    fill = np.bincount(isle.pop[0][2], lengths)
+    assert fill.max() <= 1000 and fill.sum() == lengths.sum()
+    rows = [(i, 0, 0, int(x), 0, i) for i, x in enumerate(lengths)]
+    pieces = spark.createDataFrame(rows, packing.PIECE)
+    bins = {}
+    for epochs in (1, 4):
+        got = packing.pack_pieces(pieces, 1000, islands=3, epochs=epochs, generations=40).toPandas()
+        assert sorted(got.doc_id) == list(range(len(lengths))) and got.groupby("sequence_id").length.sum().max() <= 1000
+        bins[epochs] = got.sequence_id.nunique()
+    assert bins[4] <= bins[1] and bins[4] < first  # further epochs begin with their neighbours' elites
+
+
+def test_crossover_keeps_whole_bins():
+    rng = np.random.default_rng(3)
+    lengths = triplets(rng, 12)
+    isle = packing.Island(lengths, 1000, 1)
+    isle.start()
+    a, b = isle.pop[0][2], isle.pop[1][2]
+    child = isle.child(a, b)
+    of = lambda owner: {frozenset(np.flatnonzero(owner == k).tolist()) for k in np.unique(owner)}
+    assert of(child) & of(b) and np.bincount(np.unique(child, return_inverse=True)[1], lengths).max() <= 1000
+
+
+def test_nearest_of_ties_repeats_and_clashing_columns(spark):
+    x = [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [2.0, 0.0], [0.6, 0.8], [-1.0, 0.0], [1.0, 0.0]]
+    rows = [(i, v, 1, 0, "t") for i, v in enumerate(x)] + [(3, [0.5, 0.0], 1, 0, "t"), (None, [9.0, 0.0], 1, 0, "t"), (8, [], 1, 0, "t"), (9, [1.0], 1, 0, "t")]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket int, rank int, score string")
+    got = nearest(table, table.where("vec_id = 0"), k=4).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id, r.score) for r in got] == [(0, 1, 3, 2.0), (0, 2, 1, 1.0), (0, 3, 6, 1.0), (0, 4, 4, 0.6)]
+    floats = table.withColumn("embedding", F.col("embedding").cast("array<float>"))
+    assert [r.vec_id for r in nearest(floats, floats.where("vec_id = 0"), k=9).orderBy("rank").collect()] == [3, 1, 6, 4, 2, 5]
+
+
+def test_language_and_quality_of_odd_rows(spark):
+    from pairlens.llm import lang_id, quality
+
+    rng = random.Random(6)
+    docs = [(i, (words(rng, 60) if i % 2 else "der die das und nicht " * 9), "xy"[i % 2], 1, "s") for i in range(60)]
+    docs += [(None, None, None, 1, ""), (70, "", "x", 1, ""), (70, "12 34 !", "x", 1, ""), (71, "der die das " * 60_000, "x", 1, ""), (1, docs[1][1], "y", 1, "s")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string, score int, held_out string")
+    held = F.lit(False)
+    found = lang_id.predict(table, lang_id.train(table), held).collect()
+    assert len(found) == len(docs) and all(0 <= r.score <= 1 for r in found)
+    assert sorted(r.lang_pred for r in found if r.doc_id in (None, 70)) == ["und"] * 3 and {r.lang_pred for r in found if r.doc_id == 71} == {"x"}
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, None), (None, 1), (2, 7), (999, 1)], "doc_id long, quality int")
+    scored = quality.score(table, quality.train(table, labels), held).collect()
+    assert len(scored) == len(docs) and all(r.predicted == (r.score >= 0.3) for r in scored)
+    by = {}
+    for r in scored:
+        by.setdefault(r.doc_id, set()).add(round(r.score, 6))
+    assert len(by[1]) == 1 and max(by[71]) < 0.3 < min(by[1])
+
+
+def test_features_are_characters_not_bytes():
+    from pairlens.llm.quality import features
+
+    bucket, bounds = features(["é é", "", "ab ab ab"])
+    assert np.diff(bounds).tolist() == [2 + 2 + 1, 0, 3 + 3 + 3 + 2]
+    again, _ = features(["é é"])
+    assert (bucket[: bounds[1]] == again).all()
+
+
+def test_pair_grammar_ends_when_no_pair_is_frequent():
+    rng = np.random.default_rng(1)
+    for n, k in ((0, 5), (1, 5), (5000, 30), (20_000, 4), (3000, 1), (50_000, 3000)):
+        ids = rng.integers(0, k, n).astype(np.uint32)
+        shard = Shard(pack_shard(ids, np.array([n])))
+        assert (shard.all() == ids).all()
+        pairs = list(zip(shard.symbols[:-1].tolist(), shard.symbols[1:].tolist(), strict=True))
+        assert max(Counter(pairs).values(), default=0) < 8
+        for a, b in rng.integers(0, n + 1, (20, 2)).tolist():
+            assert (shard.slice(min(a, b), max(a, b)) == ids[min(a, b) : max(a, b)]).all()
+
+
 def test_chat_round_trip(spark):
     rng = random.Random(5)
     rows = [(c, t, ("system", "user", "assistant")[t % 3] if t < 2 else ("assistant", "user")[t % 2], words(rng, rng.randrange(0, 400))) for c in range(4) for t in range(9)]
