@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import drop_stored, stored, tune
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -101,12 +101,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     spark = vectors.sparkSession
     tune(spark)
 
+    floats = all(dict(df.dtypes)[vector_col] == "array<float>" for df in (vectors, queries))
+    kept = "array<float>" if floats else "array<double>"  # floats are half as much to shuffle; scores are doubles
+
     def valid(df: DataFrame) -> DataFrame:
         v = F.col(vector_col)
         fine = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-        return df.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("v"))
+        return df.where(F.col(id_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), v.cast(kept).alias("v"))
 
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows = valid(vectors)
     about = rows.groupBy(F.size("v").alias("dim")).agg(F.max(square).alias("square")).orderBy(F.desc("dim")).limit(1).collect()
     if not about:
@@ -136,7 +139,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
                     at = np.repeat(np.arange(len(visit)), [len(v) for v in visit])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(_key(np.array([p for v in visit for p in v]))), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at))], ["t", "bucket", "id", "v"])
 
-    kind = "t int, bucket long, id long, v array<double>"
+    kind = f"t int, bucket long, id long, v {kept}"
     # Full buckets are cut into chunks by id, and their visitors go to every chunk.
     filed = stored(rows.mapInArrow(index, kind), "buckets")
     sizes = filed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
@@ -144,6 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     visitors = asked.mapInArrow(ask, kind).join(sizes, ["t", "bucket"]).select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("visitor"), "id", "v")
     met = homes.union(visitors).repartition("t", "bucket", "chunk").sortWithinPartitions("t", "bucket", "chunk", "visitor", "id")
     found = stored(met.mapInArrow(_scorer(k), FOUND), "found")
+    drop_stored(filed)
     final = _ranked(found, k)
     # Queries whose visits brought fewer than k candidates meet all rows, in blocks.
     total = rows.select("id").distinct().count()
@@ -151,6 +155,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     short = asked.join(got.withColumnRenamed("query_id", "id"), "id", "left").where(F.coalesce("n", F.lit(0)) < min(k, total - 1)).select("id", "v")
     short = stored(short, "short")
     if short.isEmpty():
+        drop_stored(short)
         return final
     rest = _all_rows(rows, short, k, chunk_rows)
     kept = final.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
