@@ -120,7 +120,7 @@ def tile_links(own: np.ndarray, other: np.ndarray, radius: int, same: bool) -> l
 
 
 def near_links(distinct: DataFrame, radius: int, rows_per_tile: int = 20_000) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) within ``radius``: a spanning forest by pair of tiles."""
+    """Stored links (a, b) between distinct fingerprints (column fp) within ``radius``: a spanning forest by pair of tiles."""
     steps = [(i, j) for i in range(-radius, radius + 1) for j in range(-radius, radius + 1) if abs(i) + abs(j) <= radius and (i, j) >= (0, 0)]
     low, high = _half(F.col("fp"), False), _half(F.col("fp"), True)
     # Each fingerprint is at home in its tile and a guest in the tiles before it, packed by (tile, chunk) first.
@@ -129,9 +129,13 @@ def near_links(distinct: DataFrame, radius: int, rows_per_tile: int = 20_000) ->
     sizes = homes.groupBy("lo", "hi").agg(F.ceil(F.count("*") / rows_per_tile).cast("int").alias("chunks"))  # 33 * 33 rows at most
     homes = homes.join(F.broadcast(sizes), ["lo", "hi"])
     packed = homes.groupBy("lo", "hi", "chunks", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk")).agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-    guests = packed.select(F.explode(F.array(*[F.struct((F.col("lo") - i).alias("lo"), (F.col("hi") - j).alias("hi"), F.lit(int((i, j) == (0, 0))).alias("same")) for i, j in steps])).alias("t"), F.col("chunk").alias("guest"), F.col("fps").alias("other"))
-    guests = guests.select("t.lo", "t.hi", "t.same", "guest", "other")
-    pairs = packed.withColumnRenamed("fps", "own").join(guests, ["lo", "hi"]).where("same = 0 or chunk <= guest")
+    packed = stored(packed, "tiles")
+    # Pairs of chunks are named first (a row each), so that the fingerprints of a full tile meet by chunk, in as many tasks as there are pairs.
+    ends = packed.select("lo", "hi", "chunk")
+    near = ends.select(F.explode(F.array(*[F.struct((F.col("lo") - i).alias("lo"), (F.col("hi") - j).alias("hi"), F.lit(int((i, j) == (0, 0))).alias("same")) for i, j in steps])).alias("t"), F.col("lo").alias("glo"), F.col("hi").alias("ghi"), F.col("chunk").alias("guest"))
+    met = ends.join(near.select("t.lo", "t.hi", "t.same", "glo", "ghi", "guest"), ["lo", "hi"]).where("same = 0 or chunk <= guest")
+    guests = packed.select(F.col("lo").alias("glo"), F.col("hi").alias("ghi"), F.col("chunk").alias("guest"), F.col("fps").alias("other"))
+    pairs = met.join(packed.select("lo", "hi", "chunk", F.col("fps").alias("own")), ["lo", "hi", "chunk"]).join(guests, ["glo", "ghi", "guest"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +147,9 @@ def near_links(distinct: DataFrame, radius: int, rows_per_tile: int = 20_000) ->
                     a, b = np.array(links, np.int64).T
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return pairs.repartition("lo", "hi", "chunk", "guest", "same").mapInArrow(run, "a long, b long")
+    found = stored(pairs.repartition("lo", "hi", "glo", "ghi", "chunk", "guest").mapInArrow(run, "a long, b long"), "links")
+    drop_stored(packed)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,7 +189,7 @@ def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3, id_col: str
     tune(docs.sparkSession)
     marked = stored(fingerprints(docs, words, id_col, text_col), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    links = stored(near_links(classes.select("fp"), radius), "links")
+    links = near_links(classes.select("fp"), radius)
     if links.isEmpty():
         least = classes.select("fp", F.col("first").alias("component_id"))
     else:
