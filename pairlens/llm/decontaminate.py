@@ -2,17 +2,20 @@
 
 Words are runs of letters and digits, case folded; shingles are five words. A window
 has as many shingles as the item it is held against. Two such windows are 0.8 alike
-(sum of smaller over sum of larger shingle counts) only if at least 8/9 of the
-window's shingles are the item's, so only such windows are fingerprinted; none that
-could qualify is left out. The index cuts fingerprints into eight blocks: two that
-differ in at most ``radius`` bits agree in some block up to radius // 8 bits, and the
-tables list, for every value of a block, the items within that many bits. Windows
-found so and within the radius are verified on the words themselves.
+(sum of smaller over sum of larger shingle counts) only if at least 8/9 of the window's
+shingles are the item's, so windows with fewer shingles of any item of their size get no
+fingerprint; none that could qualify is left out. Which items a window may hold is
+asked of its fingerprint alone: it has 256 bits, in 32 blocks of eight. Two that differ in
+at most ``radius`` bits agree in some block up to radius // 32 bits, and the tables list, for
+every value of a block, the items within that many bits. The radius depends on the size:
+windows 0.8 alike lie beyond it with a probability of at most 1e-9 (see ``near_copies.reach``).
+Items found so and within the radius are verified on the words themselves.
+At such radii the blocks rule out few items; the distance over all blocks does that.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ranges, tune
+from .near_copies import reach
 
 SHINGLE = 5
-BLOCKS = 8
+BLOCKS = 32
 FOUND = "doc_id long, item_id long, window_start long, n_words long, distance int, similarity double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -47,11 +51,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each shingle, n+1 bounds of each text's shingles, words of each text).
-
-    A text with fewer than five words, but some, is one shingle.
-    """
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, n+1 bounds of each text's words)."""
     low = [t.casefold() for t in texts]
     code = np.frombuffer((" " + " ".join(low) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
     size = np.fromiter((len(t) + 1 for t in low), np.int64, len(low))
@@ -61,27 +62,33 @@ def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     room = 1 << max(16, int(len(code)).bit_length())
     prefix = np.concatenate(([np.uint64(0)], np.cumsum((code.astype(np.uint64) + np.uint64(7)) * _powers(False, room)[: len(code)], dtype=np.uint64)))
     word = _mix((prefix[end] - prefix[start]) * _powers(True, room)[start])
-    first = np.concatenate(([0], np.searchsorted(start, np.cumsum(size) + 1 - 1, side="left"))) if len(low) else np.zeros(1, np.int64)
-    words = np.diff(first)
-    count = np.where(words >= SHINGLE, words - SHINGLE + 1, np.minimum(words, 1))
-    bounds = np.concatenate(([0], np.cumsum(count)))
+    return word, np.concatenate(([0], np.searchsorted(start, np.cumsum(size) + 1 - 1, side="left"))) if low else np.zeros(1, np.int64)
+
+
+def window_hashes(word: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each run of ``length`` words, n+1 bounds of each text's runs)."""
+    count = np.maximum(np.diff(first) - length + 1, 0)
     at = ranges(first[:-1], count)
     out = np.zeros(len(at), np.uint64)
-    length = np.minimum(np.repeat(words, count), SHINGLE)
-    for k in range(SHINGLE):
-        has = length > k
-        out[has] = (out[has] + word[at[has] + k]) * _MIX
-    return _mix(out + length.astype(np.uint64)), bounds, words
+    for k in range(length):
+        out = (out + word[at + k]) * _MIX
+    return _mix(out + np.uint64(length)), np.concatenate(([0], np.cumsum(count)))
+
+
+@lru_cache(maxsize=1)
+def _lanes() -> np.ndarray:
+    return np.arange(4, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)
 
 
 def _prints(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """SimHash of each window of ``n`` shingles from ``starts``."""
+    """SimHash [windows, 32 bytes] of each window of ``n`` shingles from ``starts``, by prefix sums of bits."""
     low = int(starts.min())
     span = hashes[low : int(starts.max()) + n]
-    bits = np.unpackbits(span.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+    wide = _mix(span[:, None] + _lanes()[None, :])
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(-1, BLOCKS), axis=1, bitorder="little")
+    sums = np.concatenate((np.zeros((1, 8 * BLOCKS), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
     ones = sums[starts - low + n] - sums[starts - low]
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view("<u8").ravel()
+    return np.packbits(2 * ones > n, axis=1, bitorder="little")
 
 
 def normal_words(text: str) -> list[str]:
@@ -104,85 +111,107 @@ def weighted_similarity(a: list[str], b: list[str]) -> float:
     return both / total if total else 0.0
 
 
+class _Size:
+    """The items of one number of shingles: the shingles that any of them has, and the multi-index of their fingerprints."""
+
+    def __init__(self, items: list[int], hashes: list[np.ndarray], threshold: float, radius: int | None):
+        self.items, self.n = np.array(items), len(hashes[0])
+        self.known = np.unique(np.concatenate(hashes))
+        self.need = threshold * 2 * self.n / (1 + threshold) - 1e-9
+        limits = reach(threshold)
+        least = max(1, int(threshold * self.n))  # a text with fewer shingles than that has too few for the item
+        self.radius = int(limits[min(least, len(limits) - 1)]) if radius is None else radius
+        self.prints = np.concatenate([_prints(h, np.zeros(1, np.int64), self.n) for h in hashes])
+        value = np.arange(256, dtype=np.uint8)
+        within = np.bitwise_count(value[:, None, None] ^ self.prints[None]) <= self.radius // BLOCKS  # [value, item, block]
+        self.tables = [[np.flatnonzero(row) for row in within[:, :, b]] for b in range(BLOCKS)]
+
+    def near(self, fp: np.ndarray) -> list[tuple[int, int]]:
+        """(place among the items, distance) of every item whose fingerprint is within the radius of ``fp``."""
+        found = np.unique(np.concatenate([table[v] for table, v in zip(self.tables, fp.tolist(), strict=True)]))
+        distance = np.bitwise_count(self.prints[found] ^ fp).sum(1, dtype=np.int64)
+        return [(int(i), int(d)) for i, d in zip(found, distance, strict=True) if d <= self.radius]
+
+
 class ItemIndex:
-    """A block of benchmark items: their shingles and the multi-index of their fingerprints."""
-
-    def __init__(self, ids: list, texts: list[str], threshold: float, radius: int):
-        self.threshold, self.radius = threshold, radius
-        hashes, bounds, words = shingle_hashes(texts)
-        keep = np.flatnonzero(np.diff(bounds))
-        self.ids, self.words = [ids[i] for i in keep], [_words(texts[i]) for i in keep]
-        self.sizes = np.diff(bounds)[keep]
-        owner = np.repeat(np.arange(len(keep)), self.sizes)
-        flat = hashes[ranges(bounds[keep], self.sizes)]
-        pairs = np.unique(np.stack([flat, owner.astype(np.uint64)], 1), axis=0) if len(flat) else np.zeros((0, 2), np.uint64)
-        self.shingle, self.owner = pairs[:, 0].copy(), pairs[:, 1].astype(np.int64)
+    """Benchmark items by the number of their shingles; items of fewer than five words by the hash of all their words."""
+
+    def __init__(self, ids: list, texts: list[str], threshold: float, radius: int | None = None):
+        self.threshold = threshold
+        self.ids, self.words = ids, [_words(t) for t in texts]
+        word, first = word_hashes(texts)
+        by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
+        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        for i, words in enumerate(self.words):
+            own = word[first[i] : first[i + 1]]
+            if len(words) >= SHINGLE:
+                by_size[len(words) - SHINGLE + 1].append((i, window_hashes(own, np.array([0, len(own)]), SHINGLE)[0]))
+            elif words:
+                self.short[len(words)][int(window_hashes(own, np.array([0, len(own)]), len(words))[0][0])].append(i)
+        self.sizes = [_Size([i for i, _ in some], [h for _, h in some], threshold, radius) for _, some in sorted(by_size.items())]
+        every = np.concatenate([s.known for s in self.sizes]) if self.sizes else np.zeros(0, np.uint64)
         self.filter = np.zeros(1 << 20, bool)
-        self.filter[(self.shingle >> np.uint64(44)).astype(np.int64)] = True
-        begin = np.cumsum(self.sizes) - self.sizes
-        self.prints = np.concatenate([_prints(flat, np.array([b]), int(n)) for b, n in zip(begin, self.sizes, strict=True)]) if len(keep) else np.zeros(0, np.uint64)
-        value = np.arange(256, dtype=np.uint8)
-        self.tables = [[np.flatnonzero(row) for row in np.bitwise_count(value[:, None] ^ self.prints.view(np.uint8).reshape(-1, 8)[:, b][None, :]) <= radius // BLOCKS] for b in range(BLOCKS)]
-
-    def near(self, fp: int) -> np.ndarray:
-        """Every item whose fingerprint is within the radius of ``fp``."""
-        found = np.unique(np.concatenate([self.tables[b][(fp >> (8 * b)) & 255] for b in range(BLOCKS)]))
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fp)) <= self.radius]
-
-    def search(self, hashes: np.ndarray, bounds: np.ndarray, texts: list[str]) -> list[tuple[int, int, int, int, int, float]]:
-        """(text, item, first word, words, distance, similarity) of the best window for each text and item."""
-        out: list[tuple[int, int, int, int, int, float]] = []
-        if not len(self.shingle) or not len(hashes):
-            return out
-        maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
-        low = np.searchsorted(self.shingle, hashes[maybe], side="left")
-        high = np.searchsorted(self.shingle, hashes[maybe], side="right")
-        at, item = np.repeat(maybe, high - low), self.owner[ranges(low, high - low)]
-        if not len(at):
-            return out
-        text = np.searchsorted(bounds, at, side="right") - 1
-        order = np.lexsort((at, item, text))
-        at, item, text = at[order], item[order], text[order]
-        heads = np.flatnonzero(np.concatenate(([True], (np.diff(text) != 0) | (np.diff(item) != 0))))
+        self.filter[(every >> np.uint64(44)).astype(np.int64)] = True
+
+    def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, float]]:
+        """(text, item, first word, words, distance, similarity) of the best window for each text and item, the first of equal ones."""
+        word, first = word_hashes(texts)
+        best: dict[tuple[int, int], tuple[int, int, int, float]] = {}
         split: dict[int, list[str]] = {}
-        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(at)], strict=True):
-            t, i, hits = int(text[a]), int(item[a]), at[a:b]
-            first, last = int(bounds[t]), int(bounds[t + 1])
-            n = min(int(self.sizes[i]), last - first)
-            need = self.threshold * (n + int(self.sizes[i])) / (1 + self.threshold) - 1e-9
-            if len(hits) < need:
-                continue
-            # Windows that begin at or before each hit, as far back as they still hold it.
-            starts = np.unique(ranges(np.maximum(hits - n + 1, first), np.minimum(hits, last - n) - np.maximum(hits - n + 1, first) + 1))
-            starts = starts[np.searchsorted(hits, starts + n) - np.searchsorted(hits, starts) >= need]
-            if not len(starts):
-                continue
+
+        def offer(t: int, i: int, start: int, size: int, distance: int) -> None:
             if t not in split:
                 split[t] = _words(texts[t])
-            best = None
-            for s, fp in zip(starts.tolist(), _prints(hashes, starts, n).tolist(), strict=True):
-                if i not in self.near(fp):
+            alike = weighted_similarity(split[t][start : start + size], self.words[i])
+            if alike >= self.threshold and ((t, i) not in best or alike > best[t, i][3]):
+                best[t, i] = (start, size, distance, alike)
+
+        for size, known in self.short.items():
+            hashes, bounds = window_hashes(word, first, size)
+            for at in np.flatnonzero(np.isin(hashes, np.array(list(known), np.uint64))).tolist():
+                t = int(np.searchsorted(bounds, at, side="right")) - 1
+                for i in known[int(hashes[at])]:
+                    offer(t, i, at - int(bounds[t]), size, 0)
+        hashes, bounds = window_hashes(word, first, SHINGLE)
+        hits = self.filter[(hashes >> np.uint64(44)).astype(np.int64)] if len(hashes) else np.zeros(0, bool)
+        sums = np.concatenate(([0], np.cumsum(hits)))
+        for t in np.flatnonzero(sums[bounds[1:]] > sums[bounds[:-1]]).tolist():
+            a, b = int(bounds[t]), int(bounds[t + 1])
+            mine, count = hashes[a:b], int(sums[b] - sums[a])
+            for some in self.sizes:
+                if count < some.need * min(1, (b - a) / some.n):
                     continue
-                word = s - first
-                size = len(self.words[i]) if n == self.sizes[i] else len(split[t])
-                alike = weighted_similarity(split[t][word : word + size], self.words[i])
-                if alike >= self.threshold and (best is None or alike > best[5]):
-                    best = (t, i, word, size, int(fp ^ int(self.prints[i])).bit_count(), alike)
-            if best:
-                out.append(best)
-        return out
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 24, block_items: int = 5000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+                self._windows(some, t, mine, hits[a:b], len(_words(texts[t])) if b - a < some.n else 0, offer)
+        return [(t, i, *found) for (t, i), found in sorted(best.items())]
+
+    def _windows(self, some: _Size, t: int, mine: np.ndarray, hits: np.ndarray, whole: int, offer) -> None:
+        """Offer the windows of one text that may hold items of one size; a shorter text is one window of all its words."""
+        n = min(some.n, len(mine))
+        need = some.need if n == some.n else self.threshold * (n + some.n) / (1 + self.threshold) - 1e-9
+        if need > n:
+            return
+        known = np.zeros(len(mine), np.int64)
+        at = np.flatnonzero(hits)
+        known[at] = np.isin(mine[at], some.known)
+        sums = np.concatenate(([0], np.cumsum(known)))
+        starts = np.flatnonzero(sums[n:] - sums[:-n] >= need)
+        for k in range(0, len(starts), 4096):
+            part = starts[k : k + 4096]
+            for start, fp in zip(part.tolist(), _prints(mine, part, n), strict=True):
+                for i, distance in some.near(fp):
+                    offer(t, int(some.items[i]), start, whole or n + SHINGLE - 1, distance)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item of which it holds a window: FOUND.
 
     The window with the highest similarity is given, the first of equal ones. Null
-    and empty texts, and items without a word, have no rows. A text or item of fewer
-    than five words is one shingle, so a short item matches only a text of just
-    those words. A document shorter than the item is one window. Rows that share an
-    id all appear, a null id is kept, extra columns are ignored, and an empty table
-    on either side gives no rows. Items are broadcast in blocks of ``block_items``;
-    each block is a pass over the documents.
+    and empty texts, and items without a word, have no rows. An item of fewer than five
+    words is one shingle: it is found wherever its words stand together. A document with fewer
+    shingles than the item is one window. Rows that share an id all appear, items that share
+    one too; a null id is kept, extra columns are ignored, long texts are read whole, and an
+    empty table on either side gives no rows. Items are broadcast in blocks of ``block_bytes``
+    of text; each block is a pass over the documents, so benchmarks up to that size take one.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -190,6 +219,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     found: DataFrame | None = None
     block: list = []
+    held = 0
 
     def search(some: list) -> DataFrame:
         shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in some])
@@ -199,9 +229,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
             for batch in batches:
                 for a in range(0, batch.num_rows, 200):
                     part = batch.slice(a, 200)
-                    texts = [t or "" for t in part.column(1).to_pylist()]
-                    hashes, bounds, _ = shingle_hashes(texts)
-                    rows = index.search(hashes, bounds, texts)
+                    rows = index.search([t or "" for t in part.column(1).to_pylist()])
                     if rows:
                         t, i, start, size, distance, alike = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array([index.ids[k] for k in i], pa.int64()), pa.array(start, pa.int64()), pa.array(size, pa.int64()), pa.array(distance, pa.int32()), pa.array(alike, pa.float64())], [f.split()[0] for f in FOUND.split(", ")])
@@ -210,9 +238,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
     for row in items.orderBy("item_id", "text").toLocalIterator():
         block.append(row)
-        if len(block) == block_items:
+        held += len(row.text)
+        if held >= block_bytes:
             found = search(block) if found is None else found.union(search(block))
-            block = []
+            block, held = [], 0
     if block or found is None:
         found = search(block) if found is None else found.union(search(block))
     return found
