@@ -10,9 +10,12 @@ of ``BANDS`` bands: sets 0.8 alike share no tile with a probability of (1 - 0.8^
 7e-10. Large tiles are cut into chunks, which meet in pairs. Inside a task blocks of
 fingerprints whose sizes are too far apart, or whose bit counts differ beyond the radius,
 are skipped; the rest is compared in full by exclusive-or and bit counts. A task returns
-a forest of its links, nearest first, so groups of near copies never become all pairs.
-Every link is then verified on the shingles of both texts; only verified links make
-groups. What is near, but still in different groups, is verified in further rounds.
+a forest of its links, so groups of near copies never become all pairs.
+
+What these forests reach is a cloud: any two fingerprints within the radius are in one. Only
+then do shingles move, each set once, to its cloud, which is cut into chunks again. Its
+fingerprints are compared once more, and what is near and not yet of one group is held
+against the shingles themselves. Only links that pass make groups, and none is left untried.
 """
 
 from __future__ import annotations
@@ -32,8 +35,6 @@ from .simhash import _majority, _shingles, components
 
 LANES = 4
 BANDS, ROWS = 40, 4
-#: Bands of the first round: most groups join there, and later rounds skip tiles of one group.
-FIRST = 3
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _PRINT = [f"f{i}" for i in range(LANES)]
 
@@ -110,14 +111,6 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
     return [len(hashes), *lanes]
 
 
-def jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    """Share that two sets of shingles (sorted, each once) have in common; empty sets are alike."""
-    at = np.minimum(np.searchsorted(x, y), len(x) - 1) if len(x) else np.zeros(0, np.int64)
-    both = int((x[at] == y).sum()) if len(x) else 0
-    total = len(x) + len(y) - both
-    return both / total if total else 1.0
-
-
 class Tiles:
     """One tile against another, or against itself: blocks of fingerprints that may lie within the radius.
 
@@ -189,38 +182,71 @@ class Tiles:
             todo = again
         return links
 
-    def nearest(self, most: int) -> list[tuple[int, int]]:
-        """For each row its ``most`` nearest partners; (node, -1) tells that it has more."""
+    def verified(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        """Links (nodes) between groups that pass the exact similarity; ``sets`` has the shingles by node."""
         links = []
         for i in self.first:
-            rows, columns, distances = [], [], []
             for j in self.partners(i):
-                apart, near = self.compare(i, j)
-                x, y = np.nonzero(near)
-                rows.append(x)
-                columns.append(y + j.start)
-                distances.append(apart[x, y])
-            if not rows:
-                continue
-            x, y, d = np.concatenate(rows), np.concatenate(columns), np.concatenate(distances)
-            order = np.lexsort((y, d, x))
-            x, y = x[order], y[order]
-            rank = np.arange(len(x)) - np.searchsorted(x, x)
-            links += zip(self.nodes[x[rank < most] + i.start].tolist(), self.nodes[y[rank < most]].tolist(), strict=True)
-            links += [(n, -1) for n in self.nodes[x[rank == most] + i.start].tolist()]
+                _, near = self.compare(i, j)
+                rows, columns = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                if not len(rows):
+                    continue
+                both = common([sets[k] for k in self.nodes[i][rows]], [sets[k] for k in self.nodes[j][columns]])
+                total = self.sizes[i][rows][:, None] + self.sizes[j][columns][None, :] - both
+                good = near[np.ix_(rows, columns)] & (both >= self.similarity * total)
+                rows, columns = rows + i.start, columns + j.start
+                while True:
+                    good &= self.label[rows][:, None] != self.label[columns][None, :]
+                    at = np.flatnonzero(good.any(1))
+                    if not len(at):
+                        break
+                    for x, y in zip(rows[at].tolist(), columns[good[at].argmax(1)].tolist(), strict=True):
+                        if self.label[x] != self.label[y]:
+                            self.label[self.label == self.label[y]] = self.label[x]
+                            links.append((int(self.nodes[x]), int(self.nodes[y])))
         return links
 
 
-def candidate_links(classes: DataFrame, similarity: float, most: int | None = None, bands: int = BANDS, rows_per_tile: int = 8000) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b) of ``classes`` (lanes, size, node, group, bands): for each pair of chunks a forest, or ``Tiles.nearest``; and the chunks. Both are stored.
+def common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """How many values each set of ``one`` has in common with each of ``two``: products of their columns, ``width`` values at a time."""
+    flat = [np.concatenate(some) for some in (one, two)]
+    shared = np.intersect1d(*flat)
+    out = np.zeros((len(one), len(two)), np.float32)
+    if not len(shared):
+        return out
+    at = [np.minimum(np.searchsorted(shared, x), len(shared) - 1) for x in flat]
+    row = [np.repeat(np.arange(len(some)), [len(x) for x in some]) for some in (one, two)]
+    held = [shared[k] == x for k, x in zip(at, flat, strict=True)]
+    for a in range(0, len(shared), width):
+        parts = []
+        for k, some in enumerate((one, two)):
+            part = np.zeros((len(some), min(width, len(shared) - a)), np.float32)
+            here = held[k] & (at[k] >= a) & (at[k] < a + width)
+            part[row[k][here], at[k][here] - a] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
 
-    Tiles whose rows are all of one group are left out. For forests a chunk meets itself and the next one.
+def met_chunks(packed: DataFrame, key: str) -> DataFrame:
+    """(own, other): each chunk of a stored table (key, chunk, chunks, own) alone (other is null) and with every later one of its key.
+
+    Pairs are named first, so that no task holds all chunks of a key.
     """
-    homes = classes.select(F.explode(F.slice("bands", 1, bands)).alias("tile"), "node", "group")
-    open_ = homes.groupBy("tile").agg(F.ceil(F.count("*") / rows_per_tile).cast("int").alias("chunks"), F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("tile", "chunks")
-    homes = homes.join(open_, "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "chunks")
-    rows = homes.join(classes.select("node", "group", F.array(*_PRINT, "size", "node", "group").alias("row")), "node")
-    packed = rows.groupBy("tile", "chunk").agg(F.flatten(F.collect_list("row")).alias("own"), F.min("group").alias("lo"), F.max("group").alias("hi"), F.max("chunks").alias("chunks"))
+    own = packed.schema["own"].dataType.simpleString()
+    ends = packed.where("chunks > 1").select(key, "chunk")
+    pairs = ends.join(ends.withColumnRenamed("chunk", "guest"), key).where("chunk < guest")
+    sides = pairs.join(packed.select(key, "chunk", "own"), [key, "chunk"]).join(packed.select(key, F.col("chunk").alias("guest"), F.col("own").alias("other")), [key, "guest"])
+    return packed.select("own", F.lit(None).cast(own).alias("other")).union(sides.select("own", "other"))
+
+
+def candidate_links(classes: DataFrame, similarity: float, rows_per_tile: int = 8000) -> DataFrame:
+    """Stored links (a, b) of ``classes`` (lanes, size, node, bands): forests over tiles of what is within the radius."""
+    homes = classes.select(F.explode("bands").alias("tile"), "node")
+    several = homes.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1").select("tile", F.ceil(F.col("n") / rows_per_tile).cast("int").alias("chunks"))
+    homes = homes.join(several, "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "chunks")
+    rows = homes.join(classes.select("node", F.array(*_PRINT, "size", "node", "node").alias("row")), "node")
+    packed = stored(rows.groupBy("tile", "chunk").agg(F.flatten(F.collect_list("row")).alias("own"), F.max("chunks").alias("chunks")), "tiles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,33 +254,59 @@ def candidate_links(classes: DataFrame, similarity: float, most: int | None = No
             for k in range(batch.num_rows):
                 own = np.asarray(batch.column("own")[k].values).reshape(-1, LANES + 3)
                 other = batch.column("other")[k].values
-                tiles = Tiles(own, None if other is None else np.asarray(other).reshape(-1, LANES + 3), similarity)
-                links += tiles.forest() if most is None else tiles.nearest(most)
+                links += Tiles(own, None if other is None else np.asarray(other).reshape(-1, LANES + 3), similarity).forest()
             if links:
-                a, b = np.array(sorted(set(links)), np.int64).T
+                a, b = np.array(sorted({(min(x), max(x)) for x in links}), np.int64).T
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    packed = stored(packed, "chunks")
-    alone = packed.where("lo < hi").select("own", F.lit(None).cast("array<long>").alias("other"))
-    # Chunks of one tile meet by pairs that are named first, so that no task holds all chunks of a tile.
-    ends = packed.where("chunks > 1").select("tile", "chunk", "lo", "hi")
-    x, y = ends.alias("x"), ends.alias("y")
-    apart = (F.col("y.chunk") - F.col("x.chunk") == 1) if most is None else F.lit(True)
-    met = x.join(y, F.col("x.tile") == F.col("y.tile")).where((F.col("x.chunk") < F.col("y.chunk")) & apart & (F.least("x.lo", "y.lo") < F.greatest("x.hi", "y.hi")))
-    met = met.select(F.col("x.tile").alias("tile"), F.col("x.chunk").alias("chunk"), F.col("y.chunk").alias("guest"))
-    sides = met.join(packed.select("tile", "chunk", "own"), ["tile", "chunk"]).join(packed.select("tile", F.col("chunk").alias("guest"), F.col("own").alias("other")), ["tile", "guest"])
-    found = alone.union(sides.select("own", "other")).mapInArrow(run, "a long, b long")
-    more = F.col("b") < 0
-    found = found.select(F.when(more, F.col("a")).otherwise(F.least("a", "b")).alias("a"), F.when(more, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"))
-    return stored(found.distinct(), "links"), packed
-
-
-def _joined(one: DataFrame, two: DataFrame) -> DataFrame:
-    """Both stored tables as one."""
-    out = stored(one.union(two), "links")
-    drop_stored(one)
-    drop_stored(two)
-    return out
+    links = stored(met_chunks(packed, "tile").mapInArrow(run, "a long, b long").distinct(), "links")
+    drop_stored(packed)
+    return links
+
+
+def sound_links(source: DataFrame, classes: DataFrame, links: DataFrame, words: int, similarity: float, rows_per_chunk: int = 1000, shingles_per_chunk: int = 500_000) -> DataFrame:
+    """Stored links (a, b) that pass the exact similarity: a forest of each cloud that ``links`` make, by pairs of its chunks."""
+    clouds = components(links).withColumnRenamed("root", "cloud")
+    members = stored(clouds.join(classes.select("node", "size", *_PRINT), "node"), "members")
+    full = members.groupBy("cloud").agg(F.ceil(F.greatest(F.count("*") / rows_per_chunk, F.sum("size") / shingles_per_chunk)).cast("int").alias("chunks"))
+    dealt = members.join(full, "cloud").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(_shingles(t or b"", words, 42)).tobytes() for t in batch.column("text_").cast(pa.binary()).to_pylist()]
+            names = ["cloud", "chunk", "chunks", "node", "size", *_PRINT]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sets, pa.binary())], [*names, "shingles"])
+
+    kind = "cloud long, chunk int, chunks int, node long, size long, " + ", ".join(f"{c} long" for c in _PRINT) + ", shingles binary"
+    text = source.select(F.col("uid").alias("node"), "text_")
+    rows = dealt.hint("shuffle_hash").join(text, "node").mapInArrow(read, kind)
+    packed = stored(rows.groupBy("cloud", "chunk").agg(F.collect_list(F.struct(*_PRINT, "size", "node", "shingles")).alias("own"), F.max("chunks").alias("chunks")), "clouds")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(column: pa.Array, k: int, first: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+            held = column[k].values
+            nodes = held.field("node").to_numpy()
+            number = np.arange(first, first + len(nodes))
+            parts = [*[held.field(c).to_numpy() for c in (*_PRINT, "size")], number, number]
+            return np.stack(parts, 1), nodes, [np.frombuffer(x, np.uint64) for x in held.field("shingles").to_pylist()]
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for k in range(batch.num_rows):
+                own, nodes, sets = table(batch.column("own"), k, 0)
+                other = None
+                if batch.column("other")[k].is_valid:
+                    other, more, guests = table(batch.column("other"), k, len(own))
+                    nodes, sets = np.concatenate((nodes, more)), sets + guests
+                out += [(int(nodes[x]), int(nodes[y])) for x, y in Tiles(own, other, similarity).verified(sets)]
+            if out:
+                a, b = np.array(out, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    sound = stored(met_chunks(packed, "cloud").mapInArrow(run, "a long, b long"), "sound")
+    drop_stored(members)
+    drop_stored(packed)
+    return sound
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,46 +341,13 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, i
     same = marked.groupBy("s1", "s2").agg(first, F.first(F.struct("size", *_PRINT, "bands")).alias("p"))  # equal sets: all else is equal too
     classes = stored(same.select(F.col("first.uid").alias("node"), "first", "p.*"), "classes")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ends, texts = (batch.select([x, f"text_{x}"]) for x in ("a", "b")), {}
-            for some in ends:
-                uids, first = np.unique(some.column(0).to_numpy(), return_index=True)
-                texts |= zip(uids.tolist(), some.column(1).take(pa.array(first)).cast(pa.binary()).to_pylist(), strict=True)
-            sets = {uid: np.unique(_shingles(text or b"", words, 42)) for uid, text in texts.items()}
-            alike = [jaccard(sets[x], sets[y]) >= similarity for x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(alike, pa.bool_()))
-
-    def verified(links: DataFrame) -> DataFrame:
-        """Links whose texts are alike; of each link one text is shuffled, to the bucket of the other."""
-        text = source.select("uid", "text_")
-        one = links.select(F.col("a").alias("uid"), "b").hint("shuffle_hash").join(text, "uid")
-        two = one.select(F.col("b").alias("uid"), F.col("uid").alias("a"), F.col("text_").alias("text_a")).hint("shuffle_hash").join(text, "uid")
-        return stored(two.select("a", F.col("uid").alias("b"), "text_a", F.col("text_").alias("text_b")).mapInArrow(verify, "a long, b long"), "sound")
-
-    # A wrong link may have stood for a right one in its forest. So what the groups leave
-    # apart is asked again, by the nearest partners of each fingerprint, until none has more.
-    # No link is verified twice.
-    links, chunks = candidate_links(classes.withColumn("group", F.col("node")), similarity, bands=FIRST)
-    sound, tried, most = verified(links), links, 8
-    while True:
-        drop_stored(chunks)
-        roots = components(sound)
-        grouped = stored(classes.join(roots, "node", "left").withColumn("group", F.coalesce("root", "node")).drop("root"), "grouped")
-        links, chunks = candidate_links(grouped, similarity, most)
-        fresh = stored(links.where("b >= 0").join(tried, ["a", "b"], "left_anti"), "fresh")
-        again = not links.where("b < 0").isEmpty()
-        drop_stored(links)
-        drop_stored(grouped)
-        more = verified(fresh)
-        sound, tried, most = _joined(sound, more), _joined(tried, fresh), most * 8
-        if not again:
-            roots = components(sound)
-            break
+    links = candidate_links(classes, similarity)
+    sound = sound_links(source, classes, links, words, similarity)
+    roots = components(sound)
     roots = roots.withColumnRenamed("root", "known")
     whole = classes.select("node", "first").join(roots, "node", "left").groupBy(F.coalesce("known", "node").alias("root")).agg(F.min("first").alias("first"))
     stays = whole.select(F.col("first.uid").alias("uid"))
     kept = stored(source.join(stays.hint("shuffle_hash"), "uid", "left_semi").select(*[f"kept_{i}" for i in range(len(names))]), "kept")
-    for table in (source, classes, chunks, sound, tried):
+    for table in (source, classes, links, sound):
         drop_stored(table)
     return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(names)])
