@@ -42,13 +42,14 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item; rows without an id stay."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no window of a benchmark item. Rows are numbered, so one without an id, or with another's, is judged by itself."""
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = contaminated(numbered, table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    return numbered.join(found, "_row", "left_anti").select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place of every piece of every document in sequences of 4096 tokens."""
+    """Place of every piece of every document in sequences of 4096 tokens; a null text is the end id alone, repeated rows are documents of their own."""
     return best_fit_packing(docs, tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
