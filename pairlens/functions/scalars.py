@@ -18,6 +18,11 @@ EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855
 BOXED = r"\\boxed\s*\{"
 
 
+def canonical_json(text: Column) -> Column:
+    """A JSON text with sorted keys and no white space between; null if it is none."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def collapse(text: Column) -> Column:
     """White-space runs as one blank, none at the ends."""
     return F.trim(F.regexp_replace(text, WHITESPACE, " "))

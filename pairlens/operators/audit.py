@@ -245,3 +245,9 @@ def branch_result_violations(results: DataFrame, key: str) -> DataFrame:
     }
     broken = F.filter(F.array(*[F.when(test, name) for name, test in rules.items()]), lambda r: r.isNotNull())
     return results.select(key, F.explode(broken).alias("rule"))
+
+
+def seeded(rows: DataFrame, seeds: dict[str, int], phase: str) -> DataFrame:
+    """Rows with rollout_seed: the seed of their phase, null for a phase without one."""
+    known = F.coalesce(*[F.when(F.col(phase) == name, F.lit(seed)) for name, seed in seeds.items()], F.lit(None).cast("int"))
+    return rows.withColumn("rollout_seed", known.cast("long"))

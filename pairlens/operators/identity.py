@@ -54,6 +54,21 @@ def fresh_hashes(models: DataFrame, model: str, actor_hash: str) -> DataFrame:
     return models.select(model, F.col(actor_hash).alias("actor_hash"), empty.alias("optimizer_hash"), empty.alias("trainer_state_hash"), empty.alias("dataloader_hash"))
 
 
+def pre_intervention(runs: DataFrame, checkpoints: DataFrame, models: DataFrame) -> DataFrame:
+    """What each run starts from: its parts, identity_sha256 and kind (resumed_checkpoint or fresh_model).
+
+    ``runs`` have execution_id, identity_group, resume_from (a checkpoint, or null) and model, and the
+    parts that no file tells; ``checkpoints`` are ``checkpoint_hashes`` by checkpoint, ``models``
+    ``fresh_hashes`` by model. A fresh model starts at step 0; parts that are not found are null.
+    """
+    hashes = ("actor_hash", "optimizer_hash", "trainer_state_hash", "dataloader_hash")
+    named = lambda df, key, prefix: df.select(F.col(key), *[F.col(h).alias(f"{prefix}_{h}") for h in hashes])
+    rows = runs.join(named(checkpoints, "checkpoint", "_c").withColumnRenamed("checkpoint", "resume_from"), "resume_from", "left").join(named(models, "model", "_m"), "model", "left")
+    resumed = F.col("resume_from").isNotNull()
+    whole = rows.select("execution_id", "identity_group", F.when(resumed, "resumed_checkpoint").otherwise("fresh_model").alias("kind"), F.when(resumed, F.col("global_step")).otherwise(0).cast("long").alias("global_step"), "rollout_seed", "config_hash", "prompt_window_hash", "source_manifest_hash", *[F.when(resumed, F.col(f"_c_{h}")).otherwise(F.col(f"_m_{h}")).alias(h) for h in hashes])
+    return with_identity(whole)
+
+
 def identity_violations(identities: DataFrame, key: str) -> DataFrame:
     """(key, field) of parts that are missing or malformed."""
     tests = [F.when(F.coalesce(F.col("global_step") < 0, F.lit(True)), "global_step")] + [F.when(~is_sha256(F.col(f)), f) for f in DIGESTS]

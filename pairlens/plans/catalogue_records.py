@@ -232,3 +232,15 @@ def selected_values(spark, sf_dir):
     e = F.col("embedding").cast("array<double>")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", e.alias("v"), F.transform(e, lambda x, i: i % 3 == 0).alias("m"))
     return rounded(A.unmasked(rows, "v", "m", "vec_id").groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("x").alias("total")))
+
+
+@query("""SELECT event_id, '{"a":[1,{"x":true,"y":null}],"k":' || json_extract_string(props, '$.k') || ',"z":"é"}' AS canonical FROM events""")
+def canonical_texts(spark, sf_dir):
+    k = F.get_json_object("props", "$.k")
+    text = F.concat(F.lit('{ "z" : "é", "k":'), k, F.lit(', "a": [1, {"y": null, "x": true}] }'))
+    return table(spark, sf_dir, "events").select("event_id", scalars.canonical_json(text).alias("canonical"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN 8 END::BIGINT AS rollout_seed FROM events")
+def rollout_seeds(spark, sf_dir):
+    return A.seeded(table(spark, sf_dir, "events"), {"click": 7, "view": 8}, "event_type").select("event_id", "rollout_seed")

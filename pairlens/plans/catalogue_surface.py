@@ -127,6 +127,22 @@ def fresh_identities(spark, sf_dir):
     return I.fresh_hashes(models, "id", "h").select("id", "optimizer_hash", "actor_hash")
 
 
+PARTS = {"actor_hash": "actor_hash", "optimizer_hash": "optimizer_hash", "trainer_state_hash": "trainer_state_hash", "dataloader_hash": "dataloader_hash"}
+START = ", ".join(f"CASE WHEN n_nationkey % 3 > 0 THEN h.{p} ELSE {'sha256(n_name)' if p == 'actor_hash' else chr(39).join(['sha256(', '', ')'])} END AS {p}" for p in PARTS)
+
+
+@query(FILES + f""", i AS (SELECT n_nationkey, CASE WHEN n_nationkey % 3 > 0 THEN 'resumed_checkpoint' ELSE 'fresh_model' END AS kind, CASE WHEN n_nationkey % 3 > 0 THEN 40 ELSE 0 END AS global_step, 42 AS rollout_seed, sha256('c') AS config_hash, sha256('p') AS prompt_window_hash, sha256('s') AS source_manifest_hash, {START} FROM nation LEFT JOIN h ON h.ck = n_nationkey)
+ SELECT 'r' || n_nationkey AS execution_id, kind, CAST(global_step AS BIGINT) AS global_step, sha256('{{' || {JSON} || '}}') AS identity_sha256 FROM i""")
+def starting_identities(spark, sf_dir):
+    sha = lambda x: F.sha2(F.lit(x), 256)
+    k = F.col("n_nationkey")
+    nations = table(spark, sf_dir, "nation")
+    runs = nations.select(F.concat(F.lit("r"), k.cast("string")).alias("execution_id"), F.lit(None).cast("string").alias("identity_group"), F.when(k % 3 > 0, k.cast("long")).alias("resume_from"), F.col("n_name").alias("model"), F.lit(40).alias("global_step"), F.lit(42).alias("rollout_seed"), sha("c").alias("config_hash"), sha("p").alias("prompt_window_hash"), sha("s").alias("source_manifest_hash"))
+    models = I.fresh_hashes(nations.select(F.col("n_name").alias("model"), F.sha2("n_name", 256).alias("h")), "model", "h")
+    held = I.checkpoint_hashes(checkpoint_files(spark, sf_dir), "ck").withColumnRenamed("ck", "checkpoint")
+    return I.pre_intervention(runs, held, models).select("execution_id", "kind", "global_step", "identity_sha256")
+
+
 @query("""WITH f AS (SELECT DISTINCT p_size AS folder, CASE p_partkey % 6 WHEN 0 THEN 'fsdp_config.json' WHEN 1 THEN 'huggingface/config.json' WHEN 2 THEN 'huggingface/tokenizer.json' WHEN 3 THEN 'model_world_size_1_rank_0.pt' WHEN 4 THEN 'extra_state_world_size_1_rank_0.pt' ELSE 'x' END AS path FROM part)
  SELECT folder, string_agg(r, ',' ORDER BY o) AS missing FROM (SELECT DISTINCT folder FROM f) a, (VALUES (1, 'model_world_size_1_rank_0.pt'), (2, 'extra_state_world_size_1_rank_0.pt'), (3, 'fsdp_config.json'), (4, 'huggingface/config.json'), (5, 'huggingface/tokenizer.json')) v(o, r) WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.folder = a.folder AND f.path = r) GROUP BY 1""")
 def incomplete_checkpoints(spark, sf_dir):

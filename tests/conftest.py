@@ -2,9 +2,9 @@ import pytest
 from pyspark.sql import SparkSession
 
 
-
 @pytest.fixture(scope="session")
-def spark():
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared").as_uri()
+    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", f"{shared}/warehouse").getOrCreate()
     yield session
     session.stop()
