@@ -21,7 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ranges, tune
@@ -216,14 +216,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     spark = docs.sparkSession
     tune(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     found: DataFrame | None = None
-    block: list = []
-    held = 0
-
-    def search(some: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast([(r.item_id, r.text) for r in some])
 
+    def search(shared) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = ItemIndex([i for i, _ in shared.value], [t for _, t in shared.value], threshold, radius)
             for batch in batches:
@@ -236,12 +231,42 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
         return source.mapInArrow(run, FOUND)
 
+    for block in _blocks(spark, benchmark, block_bytes, item_col, item_text_col):
+        found = search(block) if found is None else found.union(search(block))
+    return found
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int, item_col: str, item_text_col: str) -> Iterator:
+    """Broadcasts of (id, text) lists of about ``block_bytes`` of text; one at least, if an empty one."""
+    items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
+    block, held, sent = [], 0, False
     for row in items.orderBy("item_id", "text").toLocalIterator():
-        block.append(row)
+        block.append((row.item_id, row.text))
         held += len(row.text)
         if held >= block_bytes:
-            found = search(block) if found is None else found.union(search(block))
-            block, held = [], 0
-    if block or found is None:
-        found = search(block) if found is None else found.union(search(block))
-    return found
+            yield spark.sparkContext.broadcast(block)
+            block, held, sent = [], 0, True
+    if block or not sent:
+        yield spark.sparkContext.broadcast(block)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` of which ``contaminated`` has none, all columns as they are; nothing is shuffled."""
+    tune(docs.sparkSession)
+    place = docs.columns.index(text_col)
+
+    def search(rows: DataFrame, shared) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = ItemIndex([i for i, _ in shared.value], [t for _, t in shared.value], threshold, radius)
+            for batch in batches:
+                for a in range(0, batch.num_rows, 200):
+                    part = batch.slice(a, 200)
+                    clean = np.ones(part.num_rows, bool)
+                    clean[[row[0] for row in index.search([t or "" for t in part.column(place).to_pylist()])]] = False
+                    yield part.filter(pa.array(clean))
+
+        return rows.mapInArrow(run, docs.schema)
+
+    for block in _blocks(docs.sparkSession, benchmark, block_bytes, item_col, item_text_col):
+        docs = search(docs, block)
+    return docs

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import drop_stored, stored, tune
 from .tokens import token_cache
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
@@ -163,7 +163,9 @@ def pack_level(items: DataFrame, capacity: int, level: int, block_items: int, is
     state = stored(state.mapInPandas(evolve(0), ISLAND), "islands")
     for epoch in range(1, epochs):
         guests = state.select("block", ((F.col("island") + 1) % islands).alias("island"), F.slice("elites", 1, 1).alias("guests"))
-        state = stored(state.join(guests, ["block", "island"]).mapInPandas(evolve(epoch), ISLAND), "islands")
+        fresh = stored(state.join(guests, ["block", "island"]).mapInPandas(evolve(epoch), ISLAND), "islands")
+        drop_stored(state)
+        state = fresh
     best = state.groupBy("block").agg(F.min(F.struct("bins", "fitness", "island", F.col("elites")[0].alias("owner"))).alias("best"))
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -184,7 +186,10 @@ def pack_level(items: DataFrame, capacity: int, level: int, block_items: int, is
                 yield out
 
     named = dealt.join(best, "block").select("block", F.col("best.owner").alias("owner"), F.col("items").alias("items_"))
-    return stored(named.mapInPandas(place, PIECE + ", sequence_id long, offset long, spare boolean"), "packed"), blocks
+    packed = stored(named.mapInPandas(place, PIECE + ", sequence_id long, offset long, spare boolean"), "packed")
+    drop_stored(dealt)
+    drop_stored(state)
+    return packed, blocks
 
 
 def pack_pieces(pieces: DataFrame, capacity: int, block_items: int = 2048, islands: int = 4, epochs: int = 2, generations: int = 12) -> DataFrame:
