@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm.common import stored
-from pairlens.llm.decontaminate import contaminated
+from pairlens.llm.decontaminate import drop_contaminated
 from pairlens.llm.near_copies import drop_near_copies
 from pairlens.llm.packing import best_fit_packing
 from pairlens.llm.quality import score, train
@@ -42,10 +42,8 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item. Rows are numbered, so one without an id, or with another's, is judged by itself."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = contaminated(numbered, table(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
-    return numbered.join(found, "_row", "left_anti").select(*COLUMNS)
+    """Documents that hold no window of a benchmark item; each row is judged by its text alone, whatever its id."""
+    return drop_contaminated(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
