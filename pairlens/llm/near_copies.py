@@ -193,7 +193,7 @@ class Tiles:
                     continue
                 both = common([sets[k] for k in self.nodes[i][rows]], [sets[k] for k in self.nodes[j][columns]])
                 total = self.sizes[i][rows][:, None] + self.sizes[j][columns][None, :] - both
-                good = near[np.ix_(rows, columns)] & (both >= self.similarity * total)
+                good = near[np.ix_(rows, columns)] & (both / np.maximum(total, 1) >= self.similarity)
                 rows, columns = rows + i.start, columns + j.start
                 while True:
                     good &= self.label[rows][:, None] != self.label[columns][None, :]

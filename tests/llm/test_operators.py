@@ -467,6 +467,15 @@ def alike(a, b):
     return len(x & y) / len(x | y) if x | y else 1.0
 
 
+def test_just_alike_enough():
+    """28 of 35 shingles in common are 0.8, whatever 0.8 * 35 is in floating point."""
+    rows = np.zeros((2, 7), np.int64)
+    rows[:, 4], rows[:, 5], rows[:, 6] = (31, 32), (0, 1), (0, 1)
+    for n in (28, 27):
+        sets = [np.arange(31, dtype=np.uint64), np.concatenate((np.arange(n), np.arange(100, 132 - n))).astype(np.uint64)]
+        assert len(Tiles(rows, None, 0.8).verified(sets)) == (n == 28)
+
+
 def test_common_counts_equal_sets():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 50, 200, 400)]
