@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
+_RELEASED = [0.0]
 
 
 def tune(spark: SparkSession) -> None:
@@ -53,7 +55,10 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let go of shuffle files of what is stored by now: Spark deletes them once the driver has collected its garbage."""
+    """Let go of shuffle files of what is stored by now: Spark deletes them once the driver has collected its garbage. Every few seconds is enough."""
+    if time.monotonic() < _RELEASED[0] + 4:
+        return
+    _RELEASED[0] = time.monotonic()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
