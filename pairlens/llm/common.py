@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -13,7 +11,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_DIRS: dict[str, str] = {}
-_RELEASED = [0.0]
 
 
 def tune(spark: SparkSession) -> None:
@@ -41,7 +38,6 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}_{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -50,19 +46,9 @@ def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     spark = df.sparkSession
     buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"{label}_{uuid.uuid4().hex}"
     df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", f"{shared_root(spark)}/{name}").saveAsTable(name)
-    _release(spark)
     return spark.table(name)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let go of shuffle files of what is stored by now: Spark deletes them once the driver has collected its garbage. Every few seconds is enough."""
-    if time.monotonic() < _RELEASED[0] + 4:
-        return
-    _RELEASED[0] = time.monotonic()
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_stored(df: DataFrame) -> None:
     """Delete a table made by ``stored`` or ``bucketed`` that no later plan reads."""
     spark = df.sparkSession

@@ -384,9 +384,8 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int,
     if not many.isEmpty():
         parts += _dealt_spans(many, length, gram, most_contexts)
     drop_stored(contexts)
-    # Every anchor comes out of the join once; those of contexts that occur once bring no range, and the list below passes over them.
-    whole = marked.join(kinds.where("n > 1").select("c1", "c2", "gram", "n"), ["gram", "c1", "c2"], "left")
-    ranges = whole.select("uid", F.when(F.col("n").isNotNull(), F.struct(F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end"))).alias("range"))
+    whole = marked.join(kinds.where("n > 1").select("c1", "c2", "gram"), ["gram", "c1", "c2"])
+    ranges = whole.select("uid", F.struct(F.greatest(F.col("pos") - reach, F.lit(0)).alias("start"), (F.col("pos") + length).alias("end")).alias("range"))
     for part in parts:
         ranges = ranges.unionByName(part.select("uid", F.struct("start", "end").alias("range")))
     found = stored(ranges.groupBy("uid").agg(F.collect_list("range").alias("found")), "found")
