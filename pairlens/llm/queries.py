@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import twins
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -87,6 +89,31 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), length=200).drop("text")
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import base_spans, count_of, find_secrets, shown
+
+    rows = find_secrets(table(spark, sf_dir, "documents"))
+    counts = [count_of(F.col("spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    return rows.select("doc_id", *counts, F.sha2(shown(base_spans(F.col("spans"))), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.digests import ordered_digest
+    from .repair import damaged, line, repair
+
+    found, turns = repair(damaged(table(spark, sf_dir, "conversations")), copies="copies")
+    digests = ordered_digest(turns, ["conv_id"], ["place"], line(F.col("role"), F.col("text")), between="\n").select(F.col("conv_id").alias("_id"), "digest")
+    rows = found.join(digests, found["conv_id"].eqNullSafe(F.col("_id")), "left")
+    return rows.select(*found.columns, F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .middle import fill_in_middle, restored
+
+    rows = restored(fill_in_middle(table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -100,6 +127,10 @@ QUERIES = {
         op8_best_fit_packing,
         op9_html_extraction,
         op10_suffix_array_dedup,
+        op11_secret_scan,
+        op12_conversation_repair,
+        op13_fill_in_middle,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB twins of those that SQL can express; tests/llm holds the others against plain Python.
+ORACLE_SQL: dict[str, str] = dict(twins.SQL)
