@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import json
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ EMPTY_SHA256 = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855
 BOXED = r"\\boxed\s*\{"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it: an expression is copied wherever it is used, the variable of a lambda is not."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def canonical_json(text: Column) -> Column:
     """A JSON text with sorted keys and no white space between; null if it is none."""
     return F.to_json(F.try_parse_json(text))
@@ -55,22 +61,20 @@ def parse_messages(text: Column) -> Column:
     """Messages of a prompt kept as text: JSON, else a Python literal (by a UDF that sees only what is no JSON); null if neither is a list of objects."""
     as_json = F.to_json(F.try_parse_json(text))
     shown = F.coalesce(as_json, _literal_json(F.when(as_json.isNull(), text)))
-    objects = F.try_parse_json(shown).try_cast("array<variant>")
-    listed = (F.size(objects) > 0) & F.forall(objects, lambda m: F.schema_of_variant(m).startswith("OBJECT<"))
-    return F.when(listed, F.from_json(shown, MESSAGES))
+    listed = lambda objects: (F.size(objects) > 0) & F.forall(objects, lambda m: F.schema_of_variant(m).startswith("OBJECT<"))
+    return let(shown, lambda s: F.when(let(F.try_parse_json(s).try_cast("array<variant>"), listed), F.from_json(s, MESSAGES)))
 
 
 def normalize_messages(messages: Column) -> Column:
     """Roles without white space at the ends, contents with runs of it as one blank; null if there is no message or a part is empty."""
     clean = F.transform(messages, lambda m: F.struct(collapse(m["content"]).alias("content"), strip(m["role"]).alias("role")))
-    fine = (F.size(clean) > 0) & F.forall(clean, lambda m: F.coalesce(F.length(m["content"]) > 0, F.lit(False)) & F.coalesce(F.length(m["role"]) > 0, F.lit(False)))
-    return F.when(fine, clean)
+    said = lambda m: F.coalesce(F.length(m["content"]) > 0, F.lit(False)) & F.coalesce(F.length(m["role"]) > 0, F.lit(False))
+    return let(clean, lambda c: F.when((F.size(c) > 0) & F.forall(c, said), c))
 
 
 def messages_id(messages: Column) -> Column:
     """SHA-256 of the canonical JSON of normalized messages; null for a prompt that breaks the rules."""
-    clean = normalize_messages(messages)
-    return F.when(clean.isNotNull(), F.sha2(F.to_json(F.struct(clean.alias("prompt")), {"ignoreNullFields": "false"}), 256))
+    return let(normalize_messages(messages), lambda clean: F.when(clean.isNotNull(), F.sha2(F.to_json(F.struct(clean.alias("prompt")), {"ignoreNullFields": "false"}), 256)))
 
 
 def problem_id(content: Column, role: Column | None = None) -> Column:
@@ -131,36 +135,47 @@ def occurrences(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("long")
 
 
-def _log_total(wide: Column, top: Column) -> Column:
-    return top + F.ln(F.aggregate(wide, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+def log_total(logits: Column) -> Column:
+    """(total, mean) of an array of doubles: log of the sum of exponentials, and the mean under the softmax; in one pass over the array.
+
+    The largest value so far shifts the sums; a larger one scales what is summed. Minus
+    infinity has no weight, NaN makes both NaN, a null both null; no values have a total of minus infinity.
+    """
+    state = lambda top, sum_, moment: F.struct(top.alias("top"), sum_.alias("sum"), moment.alias("moment"))
+
+    def step(s: Column, x: Column) -> Column:
+        below = let(F.exp(x - s["top"]), lambda e: state(s["top"], s["sum"] + e, s["moment"] + e * x))
+        above = let(F.exp(s["top"] - x), lambda e: state(x, s["sum"] * e + 1, s["moment"] * e + x))
+        nothing = x == float("-inf")
+        return F.when(nothing, s).when(x.isNull(), state(*[F.lit(None).cast("double")] * 3)).when(x > s["top"], above).otherwise(below)
+
+    start = state(F.lit(float("-inf")), F.lit(0.0), F.lit(0.0))
+    return F.aggregate(logits, start, step, lambda s: F.struct(F.when(s["sum"] == 0, float("-inf")).otherwise(s["top"] + F.ln(s["sum"])).alias("total"), F.try_divide(s["moment"], s["sum"]).alias("mean")))
 
 
 def log_probability(logits: Column, index: Column) -> Column:
-    """Chosen logit minus the log of the sum of exponentials, shifted by the largest."""
-    wide = logits.cast("array<double>")
-    return F.element_at(wide, index) - _log_total(wide, F.array_max(wide))
+    """Chosen logit (from 1) minus the log of the sum of exponentials, shifted by the largest."""
+    return let(logits.cast("array<double>"), lambda wide: F.element_at(wide, index) - log_total(wide)["total"])
 
 
 def top_log_probabilities(logits: Column, k: int) -> Column:
     """(id from 0, logprob) of the ``k`` largest logits, largest first, ties to the smaller id."""
-    wide = logits.cast("array<double>")
-    total = _log_total(wide, F.array_max(wide))
-    ranked = F.array_sort(F.transform(wide, lambda x, i: F.struct((-x).alias("minus"), i.alias("id"))))
-    return F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["id"].alias("id"), (-r["minus"] - total).alias("logprob")))
+
+    def shown(wide: Column) -> Column:
+        ranked = F.array_sort(F.transform(wide, lambda x, i: F.struct((-x).alias("minus"), i.alias("id"))))
+        return let(log_total(wide)["total"], lambda total: F.transform(F.slice(ranked, 1, k), lambda r: F.struct(r["id"].alias("id"), (-r["minus"] - total).alias("logprob"))))
+
+    return let(logits.cast("array<double>"), shown)
 
 
 def gathered_log_probabilities(logits: Column, ids: Column) -> Column:
     """Log-probabilities of the listed ids (from 0)."""
-    wide = logits.cast("array<double>")
-    total = _log_total(wide, F.array_max(wide))
-    return F.transform(ids, lambda i: F.element_at(wide, i.cast("int") + 1) - total)
+    return let(logits.cast("array<double>"), lambda wide: let(log_total(wide)["total"], lambda total: F.transform(ids, lambda i: F.element_at(wide, i.cast("int") + 1) - total)))
 
 
 def entropy(logits: Column) -> Column:
     """Entropy of the softmax of logits, in nats: log of the total minus the mean logit."""
-    wide = logits.cast("array<double>")
-    total = _log_total(wide, F.array_max(wide))
-    return total - F.aggregate(wide, F.lit(0.0), lambda s, x: s + F.exp(x - total) * x)
+    return let(log_total(logits.cast("array<double>")), lambda t: t["total"] - t["mean"])
 
 
 def response_slice(values: Column, response_length: Column | int) -> Column:

@@ -55,6 +55,12 @@ def resolve(rows: DataFrame, tolerance: float = 1e-8, supplied: str | None = Non
     return out.drop("_one", "_first", "_second")
 
 
+def dataset_facts(rows: DataFrame) -> DataFrame:
+    """One row: whether every row has each length field, whether every row and some row has token rewards, and how many rows there are."""
+    every = lambda name: F.coalesce(F.bool_and(f"has_{name}"), F.lit(True))
+    return _complete(rows).agg(every("response_length").alias("every_response_length"), every("response_token_count").alias("every_response_token_count"), every("token_rewards").alias("every_token"), F.coalesce(F.bool_or("has_token_rewards"), F.lit(False)).alias("some_token"), F.count("*").alias("n_rows"))
+
+
 REQUIRED = ("step", "input", "gts", "output", "score")
 
 
@@ -69,7 +75,7 @@ def violations(rows: DataFrame, n: int) -> DataFrame:
     scalar = F.col("has_scalar_reward") & ~finite(F.col("scalar_reward"))
     rules = {
         "missing field": F.size(missing_fields(rows)) > 0,
-        "non-finite score": F.col("score").isNotNull() & ~finite(F.col("score")),
+        "non-finite score": (F.col("has_score") if "has_score" in rows.columns else F.col("score").isNotNull()) & ~finite(F.col("score")),
         "no finite outcome": F.col("outcome").isNull() | ~finite(F.col("outcome")) | (F.col("has_token_rewards") & token_outcome(F.col("token_rewards")).isNull()) | scalar,
         "length not positive": F.coalesce(F.col("length"), F.lit(0)) <= 0,
         "outcomes disagree": F.col("disagrees"),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EMPTY_SHA256, is_sha256
+from .digests import ordered_digest
 
 # The digests and numbers that make up the identity of a checkpoint.
 DIGESTS = ("actor_hash", "config_hash", "dataloader_hash", "optimizer_hash", "prompt_window_hash", "source_manifest_hash", "trainer_state_hash")
@@ -18,14 +19,12 @@ MODEL_FILES = ("config.json", "tokenizer.json")
 def digest_of_set(entries: DataFrame, keys: list[str], path: str, size: str, sha: str) -> DataFrame:
     """Per set of files: number, bytes and SHA-256 of the canonical JSON object of path to bytes and sha256, paths in order.
 
-    The listing of one set is one value (about 120 bytes a file), as its digest runs over it from end to end.
+    The digest runs over each set's sorted entries from batch to batch; a set may be of any size.
     """
     body = F.concat(F.lit('{"bytes":'), F.col(size).cast("string"), F.lit(',"sha256":"'), F.col(sha), F.lit('"}'))
-    name = F.substring(F.to_json(F.array(F.col(path))), 2, 1 << 30)
-    entry = F.concat(F.expr("left(_name, length(_name) - 1)"), F.lit(":"), body)
-    listed = entries.withColumn("_name", name).withColumn("_entry", entry)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(path).alias("p"), F.col("_entry").alias("e")))), lambda x: x["e"]), ",")
-    return listed.groupBy(*keys).agg(F.count("*").alias("n_files"), F.sum(size).alias("n_bytes"), F.sha2(F.concat(F.lit("{"), whole, F.lit("}")), 256).alias("digest"))
+    name = F.regexp_extract(F.to_json(F.array(F.col(path))), r"(?s)^\[(.*)\]$", 1)
+    found = ordered_digest(entries, keys, [path], F.concat(name, F.lit(":"), body), opening="{", closing="}", total=F.col(size))
+    return found.select(*keys, F.col("n_entries").alias("n_files"), F.col("total").alias("n_bytes"), "digest")
 
 
 def checkpoint_class(path: Column) -> Column:
@@ -81,7 +80,8 @@ def with_identity(identities: DataFrame) -> DataFrame:
     return identities.withColumn("identity_sha256", F.sha2(F.to_json(F.struct(*parts), {"ignoreNullFields": "false"}), 256))
 
 
-def _differing(left: str, right: str) -> Column:
+def differing(left: str, right: str) -> Column:
+    """Names of the parts in which two aliased identities differ."""
     names = [F.when(~F.col(f"{left}.{f}").eqNullSafe(F.col(f"{right}.{f}")), f) for f in (*NUMBERS, *DIGESTS)]
     return F.filter(F.array(*names), lambda x: x.isNotNull())
 
@@ -89,7 +89,7 @@ def _differing(left: str, right: str) -> Column:
 def identity_mismatches(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, fields) of pairs whose identities differ."""
     both = left.alias("l").join(right.alias("r"), key)
-    return both.select(key, F.array_join(_differing("l", "r"), ",").alias("fields")).where("fields <> ''")
+    return both.select(key, F.array_join(differing("l", "r"), ",").alias("fields")).where("fields <> ''")
 
 
 def lock_violations(identities: DataFrame, group: str, order: str, key: str) -> DataFrame:
@@ -98,7 +98,7 @@ def lock_violations(identities: DataFrame, group: str, order: str, key: str) ->
     parts = F.struct(*NUMBERS, *DIGESTS)
     first = F.first(parts).over(Window.partitionBy(group).orderBy(order, key))  # a group is one branch point's runs
     held = some.select(key, group, parts.alias("own"), first.alias("locked"))
-    return held.select(key, group, F.array_join(_differing("locked", "own"), ",").alias("fields")).where("fields <> ''")
+    return held.select(key, group, F.array_join(differing("locked", "own"), ",").alias("fields")).where("fields <> ''")
 
 
 def missing_files(files: DataFrame, folder: str, path: str, required: tuple[str, ...] = ACTOR_FILES) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import normalize_messages, occurrences
+from ..functions.scalars import let, normalize_messages, occurrences
+from .digests import ordered_digest
 
 
 def identity_groups(records: DataFrame, pid: str, answer: str, order: str) -> DataFrame:
@@ -14,8 +15,8 @@ def identity_groups(records: DataFrame, pid: str, answer: str, order: str) -> Da
 
 
 def retained(records: DataFrame, pid: str, answer: str, order: str) -> DataFrame:
-    """First row of every identity that has a single answer."""
-    return identity_groups(records, pid, answer, order).where("n_answers <= 1").select(pid, F.col("first_row"))
+    """First row of every identity that has a single answer, in their order."""
+    return identity_groups(records, pid, answer, order).where("n_answers <= 1").select(pid, F.col("first_row")).orderBy("first_row")
 
 
 def dedup_audit(records: DataFrame, pid: str, answer: str, order: str) -> DataFrame:
@@ -106,19 +107,20 @@ def split_records(splits: DataFrame, records: DataFrame, pid: str) -> DataFrame:
 
 
 def split_digests(splits: DataFrame, pid: str) -> DataFrame:
-    """For each split its number of ids and the SHA-256 of the canonical JSON list of them in order.
+    """For each split its number of ids and the SHA-256 of the canonical JSON list of them in order; a split may be of any size."""
+    found = ordered_digest(splits, ["split"], ["pos"], _json_text(F.col(pid)), opening="[", closing="]")
+    return found.select("split", F.col("n_entries").alias("n_ids"), "digest")
 
-    The list is one value of one row: a split holds as many ids as a plan names (66 bytes each).
-    """
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(pid).cast("string").alias("id")))), lambda x: x["id"])
-    return splits.groupBy("split").agg(F.count("*").alias("n_ids"), F.sha2(F.to_json(listed), 256).alias("digest"))
+
+def _json_text(value: Column) -> Column:
+    """A value's text as a JSON string."""
+    return F.regexp_extract(F.to_json(F.array(value.cast("string"))), r"(?s)^\[(.*)\]$", 1)
 
 
 def message_contract(records: DataFrame, pid: str, messages: str, required: list[str], forbidden: list[str], preview: int = 20) -> DataFrame:
     """The first rows whose prompt is not one user message, or whose content breaks ``prompt_contract``; messages are normalized first."""
-    clean = normalize_messages(F.col(messages))
-    single = (F.size(clean) == 1) & (clean[0]["role"] == "user")
-    return _contract(records, pid, F.when(single, clean[0]["content"]), required, forbidden, preview)
+    text = let(normalize_messages(F.col(messages)), lambda clean: F.when((F.size(clean) == 1) & (clean[0]["role"] == "user"), clean[0]["content"]))
+    return _contract(records, pid, text, required, forbidden, preview)
 
 
 def prompt_contract(records: DataFrame, pid: str, text: str, required: list[str], forbidden: list[str], preview: int = 20) -> DataFrame:
@@ -127,9 +129,11 @@ def prompt_contract(records: DataFrame, pid: str, text: str, required: list[str]
 
 
 def _contract(records: DataFrame, pid: str, text: Column, required: list[str], forbidden: list[str], preview: int) -> DataFrame:
-    tests = [F.when(text.isNull(), "not one user message")] + [F.when(occurrences(text, r) != 1, f"required {r}") for r in required] + [F.when(occurrences(text, f) > 0, f"forbidden {f}") for f in forbidden]
-    broken = F.array_join(F.filter(F.array(*tests), lambda x: x.isNotNull()), "; ")
-    return records.select(pid, broken.alias("broken")).where("broken <> ''").orderBy(pid).limit(preview)
+    def broken(said: Column) -> Column:
+        tests = [F.when(said.isNull(), "not one user message")] + [F.when(occurrences(said, r) != 1, f"required {r}") for r in required] + [F.when(occurrences(said, f) > 0, f"forbidden {f}") for f in forbidden]
+        return F.array_join(F.filter(F.array(*tests), lambda x: x.isNotNull()), "; ")
+
+    return records.select(pid, let(text, broken).alias("broken")).where("broken <> ''").orderBy(pid).limit(preview)
 
 
 def level_histogram(records: DataFrame, keys: list[str], text: str) -> DataFrame:
@@ -202,7 +206,6 @@ def dose(plans: DataFrame, batch: int, n: int, mini_batch: int, epochs: int, tok
 
 
 def queue_digest(queue: DataFrame, pid: str) -> DataFrame:
-    """Number of batches, and the SHA-256 of the canonical JSON of a queue: a list of lists of ids. A queue is as long as a plan, and one value here."""
-    rows = queue.groupBy("update").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col(pid).cast("string").alias("id")))), lambda x: x["id"]).alias("ids"))
-    every = F.transform(F.array_sort(F.collect_list(F.struct("update", "ids"))), lambda x: x["ids"])
-    return rows.agg(F.count("*").alias("n_batches"), F.sha2(F.to_json(every), 256).alias("digest"))
+    """Number of batches, and the SHA-256 of the canonical JSON of a queue: a list of lists of ids. A batch is one value, a queue of any length is not."""
+    batches = queue.groupBy("update").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.col(pid).cast("string").alias("id")))), lambda x: x["id"])).alias("ids"))
+    return ordered_digest(batches, [], ["update"], F.col("ids"), opening="[", closing="]").select(F.col("n_entries").alias("n_batches"), "digest")

@@ -57,6 +57,14 @@ def column_drift(native: DataFrame) -> list[str]:
     return [] if tuple(native.columns) == NATIVE else [f"columns are {native.columns}"]
 
 
+def native_violations(source: DataFrame, native: DataFrame) -> DataFrame:
+    """(rule, found, wanted) where native records have other columns, another order of them, or another number of rows than their source."""
+    names = ",".join(native.columns)
+    columns = native.sparkSession.createDataFrame([] if tuple(native.columns) == NATIVE else [("columns", names, ",".join(NATIVE))], "rule string, found string, wanted string")
+    have, want = (df.agg(F.count("*").cast("string").alias(c)).withColumn("rule", F.lit("rows")) for df, c in ((native, "found"), (source, "wanted")))
+    return columns.unionByName(have.join(want, "rule").where("found <> wanted"))
+
+
 def mapping_drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(row, fields) of places where the two differ, or where one of them has no row."""
     x, y = expected.alias("x"), actual.alias("y")

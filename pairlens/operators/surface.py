@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import branch_label, is_sha256
+from ..functions.scalars import branch_label, is_sha256, let
 
 # What both arms of a comparison must have been evaluated with, and the measures of an endpoint.
 MATCHED = ("dataset_sha256", "rows", "n", "temperature", "top_p", "top_k", "repetition_penalty", "max_tokens", "max_prompt_length", "max_model_len", "seed", "enable_thinking", "verifier", "evaluation_protocol_sha256")
@@ -146,26 +146,40 @@ def check_surface(comparisons: DataFrame, specs: DataFrame, attached: DataFrame,
 def flatten_signals(rows: DataFrame, key: str, json: str, prefix: str = "signal") -> DataFrame:
     """(key, name, value) of every finite number or truth value in nested objects; names are joined by underscores.
 
-    Each row is opened by itself, level by level, as often as its text has braces: no
-    recursion over the table, no shuffle, and no limit of levels or rows.
+    Of two signals of one name the last in the text counts. Each row is opened by itself,
+    level by level, as often as its text has braces: no recursion over the table, no shuffle,
+    and no limit of levels or rows. A variant sorts its keys, so the text gives their order.
     """
     kind = F.schema_of_variant
-    leaf = "array<struct<name:string,v:variant>>"
+    leaf = "array<struct<name:string,v:variant,said:string>>"
+    is_object = lambda v: kind(v).startswith("OBJECT<")
 
     def opened(x):
-        inner = F.transform(F.map_entries(x["v"].cast("map<string,variant>")), lambda e: F.struct(F.concat_ws("_", x["name"], e["key"]).alias("name"), e["value"].alias("v")))
-        return F.when(kind(x["v"]).startswith("OBJECT<"), inner).otherwise(F.array(x))
+        def inner(parts):
+            values, texts = parts["values"], parts["texts"]
+            return F.transform(F.json_object_keys(x["said"]), lambda k: F.struct(F.concat_ws("_", x["name"], k).alias("name"), values[k].alias("v"), texts[k].alias("said")))
+
+        parts = F.struct(x["v"].cast("map<string,variant>").alias("values"), F.from_json(x["said"], "map<string,string>").alias("texts"))
+        return F.when(is_object(x["v"]), let(parts, inner)).otherwise(F.array(x))
 
     def step(held, _):
-        return F.when(F.exists(held, lambda x: kind(x["v"]).startswith("OBJECT<")), F.flatten(F.transform(held, opened)).cast(leaf)).otherwise(held)
+        return F.when(F.exists(held, lambda x: is_object(x["v"])), F.flatten(F.transform(held, opened)).cast(leaf)).otherwise(held)
+
+    def number(x):
+        numeric = kind(x["v"]).isin("BIGINT", "DOUBLE", "FLOAT") | kind(x["v"]).startswith("DECIMAL")
+        value = F.when(kind(x["v"]) == "BOOLEAN", F.try_variant_get(x["v"], F.lit("$"), "boolean").cast("double")).when(numeric, F.try_variant_get(x["v"], F.lit("$"), "double"))
+        return F.struct(x["name"].alias("name"), value.alias("value"))
+
+    def last_of_each(backwards):
+        names = F.transform(backwards, lambda x: x["name"])
+        return let(names, lambda all_: F.transform(F.array_distinct(all_), lambda n: F.element_at(backwards, F.array_position(all_, n).cast("int"))))
 
     braces = F.length(json) - F.length(F.replace(F.col(json), F.lit("{"), F.lit("")))
-    start = F.array(F.struct(F.lit(prefix).alias("name"), F.try_parse_json(F.col(json)).alias("v"))).cast(leaf)
+    start = F.array(F.struct(F.lit(prefix).alias("name"), F.try_parse_json(F.col(json)).alias("v"), F.col(json).alias("said"))).cast(leaf)
     whole = F.aggregate(F.sequence(F.lit(1), F.greatest(braces, F.lit(1))), start, step)
-    flat = rows.where(kind(F.try_parse_json(F.col(json))).startswith("OBJECT<")).select(F.col(key).alias("k"), F.inline(whole))
-    number = kind(F.col("v")).isin("BIGINT", "DOUBLE", "FLOAT") | kind(F.col("v")).startswith("DECIMAL")
-    value = F.when(kind(F.col("v")) == "BOOLEAN", F.try_variant_get("v", "$", "boolean").cast("double")).when(number, F.try_variant_get("v", "$", "double"))
-    return flat.select(F.col("k").alias(key), "name", value.alias("value")).where(F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+    found = F.filter(F.transform(whole, number), lambda x: x["value"].isNotNull() & ~F.isnan(x["value"]) & (F.abs(x["value"]) < float("inf")))
+    rows = rows.where(is_object(F.try_parse_json(F.col(json))))
+    return rows.select(F.col(key), F.explode(let(F.reverse(found), last_of_each)).alias("s")).select(key, "s.name", "s.value")
 
 
 def signal_columns(table: DataFrame, names: list[str]) -> DataFrame:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..operators import identity as I
 from ..operators import surface as S
-from . import doctor, specs
-from .registry import query, rounded, shown, table
+from . import specs
+from .registry import query, rounded, table
 
 HASH = "sha256('x')"
 
@@ -192,71 +192,3 @@ def config(**changes) -> dict:
 def runs():
     queue = [[f"q{u}_{s}" for s in range(4)] for u in range(12)]
     return specs.run_specs(config(), queue, {"config_sha256": "c", "source": {"commit": "x"}}, queue[:3])
-
-
-@query("""SELECT run_id, phase, estimator, CAST(updates AS BIGINT) AS updates, CAST(target AS BIGINT) AS target, resume, pair, CAST(updates * 16 AS BIGINT) AS trajectories, CAST(updates * 2 AS BIGINT) AS optimizer_steps, CAST(seed AS BIGINT) AS seed FROM (
- SELECT 'demo_1_discovery_trunk_opd' AS run_id, 'discovery_trunk' AS phase, 'a' AS estimator, 12 AS updates, 12 AS target, NULL AS resume, NULL AS pair, 7 AS seed
- UNION ALL SELECT 'demo_1_branch_t' || t || '_rl', 'discovery_branch', 'b', 4, t + 4, CASE WHEN t > 0 THEN '/out/demo/runs/demo_1_discovery_trunk_opd/checkpoint/global_step_' || t END, CASE WHEN t = 0 THEN 'demo_1_discovery_trunk_opd' ELSE 'demo_1_branch_t' || t || '_opd' END, 7 FROM range(0, 12, 4) r(t)
- UNION ALL SELECT 'demo_1_branch_t' || t || '_opd', 'discovery_branch', 'a', 4, t + 4, '/out/demo/runs/demo_1_discovery_trunk_opd/checkpoint/global_step_' || t, 'demo_1_branch_t' || t || '_rl', 7 FROM range(4, 12, 4) r(t)
- UNION ALL SELECT 'demo_1_validation_always_opd', 'validation', 'a', 3, 3, NULL, NULL, 8 UNION ALL SELECT 'demo_1_validation_always_rl', 'validation', 'b', 3, 3, NULL, NULL, 8)""")
-def planned_runs(spark, sf_dir):
-    rows = [(s["run_id"], s["phase"], s["estimator"], s["updates"], s["target_global_step"], s.get("resume_from_path"), s.get("paired_arm_run_id"), s["planned_dose"]["trajectories"], s["planned_dose"]["optimizer_steps"], s["rollout_seed"]) for s in runs()]
-    return spark.createDataFrame(rows, "run_id string, phase string, estimator string, updates long, target long, resume string, pair string, trajectories long, optimizer_steps long, seed long")
-
-
-@query("""SELECT CAST(k AS BIGINT) AS k, id, CAST(a AS BIGINT) AS start, CAST(b AS BIGINT) AS stop FROM (VALUES (0, 'demo_1_discovery_trunk_opd_t0_t4', 0, 4), (1, 'demo_1_branch_t0_rl', NULL, 4), (2, 'demo_1_discovery_trunk_opd_t4_t12', 4, 12), (3, 'demo_1_branch_t4_opd', NULL, 8), (4, 'demo_1_branch_t4_rl', NULL, 8), (5, 'demo_1_branch_t8_opd', NULL, 12), (6, 'demo_1_branch_t8_rl', NULL, 12), (7, 'demo_1_validation_always_opd', NULL, 3), (8, 'demo_1_validation_always_rl', NULL, 3)) v(k, id, a, b)""")
-def staged_runs(spark, sf_dir):
-    rows = [(k, s["execution_id"], s.get("start_step"), s["target_global_step"]) for k, s in enumerate(specs.staged(config(), runs()))]
-    return spark.createDataFrame(rows, "k long, id string, start long, stop long")
-
-
-@query("""WITH m AS (SELECT * FROM (VALUES ('student_base', '/m/s', 0), ('teacher_reference', '/m/t', 0), ('demo_1_trunk_opd_t4', NULL, 0), ('demo_1_branch_t0_rl_t4', NULL, 0), ('demo_1_branch_t4_opd_t8', NULL, 0), ('demo_1_branch_t4_rl_t8', NULL, 0), ('demo_1_branch_t8_opd_t12', NULL, 1), ('demo_1_branch_t8_rl_t12', NULL, 1)) v(m, p, last))
- SELECT m || '__p1' AS eval_id, m AS model_id, 'P1' AS panel, coalesce(p, '/out/demo/merged/' || m) AS model_path, '/d/a' AS dataset, CAST(4 AS BIGINT) AS n, '/out/demo/evaluations/' || m || '__p1' AS output_dir FROM m UNION ALL SELECT m || '__p2', m, 'P2', '/out/demo/merged/' || m, '/d/b', 2, '/out/demo/evaluations/' || m || '__p2' FROM m WHERE last = 1""")
-def planned_evaluations(spark, sf_dir):
-    plan = specs.evaluation_plan(config(), {"/d/a": "1", "/d/b": "2", "verifier": "3"})
-    keys = ("eval_id", "model_id", "panel", "model_path", "dataset", "n", "output_dir")
-    return spark.createDataFrame([tuple(s[k] for k in keys) for s in plan["evaluation_specs"]], "eval_id string, model_id string, panel string, model_path string, dataset string, n long, output_dir string")
-
-
-@query("SELECT CAST(t AS BIGINT) AS branch_point, CAST(t + 4 AS BIGINT) AS target_step, CASE WHEN t = 0 THEN 'demo_1_trunk_opd_t4' ELSE 'demo_1_branch_t' || t || '_opd_t' || (t + 4) END AS opd_model_id, 'demo_1_branch_t' || t || '_rl_t' || (t + 4) AS rl_model_id FROM range(0, 12, 4) r(t)")
-def planned_comparisons(spark, sf_dir):
-    plan = specs.evaluation_plan(config(), {"/d/a": "1", "/d/b": "2", "verifier": "3"})
-    return spark.createDataFrame([(c["branch_point"], c["target_step"], c["opd_model_id"], c["rl_model_id"]) for c in plan["primary_comparisons"]], "branch_point long, target_step long, opd_model_id string, rl_model_id string")
-
-
-#: Configurations with something wrong, by what.
-WRONG = {"none": {}, "horizon": {"training__branch_horizon": 5}, "points": {"training__branch_points": [0, 6]}, "n": {"rollout__n": 1}, "cap": {"evaluation__max_response_length": 9}, "same": {"training__rl_estimator": "a"}, "panel": {"evaluation__primary_panel": "P9"}, "memory": {"runtime__rollout_gpu_memory_utilization": 1.5}}
-
-
-@query("""SELECT * FROM (VALUES ('cap', 'training and evaluation response caps must match'), ('horizon', 'the last branch endpoint exceeds training.trunk_updates'), ('memory', 'runtime.rollout_gpu_memory_utilization must be above 0 and at most 1'), ('n', 'rollout.n must be at least 2'),
- ('panel', 'evaluation.primary_panel must be one of evaluation.external_panels'), ('points', 'branch points [6] are not in training.checkpoint_updates'), ('same', 'the two estimators must differ')) v(config, error)""")
-def config_errors(spark, sf_dir):
-    rows = [(name, error) for name, changes in WRONG.items() for error in doctor.inspect(config(**changes))["errors"]]
-    return spark.createDataFrame(rows, "config string, error string")
-
-
-@query("SELECT * FROM (VALUES ('a.b', '1'), ('a.c.d', '[1, 2]'), ('a.e', '4'), ('f', '{}'), ('g', 'x')) v(path, value)")
-def merged_config(spark, sf_dir):
-    whole = specs.merge({"a": {"b": 1, "c": {"d": 0}, "e": 3}, "f": {}}, {"a": {"c": {"d": [1, 2]}}, "g": "y"}, {"a": {"e": 4}, "g": "x", "f": {}})
-    return spark.createDataFrame([(".".join(path), str(value)) for path, value in specs.leaves(whole).items()], "path string, value string")
-
-
-@query("SELECT 146.0::DOUBLE AS discovery_updates, 200.0::DOUBLE AS validation_updates, 346.0::DOUBLE AS total_updates, round(346 * 90 / 3600.0::DOUBLE, 6) AS projected_core_gpu_hours, round(346 * 90 / 3600.0::DOUBLE * 1.25, 6) AS projected_gpu_hours_with_overhead")
-def budget_projection(spark, sf_dir):
-    found = specs.budget(50, 6, 8, 4, 50, 90.0)
-    return rounded(spark.createDataFrame([tuple(found.values())], ", ".join(f"{k} double" for k in found)))
-
-
-@query("SELECT n_name AS estimator FROM nation WHERE n_nationkey % 5 <> 0 UNION ALL SELECT 'token_reward_direct_plus_grpo'")
-def forbidden_estimators(spark, sf_dir):
-    names = [r.n_name for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]  # 25 rows
-    refused = []
-    for name in [*names, "token_reward_direct_plus_grpo"]:
-        try:
-            specs.guard(name, allowed=[*names[::5], "token_reward_direct_plus_grpo"])
-        except ValueError:
-            refused.append((name,))
-    return spark.createDataFrame(refused, "estimator string")
-
-
-__all__ = ["attached", "config", "evaluations", "runs", "shown"]

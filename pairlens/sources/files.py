@@ -10,50 +10,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import WHITESPACE
 from ..operators.identity import MODEL_FILES, missing_files, model_files
-from ..operators.records import numbered
-
-
-FIELDS = {"step": "step", "input": "input", "gts": "gts", "output": "output", "score": "score", "true_reward_score": "token_rewards", "verifier_reward": "scalar_reward", "response_length": "response_length", "response_token_count": "response_token_count"}
+from .rollout_lines import RolloutLines, opened
 
 
 def read_rollouts(spark: SparkSession, folder: str) -> DataFrame:
-    """Rows of ``*.jsonl`` in a folder, with file and file_number, the canonical keys input and gts, and a has_ flag for each field.
+    """Rows of ``*.jsonl`` in a folder, with file, file_number and line, the canonical keys input and gts, and a has_ flag for each field.
 
     A flag tells whether a line has the key at all: an explicit null is there, but null. Blank
-    lines are skipped; a line that is no JSON raises with its file and number; a folder
-    without such files raises too. ``in_file_order`` gives files the order of their numbers.
+    lines are skipped. Files are read once, in the order of their numbers; a line that is no
+    rollout fails the read with its file and number, and so does a folder without such files.
     """
-    text = spark.read.option("pathGlobFilter", "*.jsonl").text(folder)
-    if not text.inputFiles():
-        raise ValueError(f"no rollout files in {folder}")
-    raw = text.where(F.regexp_replace("value", WHITESPACE, "") != "").select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("v"), "value")
-    bad = raw.where("v is null").select("file", "path").orderBy("path").limit(1).collect()
-    if bad:
-        raise ValueError(f"invalid JSON in {bad[0].file}:{_first_bad_line(spark, bad[0].path)}")
-    get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
-    return raw.select(
-        "file",
-        F.expr("try_cast(regexp_extract(file, '^([0-9]+)[.]', 1) as bigint)").alias("file_number"),
-        get("step", "int").alias("step"),
-        F.to_json(F.expr("variant_get(v, '$.input')")).alias("input"),
-        F.to_json(F.expr("variant_get(v, '$.gts')")).alias("gts"),
-        get("output", "string").alias("output"),
-        get("score", "double").alias("score"),
-        get("true_reward_score", "array<double>").alias("token_rewards"),
-        get("verifier_reward", "double").alias("scalar_reward"),
-        get("response_length", "bigint").alias("response_length"),
-        get("response_token_count", "bigint").alias("response_token_count"),
-        *[F.try_variant_get("v", f"$.{key}", "variant").isNotNull().alias(f"has_{name}") for key, name in FIELDS.items()],
-    )
-
-
-def _first_bad_line(spark: SparkSession, path: str) -> int:
-    """Number of the first line of a file that is no JSON; only asked once something is wrong."""
-    lines = numbered(spark.read.text(path).coalesce(1))
-    broken = (F.regexp_replace("value", WHITESPACE, "") != "") & F.try_parse_json("value").isNull()
-    return lines.where(broken).agg(F.min("_index")).first()[0] + 1
+    spark.dataSource.register(RolloutLines)
+    return spark.read.format("rollout_lines").option("path", folder).load()
 
 
 def in_file_order(rows: DataFrame) -> DataFrame:
@@ -109,21 +78,22 @@ def tree(spark: SparkSession, folder: str, include: str = ".*", sidecars: tuple[
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     root = F.lit(spark._jvm.org.apache.hadoop.fs.Path(folder).toUri().getPath().rstrip("/") + "/")
     inside = F.expr("substring(full, instr(full, root) + length(root))")
-    named = files.withColumn("full", F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?/", "/")).withColumn("root", root).withColumn("inside", inside)
+    named = files.withColumn("uri", F.col("path")).withColumn("full", F.regexp_replace("path", "^[a-z0-9+.-]+:(//[^/]*)?/", "/")).withColumn("root", root).withColumn("inside", inside)
     kept = named.where(F.col("inside").rlike(include) & ~F.substring_index("inside", "/", -1).isin(*sidecars))
     small = kept.where(F.col("length") < PIECE).select(F.col("inside").alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    large = kept.where(F.col("length") >= PIECE).select(F.col("inside").alias("path"), F.col("length").alias("bytes"), F.col("full").alias("at"))
+    large = kept.where(F.col("length") >= PIECE).select(F.col("inside").alias("path"), F.col("length").alias("bytes"), F.col("uri").alias("at"))
     return small.unionByName(large.mapInPandas(_hash_large, "path string, bytes long, sha256 string"))
 
 
 def _hash_large(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Files read piece by piece where they lie; the folder must be mounted on every machine, as file sizes beyond 2 GB fit no value."""
+    """Files read piece by piece as streams of their file system, of any size."""
     for frame in frames:
         digests = []
-        for at in frame["at"]:
+        for uri in frame["at"]:
             digest = hashlib.sha256()
-            with open(at, "rb") as handle:
-                for piece in iter(lambda h=handle: h.read(PIECE), b""):
+            system, path = opened(uri)
+            with system.open_input_stream(path) as stream:
+                while piece := stream.read(PIECE):
                     digest.update(piece)
             digests.append(digest.hexdigest())
         yield frame[["path", "bytes"]].assign(sha256=digests)

@@ -7,10 +7,16 @@ import hashlib
 import json
 import os
 import shutil
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .rollout_lines import opened
+from .shared import stored
+
 
 def write_splits(records: DataFrame, path: str) -> None:
     """One folder for each split, its rows in the order of their places over its files; the id comes first.
@@ -30,6 +36,47 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.json(path)
 
 
+def write_documents(rows: DataFrame, folder: str, name: str, text: str) -> DataFrame:
+    """One file under ``folder`` for each row, with a text or JSON of its own; returns (path, bytes, sha256) of what was written, stored.
+
+    Tasks write through their file system under another name and then move the whole file into
+    place, so a task that runs again changes nothing. Names must differ; a null text is an empty file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(folder)
+        for batch in batches:
+            done = []
+            for path, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                raw = (body or "").encode()
+                target = f"{root}/{path}"
+                system.create_dir(os.path.dirname(target), recursive=True)
+                made = f"{os.path.dirname(target)}/.{os.path.basename(target)}.{uuid.uuid4().hex}"
+                with system.open_output_stream(made) as stream:
+                    stream.write(raw)
+                system.move(made, target)
+                done.append((path, len(raw), hashlib.sha256(raw).hexdigest()))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "bytes", "sha256"])
+
+    return stored(rows.select(F.col(name).cast("string"), F.col(text).cast("string")).mapInArrow(write, "path string, bytes long, sha256 string"), "written")
+
+
+def write_steps(rows: DataFrame, folder: str, step: str, order: list[str]) -> DataFrame:
+    """One file of JSON lines for each step, named by it, its rows in order; returns (path, bytes, sha256).
+
+    A step's lines are one value of one row: a step holds the rollouts of one update.
+    """
+    line = F.to_json(F.struct(*rows.columns))
+    text = rows.groupBy(step).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))).alias("l"))
+    return write_documents(text.select(F.concat(F.col(step).cast("string"), F.lit(".jsonl")).alias("name"), F.concat(F.array_join(F.col("l._line"), "\n"), F.lit("\n")).alias("text")), folder, "name", "text")
+
+
+def document(fields: list[Column]) -> Column:
+    """A small document (manifest, plan, command, identity) as JSON, its keys sorted, nulls kept; NaN and infinity come as texts, which no reader takes for numbers."""
+    return F.to_json(F.try_parse_json(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})))
+
+
 def write_json(path: str, value: object) -> None:
     """A small document (manifest, plan, command, identity) on the driver, with sorted keys; NaN is an error. It is moved into place whole."""
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)

@@ -7,9 +7,9 @@ import math
 import duckdb
 import pytest
 from pairlens.functions import scalars
-from pairlens.operators import audit, identity, protocol, quantiles, records, surface
-from pairlens.plans import catalogue_records, catalogue_surface, doctor, registry, specs  # noqa: F401
-from pairlens.sources import files, sinks
+from pairlens.operators import audit, digests, identity, places, protocol, quantiles, records, surface
+from pairlens.plans import catalogue_records, catalogue_sources, catalogue_surface, doctor, registry, specs  # noqa: F401
+from pairlens.sources import files, locks, sinks
 from pairlens.streaming import steps
 from pyspark.sql import functions as F
 
@@ -121,30 +121,51 @@ def test_sources_sinks_and_stream(spark, tmp_path):
     assert [r.file_number for r in rows.select("file_number").distinct().orderBy("file_number").collect()] == [1, 2, 10]
     total = audit.audit(audit.resolve(rows), 8).where("step is null")
     assert json.loads(sinks.report(total))["n_groups"] == 3
-    (folder / "3.jsonl").write_text("{broken\n")
-    with pytest.raises(ValueError, match="3.jsonl"):
-        files.read_rollouts(spark, str(folder))
-    (folder / "3.jsonl").write_text('{"step": 1, "output": null}\n\n{broken\n')
-    with pytest.raises(ValueError, match="3.jsonl:3"):
-        files.read_rollouts(spark, str(folder))
-    (folder / "3.jsonl").write_text('{"step": 1, "output": null}\n')
+    for text, line in (("{broken\n", 1), ('{"step": 1, "output": null}\n\n{broken\n', 3)):
+        (folder / "3.jsonl").write_text(text)
+        with pytest.raises(Exception, match=f"invalid JSON in .*3.jsonl:{line}"):
+            files.read_rollouts(spark, str(folder)).count()
+    (folder / "3.jsonl").write_text('{"score": "high"}\n')
+    with pytest.raises(Exception, match="no rollout in .*3.jsonl:1"):
+        files.read_rollouts(spark, str(folder)).count()
+    (folder / "3.jsonl").write_text('{"step": 1, "output": null, "input": null, "gts": {"b": 1.5, "a": "\u00e9"}, "x": 0}\n')
     flags = files.read_rollouts(spark, str(folder)).where("file_number = 3").first()
-    assert flags.has_output and flags.output is None and not flags.has_score
-    assert [r.file for r in files.in_file_order(files.read_rollouts(spark, str(folder)).select("file", "file_number").distinct()).collect()] == ["1.jsonl", "2.jsonl", "3.jsonl", "10.jsonl"]
+    assert flags.has_output and flags.output is None and not flags.has_score and flags.line == 1
+    assert (flags.input, flags.gts) == ("null", '{"a":"é","b":1.5}')
+    assert [r.file for r in files.in_file_order(files.read_rollouts(spark, folder.as_uri()).select("file", "file_number").distinct()).collect()] == ["1.jsonl", "2.jsonl", "3.jsonl", "10.jsonl"]
     (tmp_path / "none").mkdir()
-    with pytest.raises(ValueError, match="no rollout files"):
-        files.read_rollouts(spark, str(tmp_path / "none"))
+    with pytest.raises(Exception, match="no rollout files"):
+        files.read_rollouts(spark, str(tmp_path / "none")).count()
     assert files.tree(spark, str(folder)).count() == 4
     sinks.write_csv([spark.range(1).toDF("id"), spark.range(1).toDF("id").withColumn("b", F.lit(2))], str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).columns == ["id", "b"]
 
 
+def run_stream(spark, path, name):
+    steps.audit_stream(spark, str(path / "in"), str(path / name), str(path / f"{name}_check"), f"{ROWS}, response_token_count long", 4, 8).awaitTermination(120)
+    return steps.stream_audit(spark, str(path / name))
+
+
 def test_stream_of_steps(spark, tmp_path):
     for step in (1, 2):
         rollouts(spark).withColumn("step", F.lit(step)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    steps.audit_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check"), ROWS, 4, 8).awaitTermination(60)
-    done = spark.read.parquet(str(tmp_path / "out"))
-    assert done.where("step is not null").count() == 2 and done.select("batch").distinct().count() == 2
+    done = run_stream(spark, tmp_path, "out")
+    assert sorted(r.step for r in done.collect()) == [1, 2]
+
+
+def test_stream_decides_as_the_dataset_does(spark, tmp_path):
+    """The second file lacks the field that the first one has, the third has it again."""
+    both = rollouts(spark).withColumn("response_token_count", F.lit(7).cast("long"))
+    for step in (1, 2, 3):
+        rows = both.withColumn("step", F.lit(step))
+        (rows.drop("response_length") if step == 2 else rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    got = run_stream(spark, tmp_path, "out").orderBy("step").collect()
+    whole = audit.audit(audit.resolve(spark.read.schema(f"{ROWS}, response_token_count long").json(str(tmp_path / "in"))), 8)
+    assert got == whole.where("step is not null").select(*got[0].__fields__).orderBy("step").collect()
+    assert [r.mean_length for r in got] == [7, 7, 7]
+    rollouts(spark).withColumn("step", F.lit(4)).drop("token_rewards").withColumn("scalar_reward", F.lit(1.0)).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    with pytest.raises(Exception, match="mixed dialects"):
+        run_stream(spark, tmp_path, "out")
 
 
 def test_merge_and_keys():
@@ -409,3 +430,109 @@ def test_masks_and_totals(spark):
     assert sorted(r.x for r in audit.unmasked(nested, "v", "m", "k").collect()) == [1.0, 2.0]
     none = audit.masked_stats(rows.select(F.lit(1.0).alias("x"), F.lit(False).alias("on")), "x", "on").first()
     assert none.n_values == 0 and none.p50_abs is None
+
+
+def test_values_are_bound_once(spark):
+    docs = spark.createDataFrame([(1, [("user", "a e")]), (2, [("user", "x"), ("user", "y")]), (3, []), (4, None)], "k long, m array<struct<role:string,content:string>>")
+    contract = protocol.message_contract(docs, "k", "m", ["e"], ["b"])
+    assert contract._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 6
+    assert [(r.k, r.broken) for r in contract.collect()] == [(2, "not one user message"), (3, "not one user message"), (4, "not one user message")]
+    ids = docs.select(scalars.messages_id(F.col("m")).alias("i"))
+    assert ids._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") <= 3
+
+
+def test_log_probabilities_of_a_real_vocabulary(spark):
+    import numpy as np
+
+    logits = np.random.default_rng(4).normal(0, 30, (12, 50_000))
+    logits[1, 7] = -np.inf
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(logits)], "k long, x array<double>").repartition(4)
+    x = F.col("x")
+    got = rows.select("k", scalars.log_probability(x, F.lit(5)).alias("p"), scalars.entropy(x).alias("h"), scalars.top_log_probabilities(x, 3).alias("t"), scalars.gathered_log_probabilities(x, F.array(F.lit(0), F.lit(9))).alias("g")).orderBy("k").collect()
+    for r, v in zip(got, logits, strict=True):
+        total = v.max() + np.log(np.exp(v - v.max()).sum())
+        weight = np.exp(v - total)
+        assert r.p == pytest.approx(v[4] - total) and r.g == pytest.approx([v[0] - total, v[9] - total])
+        assert r.h == pytest.approx(total - (weight * np.where(weight > 0, v, 0)).sum(), abs=1e-9)
+        assert [t.id for t in r.t] == np.argsort(-v, kind="stable")[:3].tolist()
+    odd = spark.createDataFrame([(1, [float("-inf"), 1.0]), (2, [math.nan, 1.0]), (3, [None, 1.0]), (4, []), (5, [float("-inf")])], "k long, x array<double>")
+    total = {r.k: r.t for r in odd.select("k", scalars.log_total(F.col("x"))["total"].alias("t")).collect()}
+    assert total[1] == 1.0 and math.isnan(total[2]) and total[3] is None and total[4] == total[5] == float("-inf")
+
+
+def test_digest_of_a_long_listing(spark):
+    """400 MB of entries: more than any one value should be, and in no order."""
+    import hashlib
+
+    rows = spark.range(0, 200_000, 1, 8).select((F.col("id") * 7919 % 200_000).alias("at"))
+    entry = F.repeat(F.lpad(F.col("at").cast("string"), 8, "0"), 250)
+    got = digests.ordered_digest(rows.withColumn("k", F.lit(None).cast("string")), ["k"], ["at"], entry, opening="[", closing="]", total=F.col("at")).collect()
+    want = hashlib.sha256(b"[")
+    for k in range(200_000):
+        want.update((b"," if k else b"") + b"%08d" % k * 250)
+    want.update(b"]")
+    assert [(r.k, r.n_entries, r.total, r.digest) for r in got] == [(None, 200_000, sum(range(200_000)), want.hexdigest())]
+    some = spark.createDataFrame([("a", 2, "y"), ("a", 1, None), ("b", 1, "z")], "k string, o long, e string")
+    found = {r.k: r.digest for r in digests.ordered_digest(some, ["k"], ["o"], F.col("e"), between="-").collect()}
+    assert found == {"a": hashlib.sha256(b"-y").hexdigest(), "b": hashlib.sha256(b"z").hexdigest()}
+
+
+def test_one_of_many_writers_locks_a_group(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    folder = tmp_path.as_uri() + "/locks"
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda k: locks.claim(spark, folder, "t0", {"identity_group": "t0", "global_step": k}), range(24)))
+    assert len({g["global_step"] for g in got}) == 1
+    assert [p.name for p in (tmp_path / "locks").iterdir() if not p.name.endswith(".crc")] == ["t0.json"]
+    assert locks.locks(spark, folder).first().global_step == got[0]["global_step"]
+    with pytest.raises(ValueError):
+        locks.claim(spark, folder, "../x", {})
+
+
+def test_later_runs_must_match_the_lock(spark, tmp_path):
+    sha = "a" * 64
+    row = lambda run, group, seq, actor: (run, group, seq, 0, 7, sha, sha, sha, actor, sha, sha, sha)
+    kind = "run string, grp string, seq int, global_step long, rollout_seed long, config_hash string, dataloader_hash string, optimizer_hash string, actor_hash string, prompt_window_hash string, source_manifest_hash string, trainer_state_hash string"
+    folder = str(tmp_path / "locks")
+    first = spark.createDataFrame([row("opd", "t0", 1, sha), row("rl", "t0", 2, sha), row("free", None, 3, "x")], kind)
+    assert locks.lock_groups(first, folder, "grp", "seq", "run").isEmpty()
+    later = spark.createDataFrame([row("drift", "t0", 0, "b" * 64), row("new", "t4", 1, sha)], kind)
+    assert [(r.run, r.fields) for r in locks.lock_groups(later, folder, "grp", "seq", "run").collect()] == [("drift", "actor_hash")]
+
+
+def test_tables_by_place(spark):
+    left = spark.range(0, 1000, 1, 7).select(((F.col("id") * 37) % 1000).alias("a"))
+    right = spark.range(0, 1000, 1, 3).select(((F.col("id") * 91) % 1000 * 2).alias("b"))
+    got = places.zipped(left, right, ["a"], ["b"]).collect()
+    assert sorted((r.place, r.a, r.b) for r in got) == [(k, k, 2 * k) for k in range(1000)]
+    with pytest.raises(ValueError, match="1000 rows can't be joined with 999"):
+        places.zipped(left, right.limit(999), ["a"], ["b"])
+    with pytest.raises(ValueError, match="by place"):
+        places.with_supplied_lengths(left, right.limit(3), ["a"], ["b"], "b")
+    assert places.zipped(left.limit(0), right.limit(0), ["a"], ["b"]).count() == 0
+
+
+def test_hash_of_a_file_over_two_gigabytes(spark, tmp_path):
+    import hashlib
+
+    size = (2 << 30) + 5
+    with open(tmp_path / "large file.bin", "wb") as handle:
+        handle.truncate(size - 3)
+        handle.seek(size - 3)
+        handle.write(b"end")
+    (tmp_path / "small.bin").write_bytes(b"abc")
+    want, zero = hashlib.sha256(), bytes(1 << 24)
+    for k in range(0, size - 3, 1 << 24):
+        want.update(zero[: min(1 << 24, size - 3 - k)])
+    want.update(b"end")
+    got = {r.path: (r.bytes, r.sha256) for r in files.tree(spark, tmp_path.as_uri()).collect()}
+    assert got == {"large file.bin": (size, want.hexdigest()), "small.bin": (3, hashlib.sha256(b"abc").hexdigest())}
+    (tmp_path / "large file.bin").unlink()
+
+
+def test_signals_of_one_name(spark):
+    points, _, held = endpoints(spark)
+    rows = spark.createDataFrame([("0", '{"a_b": 1, "a": {"b": 2, "c": true}}'), ("20", '{"a": {"b": 2}, "a_b": 1, "x": "1"}')], "branch_point string, j string")
+    table = surface.full_surface(points, held, "main", "avg_at_n", 0.01, signals=surface.flatten_signals(rows, "branch_point", "j"))
+    assert {r.branch_point: r.signals for r in table.collect()} == {0: {"signal_a_b": 2.0, "signal_a_c": 1.0}, 20: {"signal_a_b": 1.0}}
