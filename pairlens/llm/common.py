@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIRS: dict[str, str] = {}
+from ..sources.shared import shared_root, stored  # noqa: F401  stored: for the operators
 
 
 def tune(spark: SparkSession) -> None:
@@ -19,28 +17,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, an own one on a single machine; a cluster must name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIRS:
-        _OWN_DIRS[app] = "file://" + tempfile.mkdtemp(prefix="pairlens_")
-        spark.sparkContext.setCheckpointDir(_OWN_DIRS[app])
-    return _OWN_DIRS[app]
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{label}_{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
     """Write ``df`` into the shared folder as a table in buckets by ``key``: joins on it shuffle only the other side."""
     spark = df.sparkSession

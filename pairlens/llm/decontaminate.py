@@ -3,18 +3,18 @@
 Words are runs of letters and digits, case folded; shingles are five words. A window
 has as many shingles as the item it is held against. Two such windows are 0.8 alike
 (sum of smaller over sum of larger shingle counts) only if at least 8/9 of the window's
-shingles are the item's, so windows with fewer shingles of any item of their size get no
-fingerprint; none that could qualify is left out. Which items a window may hold is
-asked of its fingerprint alone: it has 256 bits, in 32 blocks of eight. Two that differ in
-at most ``radius`` bits agree in some block up to radius // 32 bits, and the tables list, for
-every value of a block, the items within that many bits. The radius depends on the size:
-windows 0.8 alike lie beyond it with a probability of at most 1e-9 (see ``near_copies.reach``).
-Items found so and within the radius are verified on the words themselves.
-At such radii the blocks rule out few items; the distance over all blocks does that.
+shingles are the item's, so windows with fewer shingles of any item of their size fingerprint; none that could qualify is left out. Which items a window may hold is
+asked of its fingerprint alone: it has 256 bits, in 16 blocks of sixteen. Two that differ in
+at most ``radius`` bits agree in some block up to radius // 16 bits, so the items that do so in some
+block hold all within the radius. The radius depends on the size: windows 0.8 alike lie
+beyond it with a probability of at most ``miss`` (see ``near_copies.reach``), 0.0005 unless
+named, which gives a radius of about 60: three bits in a block, which a sixth of unlike items
+pass. Items within the radius are verified on the words themselves.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +28,11 @@ from .common import ranges, tune
 from .near_copies import reach
 
 SHINGLE = 5
-BLOCKS = 32
+#: Probability at most that windows just alike enough have fingerprints beyond the radius.
+MISS = 0.0005
+BLOCKS = 16
+#: Bytes of a fingerprint.
+BYTES = 32
 FOUND = "doc_id long, item_id long, window_start long, n_words long, distance int, similarity double"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -85,8 +89,8 @@ def _prints(hashes: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     low = int(starts.min())
     span = hashes[low : int(starts.max()) + n]
     wide = _mix(span[:, None] + _lanes()[None, :])
-    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(-1, BLOCKS), axis=1, bitorder="little")
-    sums = np.concatenate((np.zeros((1, 8 * BLOCKS), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
+    bits = np.unpackbits(np.ascontiguousarray(wide).view(np.uint8).reshape(-1, BYTES), axis=1, bitorder="little")
+    sums = np.concatenate((np.zeros((1, 8 * BYTES), np.int32), np.cumsum(bits, axis=0, dtype=np.int32)))
     ones = sums[starts - low + n] - sums[starts - low]
     return np.packbits(2 * ones > n, axis=1, bitorder="little")
 
@@ -112,23 +116,36 @@ def weighted_similarity(a: list[str], b: list[str]) -> float:
 
 
 class _Size:
-    """The items of one number of shingles: the shingles that any of them has, and the multi-index of their fingerprints."""
+    """The items of one number of shingles: the shingles that any of them has, and the multi-index of their fingerprints.
 
-    def __init__(self, items: list[int], hashes: list[np.ndarray], threshold: float, radius: int | None):
-        self.items, self.n = np.array(items), len(hashes[0])
+    The index has for each block its different values in order, and the items of each: about 100 bytes an item.
+    """
+
+    def __init__(self, items: list[int], hashes: list[np.ndarray], threshold: float, radius: int | None, miss: float):
+        self.items, self.n = np.array(items, np.int32), len(hashes[0])
         self.known = np.unique(np.concatenate(hashes))
         self.need = threshold * 2 * self.n / (1 + threshold) - 1e-9
-        limits = reach(threshold)
+        limits = reach(threshold, miss)
         least = max(1, int(threshold * self.n))  # a text with fewer shingles than that has too few for the item
         self.radius = int(limits[min(least, len(limits) - 1)]) if radius is None else radius
         self.prints = np.concatenate([_prints(h, np.zeros(1, np.int64), self.n) for h in hashes])
-        value = np.arange(256, dtype=np.uint8)
-        within = np.bitwise_count(value[:, None, None] ^ self.prints[None]) <= self.radius // BLOCKS  # [value, item, block]
-        self.tables = [[np.flatnonzero(row) for row in within[:, :, b]] for b in range(BLOCKS)]
+        self.blocks = []
+        for column in self.prints.view(np.uint16).T:
+            order = np.argsort(column, kind="stable").astype(np.int32)
+            value, start = np.unique(column[order], return_index=True)
+            self.blocks.append((value, np.append(start, len(order)).astype(np.int32), order))
+
+    def candidates(self, fp: np.ndarray) -> np.ndarray:
+        """Places of the items that agree with ``fp`` in some block up to radius // BLOCKS bits."""
+        found = []
+        for own, (value, start, order) in zip(fp.view(np.uint16), self.blocks, strict=True):
+            hit = np.flatnonzero(np.bitwise_count(value ^ own) <= self.radius // BLOCKS)
+            found.append(order[ranges(start[hit], start[hit + 1] - start[hit])])
+        return np.unique(np.concatenate(found))
 
     def near(self, fp: np.ndarray) -> list[tuple[int, int]]:
         """(place among the items, distance) of every item whose fingerprint is within the radius of ``fp``."""
-        found = np.unique(np.concatenate([table[v] for table, v in zip(self.tables, fp.tolist(), strict=True)]))
+        found = self.candidates(fp)
         distance = np.bitwise_count(self.prints[found] ^ fp).sum(1, dtype=np.int64)
         return [(int(i), int(d)) for i, d in zip(found, distance, strict=True) if d <= self.radius]
 
@@ -136,33 +153,42 @@ class _Size:
 class ItemIndex:
     """Benchmark items by the number of their shingles; items of fewer than five words by the hash of all their words."""
 
-    def __init__(self, ids: list, texts: list[str], threshold: float, radius: int | None = None):
+    def __init__(self, ids: list, texts: list[str], threshold: float, radius: int | None = None, miss: float = MISS):
         self.threshold = threshold
-        self.ids, self.words = ids, [_words(t) for t in texts]
-        word, first = word_hashes(texts)
+        self.ids, self.texts = ids, texts
         by_size: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, words in enumerate(self.words):
-            own = word[first[i] : first[i + 1]]
-            if len(words) >= SHINGLE:
-                by_size[len(words) - SHINGLE + 1].append((i, window_hashes(own, np.array([0, len(own)]), SHINGLE)[0]))
-            elif words:
-                self.short[len(words)][int(window_hashes(own, np.array([0, len(own)]), len(words))[0][0])].append(i)
-        self.sizes = [_Size([i for i, _ in some], [h for _, h in some], threshold, radius) for _, some in sorted(by_size.items())]
-        every = np.concatenate([s.known for s in self.sizes]) if self.sizes else np.zeros(0, np.uint64)
-        self.filter = np.zeros(1 << 20, bool)
-        self.filter[(every >> np.uint64(44)).astype(np.int64)] = True
+        for a in range(0, len(texts), 1000):
+            word, first = word_hashes(texts[a : a + 1000])
+            for i in range(len(first) - 1):
+                own = word[first[i] : first[i + 1]]
+                if len(own) >= SHINGLE:
+                    by_size[len(own) - SHINGLE + 1].append((a + i, window_hashes(own, np.array([0, len(own)]), SHINGLE)[0]))
+                elif len(own):
+                    self.short[len(own)][int(window_hashes(own, np.array([0, len(own)]), len(own))[0][0])].append(a + i)
+        self.sizes = []
+        for n in sorted(by_size):
+            some = by_size.pop(n)
+            self.sizes.append(_Size([i for i, _ in some], [h for _, h in some], threshold, radius, miss))
+        # One in eight places of the filter is taken at most; hashes are cut to its size.
+        self.shift = np.uint64(64 - max(20, (8 * sum(len(size.known) for size in self.sizes)).bit_length()))
+        self.filter = np.zeros(1 << (64 - int(self.shift)), bool)
+        for size in self.sizes:
+            self.filter[(size.known >> self.shift).astype(np.int64)] = True
 
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int, float]]:
         """(text, item, first word, words, distance, similarity) of the best window for each text and item, the first of equal ones."""
         word, first = word_hashes(texts)
         best: dict[tuple[int, int], tuple[int, int, int, float]] = {}
         split: dict[int, list[str]] = {}
+        asked: dict[int, list[str]] = {}
 
         def offer(t: int, i: int, start: int, size: int, distance: int) -> None:
             if t not in split:
                 split[t] = _words(texts[t])
-            alike = weighted_similarity(split[t][start : start + size], self.words[i])
+            if i not in asked:
+                asked[i] = _words(self.texts[i])
+            alike = weighted_similarity(split[t][start : start + size], asked[i])
             if alike >= self.threshold and ((t, i) not in best or alike > best[t, i][3]):
                 best[t, i] = (start, size, distance, alike)
 
@@ -173,7 +199,7 @@ class ItemIndex:
                 for i in known[int(hashes[at])]:
                     offer(t, i, at - int(bounds[t]), size, 0)
         hashes, bounds = window_hashes(word, first, SHINGLE)
-        hits = self.filter[(hashes >> np.uint64(44)).astype(np.int64)] if len(hashes) else np.zeros(0, bool)
+        hits = self.filter[(hashes >> self.shift).astype(np.int64)] if len(hashes) else np.zeros(0, bool)
         sums = np.concatenate(([0], np.cumsum(hits)))
         for t in np.flatnonzero(sums[bounds[1:]] > sums[bounds[:-1]]).tolist():
             a, b = int(bounds[t]), int(bounds[t + 1])
@@ -192,7 +218,8 @@ class ItemIndex:
             return
         known = np.zeros(len(mine), np.int64)
         at = np.flatnonzero(hits)
-        known[at] = np.isin(mine[at], some.known)
+        place = np.minimum(np.searchsorted(some.known, mine[at]), len(some.known) - 1)
+        known[at] = some.known[place] == mine[at]
         sums = np.concatenate(([0], np.cumsum(known)))
         starts = np.flatnonzero(sums[n:] - sums[:-n] >= need)
         for k in range(0, len(starts), 4096):
@@ -202,7 +229,18 @@ class ItemIndex:
                     offer(t, int(some.items[i]), start, whole or n + SHINGLE - 1, distance)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+_HELD: dict[str, ItemIndex] = {}
+
+
+def _index(key: str, shared, threshold: float, radius: int | None, miss: float) -> ItemIndex:
+    """A worker's index of a block of items: built once, until another block's is asked for."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = ItemIndex([i for i, _ in shared.value], [t for _, t in shared.value], threshold, radius, miss)
+    return _HELD[key]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, miss: float = MISS, block_bytes: int = 32 << 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row for each document and benchmark item of which it holds a window: FOUND.
 
     The window with the highest similarity is given, the first of equal ones. Null
@@ -211,7 +249,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     shingles than the item is one window. Rows that share an id all appear, items that share
     one too; a null id is kept, extra columns are ignored, long texts are read whole, and an
     empty table on either side gives no rows. Items are broadcast in blocks of ``block_bytes``
-    of text; each block is a pass over the documents, so benchmarks up to that size take one.
+    of text; each block is a pass over the documents, so benchmarks up to that size take one. A
+    worker holds one block's index, about four times its text.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -219,8 +258,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     found: DataFrame | None = None
 
     def search(shared) -> DataFrame:
+        key = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex([i for i, _ in shared.value], [t for _, t in shared.value], threshold, radius)
+            index = _index(key, shared, threshold, radius, miss)
             for batch in batches:
                 for a in range(0, batch.num_rows, 200):
                     part = batch.slice(a, 200)
@@ -250,14 +291,16 @@ def _blocks(spark: SparkSession, benchmark: DataFrame, block_bytes: int, item_co
         yield spark.sparkContext.broadcast(block)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int | None = None, miss: float = MISS, block_bytes: int = 32 << 20, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which ``contaminated`` has none, all columns as they are; nothing is shuffled."""
     tune(docs.sparkSession)
     place = docs.columns.index(text_col)
 
     def search(rows: DataFrame, shared) -> DataFrame:
+        key = uuid.uuid4().hex
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex([i for i, _ in shared.value], [t for _, t in shared.value], threshold, radius)
+            index = _index(key, shared, threshold, radius, miss)
             for batch in batches:
                 for a in range(0, batch.num_rows, 200):
                     part = batch.slice(a, 200)

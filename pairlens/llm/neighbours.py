@@ -7,6 +7,10 @@ projections. A query visits its own bucket and perturbed ones: every projection'
 distance to the neighbouring cells scores a step, and sets of steps are visited in
 order of the sum of squared distances, the likeliest first. The candidates of all
 tables are reranked by exact inner products in double precision.
+
+A table's buckets are dealt to cells by hash, so many that a cell holds some ten thousand rows.
+A row goes once to its bucket's cell in each table, and a query's vector once to each cell that holds
+buckets it visits, with the list of these.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored, tune
+from .common import drop_stored, ranges, stored, tune
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -78,9 +82,13 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def best(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a bucket by exact inner product, ties to the smaller id; the query's own row is left out."""
-    rough = np.where(ids == own, -np.inf, rough)
+def best(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of some candidates by exact inner product, ties to the smaller id; the query's own rows are left out."""
+    if len(np.unique(ids)) < len(ids):  # of rows that share an id the nearest
+        order = np.lexsort((-(x @ q), ids))
+        order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))]
+        ids, x = ids[order], x[order]
+    rough = np.where(ids == own, -np.inf, x @ q)
     bar = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
     at = np.flatnonzero((rough >= bar - 1e-9 * max(1.0, abs(bar)) if np.isfinite(bar) else True) & (ids != own))
     score = (x[at] * q).sum(1)
@@ -88,7 +96,7 @@ def best(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, rough: np.ndar
     return ids[at][order], score[order]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, hashes: int = 3, width: float = 0.6, visits: int = 90, chunk_rows: int = 20_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, hashes: int = 3, width: float = 0.6, visits: int = 90, cell_rows: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score (inner product) of each query's ``k`` nearest other rows.
 
     Vectors that are null, zero, or hold null or non-finite components take no part,
@@ -120,12 +128,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     rows, asked = rows.where(F.size("v") == dim), valid(queries).where(F.size("v") == dim)
     hasher = Tables(dim, tables, hashes, width)
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
         for batch in batches:
             if batch.num_rows:
                 cells = np.floor(hasher.cells(augmented(_vectors(batch.column(1)), norm)))
                 for t in range(tables):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, t, np.int32)), pa.array(_key(cells[t])), batch.column(0), batch.column(1)], ["t", "bucket", "id", "v"])
+                    yield batch, t, _key(cells[t])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t, key in keys(batches):
+            bucket, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), t, np.int32)), pa.array(bucket), pa.array(n)], ["t", "bucket", "n"])
+
+    # Buckets of more than half a cell are cut by id, and their visitors go to every part: tables * 2 * rows / cell_rows of them at most.
+    half = max(1, cell_rows // 2)
+    full = rows.mapInArrow(count, "t int, bucket long, n long").groupBy("t", "bucket").agg(F.sum("n").alias("n")).where(F.col("n") > half)
+    parts = {(r.t, r.bucket): -(-r.n // half) for r in full.toLocalIterator()}
+    cells = max(1, -(-rows.count() // cell_rows))
+    dealt = _Dealer(parts, cells)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, t, key in keys(batches):
+            cell = dealt.of_rows(t, key, batch.column(0).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(cell), pa.array(np.zeros(len(key), np.int32)), batch.column(0), batch.column(1), pa.ListArray.from_arrays(np.arange(len(key) + 1, dtype=np.int32), pa.array(key))], _MET)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,21 +158,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
                 some = batch.slice(a, 64)
                 x = _vectors(some.column(1))
                 q = np.hstack([x / np.sqrt((x**2).sum(1, keepdims=True)), np.zeros((len(x), 1))])
-                cells = hasher.cells(q)
+                at = hasher.cells(q)
                 for t in range(tables):
-                    visit = [probes(c, visits) for c in cells[t]]
-                    at = np.repeat(np.arange(len(visit)), [len(v) for v in visit])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(_key(np.array([p for v in visit for p in v]))), some.column(0).take(pa.array(at)), some.column(1).take(pa.array(at))], ["t", "bucket", "id", "v"])
-
-    kind = f"t int, bucket long, id long, v {kept}"
-    # Full buckets are cut into chunks by id, and their visitors go to every chunk.
-    filed = stored(rows.mapInArrow(index, kind), "buckets")
-    sizes = filed.groupBy("t", "bucket").agg(F.ceil(F.count("*") / chunk_rows).cast("int").alias("chunks"))
-    homes = filed.join(sizes, ["t", "bucket"]).select("t", "bucket", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("visitor"), "id", "v")
-    visitors = asked.mapInArrow(ask, kind).join(sizes, ["t", "bucket"]).select("t", "bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("visitor"), "id", "v")
-    met = homes.union(visitors).repartition("t", "bucket", "chunk").sortWithinPartitions("t", "bucket", "chunk", "visitor", "id")
+                    who, cell, visited = [], [], []
+                    for k_, c in enumerate(at[t]):
+                        for where, buckets in dealt.of_visits(t, _key(np.array(probes(c, visits)))):
+                            who.append(k_)
+                            cell.append(where)
+                            visited.append(buckets)
+                    bounds = np.concatenate(([0], np.cumsum([len(v) for v in visited]))).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), pa.array(np.array(cell, np.int64)), pa.array(np.ones(len(who), np.int32)), some.column(0).take(pa.array(who)), some.column(1).take(pa.array(who)), pa.ListArray.from_arrays(bounds, pa.array(np.concatenate(visited)))], _MET)
+
+    kind = f"t int, cell long, visitor int, id long, v {kept}, buckets array<long>"
+    met = rows.mapInArrow(index, kind).union(asked.mapInArrow(ask, kind)).repartition("t", "cell").sortWithinPartitions("t", "cell", "visitor")
     found = stored(met.mapInArrow(_scorer(k), FOUND), "found")
-    drop_stored(filed)
     final = _ranked(found, k)
     # Queries whose visits brought fewer than k candidates meet all rows, in blocks.
     total = rows.select("id").distinct().count()
@@ -157,17 +181,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8
     if short.isEmpty():
         drop_stored(short)
         return final
-    rest = _all_rows(rows, short, k, chunk_rows)
+    rest = _all_rows(rows, short, k, cell_rows)
     kept = final.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti")
     return kept.union(_ranked(rest, k))
 
 
-def _all_rows(rows: DataFrame, short: DataFrame, k: int, chunk_rows: int) -> DataFrame:
+def _all_rows(rows: DataFrame, short: DataFrame, k: int, cell_rows: int) -> DataFrame:
     """Exact search for a few queries: blocks of rows against blocks of queries."""
-    chunks, blocks = max(1, -(-rows.count() // chunk_rows)), max(1, -(-short.count() // 2000))
-    homes = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("bucket"), F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("visitor"), "id", "v")
-    visitors = short.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("visitor"), "id", "v")
-    met = homes.union(visitors).select(F.lit(0).alias("t"), "*").repartition("bucket", "chunk").sortWithinPartitions("t", "bucket", "chunk", "visitor", "id")
+    cells, blocks = max(1, -(-rows.count() // cell_rows)), max(1, -(-short.count() // 2000))
+    one = F.array(F.lit(0).cast("long"))
+    homes = rows.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("t"), F.pmod(F.xxhash64("id"), F.lit(cells)).alias("cell"), F.lit(0).alias("visitor"), "id", "v", one.alias("buckets"))
+    visitors = short.select(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))).alias("cell"), F.lit(1).alias("visitor"), "id", "v", one.alias("buckets"))
+    met = homes.union(visitors).repartition("t", "cell").sortWithinPartitions("t", "cell", "visitor")
     return met.mapInArrow(_scorer(k), FOUND)
 
 
@@ -177,46 +202,75 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+class _Dealer:
+    """Which cell of a table a row or a visit belongs to: by the bucket's hash, and for a bucket in parts by the part's."""
+
+    def __init__(self, parts: dict[tuple[int, int], int], cells: int):
+        self.parts, self.cells = parts, cells
+        self.full = {t: np.array(sorted(b for s, b in parts if s == t), np.int64) for t in {t for t, _ in parts}}
+
+    def _cell(self, t: int, bucket: np.ndarray, part: np.ndarray) -> np.ndarray:
+        x = (bucket.view(np.uint64) + np.uint64(t << 40)) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return ((x ^ (x >> np.uint64(29))) % np.uint64(self.cells)).astype(np.int64)
+
+    def of_rows(self, t: int, bucket: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        part = np.zeros(len(bucket), np.int64)
+        for k in np.flatnonzero(np.isin(bucket, self.full[t])).tolist() if t in self.full else []:
+            part[k] = (int(ids[k]) * 0x9E3779B97F4A7C15 >> 20) % self.parts[t, int(bucket[k])]
+        return self._cell(t, bucket, part)
+
+    def of_visits(self, t: int, bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """(cell, buckets there) of the buckets that a query visits."""
+        more = np.flatnonzero(np.isin(bucket, self.full[t])) if t in self.full else np.zeros(0, np.int64)
+        every, part = [bucket], [np.zeros(len(bucket), np.int64)]
+        for k in more.tolist():
+            n = self.parts[t, int(bucket[k])] - 1
+            every.append(np.full(n, bucket[k]))
+            part.append(np.arange(1, n + 1))
+        bucket = np.concatenate(every)
+        cell = self._cell(t, bucket, np.concatenate(part))
+        pair = np.unique(np.stack([cell, bucket], 1), axis=0)
+        heads = np.flatnonzero(np.concatenate(([True], pair[1:, 0] != pair[:-1, 0])))
+        return [(int(pair[a, 0]), pair[a:b, 1]) for a, b in zip(heads, [*heads[1:], len(pair)], strict=True)]
+
+
+_MET = ["t", "cell", "visitor", "id", "v", "buckets"]
+
+
 def _scorer(k: int):
-    """Over rows sorted by bucket, homes before visitors: the k best of each visitor, over all buckets of the partition."""
+    """Over rows sorted by cell, homes before visitors: the k best that each visitor finds in its buckets there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        where, ids, parts, x = None, [], [], None
+        where, held, cell = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], 1)
-            vec, own = _vectors(batch.column(5)), batch.column(4).to_numpy(zero_copy_only=False)
+            key = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], 1)
+            vec, own, visited = _vectors(batch.column(4)), batch.column(3).to_numpy(zero_copy_only=False), batch.column(5)
+            bounds, buckets = visited.offsets.to_numpy() - visited.offsets[0].as_py(), visited.flatten().to_numpy()
             cuts = np.flatnonzero((np.diff(key, axis=0) != 0).any(1)) + 1
+            out = []
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)], strict=True):
-                bucket = tuple(key[a, :3].tolist())
-                if bucket != where:
-                    where, ids, parts, x = bucket, [], [], None
-                if key[a, 3] == 0:
-                    ids.append(own[a:b])
-                    parts.append(vec[a:b])
+                if (here := tuple(key[a, :2].tolist())) != where:
+                    where, held, cell = here, [], None
+                if key[a, 2] == 0:
+                    held.append((buckets[bounds[a] : bounds[b]], own[a:b], vec[a:b]))
                     continue
-                if not parts:
+                if not held:
                     continue
-                if x is None:
-                    x, names = np.concatenate(parts), np.concatenate(ids)
-                for c in range(a, b, 256):
-                    d = min(b, c + 256)
-                    rough = vec[c:d] @ x.T
-                    for r in range(c, d):
-                        found = best(names, x, own[r], vec[r], rough[r - c], k)
-                        if own[r] in top:
-                            had = top[own[r]]
-                            name, score = np.concatenate((had[0], found[0])), np.concatenate((had[1], found[1]))
-                            order = np.lexsort((name, -score))
-                            name, score = name[order], score[order]
-                            first = np.sort(np.unique(name, return_index=True)[1])[:k]
-                            found = name[first], score[first]
-                        top[own[r]] = found
-        items = list(top.items())
-        for a in range(0, len(items), 500):
-            some = items[a : a + 500]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, _ in some], np.int64), [len(f[0]) for _, f in some])), pa.array(np.concatenate([f[0] for _, f in some])), pa.array(np.concatenate([f[1] for _, f in some]))], ["query_id", "vec_id", "score"])
+                if cell is None:  # rows of a bucket stand together
+                    bucket, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
+                    order = np.argsort(bucket, kind="stable")
+                    held, cell = held[:1], (bucket[order], ids[order], x[order])
+                for r in range(a, b):
+                    asked = buckets[bounds[r] : bounds[r + 1]]
+                    low, high = np.searchsorted(cell[0], asked, side="left"), np.searchsorted(cell[0], asked, side="right")
+                    at = ranges(low, high - low)
+                    if len(at):
+                        out.append((own[r], *best(cell[1][at], cell[2][at], own[r], vec[r], k)))
+            for a in range(0, len(out), 500):
+                some = out[a : a + 500]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, *_ in some], np.int64), [len(f[1]) for f in some])), pa.array(np.concatenate([f[1] for f in some])), pa.array(np.concatenate([f[2] for f in some]))], ["query_id", "vec_id", "score"])
 
     return run
