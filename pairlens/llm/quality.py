@@ -54,10 +54,9 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = ((prefix[end] - prefix[start]) * _powers(len(code) + 1, True)[start]) + np.uint64(1 << 44)
     keys.append(word)
     rows.append(row[start])
-    # A word said twice running is a feature of its own, whatever the word; so is a pair of words.
+    # A pair of words is a feature too.
     pair = np.flatnonzero(row[start[1:]] == row[start[:-1]]) if len(start) else np.zeros(0, np.int64)
-    again = word[pair + 1] == word[pair]
-    keys.append(np.where(again, np.uint64(1 << 60), word[pair] * np.uint64(_BASE) + word[pair + 1]))
+    keys.append(word[pair] * np.uint64(_BASE) + word[pair + 1])
     rows.append(row[start[pair]])
     key, owner = np.concatenate(keys), np.concatenate(rows)
     bucket = (((key ^ (key >> np.uint64(32))) * _MIX) >> np.uint64(64 - BITS)).astype(np.int32)
