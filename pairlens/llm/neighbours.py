@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import drop_stored, ranges, stored, tune
+from .common import drop_stored, stored, tune
 
 FOUND = "query_id long, vec_id long, score double"
 
@@ -82,18 +82,50 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def best(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of some candidates by exact inner product, ties to the smaller id; the query's own rows are left out."""
-    if len(np.unique(ids)) < len(ids):  # of rows that share an id the nearest
-        order = np.lexsort((-(x @ q), ids))
-        order = order[np.concatenate(([True], ids[order][1:] != ids[order][:-1]))]
-        ids, x = ids[order], x[order]
-    rough = np.where(ids == own, -np.inf, x @ q)
-    bar = np.partition(rough, len(rough) - k)[len(rough) - k] if len(rough) > k else -np.inf
-    at = np.flatnonzero((rough >= bar - 1e-9 * max(1.0, abs(bar)) if np.isfinite(bar) else True) & (ids != own))
-    score = (x[at] * q).sum(1)
-    order = np.lexsort((ids[at], -score))[:k]
-    return ids[at][order], score[order]
+class Cell:
+    """The rows of a cell, those of a bucket together. Of rows that share an id and a bucket all are kept."""
+
+    def __init__(self, bucket: np.ndarray, ids: np.ndarray, x: np.ndarray):
+        order = np.argsort(bucket, kind="stable")
+        self.ids, self.x, self.rough = ids[order], x[order], x[order].astype(np.float32)
+        self.buckets, start = np.unique(bucket[order], return_index=True)
+        self.bounds = np.append(start, len(order))
+        self.reach = float(np.sqrt((x * x).sum(1).max()))
+        self.by_id = np.argsort(self.ids, kind="stable")
+        self.repeats = len(np.unique(ids)) < len(ids)
+
+    def rows_of(self, own: int) -> np.ndarray:
+        low, high = (np.searchsorted(self.ids[self.by_id], own, side=s) for s in ("left", "right"))
+        return self.by_id[low:high]
+
+    def best(self, own: np.ndarray, q: np.ndarray, asked: list[np.ndarray], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, ids, scores) of the ``k`` nearest that each query meets in the buckets it asks for, by exact inner product, ties to the smaller id; its own rows are left out.
+
+        A bucket meets all its visitors at once, in single precision; what may be among the best by that is scored in double.
+        """
+        near = np.full((len(own), len(self.ids)), -np.inf, np.float32)
+        at = [np.searchsorted(self.buckets, b) for b in asked]
+        hits = [p[(p < len(self.buckets)) & (self.buckets[np.minimum(p, len(self.buckets) - 1)] == b)] for p, b in zip(at, asked, strict=True)]
+        place, who = np.concatenate(hits), np.repeat(np.arange(len(own)), [len(h) for h in hits])
+        order = np.argsort(place, kind="stable")
+        place, who = place[order], who[order]
+        rough = q.astype(np.float32)
+        for group in np.split(np.arange(len(place)), np.flatnonzero(np.diff(place)) + 1) if len(place) else []:
+            a, b, some = self.bounds[place[group[0]]], self.bounds[place[group[0]] + 1], who[group]
+            near[some, a:b] = rough[some] @ self.rough[a:b].T
+        for r in range(len(own)):
+            near[r, self.rows_of(own[r])] = -np.inf
+        n = near.shape[1]
+        bar = np.partition(near, n - k, axis=1)[:, n - k] if n > k and not self.repeats else np.full(len(own), -np.inf, np.float32)
+        slack = 1e-5 * self.reach * np.sqrt((q * q).sum(1))
+        for r in range(len(own)):
+            at = np.flatnonzero((near[r] >= bar[r] - slack[r]) & (near[r] > -np.inf))
+            if len(at):
+                score, ids = (self.x[at] * q[r]).sum(1), self.ids[at]
+                order = np.lexsort((ids, -score))
+                if self.repeats:
+                    order = order[np.sort(np.unique(ids[order], return_index=True)[1])]
+                yield own[r], ids[order[:k]], score[order[:k]]
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = 8, hashes: int = 3, width: float = 0.6, visits: int = 90, cell_rows: int = 50_000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -259,16 +291,11 @@ def _scorer(k: int):
                     continue
                 if not held:
                     continue
-                if cell is None:  # rows of a bucket stand together
-                    bucket, ids, x = (np.concatenate(c) for c in zip(*held, strict=True))
-                    order = np.argsort(bucket, kind="stable")
-                    held, cell = held[:1], (bucket[order], ids[order], x[order])
-                for r in range(a, b):
-                    asked = buckets[bounds[r] : bounds[r + 1]]
-                    low, high = np.searchsorted(cell[0], asked, side="left"), np.searchsorted(cell[0], asked, side="right")
-                    at = ranges(low, high - low)
-                    if len(at):
-                        out.append((own[r], *best(cell[1][at], cell[2][at], own[r], vec[r], k)))
+                if cell is None:
+                    cell, held = Cell(*(np.concatenate(c) for c in zip(*held, strict=True))), held[:1]
+                for c in range(a, b, 64):
+                    d = min(b, c + 64)
+                    out += cell.best(own[c:d], vec[c:d], [buckets[bounds[r] : bounds[r + 1]] for r in range(c, d)], k)
             for a in range(0, len(out), 500):
                 some = out[a : a + 500]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([q for q, *_ in some], np.int64), [len(f[1]) for f in some])), pa.array(np.concatenate([f[1] for f in some])), pa.array(np.concatenate([f[2] for f in some]))], ["query_id", "vec_id", "score"])
