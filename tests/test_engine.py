@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pairlens.functions import scalars
 from pairlens.operators import audit, digests, identity, places, protocol, quantiles, records, surface
-from pairlens.plans import catalogue_records, catalogue_sources, catalogue_surface, doctor, registry, specs  # noqa: F401
+from pairlens.plans import catalogue_models, catalogue_records, catalogue_sources, catalogue_surface, doctor, registry, specs  # noqa: F401
 from pairlens.sources import files, locks, sinks
 from pairlens.streaming import steps
 from pyspark.sql import functions as F
@@ -536,3 +536,58 @@ def test_signals_of_one_name(spark):
     rows = spark.createDataFrame([("0", '{"a_b": 1, "a": {"b": 2, "c": true}}'), ("20", '{"a": {"b": 2}, "a_b": 1, "x": "1"}')], "branch_point string, j string")
     table = surface.full_surface(points, held, "main", "avg_at_n", 0.01, signals=surface.flatten_signals(rows, "branch_point", "j"))
     assert {r.branch_point: r.signals for r in table.collect()} == {0: {"signal_a_b": 2.0, "signal_a_c": 1.0}, 20: {"signal_a_b": 1.0}}
+
+
+CHATML = "{% for message in messages %}{{'<|' + message['role'] + '|>\n' + message['content'] + '\n'}}{% endfor %}{% if add_generation_prompt %}{{ '<|assistant|>\n' }}{% endif %}"
+
+
+def test_chat_templates(spark):
+    from pairlens.functions.templates import TemplateError, rendered_by
+    from pairlens.plans.catalogue_models import INSTRUCTED, MARKED
+
+    rows = spark.createDataFrame([(1, [("system", " S "), ("user", " q "), ("assistant", "a"), ("user", "r")]), (2, [("user", "q"), ("assistant", " a ")]), (3, None), (4, [])], "k long, m array<struct<role:string,content:string>>")
+    show = lambda template, **settings: {r.k: r.t for r in rows.select("k", rendered_by(template, F.col("m"), **settings).alias("t")).collect()}
+    assert show(CHATML, add_generation_prompt=True) == {1: "<|system|>\n S \n<|user|>\n q \n<|assistant|>\na\n<|user|>\nr\n<|assistant|>\n", 2: "<|user|>\nq\n<|assistant|>\n a \n<|assistant|>\n", 3: None, 4: "<|assistant|>\n"}
+    assert show(CHATML)[4] == ""
+    assert show(MARKED, add_generation_prompt=True, enable_thinking=True)[2] == "<|im_start|>system\nBe brief.<|im_end|>\n<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\n a <|im_end|>\n<|im_start|>assistant\n"
+    told = show(INSTRUCTED, bos_token="<s>", eos_token="</s>")
+    assert told[1] == "<s>[INST] <<SYS>>\nS\n<</SYS>>\n\n q [/INST] a </s><s>[INST] r [/INST]" and told[2] == "<s>[INST] q [/INST] a </s>"
+    assert show("{# note #}{{- 'x' }}  {%- if messages[0]['role'] in ['system'] or false -%}  y {% endif %}{{ messages | length }}".replace(" in ['system']", " == 'system'"))[2] == "x2"
+    assert show("{% for m in messages %}{% if not loop.last %}{{ loop.index ~ m.role | upper }},{% else %}{{ 'end' if m.content else 'none' }}{% endif %}{% endfor %}")[1] == "1SYSTEM,2USER,3ASSISTANT,end"
+    with pytest.raises(Exception, match="no user"):
+        show("{% if messages[0]['role'] != 'user' %}{{ raise_exception('no user') }}{% endif %}")
+    for broken in ("{% for m in messages %}", "{% endif %}", "{% macro x() %}", "{{ f(1) }}", "{{ messages | sort }}"):
+        with pytest.raises(TemplateError):
+            rendered_by(broken, F.col("m"))
+
+
+def test_template_needs_no_python_worker(spark):
+    from pairlens.functions.templates import rendered_by
+
+    rows = spark.createDataFrame([], "m array<struct<role:string,content:string>>").select(rendered_by(CHATML, F.col("m"), add_generation_prompt=True).alias("t"))
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokenizer_parity(spark):
+    from pairlens.operators import tokenizer_parity
+
+    def file(**changes):
+        made = {"added_tokens": [{"id": 3, "content": "<s>", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}], "pre_tokenizer": {"type": "Whitespace"}, "model": {"type": "WordLevel", "vocab": {"Token": 0, "1": 1, "+": 2, "<s>": 3, "[UNK]": 4}, "unk_token": "[UNK]"}}
+        return json.dumps(made | changes)
+
+    settings = {"bos_token": "<s>", "eos_token": {"content": "<s>"}, "chat_template": "a", "additional_special_tokens": ["x", "y"]}
+    same = {"model": {"type": "WordLevel", "vocab": {"[UNK]": 4, "<s>": 3, "+": 2, "1": 1, "Token": 0}, "unk_token": "[UNK]"}}
+    other = {"model": {"type": "WordLevel", "vocab": {"Token": 0, "1": 2, "+": 1, "<s>": 3, "[UNK]": 4}, "unk_token": "[UNK]"}}
+    rows = [("a", file(), json.dumps(settings)), ("b", file(**same), json.dumps(settings)), ("c", file(**other), json.dumps(settings | {"chat_template": "b"})), ("d", file(added_tokens=[]), json.dumps({})), ("u", json.dumps({"model": {"type": "Unigram", "vocab": [["<unk>", 0.0], ["x", -1.5]], "unk_id": 0}}), None)]
+    models = spark.createDataFrame(rows, "model string, tokenizer string, settings string")
+    parts = tokenizer_parity.tokenizer_parts(models)
+    tokenizer_parity.check_parity(parts, "a", "b")
+    found = lambda x, y: {(r.part, r.key): (r.left_value, r.right_value) for r in tokenizer_parity.parity_violations(parts, x, y).collect()}
+    got = found("a", "c")
+    assert got["vocabulary", "1"] == ("1", "2") and got["template", "chat_template"] == ("a", "b") and any(part == "probe" for part, _ in got)
+    assert {part for part, _ in found("a", "d")} == {"added token", "special token", "special id", "template"}
+    with pytest.raises(ValueError, match="a and c differ in probe.*template.*vocabulary: \\['\\+', '1'\\]"):
+        tokenizer_parity.check_parity(parts, "a", "c")
+    made = {r.model: r for r in tokenizer_parity.tokenizer_manifest(models, parts).collect()}
+    assert made["a"].vocabulary_sha256 == made["b"].vocabulary_sha256 == specs.digest({"Token": 0, "1": 1, "+": 2, "<s>": 3, "[UNK]": 4}) and made["a"].tokenizer_sha256 != made["b"].tokenizer_sha256
+    assert made["u"].vocab_size == 2
