@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..operators import identity as I
 from ..operators import surface as S
-from . import specs
 from .registry import query, rounded, table
 
 HASH = "sha256('x')"
@@ -169,26 +168,3 @@ def file_status(spark, sf_dir):
 def first_vocabulary_diffs(spark, sf_dir):
     side = lambda name, p, key: table(spark, sf_dir, name).select(F.col(key).alias("k"), F.col(f"{p}_nationkey").alias("n"))
     return S.first_vocabulary_diffs(side("customer", "c", "c_custkey"), side("supplier", "s", "s_suppkey"), "k", "n")
-
-
-def config(**changes) -> dict:
-    """A small valid configuration, with dotted keys (dots as two underscores) changed."""
-    base = {
-        "schema_version": 1, "project": {"protocol_id": "demo_1", "output_dir": "/out/demo/plan"},
-        "paths": {"student_model": "/m/s", "teacher_model": "/m/t", "train_data": "/d/t", "source_root": "/s", "verl_root": "CHANGE_ME", "external_eval": ["/d/a", "/d/b"]},
-        "data": {"prompt_batch_size": 4, "dataloader_num_workers": 0}, "rollout": {"n": 4, "max_prompt_length": 128, "max_response_length": 512, "enable_thinking": False, "seeds": {"discovery": 7, "validation": 8}},
-        "training": {"opd_estimator": "a", "rl_estimator": "b", "trunk_updates": 12, "branch_points": [0, 4, 8], "branch_horizon": 4, "checkpoint_updates": [4, 8, 12], "checkpoint_frequency": 4, "staged_trunk_initial_stop": 4, "counterfactual_mode": "fork_resumed_opd", "reuse_fresh_trunk_t0": True, "ppo_mini_batch_size": 8, "validation_updates": 3},
-        "evaluation": {"primary_panel": "P1", "external_panels": ["P1", "P2"], "primary_n": 4, "external_n": 2, "max_response_length": 512, "temperature": 0.7, "top_p": 0.95, "top_k": -1, "repetition_penalty": 1.0, "seed": 1, "equivalence_band": 0.01},
-        "runtime": {"n_gpus_per_node": 1, "model_dtype": "bf16", "rollout_gpu_memory_utilization": 0.5, "actor_micro_batch_size_per_gpu": 1, "teacher_micro_batch_size_per_gpu": 1},
-    }
-    for key, value in changes.items():
-        part = value
-        for name in reversed(key.split("__")):
-            part = {name: part}
-        base = specs.merge(base, part)
-    return base
-
-
-def runs():
-    queue = [[f"q{u}_{s}" for s in range(4)] for u in range(12)]
-    return specs.run_specs(config(), queue, {"config_sha256": "c", "source": {"commit": "x"}}, queue[:3])

@@ -9,9 +9,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..operators.identity import MODEL_FILES, missing_files, model_files
-from .rollout_lines import RolloutLines, opened
+from .rollout_lines import RolloutLines, canonical, opened
 
 
 def read_rollouts(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,15 +115,18 @@ def normalized_text_hash(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.col("_metadata.file_path").alias("path"), F.sha2(F.regexp_replace("value", "\r\n?", "\n"), 256).alias("sha256"))
 
 
-def load_config(path: str) -> dict:
-    """A YAML configuration of schema version 1, read on the driver."""
+@F.pandas_udf(StringType())
+def _yaml_json(texts: pd.Series) -> pd.Series:
+    """YAML as JSON with sorted keys; a text that is no YAML fails the query."""
     import yaml
 
-    with open(path, encoding="utf-8") as handle:
-        config = yaml.safe_load(handle) or {}
-    if not isinstance(config, dict) or config.get("schema_version") != 1:
-        raise ValueError(f"{path}: schema_version must be 1")
-    return config
+    return texts.map(lambda t: None if t is None else canonical(yaml.safe_load(t)))
+
+
+def read_configs(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, config) of YAML configurations, each as canonical JSON; see ``plans.experiments.opened``, and ``config_violations``, which tells of other schema versions."""
+    whole = spark.read.text(paths, wholetext=True)
+    return whole.select(F.col("_metadata.file_path").alias("path"), _yaml_json("value").alias("config"))
 
 
 def checkout_commit(folder: str, expected: str | None = None) -> str:

@@ -1,6 +1,7 @@
 """Audit engine: catalogue against DuckDB, and small cases of validation, splits, queues, surfaces, sources, streams."""
 
 import glob
+import hashlib
 import json
 import math
 
@@ -8,7 +9,7 @@ import duckdb
 import pytest
 from pairlens.functions import scalars
 from pairlens.operators import audit, digests, identity, places, protocol, quantiles, records, surface
-from pairlens.plans import catalogue_models, catalogue_records, catalogue_sources, catalogue_surface, doctor, registry, specs  # noqa: F401
+from pairlens.plans import catalogue_experiments, catalogue_models, catalogue_records, catalogue_sources, catalogue_surface, experiments, registry  # noqa: F401
 from pairlens.sources import files, locks, sinks
 from pairlens.streaming import steps
 from pyspark.sql import functions as F
@@ -168,61 +169,87 @@ def test_stream_decides_as_the_dataset_does(spark, tmp_path):
         run_stream(spark, tmp_path, "out")
 
 
-def test_merge_and_keys():
-    assert specs.merge({"a": {"b": 1}}, {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}}
-    assert specs.merge({"a": {}}, {"a": {"b": {}}}, {"a": {}}) == {"a": {"b": {}}}
-    for left, right in (({"a": {}}, {"a": 1}), ({"a": 1}, {"a": {"b": 2}}), ({"a": {"b": 1}}, {"a": 3})):
-        with pytest.raises(ValueError, match="a"):
-            specs.merge(left, right)
-    assert specs.missing_keys({"a": {"b": 1, "d": {}}}, ["a", "a.b", "a.d", "a.c"]) == ["a.c"]
-
-
-def test_run_specs_and_stages():
-    config, runs = catalogue_surface.config, catalogue_surface.runs()
-    assert [s["run_id"] for s in specs.of_phase(runs, "discovery")] == [f"demo_1_{x}" for x in ("discovery_trunk_opd", "branch_t0_rl", "branch_t4_opd", "branch_t4_rl", "branch_t8_opd", "branch_t8_rl")]
-    assert specs.of_phase(runs, "validation") == runs[6:] and specs.of_phase(runs, "all") == runs
-    assert runs[1]["opd_counterfactual"]["source_run_id"] == "demo_1_discovery_trunk_opd" and runs[1]["resume_from_path"] is None
-    assert runs[3]["planned_dose"]["max_generated_tokens_upper_bound"] == 4 * 16 * 512
-    stages = specs.staged(config(), runs)
-    assert specs.find_spec("demo_1_branch_t4_rl", stages)["scientific_run_id"] == "demo_1_branch_t4_rl"
-    with pytest.raises(KeyError):
-        specs.find_spec("other", stages, runs)
-    for change in ({"training__staged_trunk_initial_stop": 8}, {"training__branch_horizon": 12, "training__staged_trunk_initial_stop": 12}, {"training__checkpoint_frequency": 3}):
-        with pytest.raises(ValueError):
-            specs.staged(config(**change), runs)
-    queue = [["x"]] * 12
-    source = {"config_sha256": "c", "source": {}}
-    for change in ({"training__branch_points": [11]}, {"rollout__n": 1}, {"training__ppo_mini_batch_size": 7}, {"project__protocol_id": "a/b"}, {"training__forbidden_estimators": ["a"]}, {"training__counterfactual_mode": "x"}, {"rollout__max_response_length": 0}):
-        with pytest.raises(ValueError):
-            specs.run_specs(config(**change), queue, source)
-    payload = specs.command_payload(stages[0], specs.launch_argv("m", {"a.b": True, "c": [0.9, 0.999], "d": None, "e": "x y"}), {"sha256": "i"})
-    assert payload["execution_id"] == "demo_1_discovery_trunk_opd_t0_t4" and payload["shell"] == "python -m m a.b=True 'c=[0.9,0.999]' 'e=x y'"
-
-
-def test_evaluation_plan():
-    config = catalogue_surface.config(training__branch_points=[0, 7], training__branch_horizon=5)
-    plan = specs.evaluation_plan(config, {"/d/a": "1", "/d/b": "2", "verifier": "3"})
-    assert plan["primary_comparisons"][-1]["target_step"] == 12 and len(plan["merge_specs"]) == 4
-    assert [s["model_id"] for s in plan["evaluation_specs"] if s["panel"] == "P2"] == ["demo_1_branch_t7_opd_t12", "demo_1_branch_t7_rl_t12"]
-    locked = plan["evaluation_specs"][0]["evaluation_protocol"]
-    assert locked["max_model_len"] == 640 and plan["evaluation_specs"][0]["evaluation_protocol_sha256"] == specs.digest(locked)
-    for change in ({"evaluation__primary_panel": "P9"}, {"evaluation__external_panels": ["P1"]}, {"evaluation__max_response_length": 1}):
-        with pytest.raises(ValueError):
-            specs.evaluation_plan(catalogue_surface.config(**change), {"/d/a": "1", "/d/b": "2", "verifier": "3"})
-    assert specs.budget(50, 6, 8, 4, 50, 60.0)["total_updates"] == 346
+def digest(value):
+    return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def config(**changes):
+    """A small valid configuration, with dotted keys (dots as two underscores) changed."""
+    made = {
+        "schema_version": 1, "project": {"protocol_id": "demo_1", "output_dir": "/out/demo/plan"},
+        "paths": {"student_model": "/m/s", "teacher_model": "/m/t", "external_eval": ["/d/a", "/d/b"]},
+        "data": {"prompt_batch_size": 4}, "rollout": {"n": 4, "max_prompt_length": 128, "max_response_length": 512, "enable_thinking": False, "seeds": {"discovery": 7, "validation": 8}},
+        "training": {"opd_estimator": "a", "rl_estimator": "b", "trunk_updates": 12, "branch_points": [0, 4, 8], "branch_horizon": 4, "checkpoint_updates": [4, 8, 12], "checkpoint_frequency": 4, "staged_trunk_initial_stop": 4, "counterfactual_mode": "fork_resumed_opd", "reuse_fresh_trunk_t0": True, "ppo_mini_batch_size": 8, "validation_updates": 3},
+        "evaluation": {"primary_panel": "P1", "external_panels": ["P1", "P2"], "primary_n": 4, "external_n": 2, "max_response_length": 512, "temperature": 0.7, "top_p": 0.95, "top_k": -1, "repetition_penalty": 1.0, "seed": 1, "equivalence_band": 0.01},
+        "runtime": {"n_gpus_per_node": 1, "rollout_gpu_memory_utilization": 0.5},
+    }
+    for key, value in changes.items():
+        at, names = made, key.split("__")
+        for name in names[:-1]:
+            at = at[name]
+        at[names[-1]] = value
+    return made
+
+
+def plans(spark, *configs):
+    return experiments.opened(spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate(configs)], "k int, c string"), "k", "c")
+
+
+def test_planned_runs_and_stages(spark):
+    one = plans(spark, config(), config(training__reuse_fresh_trunk_t0=False, training__staged_trunk_initial_stop=None, training__validation_updates=None))
+    runs = experiments.run_table(one, "k")
+    named = lambda k: sorted(r.run_id for r in runs.where(F.col("k") == k).collect())
+    discovery = ["branch_t0_rl", "branch_t4_opd", "branch_t4_rl", "branch_t8_opd", "branch_t8_rl", "discovery_trunk_opd"]
+    assert named(0) == [f"demo_1_{x}" for x in (*discovery, "validation_always_opd", "validation_always_rl")]
+    assert named(1) == sorted(f"demo_1_{x}" for x in (*discovery, "branch_t0_opd"))
+    first = runs.where("k = 0 and run_id = 'demo_1_branch_t0_rl'").first()
+    assert (first.paired_run_id, first.resume_from, first.token_upper_bound, first.optimizer_steps) == ("demo_1_discovery_trunk_opd", None, 4 * 16 * 512, 8)
+    assert experiments.of_phase(runs, "validation").count() == 2 and experiments.of_phase(runs, "all").count() == 15
+    with pytest.raises(ValueError):
+        experiments.of_phase(runs, "other")
+    stages = experiments.stage_table(runs, one, "k").where("k = 0").orderBy("place").collect()
+    assert [s.execution_id for s in stages[:4]] == ["demo_1_discovery_trunk_opd_t0_t4", "demo_1_branch_t0_rl", "demo_1_discovery_trunk_opd_t4_t12", "demo_1_branch_t4_opd"]
+    assert stages[2].resume_from == "/out/demo/runs/demo_1_discovery_trunk_opd/checkpoint/global_step_4" and stages[0].identity_group == "demo_1_branch_t0"
+
+
+def test_planned_evaluations(spark):
+    one = plans(spark, config(training__branch_points=[0, 7], training__branch_horizon=5))
+    assert [r.target_step for r in experiments.comparison_table(one, "k").orderBy("branch_point").collect()] == [5, 12]
+    made = experiments.evaluation_table(one, "k", "3").collect()
+    assert sorted(r.model_id for r in made if r.panel == "P2") == ["demo_1_branch_t7_opd_t12", "demo_1_branch_t7_rl_t12"]
+    assert len(made) == 8 and all(json.loads(r.evaluation_protocol)["max_model_len"] == 640 and r.evaluation_protocol_sha256 == hashlib.sha256(r.evaluation_protocol.encode()).hexdigest() for r in made)
+    assert experiments.merge_commands(experiments.model_table(one, "k"), "k").count() == 4
+    assert experiments.budget_projection(one, F.lit(60.0), F.lit(2)).first().total_updates == 12 + 2 * 2 * 5 + 6
+
 
+WRONG = {
+    "endpoint beyond the trunk": {"training__branch_horizon": 5}, "branch point without checkpoint": {"training__branch_points": [0, 6]}, "samples": {"rollout__n": 1}, "caps of training and evaluation": {"evaluation__max_response_length": 9},
+    "one estimator for both arms": {"training__rl_estimator": "a"}, "forbidden estimator": {"training__forbidden_estimators": ["a"]}, "primary panel": {"evaluation__primary_panel": "P9"}, "memory share": {"runtime__rollout_gpu_memory_utilization": 1.5},
+    "order of branch points": {"training__branch_points": [4, 4]}, "panels and datasets": {"evaluation__external_panels": ["P1"]}, "mini-batch": {"training__ppo_mini_batch_size": 7}, "protocol id": {"project__protocol_id": "a/b"}, "counterfactual mode": {"training__counterfactual_mode": "x"},
+    "first stage": {"training__staged_trunk_initial_stop": 8}, "endpoint between checkpoints": {"training__checkpoint_frequency": 3}, "context": {"runtime__max_model_len": 1}, "schema": {"schema_version": 2}, "missing": {"data__prompt_batch_size": None}, "no branch point": {"training__branch_points": []}, "band": {"evaluation__equivalence_band": -1.0},
+}
 
-def test_doctor(tmp_path):
-    good = doctor.inspect(catalogue_surface.config())
-    assert good["ok"] and good["warnings"] == ["unresolved path placeholder: paths.verl_root"] and good["protocol"]["response_cap"] == 512
-    strict = doctor.inspect(catalogue_surface.config(paths__student_model=str(tmp_path)), check_paths=True)
-    assert "unresolved path placeholder: paths.verl_root" in strict["errors"] and "path does not exist: paths.teacher_model=/m/t" in strict["errors"]
-    assert not any("student_model" in e for e in strict["errors"])
-    assert doctor.inspect({"schema_version": 1})["errors"][0] == "missing required key: project.protocol_id"
-    many = doctor.inspect(catalogue_surface.config(rollout__n=1, training__rl_estimator="a", training__branch_points=[4, 4]))
-    assert len(many["errors"]) == 3
-    run = catalogue_surface.runs()[0]
-    assert doctor.launch_problems(catalogue_surface.config(runtime__max_model_len=1, training__checkpoint_frequency=5), run) == ["runtime.max_model_len is below the context of 640", "the endpoint is no multiple of training.checkpoint_frequency"]
+
+def test_rules_of_configurations(spark):
+    every = plans(spark, config(), *[config(**change) for change in WRONG.values()])
+    got: dict = {}
+    for r in experiments.config_violations(every, "k").collect():
+        got.setdefault(r.k, {})[r.rule] = r.detail
+    assert sorted(got) == list(range(1, len(WRONG) + 1))
+    for k, rule in enumerate(WRONG, 1):
+        assert rule in got[k]
+        if rule == "missing":
+            assert got[k] == {"missing": "data.prompt_batch_size"}
+    experiments.check_configs(plans(spark, config()), "k")
+    with pytest.raises(ValueError, match="0: samples 1"):
+        experiments.check_configs(plans(spark, config(rollout__n=1)), "k")
+
+
+def test_commands(spark):
+    import shlex
+
+    argv = ["python", "a b", "it's", "x=1", ""]
+    assert spark.createDataFrame([(argv,)], "a array<string>").select(experiments.shell(F.col("a"))).first()[0] == shlex.join(argv)
 
 
 SUMMARY = "folder string, model_id string, panel string, model_identity_sha256 string, evaluation_protocol_sha256 string, temperature double, seed long, avg_at_n double"
@@ -313,7 +340,7 @@ def test_audit_by_file_and_dialects(spark):
 def test_messages(spark):
     rows = spark.createDataFrame([(1, '[{"role": " user ", "content": " a \\u001c b\\u3000"}]'), (2, "[{'role': 'user', 'content': 'a b'}]"), (3, "[]"), (4, "no list"), (5, '[{"role": "", "content": "x"}]'), (6, None), (7, '["a"]'), (8, '{"role": "user"}')], "k long, p string")
     ids = {r.k: r.i for r in rows.select("k", scalars.messages_id(scalars.parse_messages(F.col("p"))).alias("i")).collect()}
-    assert ids[1] == ids[2] == specs.digest({"prompt": [{"role": "user", "content": "a b"}]})
+    assert ids[1] == ids[2] == digest({"prompt": [{"role": "user", "content": "a b"}]})
     assert all(ids[k] is None for k in range(3, 9))
 
 
@@ -349,7 +376,7 @@ def test_identities(spark):
     assert [(r.k, r.fields) for r in identity.lock_violations(rows, "grp", "k", "k").collect()] == [(2, "rollout_seed")]
     assert [(r.k, r.field) for r in identity.identity_violations(rows, "k").collect()] == [(3, "trainer_state_hash")]
     same = identity.with_identity(rows).where("k = 1").first()
-    assert same.identity_sha256 == specs.digest({f: same[f] for f in (*identity.NUMBERS, *identity.DIGESTS)})
+    assert same.identity_sha256 == digest({f: same[f] for f in (*identity.NUMBERS, *identity.DIGESTS)})
 
 
 def test_files_of_models_and_checkpoints(spark, tmp_path):
@@ -359,13 +386,11 @@ def test_files_of_models_and_checkpoints(spark, tmp_path):
         (folder / name).write_text(name)
     (folder / "big.txt").write_bytes(b"x" * (files.PIECE + 1))
     got = {r.path: (r.bytes, r.sha256) for r in files.model_folder(spark, str(folder)).collect()}
-    import hashlib
-
     assert sorted(got) == ["big.txt", "config.json", "tokenizer.json", "w.safetensors"]
     assert got["big.txt"] == (files.PIECE + 1, hashlib.sha256(b"x" * (files.PIECE + 1)).hexdigest())
     listed = {p: {"bytes": b, "sha256": s} for p, (b, s) in got.items()}
     digest = identity.digest_of_set(files.model_folder(spark, str(folder)).withColumn("m", F.lit(1)), ["m"], "path", "bytes", "sha256").first().digest
-    assert digest == specs.digest(listed)
+    assert digest == digest(listed)
     (folder / "config.json").unlink()
     with pytest.raises(ValueError, match="config.json"):
         files.model_folder(spark, str(folder))
@@ -387,10 +412,8 @@ def test_documents_and_configs(spark, tmp_path):
     with pytest.raises(ValueError, match="bad.json"):
         files.read_json_list(spark, str(tmp_path / "bad.json"), "x int")
     sinks.write_config(str(tmp_path / "c" / "c.yaml"), {"schema_version": 1, "a": "é"})
-    assert files.load_config(str(tmp_path / "c" / "c.yaml")) == {"schema_version": 1, "a": "é"}
-    (tmp_path / "old.yaml").write_text("schema_version: 2")
-    with pytest.raises(ValueError, match="schema_version"):
-        files.load_config(str(tmp_path / "old.yaml"))
+    (tmp_path / "c" / "old.yaml").write_text("schema_version: 0  # old\nlist: [1, {b: 2}]\n")
+    assert sorted(r.config for r in files.read_configs(spark, str(tmp_path / "c")).collect()) == ['{"a":"é","schema_version":1}', '{"list":[1,{"b":2}],"schema_version":0}']
     with pytest.raises(ValueError):
         files.checkout_commit(str(tmp_path))
     table = files.read_parquet(spark, f"{FOLDER}/nation.parquet", ["n_name"])
@@ -462,8 +485,6 @@ def test_log_probabilities_of_a_real_vocabulary(spark):
 
 def test_digest_of_a_long_listing(spark):
     """400 MB of entries: more than any one value should be, and in no order."""
-    import hashlib
-
     rows = spark.range(0, 200_000, 1, 8).select((F.col("id") * 7919 % 200_000).alias("at"))
     entry = F.repeat(F.lpad(F.col("at").cast("string"), 8, "0"), 250)
     got = digests.ordered_digest(rows.withColumn("k", F.lit(None).cast("string")), ["k"], ["at"], entry, opening="[", closing="]", total=F.col("at")).collect()
@@ -514,8 +535,6 @@ def test_tables_by_place(spark):
 
 
 def test_hash_of_a_file_over_two_gigabytes(spark, tmp_path):
-    import hashlib
-
     size = (2 << 30) + 5
     with open(tmp_path / "large file.bin", "wb") as handle:
         handle.truncate(size - 3)
@@ -589,5 +608,5 @@ def test_tokenizer_parity(spark):
     with pytest.raises(ValueError, match="a and c differ in probe.*template.*vocabulary: \\['\\+', '1'\\]"):
         tokenizer_parity.check_parity(parts, "a", "c")
     made = {r.model: r for r in tokenizer_parity.tokenizer_manifest(models, parts).collect()}
-    assert made["a"].vocabulary_sha256 == made["b"].vocabulary_sha256 == specs.digest({"Token": 0, "1": 1, "+": 2, "<s>": 3, "[UNK]": 4}) and made["a"].tokenizer_sha256 != made["b"].tokenizer_sha256
+    assert made["a"].vocabulary_sha256 == made["b"].vocabulary_sha256 == digest({"Token": 0, "1": 1, "+": 2, "<s>": 3, "[UNK]": 4}) and made["a"].tokenizer_sha256 != made["b"].tokenizer_sha256
     assert made["u"].vocab_size == 2
