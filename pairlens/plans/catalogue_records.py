@@ -234,10 +234,12 @@ def selected_values(spark, sf_dir):
     return rounded(A.unmasked(rows, "v", "m", "vec_id").groupBy("vec_id").agg(F.count("*").alias("n"), F.sum("x").alias("total")))
 
 
-@query("""SELECT event_id, '{"a":[1,{"x":true,"y":null}],"k":' || json_extract_string(props, '$.k') || ',"z":"é"}' AS canonical FROM events""")
+@query(r"""SELECT event_id, '{"a":[1,{"x":true,"y":null}],"b\"\\":"q' || chr(92) || 'n' || chr(92) || '"",' || '"d":' || CASE WHEN event_id % 4 = 0 THEN CAST(event_id // 4 AS VARCHAR) ELSE (event_id // 4) || CASE event_id % 4 WHEN 1 THEN '.25' WHEN 2 THEN '.5' ELSE '.75' END END || ',"k":' || json_extract_string(props, '$.k') || ',"z":"é/"}' AS canonical FROM events""")
 def canonical_texts(spark, sf_dir):
-    k = F.get_json_object("props", "$.k")
-    text = F.concat(F.lit('{ "z" : "é", "k":'), k, F.lit(', "a": [1, {"y": null, "x": true}] }'))
+    """Keys out of order, white space, fractions with and without zeros at the end, and escapes that need not be."""
+    k, e = F.get_json_object("props", "$.k"), F.col("event_id")
+    fraction = F.concat((F.expr("event_id div 4")).cast("string"), F.element_at(F.array(F.lit(".0"), F.lit(".250"), F.lit(".50"), F.lit(".75")), (e % 4 + 1).cast("int")))
+    text = F.concat(F.lit('{ "z" : "\\u00e9\\/", "k":'), k, F.lit(', "d" : '), fraction, F.lit(', "b\\"\\\\": "q\\n\\"", "a": [1, {"y": null, "x": true}] }'))
     return table(spark, sf_dir, "events").select("event_id", scalars.canonical_json(text).alias("canonical"))
 
 

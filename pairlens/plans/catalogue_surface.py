@@ -37,18 +37,25 @@ def attached(spark, sf_dir):
     return points, S.attach_summaries(S.evaluation_index(plan, "main"), found, "/runs/")
 
 
-@query("SELECT 'main' AS panel, 'c7' AS model_id, CAST(2 AS BIGINT) AS n UNION ALL SELECT 'other', 'c7', 2")
+#: The same arms, specifications and summaries in SQL.
+ARMS = """WITH a AS (SELECT n_nationkey AS k, arm, arm || n_nationkey AS own FROM nation, (VALUES ('c'), ('s')) v(arm)), p AS (SELECT k, own AS model_id, 'main' AS panel, CASE WHEN k % 3 = 0 THEN 'data' END AS dataset, CASE WHEN k % 4 = 0 THEN sha256('x') END AS sha, k % 5 <> 4 AS locked FROM a WHERE NOT (arm = 's' AND k = 20)),
+ f AS (SELECT own, CASE WHEN own = 's1' THEN 'q' ELSE own END AS its_id, CASE WHEN own = 'c2' THEN 'other' ELSE 'main' END AS its_panel, CASE WHEN own = 's3' THEN 'else' ELSE 'data' END AS its_dataset, CASE WHEN own = 's8' THEN 'bad' ELSE sha256('x') END AS its_sha, CASE WHEN own = 's5' THEN 0.6 ELSE 0.7 END AS temperature, CASE WHEN k <> 11 THEN false END AS thinking, CASE WHEN own <> 's6' THEN 42 END AS seed FROM a WHERE own <> 'c10') """
+
+
+@query(ARMS + ", d AS (SELECT panel, model_id FROM p UNION ALL SELECT 'other', model_id FROM p WHERE model_id = 'c7'), e AS (SELECT * FROM d UNION ALL SELECT * FROM d WHERE model_id = 'c7') SELECT panel, model_id, count(*) AS n FROM e GROUP BY 1, 2 HAVING count(*) > 1")
 def duplicate_evaluations(spark, sf_dir):
     _, plan, _ = evaluations(spark, sf_dir)
     return S.duplicate_evaluations(plan.union(plan.where("model_id = 'c7'")))
 
 
-@query("SELECT 'main' AS panel, model_id, field FROM (VALUES ('c10', 'summary'), ('s1', 'model_id'), ('c2', 'panel'), ('s3', 'dataset'), ('s8', 'evaluation_protocol_sha256'), ('s8', 'evaluation_protocol_sha256 malformed'), ('s5', 'temperature'), ('c11', 'enable_thinking'), ('s11', 'enable_thinking')) v(model_id, field)")
+@query(ARMS + """, j AS (SELECT * FROM p LEFT JOIN f ON f.own = p.model_id) SELECT panel, model_id, field FROM (SELECT panel, model_id, unnest(CASE WHEN own IS NULL THEN ['summary'] ELSE [CASE WHEN its_panel <> panel THEN 'panel' END, CASE WHEN its_id <> model_id THEN 'model_id' END, CASE WHEN its_dataset <> dataset THEN 'dataset' END, CASE WHEN its_sha <> sha THEN 'evaluation_protocol_sha256' END,
+ CASE WHEN NOT regexp_full_match(its_sha, '[0-9a-fA-F]{64}') THEN 'evaluation_protocol_sha256 malformed' END, CASE WHEN locked AND temperature <> 0.7 THEN 'temperature' END, CASE WHEN locked AND thinking IS DISTINCT FROM false THEN 'enable_thinking' END] END) AS field FROM j) WHERE field IS NOT NULL""")
 def summary_violations(spark, sf_dir):
     return S.summary_violations(attached(spark, sf_dir)[1])
 
 
-@query("SELECT branch_point, field FROM (VALUES (20, 'rl specification'), (8, 'evaluation_protocol_sha256'), (5, 'temperature'), (6, 'seed')) v(branch_point, field)")
+@query(ARMS + """, j AS (SELECT p.model_id AS id, f.* FROM p LEFT JOIN f ON f.own = p.model_id), b AS (SELECT n_nationkey AS branch_point, o.id AS oi, g.id AS gi, o.own AS oo, g.own AS go, o.its_sha AS o1, g.its_sha AS g1, o.temperature AS o2, g.temperature AS g2, o.thinking AS o3, g.thinking AS g3, o.seed AS o4, g.seed AS g4 FROM nation LEFT JOIN j o ON o.id = 'c' || n_nationkey LEFT JOIN j g ON g.id = 's' || n_nationkey)
+ SELECT branch_point, field FROM (SELECT branch_point, unnest([CASE WHEN oi IS NULL THEN 'opd specification' END, CASE WHEN gi IS NULL THEN 'rl specification' END] || CASE WHEN oo IS NOT NULL AND go IS NOT NULL THEN [CASE WHEN o1 IS DISTINCT FROM g1 THEN 'evaluation_protocol_sha256' END, CASE WHEN o2 IS DISTINCT FROM g2 THEN 'temperature' END, CASE WHEN o3 IS DISTINCT FROM g3 THEN 'enable_thinking' END, CASE WHEN o4 IS DISTINCT FROM g4 THEN 'seed' END] ELSE [] END) AS field FROM b) WHERE field IS NOT NULL""")
 def pair_violations(spark, sf_dir):
     return S.pair_violations(*attached(spark, sf_dir))
 
