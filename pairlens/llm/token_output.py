@@ -41,21 +41,25 @@ def repair(ids: np.ndarray, least: int = 8, bits: int = 18) -> tuple[np.ndarray,
     Each round counts the adjacent pairs in a table of 2^bits slots, each of which stands for
     one of its pairs, counted exactly; another hash in the next round lets the others have
     their turn. A place is replaced if its pair is more frequent than those it overlaps, and a
-    pair replaced at half of ``least`` places or more becomes a rule. Rounds go on until no
-    pair occurs ``least`` times, by an exact count: the most frequent one always wins its places.
+    pair replaced at half of ``least`` places or more becomes a rule. Pairs never grow more frequent, so
+    one found rare is not looked at again; new ones arise beside what was replaced. Rounds go on
+    until no pair occurs ``least`` times, by an exact count: the most frequent one always wins its places.
     """
     seq = ids.astype(np.uint32)
     first = symbol = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     factor = 0x9E3779B97F4A7C15
+    open_ = np.ones(max(len(seq) - 1, 0), bool)  # places whose pair may be frequent
     while len(seq) > least:
-        key = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+        maybe = np.flatnonzero(open_)
+        key = (seq[maybe].astype(np.uint64) << np.uint64(32)) | seq[maybe + 1]
         slot = ((key * np.uint64(factor)) >> np.uint64(64 - bits)).view(np.int64)
         factor = (factor * 0x5851F42D4C957F2D + 2) & (1 << 64) - 1 | 1
-        maybe = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
+        often = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
+        open_[maybe[~often]] = False
+        maybe, part, where = maybe[often], key[often], slot[often]
         if not len(maybe):
             break
-        part, where = key[maybe], slot[maybe]
         stands = np.zeros(1 << bits, np.uint64)
         stands[where] = part
         mine = stands[where] == part
@@ -69,9 +73,9 @@ def repair(ids: np.ndarray, least: int = 8, bits: int = 18) -> tuple[np.ndarray,
         slots = slots[np.argsort(count[slots], kind="stable")]
         rank = np.zeros(1 << bits, np.int32)  # the most frequent highest, 0 where the pair is too rare
         rank[slots] = np.arange(1, len(slots) + 1, dtype=np.int32)
-        here = np.zeros(len(key) + 2, np.int32)
+        here = np.zeros(len(seq) + 1, np.int32)
         here[at + 1] = rank[where]
-        places = np.flatnonzero(here)
+        places = at[rank[where] > 0] + 1
         left, mid, right = here[places - 1], here[places], here[places + 1]
         # Where a pair overlaps itself, as in aaaa, every second place of the run counts.
         run = np.maximum.accumulate(np.where(mid == left, 0, places))
@@ -83,11 +87,12 @@ def repair(ids: np.ndarray, least: int = 8, bits: int = 18) -> tuple[np.ndarray,
         pair = stands[slots[np.flatnonzero(good) - 1]]
         rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
         name = np.cumsum(good) - 1 + symbol
-        fresh = seq.copy()
-        fresh[taken] = name[mid].astype(np.uint32)
+        seq[taken] = name[mid].astype(np.uint32)
+        open_ = np.append(open_, False)
+        open_[taken] = open_[taken[taken > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
-        seq, symbol = fresh[keep], symbol + int(good.sum())
+        seq, open_, symbol = seq[keep], open_[keep][:-1], symbol + int(good.sum())
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 
