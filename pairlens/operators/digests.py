@@ -10,18 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def ordered_digest(rows: DataFrame, keys: list[str], order: list[str], entry: Column, between: str = ",", opening: str = "", closing: str = "", total: Column | None = None) -> DataFrame:
+def ordered_digest(rows: DataFrame, keys: list[str], order: list[str], entry: Column, between: str = ",", opening: str = "", closing: str = "", total: Column | None = None, together: bool = False) -> DataFrame:
     """keys, n_entries, total and digest: for each listing the SHA-256 of ``opening``, its entries in order with ``between`` between them, and ``closing``.
 
     A listing is never one value: its rows come to one task, sorted (on disk where memory
     ends), and only the state of the hash is carried from one batch to the next. Null keys are
     a listing of their own, null entries count as empty, entries alike in ``order`` are
-    ordered by themselves; without rows there is no listing. ``total`` is summed up on the way (0 without one).
+    ordered by themselves; without rows there is no listing. ``total`` is summed up on the way (0 without
+    one). ``together``: the rows of each listing already stand in one partition, in order, and stay there.
     """
     named = rows.select(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.coalesce(entry.cast("string"), F.lit("")).alias("entry"), F.coalesce((F.lit(0) if total is None else total).cast("long"), F.lit(0)).alias("total"))
     held = [f"k{i}" for i in range(len(keys))]
-    named = named.repartition(*held) if held else named.repartition(1)
-    named = named.sortWithinPartitions(*held, *[f"o{i}" for i in range(len(order))], "entry").select(*held, "entry", "total")
+    if not together:
+        named = named.repartition(*held) if held else named.repartition(1)
+        named = named.sortWithinPartitions(*held, *[f"o{i}" for i in range(len(order))], "entry")
+    named = named.select(*held, "entry", "total")
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in named.schema if f.name in held], "n_entries long", "total long", "digest string"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
