@@ -102,7 +102,7 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repair import damaged, line, repair
 
     found, turns = repair(damaged(table(spark, sf_dir, "conversations")), copies="copies")
-    digests = ordered_digest(turns, ["conv_id"], ["place"], line(F.col("role"), F.col("text")), between="\n").select(F.col("conv_id").alias("_id"), "digest")
+    digests = ordered_digest(turns, ["conv_id"], ["place"], line(F.col("role"), F.col("text")), between="\n", together=True).select(F.col("conv_id").alias("_id"), "digest")
     rows = found.join(digests, found["conv_id"].eqNullSafe(F.col("_id")), "left")
     return rows.select(*found.columns, F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import drop_stored, stored, tune
 
 KEEP, REROLE, DELETE, INSERT = "K", "R", "D", "I"
 COST = {KEEP: 0, REROLE: 3, DELETE: 4, INSERT: 3}
@@ -105,18 +105,20 @@ def edited(audit: Iterator[str], state: int, initial: str | None) -> Iterator[tu
         return
 
 
-def flagged(turns: DataFrame, copies: str | None = None) -> DataFrame:
-    """(conv_id, turn, role, text, n, fault, again): one row for all that are alike, ``n`` of them; ``fault`` of the first, ``again`` if an equal turn came before them.
+def counted(turns: DataFrame, copies: str | None = None) -> DataFrame:
+    """(conv_id, turn, role, text, n, said): one row for all that are alike, ``n`` of them, counted before they are shuffled; ``said`` is the text's digest."""
+    count = F.col(copies) if copies else F.lit(1)
+    shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), shown("role").alias("role"), shown("text").alias("text"), count.cast("long").alias("n"))
+    return rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("n")).withColumn("said", F.sha2("text", 256))
+
+
+def flagged(rows: DataFrame) -> DataFrame:
+    """Rows of ``counted`` with fault (of the first of those alike), again (an equal turn came before them) and blank.
 
-    Equal rows are counted before they are shuffled, and a turn said often in one
-    conversation is found by the first turn that says it, so no group is held together.
+    A turn said often in one conversation is found by the first turn that says it, so no group is held together.
     """
-    count = F.col(copies) if copies else F.lit(1)
-    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), said("role").alias("role"), said("text").alias("text"), count.cast("long").alias("n"))
-    rows = rows.groupBy("conv_id", "turn", "role", "text").agg(F.sum("n").alias("n"))
     place = F.struct(F.col("turn").isNotNull().alias("later"), "turn")
-    rows = stored(rows.withColumn("said", F.sha2("text", 256)), "turns")
     first = rows.where("n > 0").groupBy("conv_id", "role", "said").agg(F.min(place).alias("first")).select(F.col("conv_id").alias("_c"), F.col("role").alias("_r"), F.col("said").alias("_s"), "first")
     rows = rows.join(first, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("role") == F.col("_r")) & (F.col("said") == F.col("_s")), "left")
     body = F.rtrim(F.col("text"), F.lit(SPACE))
@@ -201,7 +203,8 @@ def _repair_batch(done: list[tuple]) -> pa.RecordBatch:
 def repaired_turns(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(conv_id, place, role, text, edit) of all turns that ``found`` (see ``repairs``) leaves or makes of ``rows`` (see ``flagged``), places from 0.
 
-    A conversation's audit comes first, then its rows; they are edited one by one as they are read.
+    A conversation's audit comes first, then its rows; they are edited one by one as they are read,
+    so the turns of a conversation stand together and in order in one partition.
     """
     names = ["conv_id", "place", "role", "text", "edit"]
     kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
@@ -251,7 +254,9 @@ def repair(turns: DataFrame, copies: str | None = None, block: int = 512) -> tup
     Extra columns are ignored; an empty table gives none. Rows are searched ``block`` at a time, which changes no result.
     """
     tune(turns.sparkSession)
-    rows = stored(flagged(turns, copies), "flagged")
+    base = stored(counted(turns, copies), "turns")
+    rows = stored(flagged(base), "flagged")
+    drop_stored(base)
     found = stored(repairs(rows, block), "repairs")
     return found, repaired_turns(rows, found)
 
