@@ -176,9 +176,9 @@ def success_histogram(rows: DataFrame, n: int) -> DataFrame:
     return rows.sparkSession.range(n + 1).withColumnRenamed("id", "successes").join(F.broadcast(have), "successes", "left").select("successes", F.coalesce("found", F.lit(0)).cast("long").alias("n_groups"))  # at most n + 1 rows
 
 
-def outcome_source(rows: DataFrame) -> DataFrame:
-    """Which dialect the dataset speaks, in the names that reports use; null if neither is spoken by all."""
-    rows = _complete(rows)
+def outcome_source(rows: DataFrame, *by: str) -> DataFrame:
+    """Which dialect the dataset (or each of several, ``by`` columns) speaks, in the names that reports use; null if neither is spoken by all."""
+    rows = _complete(rows).groupBy(*by)
     token, scalar = F.bool_and("has_token_rewards"), F.bool_and("has_scalar_reward")
     return rows.agg(F.when(token & scalar, "true_reward_score+verifier_reward_validated").when(token, "true_reward_score").when(scalar & ~F.bool_or("has_token_rewards"), "verifier_reward").alias("outcome_source"), F.count("*").alias("n_rows"))
 

@@ -150,6 +150,11 @@ def data_facts(records: DataFrame, pid: str, level: str) -> DataFrame:
     return counts.union(levels)
 
 
+def file_facts(files: DataFrame) -> DataFrame:
+    """(fact, value): the SHA-256 of each file of ``files`` (path, sha256), to be held against pinned ones with ``drift``."""
+    return files.select(F.concat(F.lit("file "), F.col("path")).alias("fact"), F.col("sha256").alias("value"))
+
+
 def drift(facts: DataFrame, expected: DataFrame) -> DataFrame:
     """Pinned facts that differ from what was found, and levels that were found but not pinned, if any level was pinned."""
     pinned = expected.select("fact", F.col("value").alias("expected"))

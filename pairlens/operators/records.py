@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.rollout_lines import opened
+
 # The instruction after each problem, and the columns of a native record in order.
 INSTRUCTION = " Please reason step by step, and put your final answer within \\boxed{}."
 NATIVE = ("prompt", "level", "id", "data_source", "ability", "reward_model", "extra_info")
@@ -91,13 +93,15 @@ def rendered(messages: Column, opening: str = "<|im_start|>", closing: str = "<|
 
 
 def token_lengths(rows: DataFrame, text: str, tokenizer_path: str, name: str = "n_tokens") -> DataFrame:
-    """Rows with the number of ids of a text, without special ids; null counts as empty. The tokenizer file must be on every machine."""
+    """Rows with the number of ids of a text, without special ids; null counts as empty. The tokenizer file lies in any file system that Arrow opens; each task reads it once."""
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(tokenizer_path)
+        system, path = opened(tokenizer_path)
+        with system.open_input_stream(path) as stream:
+            tokenizer = Tokenizer.from_str(stream.read().decode())
         for texts in batches:
             sizes = []
             for a in range(0, len(texts), 64):

@@ -84,9 +84,14 @@ def rollout_violations(spark, sf_dir):
     return A.violations(A.resolve(rows), N)
 
 
-@query(R + "SELECT 'true_reward_score' AS outcome_source, count(*) AS n_rows FROM r")
+@query("""SELECT part, CASE WHEN bool_and(t) AND bool_and(s) THEN 'true_reward_score+verifier_reward_validated' WHEN bool_and(t) THEN 'true_reward_score' WHEN bool_and(s) AND NOT bool_or(t) THEN 'verifier_reward' END AS outcome_source, count(*) AS n_rows
+ FROM (SELECT event_type AS part, CASE event_type WHEN 'click' THEN true WHEN 'view' THEN true WHEN 'purchase' THEN false ELSE event_id % 2 = 0 END AS t, CASE event_type WHEN 'click' THEN false ELSE true END AS s FROM events) GROUP BY 1""")
 def outcome_source(spark, sf_dir):
-    return A.outcome_source(rollouts(spark, sf_dir))
+    """One dataset for each kind of event: token rewards, both, scalar rewards, and token rewards on some rows alone."""
+    e, kind = F.col("event_id"), F.col("event_type")
+    token = F.when(kind.isin("click", "view"), F.lit(True)).when(kind == "purchase", F.lit(False)).otherwise(e % 2 == 0)
+    rows = table(spark, sf_dir, "events").select(kind.alias("part"), F.when(token, F.array(F.lit(1.0))).alias("token_rewards"), F.when(kind != "click", 1.0).alias("scalar_reward"))
+    return A.outcome_source(rows, "part")
 
 
 @query("""WITH g AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0.0 END AS r FROM lineitem), m AS (SELECT l_orderkey, r, avg(r) OVER (PARTITION BY l_orderkey) AS a FROM g),

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.templates import rendered_by
 from ..operators import tokenizer_parity as T
+from ..operators import protocol as P
+from ..operators import records as M
+from ..sources import sinks
+from ..sources.shared import shared_root
 from .registry import query, table
 
 # Two shapes of templates: every turn between marks, and answers after instructions with the system turn inside the first.
@@ -60,3 +66,28 @@ def tokenizer_differences(spark, sf_dir):
 def tokenizer_manifests(spark, sf_dir):
     models = tokenizers(spark, sf_dir)
     return T.tokenizer_manifest(models, T.tokenizer_parts(models, probe=False)).select("model", "vocab_size", "vocabulary_sha256")
+
+
+WORDS = r"len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+'))"
+
+
+def measured(spark, sf_dir):
+    """Documents with their lengths by a tokenizer of words and marks, whose vocabulary is the languages' names."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    entry = F.struct(F.col("lang").alias("k"), F.xxhash64("lang").alias("v"))
+    vocabulary = docs.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(entry)).alias("v"))
+    numbered = F.map_from_entries(F.concat(F.array(F.struct(F.lit("[UNK]").alias("k"), F.lit(0).alias("v"))), F.transform("v", lambda x, i: F.struct(x["k"].alias("k"), (i + 1).alias("v")))))
+    file = F.to_json(F.struct(F.lit("1.0").alias("version"), F.struct(F.lit("Whitespace").alias("type")).alias("pre_tokenizer"), F.struct(F.lit("WordLevel").alias("type"), numbered.alias("vocab"), F.lit("[UNK]").alias("unk_token")).alias("model")))
+    folder = f"{shared_root(spark)}/tokenizer_{uuid.uuid4().hex}"
+    sinks.write_documents(vocabulary.select(F.lit("tokenizer.json").alias("path"), file.alias("text")), folder, "path", "text")
+    return M.token_lengths(docs.select("doc_id", "text"), "text", f"{folder}/tokenizer.json")
+
+
+@query(f"SELECT doc_id, CAST({WORDS} AS BIGINT) AS n_tokens FROM documents WHERE text IS NOT NULL")
+def token_lengths(spark, sf_dir):
+    return measured(spark, sf_dir).select("doc_id", "n_tokens")
+
+
+@query(f"SELECT CAST(300 AS BIGINT) AS prompt_cap, count(*) FILTER (n > 300) AS n_overlong, CAST(max(n) AS BIGINT) AS max_before, CAST(max(n) FILTER (n <= 300) AS BIGINT) AS max_after FROM (SELECT {WORDS} AS n FROM documents WHERE text IS NOT NULL)")
+def token_length_audit(spark, sf_dir):
+    return P.length_audit(measured(spark, sf_dir), "n_tokens", 300)

@@ -86,6 +86,16 @@ def tree_hashes(spark, sf_dir):
     return files.tree(spark, folder)
 
 
+@query("""SELECT * FROM (SELECT 'file ' || s_suppkey || '.parquet' AS fact, CASE WHEN s_suppkey % 10 <> 4 THEN sha256(s_name) END AS value, CASE s_suppkey % 10 WHEN 3 THEN sha256('other') WHEN 5 THEN NULL ELSE sha256(s_name) END AS expected FROM supplier) WHERE expected IS NOT NULL AND value IS DISTINCT FROM expected""")
+def file_drift(spark, sf_dir):
+    """Data files against pinned hashes: some have another, some are gone, some are not pinned."""
+    k, suppliers, folder = F.col("s_suppkey"), table(spark, sf_dir, "supplier"), folder_of(spark, "data")
+    name = F.concat(k.cast("string"), F.lit(".parquet"))
+    sinks.write_documents(suppliers.where(k % 10 != 4).select(name.alias("path"), F.col("s_name").alias("text")), folder, "path", "text")
+    pinned = suppliers.where(k % 10 != 5).select(name.alias("path"), F.when(k % 10 == 3, F.sha2(F.lit("other"), 256)).otherwise(F.sha2("s_name", 256)).alias("sha256"))
+    return P.drift(P.file_facts(files.tree(spark, folder)), P.file_facts(pinned))
+
+
 @query("SELECT n_nationkey, sha256(n_name || chr(10) || n_name || chr(10) || chr(10) || 'end') AS sha256 FROM nation")
 def normalized_text_hashes(spark, sf_dir):
     folder = folder_of(spark, "texts")
