@@ -14,7 +14,7 @@ from ..sources.shared import shared_root, stored  # noqa: F401  stored: for the
 def tune(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, so that long texts do not fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
