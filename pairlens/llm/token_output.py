@@ -148,10 +148,12 @@ class Shard:
         if not len(rule):
             return seq.astype(np.uint32)
         if self._flat is None:  # every rule written out, by way of the rules before it
-            done: list[np.ndarray] = []
-            for a, b in self.rules.tolist():
-                done.append(np.concatenate([done[x - self.first] if x >= self.first else np.array([x], np.uint32) for x in (a, b)]))
-            self._flat = np.concatenate(done)
+            ids = self.rules.astype("<u4").tobytes()
+            done: list[bytes] = []
+            for k, (a, b) in enumerate(self.rules.tolist()):
+                left = done[a - self.first] if a >= self.first else ids[8 * k : 8 * k + 4]
+                done.append(left + (done[b - self.first] if b >= self.first else ids[8 * k + 4 : 8 * k + 8]))
+            self._flat = np.frombuffer(b"".join(done), "<u4")
             self._begin = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
         size = np.ones(len(seq), np.int64)
         which = seq[rule].astype(np.int64) - self.first
