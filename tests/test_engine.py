@@ -389,8 +389,8 @@ def test_files_of_models_and_checkpoints(spark, tmp_path):
     assert sorted(got) == ["big.txt", "config.json", "tokenizer.json", "w.safetensors"]
     assert got["big.txt"] == (files.PIECE + 1, hashlib.sha256(b"x" * (files.PIECE + 1)).hexdigest())
     listed = {p: {"bytes": b, "sha256": s} for p, (b, s) in got.items()}
-    digest = identity.digest_of_set(files.model_folder(spark, str(folder)).withColumn("m", F.lit(1)), ["m"], "path", "bytes", "sha256").first().digest
-    assert digest == digest(listed)
+    made = identity.digest_of_set(files.model_folder(spark, str(folder)).withColumn("m", F.lit(1)), ["m"], "path", "bytes", "sha256").first().digest
+    assert made == digest(listed)
     (folder / "config.json").unlink()
     with pytest.raises(ValueError, match="config.json"):
         files.model_folder(spark, str(folder))
