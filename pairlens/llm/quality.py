@@ -93,8 +93,8 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(mean + self.constant, -50, 50)))
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 16, epochs: int = 10, rate: float = 1.0, batch: int = 32, seed: int = 1) -> QualityModel:
-    """Train on each document's (buckets, how often each occurs), all of them in every step."""
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 16, epochs: int = 10, rate: float = 1.0, batch: int = 32, seed: int = 1, least_steps: int = 250) -> QualityModel:
+    """Train on each document's (buckets, how often each occurs), its whole text in a step; few documents take more rounds than ``epochs``, so that there are ``least_steps`` steps."""
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels, int)
     share = (labels.sum() + 1) / (len(labels) + 2)
@@ -104,7 +104,9 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: i
         return QualityModel(np.zeros(1 << BITS, np.float32), constant)
     vectors = ((rng.random((1 << BITS, dim)) - 0.5) / dim).astype(np.float32)
     layer, bias = np.zeros((dim, 2), np.float32), np.array([0.0, constant], np.float32)
-    steps, done = epochs * -(-len(use) // batch), 0
+    rounds = -(-len(use) // batch)
+    epochs = max(epochs, -(-least_steps // rounds))
+    steps, done = epochs * rounds, 0
     shares = np.zeros((batch, 1 << BITS), np.float32)
     for _ in range(epochs):
         order = rng.permutation(use)
