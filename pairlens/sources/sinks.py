@@ -9,14 +9,21 @@ import os
 import shutil
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .rollout_lines import opened
 from .shared import stored
 
+#: Bytes of a file that are moved at a time.
+PIECE = 8 << 20
+
 
 def write_splits(records: DataFrame, path: str) -> None:
     """One folder for each split, its rows in the order of their places over its files; the id comes first.
@@ -63,13 +70,65 @@ def write_documents(rows: DataFrame, folder: str, name: str, text: str) -> DataF
 
 
 def write_steps(rows: DataFrame, folder: str, step: str, order: list[str]) -> DataFrame:
-    """One file of JSON lines for each step, named by it, its rows in order; returns (path, bytes, sha256).
+    """One file of JSON lines for each step, named by it, its rows in order; returns (path, bytes, sha256), stored.
 
-    A step's lines are one value of one row: a step holds the rollouts of one update.
+    A step may be of any size: its rows are dealt to tasks by ranges of their order, each task writes
+    its part of a step line by line, and the parts are put one after the other, a piece at a time.
+    Only parts of tasks that ended count, so a task that runs again changes nothing. A row without a
+    step has no file and raises.
     """
+    parts_folder = f"{folder.rstrip('/')}_parts_{uuid.uuid4().hex}"
     line = F.to_json(F.struct(*rows.columns))
-    text = rows.groupBy(step).agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("_line")))).alias("l"))
-    return write_documents(text.select(F.concat(F.col(step).cast("string"), F.lit(".jsonl")).alias("name"), F.concat(F.array_join(F.col("l._line"), "\n"), F.lit("\n")).alias("text")), folder, "name", "text")
+    keyed = rows.select(F.col(step).alias("_step"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)], line.alias("_line"))
+    by = ["_step", *[f"_{i}" for i in range(len(order))], "_line"]
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = opened(parts_folder)
+        system.create_dir(root, recursive=True)
+        task, name, stream, done = TaskContext.get().partitionId(), None, None, []
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for own, lines in groupby(zip(names, batch.column(1).to_pylist(), strict=True), itemgetter(0)):
+                if own is None:
+                    raise ValueError("a row has no step")
+                if own != name:
+                    if stream:
+                        stream.close()
+                    name, made = own, uuid.uuid4().hex
+                    stream = system.open_output_stream(f"{root}/{made}")
+                    done.append((own, task, made))
+                stream.write("".join(f"{text}\n" for _, text in lines).encode())
+        if stream:
+            stream.close()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["name", "part", "made"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (source, root), (system, target) = opened(parts_folder), opened(folder)
+        system.create_dir(target, recursive=True)
+        for batch in batches:
+            done = []
+            for name, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                digest, size, made = hashlib.sha256(), 0, f"{target}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(made) as out:
+                    for part in parts:
+                        with source.open_input_stream(f"{root}/{part['made']}") as stream:
+                            while piece := stream.read(PIECE):
+                                out.write(piece)
+                                digest.update(piece)
+                                size += len(piece)
+                system.move(made, f"{target}/{name}.jsonl")
+                done.append((f"{name}.jsonl", size, digest.hexdigest()))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["path", "bytes", "sha256"])
+
+    sorted_rows = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select(F.col("_step").cast("string").alias("name"), "_line")
+    parts = stored(sorted_rows.mapInArrow(write, "name string, part long, made string"), "parts")
+    listed = parts.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("part", "made"))).alias("parts"))  # a part a task at most
+    written = stored(listed.mapInArrow(join, "path string, bytes long, sha256 string"), "written")
+    system, root = opened(parts_folder)
+    if system.get_file_info(root).type != fs.FileType.NotFound:
+        system.delete_dir(root)
+    return written
 
 
 def document(fields: list[Column]) -> Column:

@@ -112,6 +112,27 @@ def test_nested_signals_of_many_rows_and_levels(spark):
     assert [(r.name, r.value) for r in surface.flatten_signals(deep, "k", "j").collect()] == [("signal" + "_a" * 110, 2.0)]
 
 
+def test_steps_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(sinks, "stored", lambda df, label, real=sinks.stored: kept.setdefault(label, real(df, label)))
+    rows = spark.range(20_000).selectExpr("cast(id % 2 as int) step", "named_struct('q', (id * 7919) % 5000) input", "id * 0.5 score", "if(id % 3 = 0, null, 'é') output")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        written = {r.path: r for r in sinks.write_steps(rows, str(tmp_path / "steps"), "step", ["input", "score"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert kept["parts"].groupBy("name").count().where("count > 1").count() > 0  # no task holds all of such a step
+    assert sorted(p.name for p in (tmp_path / "steps").iterdir()) == ["0.jsonl", "1.jsonl"] and [p.name for p in tmp_path.iterdir()] == ["steps"]
+    for step in range(2):
+        raw = (tmp_path / "steps" / f"{step}.jsonl").read_bytes()
+        want = sorted(((i * 7919) % 5000, i * 0.5, i) for i in range(step, 20_000, 2))
+        lines = [json.loads(x) for x in raw.decode().split("\n")[:-1]]
+        assert lines == [{"step": step, "input": {"q": q}, "score": x} | ({"output": "é"} if i % 3 else {}) for q, x, i in want]
+        assert (written[f"{step}.jsonl"].bytes, written[f"{step}.jsonl"].sha256) == (len(raw), hashlib.sha256(raw).hexdigest())
+    with pytest.raises(Exception, match="no step"):
+        sinks.write_steps(rows.selectExpr("nullif(step, 1) step", "score"), str(tmp_path / "null"), "step", ["score"])
+
+
 def test_sources_sinks_and_stream(spark, tmp_path):
     folder = tmp_path / "steps"
     folder.mkdir()
