@@ -11,7 +11,7 @@ from ..operators import places
 from ..operators import protocol as P
 from ..operators import records as M
 from ..sources import files, locks, sinks
-from ..sources.shared import shared_root
+from ..sources.shared import shared_root, stored
 from .catalogue import QUEUE, audit_sql, queue
 from .catalogue_records import SPLIT, split
 from .catalogue_surface import DIFFER, IDENTITY, identities
@@ -46,7 +46,7 @@ def rollout_lines(spark, sf_dir):
 
 @query(audit_sql("step"))
 def rollout_files_audit(spark, sf_dir):
-    rows = A.resolve(files.read_rollouts(spark, step_files(spark, sf_dir)))
+    rows = A.resolve(stored(files.read_rollouts(spark, step_files(spark, sf_dir)), "rollouts"))  # the audit reads them many times
     return rounded(shown(A.audit(rows, 90)))
 
 
