@@ -49,20 +49,22 @@ def repair(ids: np.ndarray, least: int = 8, bits: int = 18) -> tuple[np.ndarray,
     first = symbol = int(seq.max()) + 1 if len(seq) else 0
     rules: list[np.ndarray] = []
     factor = 0x9E3779B97F4A7C15
-    open_ = np.ones(max(len(seq) - 1, 0), bool)  # places whose pair may be frequent
+    maybe = np.arange(max(len(seq) - 1, 0))  # places whose pair may be frequent
     while len(seq) > least:
-        maybe = np.flatnonzero(open_)
-        key = (seq[maybe].astype(np.uint64) << np.uint64(32)) | seq[maybe + 1]
-        slot = ((key * np.uint64(factor)) >> np.uint64(64 - bits)).view(np.int64)
+        key = seq[maybe].astype(np.uint64)
+        key <<= np.uint64(32)
+        key |= seq[maybe + 1]
+        slot = key * np.uint64(factor)
+        slot >>= np.uint64(64 - bits)
+        slot = slot.view(np.int64)
         factor = (factor * 0x5851F42D4C957F2D + 2) & (1 << 64) - 1 | 1
-        often = (np.bincount(slot, minlength=1 << bits) >= least)[slot]
-        open_[maybe[~often]] = False
+        often = np.flatnonzero((np.bincount(slot, minlength=1 << bits) >= least)[slot])
         maybe, part, where = maybe[often], key[often], slot[often]
         if not len(maybe):
             break
         stands = np.zeros(1 << bits, np.uint64)
         stands[where] = part
-        mine = stands[where] == part
+        mine = np.flatnonzero(stands[where] == part)
         at, where = maybe[mine], where[mine]
         count = np.bincount(where, minlength=1 << bits)
         if count.max() < least:  # the slots' pairs are rare; are others of theirs not?
@@ -74,25 +76,33 @@ def repair(ids: np.ndarray, least: int = 8, bits: int = 18) -> tuple[np.ndarray,
         rank = np.zeros(1 << bits, np.int32)  # the most frequent highest, 0 where the pair is too rare
         rank[slots] = np.arange(1, len(slots) + 1, dtype=np.int32)
         here = np.zeros(len(seq) + 1, np.int32)
-        here[at + 1] = rank[where]
-        places = at[rank[where] > 0] + 1
-        left, mid, right = here[places - 1], here[places], here[places + 1]
+        mid = rank[where]
+        here[at + 1] = mid
+        some = np.flatnonzero(mid)
+        places, mid = at[some] + 1, mid[some]
+        left, right = here[places - 1], here[places + 1]
         # Where a pair overlaps itself, as in aaaa, every second place of the run counts.
-        run = np.maximum.accumulate(np.where(mid == left, 0, places))
-        taken = (mid >= left) & (mid >= right) & (((places - run) & 1) == 0)
+        same = mid == left
+        taken = (mid >= left) & (mid >= right)
+        if same.any():
+            run = np.maximum.accumulate(np.where(same, 0, places))
+            taken &= ((places - run) & 1) == 0
+        taken = np.flatnonzero(taken)
         taken, mid = places[taken] - 1, mid[taken]
         uses = np.bincount(mid, minlength=len(slots) + 1)
         good = uses >= max(2, least // 2)
         taken, mid = taken[good[mid]], mid[good[mid]]
         pair = stands[slots[np.flatnonzero(good) - 1]]
         rules.append(np.stack([pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        name = np.cumsum(good) - 1 + symbol
-        seq[taken] = name[mid].astype(np.uint32)
-        open_ = np.append(open_, False)
+        name = (np.cumsum(good) - 1 + symbol).astype(np.uint32)
+        seq[taken] = name[mid]
+        open_ = np.zeros(len(seq), bool)
+        open_[maybe] = True
         open_[taken] = open_[taken[taken > 0] - 1] = True
         keep = np.ones(len(seq), bool)
         keep[taken + 1] = False
         seq, open_, symbol = seq[keep], open_[keep][:-1], symbol + int(good.sum())
+        maybe = np.flatnonzero(open_)
     return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), first
 
 

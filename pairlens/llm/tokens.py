@@ -48,12 +48,14 @@ class TokenCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.cut = self.tokenizer.model.tokenize
         self.drops_space = self._ids("a b") == self._ids("a  b")
         letters = self.tokenizer.pre_tokenizer.pre_tokenize_str
         # How the library writes the bytes that texts hold: learned from its own pre-tokenizer.
         self.written = {c: "".join(x for x, _ in letters(c)) for c in map(chr, range(33, 0x250)) if c.isalpha()}
         self.blank = "" if self.drops_space else letters(" a")[0][0][:-1]
+        # A line end is a piece of its own before a letter, or else what begins with one goes to the library whole.
+        self.line = self._bytes("\n") if not self.drops_space and [x for x, _ in letters("\na")] == [letters("\n")[0][0], "a"] else None
         self.known = _Known(self._learn)
 
     def _ids(self, text: str) -> list[int]:
@@ -63,19 +65,33 @@ class TokenCache:
         return np.array(self._ids(text), "<u4").tobytes()
 
     def _model(self, text: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        return array("I", [t.id for t in self.cut(text)]).tobytes()
 
     def _learn(self, piece: str) -> bytes:
-        """Ids of a piece with the blank before it; a piece that begins with a line end has none."""
+        """Ids of a piece with the blank before it; one that begins with a line end or, to say that nothing is before it, with NUL has none."""
+        lead = piece[:1]
+        if lead == "\0" or lead == "\n" and self.line is not None:
+            rest = piece[1:]
+            core = rest.rstrip(_MARKS)
+            if not self._latin(core):
+                return self._bytes(rest if lead == "\0" else piece)
+            ids = self._model(self._shown(core)) + (self.known["\0" + rest[len(core) :]] if len(core) < len(rest) else b"")
+            return ids if lead == "\0" else self.line + ids
         core = piece.rstrip(_MARKS)
-        shown = core.lower() if self.drops_space else core
-        if core.isalpha() and max(core) <= _LATIN and max(shown) <= _LATIN:
+        if self._latin(core):
             if len(core) < len(piece):
                 return self.known[core] + self.known["\0" + piece[len(core) :]]
-            return self._model(self.blank + (shown if shown.isascii() else "".join(map(self.written.__getitem__, shown))))
-        if piece[:1] == "\0" and len(piece) > 1 and not piece[1:].strip(_MARKS):
-            return self._bytes(piece[1:])  # marks right after letters
-        return self._bytes(piece if self.drops_space or piece[:1] == "\n" else " " + piece)
+            return self._model(self.blank + self._shown(core))
+        return self._bytes(piece if self.drops_space or lead == "\n" else " " + piece)
+
+    def _latin(self, core: str) -> bool:
+        """Whether the model may be asked at once: letters that every version of Unicode writes alike."""
+        return core.isalpha() and (core.isascii() or max(core) <= _LATIN and (not self.drops_space or max(core.lower()) <= _LATIN))
+
+    def _shown(self, core: str) -> str:
+        """Latin letters as the model reads them."""
+        shown = core.lower() if self.drops_space else core
+        return shown if shown.isascii() else "".join(map(self.written.__getitem__, shown))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
@@ -92,8 +108,7 @@ class TokenCache:
             elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text):
                 out.append(self._bytes(text))
             else:
-                pieces = text.replace("\n", " \n").split(" ")
-                out.append(self._bytes(pieces[0]) + b"".join(map(find, pieces[1:])))
+                out.append(b"".join(map(find, ("\0" + text.replace("\n", " \n")).split(" "))))
         return out
 
 

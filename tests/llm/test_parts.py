@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pairlens.llm import decontaminate, html_text, lang_id, quality, queries
+from pairlens.llm import decontaminate, html_text, lang_id, quality, queries, tokens
 from pairlens.llm.chat import chat_windows, read_windows
 from pairlens.llm.packing import best_fit_packing
 from pairlens.llm.simhash import fingerprint
@@ -246,3 +246,14 @@ def test_chat_of_null_keys(spark):
     for key, turns in said.items():
         assert got[key].turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
         assert got[key].n_turns == len(turns) and got[key].loss_sha256 == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pieces_at_text_and_line_ends_are_the_librarys(name):
+    cache = tokens.TokenCache(queries.tokenizer(name))
+    texts = ["Ab", "ab\ncd", "ab,\ncd.", "é\nÜber!\nx's 's\n's\n12 a1\n(ab)", "ab'll\nit's", "\nab", "ab\n", "...\n...", "\x01ab\n\u01c5", "a\x00b \x00c", "中\n文 a"]
+    library = [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert cache.encode(texts) == library
+    if not cache.drops_space:  # words go to the model, not through the whole tokenizer
+        cache._ids = None
+        assert cache._learn("\nWord") and cache._learn("\0Word")
