@@ -35,19 +35,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucketed, drop_stored, slices, stored, text_bytes, tune
+from .tokens import token_cache
 
 _BASE = 0x9E3779B97F4A7C15
 #: Bytes hashed at a time: their arrays stay in a core's cache.
 _PIECE = 1 << 15
 
 
-@lru_cache(maxsize=4)
-def _powers(size: int, inverse: bool) -> np.ndarray:
-    out = np.full(size, np.uint64(pow(_BASE, -1, 1 << 64) if inverse else _BASE))
+#: Powers kept in a table; those of longer arrays are products of two tables.
+_TABLE = 1 << 16
+
+
+@lru_cache(maxsize=2)
+def _powers(inverse: bool) -> np.ndarray:
+    out = np.full(_TABLE, np.uint64(pow(_BASE, -1, 1 << 64) if inverse else _BASE))
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+def _back(at: np.ndarray) -> np.ndarray:
+    """The inverse of the base to the power of each place."""
+    low = _powers(True)
+    step = pow(_BASE, -_TABLE, 1 << 64)
+    high = np.array([pow(step, k, 1 << 64) for k in range((int(at.max(initial=0)) // _TABLE) + 1)], np.uint64)
+    return low[at % _TABLE] * high[at // _TABLE]
+
+
 @lru_cache(maxsize=1)
 def _values() -> np.ndarray:
     """One odd-looking 64-bit value for each byte."""
@@ -56,8 +69,15 @@ def _values() -> np.ndarray:
 
 def _prefix(code: np.ndarray) -> np.ndarray:
     """Prefix sums of value * base^position."""
-    size = 1 << max(16, len(code).bit_length())
-    return np.concatenate(([np.uint64(0)], np.cumsum(_values()[code] * _powers(size, False)[: len(code)], dtype=np.uint64)))
+    out = np.zeros(len(code) + 1, np.uint64)
+    for a in range(0, len(code), _TABLE):
+        part = _values()[code[a : a + _TABLE]]
+        part *= _powers(False)[: len(part)]
+        np.cumsum(part, out=part)
+        part *= np.uint64(pow(_BASE, a, 1 << 64))
+        part += out[a]
+        out[a + 1 : a + 1 + len(part)] = part
+    return out
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -76,8 +96,8 @@ def anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     for a in range(0, len(body) - length + 1, _PIECE):
         code = body[a : a + _PIECE + length - 1]
         p = _prefix(code)
-        size = len(p) - 1
-        key = (p[gram:] - p[:-gram]) * _powers(1 << max(16, size.bit_length()), True)[: size - gram + 1]
+        key = p[gram:] - p[:-gram]
+        key *= _powers(True)[: len(key)] if len(key) <= _TABLE else _back(np.arange(len(key)))
         key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         key ^= key >> np.uint64(32)
         low = _sliding(key, width, np.minimum)
@@ -99,23 +119,21 @@ class Suffixes:
     def __init__(self, code: np.ndarray, start: np.ndarray, end: np.ndarray, group: np.ndarray | None = None):
         self.code, self.start, self.size = code, start.astype(np.int64), (end - start).astype(np.int64)
         self.p = _prefix(code)
-        self.back = _powers(1 << max(16, len(code).bit_length()), True)
+        self.back = _back(self.start)
         n = len(start)
         heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if group is not None and n else np.zeros(min(n, 1), np.int64)
         count = np.diff(np.append(heads, n))
         self.heads, self.longest = heads, int(count.max(initial=0))
         self.first, self.last = np.repeat(heads, count), np.repeat(heads + count, count)
 
-    def _hash(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return (self.p[at + n] - self.p[at]) * self.back[at]
-
     def extension(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common beginning of suffixes i and j, by binary search on hashes."""
         a, b = self.start[i], self.start[j]
+        pa0, pb0, ba, bb = self.p[a], self.p[b], self.back[i], self.back[j]
         low, high = np.zeros(len(i), np.int64), np.minimum(self.size[i], self.size[j])
         while (low < high).any():
             middle = (low + high + 1) >> 1
-            same = self._hash(a, middle) == self._hash(b, middle)
+            same = (self.p[a + middle] - pa0) * ba == (self.p[b + middle] - pb0) * bb
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
@@ -213,6 +231,7 @@ def repeated_anchors(docs: DataFrame, length: int, gram: int, most_known: int) -
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         """(uids, text bytes, row bounds, anchors, their hashes), some texts at a time."""
+        token_cache.cache_clear()  # what packing left in a worker would stand beside this
         for batch in batches:
             body, offsets = text_bytes(batch.column(1))
             for a, b in slices(offsets, 4 << 20):
@@ -396,10 +415,10 @@ def repeated_ranges(docs: DataFrame, length: int, gram: int, most_contexts: int,
 
 def kept_bytes(offsets: np.ndarray, owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Which bytes of the texts at ``offsets`` stay, if ranges of their ``owner`` rows go."""
-    step = np.zeros(int(offsets[-1]) + 1, np.int64)
+    step = np.zeros(int(offsets[-1]) + 1, np.int32)
     np.add.at(step, offsets[owner] + start, 1)
     np.add.at(step, np.minimum(offsets[owner] + end, offsets[owner + 1]), -1)
-    return np.cumsum(step[:-1]) == 0
+    return np.cumsum(step[:-1], out=step[:-1]) == 0
 
 
 def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contexts: int = 50_000, most_known: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -432,7 +451,8 @@ def suffix_dedup(docs: DataFrame, length: int = 200, gram: int = 50, most_contex
             stays = kept_bytes(offsets, np.repeat(np.arange(batch.num_rows), size), start, end)
             n_bytes = np.diff(offsets)
             edge = np.flatnonzero(~stays & np.concatenate(([True], stays[:-1])))  # a run's first byte
-            begins = np.intersect1d(np.flatnonzero(~stays), offsets[:-1][n_bytes > 0])
+            begins = offsets[:-1][n_bytes > 0]
+            begins = begins[~stays[begins]]
             runs = np.bincount(np.searchsorted(offsets, np.union1d(edge, begins), side="right") - 1, minlength=batch.num_rows)
             rest = [body[a:b] if not k else body[a:b][stays[a:b]] for a, b, k in zip(offsets[:-1].tolist(), offsets[1:].tolist(), size.tolist(), strict=True)]
             left = np.fromiter(map(len, rest), np.int64, len(rest))

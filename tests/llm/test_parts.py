@@ -4,12 +4,13 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from pairlens.llm import decontaminate, html_text, lang_id, quality, queries, tokens
+from pairlens.llm import decontaminate, html_text, lang_id, quality, queries, suffix_dedup, tokens
 from pairlens.llm.chat import chat_windows, read_windows
 from pairlens.llm.packing import best_fit_packing
 from pairlens.llm.simhash import fingerprint
@@ -248,6 +249,32 @@ def test_chat_of_null_keys(spark):
         assert got[key].n_turns == len(turns) and got[key].loss_sha256 == hashlib.sha256("".join(t for r, t in turns if r == "assistant").encode()).hexdigest()
 
 
+def traced(work):
+    """(result, bytes allocated at most)."""
+    tracemalloc.start()
+    try:
+        return work(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_one_large_group_of_contexts_is_sorted_in_little_memory():
+    rng = np.random.default_rng(5)
+    n = 4000
+    contexts = np.tile(rng.integers(97, 100, 350).astype(np.uint8), (n, 1))
+    contexts[np.arange(n), rng.integers(0, 150, n)] = 32
+    (who, start, end), most = traced(lambda: suffix_dedup.repeated_spans(contexts.ravel(), np.arange(1, n + 1) * 350, np.full(n, 150), np.zeros(n, np.int64), 200, 50))
+    assert len(who) == n and (start >= -150).all() and (end <= 200).all()
+    assert most < 40 * contexts.size
+
+
+def test_bytes_kept_of_long_texts_in_little_memory():
+    size = 1 << 20
+    keep, most = traced(lambda: suffix_dedup.kept_bytes(np.array([0, size]), np.zeros(2, np.int64), np.array([5, size - 9]), np.array([8, size + 50])))
+    assert np.flatnonzero(~keep).tolist() == [5, 6, 7, *range(size - 9, size)]
+    assert most < 8 * size
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_at_text_and_line_ends_are_the_librarys(name):
     cache = tokens.TokenCache(queries.tokenizer(name))
