@@ -10,7 +10,9 @@ of ``BANDS`` bands: sets 0.8 alike share no tile with a probability of (1 - 0.8^
 7e-10. Large tiles are cut into chunks, which meet in pairs. Inside a task blocks of
 fingerprints whose sizes are too far apart, or whose bit counts differ beyond the radius,
 are skipped; the rest is compared in full by exclusive-or and bit counts. A task returns
-a forest of its links, so groups of near copies never become all pairs.
+a star for each group of near copies, around its smallest node, so groups never become all
+pairs, and tiles with the same members return the same links. Chunks are settled alone first;
+where two meet, their groups are nodes, so that a large group isn't linked again in each pair.
 
 What these forests reach is a cloud: any two fingerprints within the radius are in one. Only
 then do shingles move, each set once, to its cloud, which is cut into chunks again. Its
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -118,10 +120,12 @@ class Tiles:
     """
 
     def __init__(self, own: np.ndarray, other: np.ndarray | None, similarity: float, block: int = 512):
-        parts = [x[np.argsort(x[:, LANES], kind="stable")] for x in ([own] if other is None else [own, other])]
-        rows = np.concatenate(parts)
+        order = [np.argsort(x[:, LANES], kind="stable") for x in ([own] if other is None else [own, other])]
+        self.order = np.concatenate((order[0], *[x + len(own) for x in order[1:]]))
+        rows = (own if other is None else np.concatenate((own, other)))[self.order]
         self.prints, self.sizes = np.ascontiguousarray(rows[:, :LANES]).view(np.uint64), rows[:, LANES]
-        self.nodes, self.label = rows[:, LANES + 1], np.unique(rows[:, LANES + 2], return_inverse=True)[1]
+        self.nodes, self.groups = rows[:, LANES + 1], rows[:, LANES + 2]
+        self.label = np.unique(self.groups, return_inverse=True)[1]
         self.counts = np.bitwise_count(self.prints).astype(np.int16)
         self.similarity, self.limits, self.alone = similarity, (*radii(similarity), 64 * LANES), other is None
         self.reach = reach(similarity)
@@ -207,6 +211,15 @@ class Tiles:
         return links
 
 
+    def roots(self) -> np.ndarray:
+        """By row, in the order given: the smallest of the groups that its group has been joined to, or its own."""
+        least = np.full(len(self.label), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.label, self.groups)
+        out = np.empty(len(self.label), np.int64)
+        out[self.order] = least[self.label]
+        return out
+
+
 def common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> np.ndarray:
     """How many values each set of ``one`` has in common with each of ``two``: products of their columns, ``width`` values at a time."""
     flat = [np.concatenate(some) for some in (one, two)]
@@ -228,44 +241,83 @@ def common(one: list[np.ndarray], two: list[np.ndarray], width: int = 4096) -> n
     return out
 
 
-def met_chunks(packed: DataFrame, key: str) -> DataFrame:
-    """(own, other): each chunk of a stored table (key, chunk, chunks, own) alone (other is null) and with every later one of its key.
+def chunk_links(packed: DataFrame, key: str, table: Callable, join: Callable) -> DataFrame:
+    """Stored links (a, b) between the rows of each key of a stored table (key, chunk, chunks, own).
 
-    Pairs are named first, so that no task holds all chunks of a key.
+    Chunks are joined alone first, then each meets every later one of its key, groups as nodes. Pairs are
+    named first, so that no task holds all chunks of a key. ``table`` takes a value of ``own`` to its rows for
+    ``Tiles`` (the last column: nodes) and what else ``join`` needs; ``join`` takes one or two of these and
+    returns the roots of their rows. A group's links are a star around its smallest node.
     """
-    own = packed.schema["own"].dataType.simpleString()
-    ends = packed.where("chunks > 1").select(key, "chunk")
+
+    def stars(roots: np.ndarray, groups: np.ndarray) -> list[np.ndarray]:
+        links = np.unique(np.stack((roots, groups), 1)[roots != groups], axis=0)
+        return [links] if len(links) else []
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links, settled = [], []
+            for k in range(batch.num_rows):
+                own = table(batch.column("own")[k].values)
+                roots = join(own, None)
+                links += stars(roots, own[0][:, -1])
+                if batch.column("chunks")[k].as_py() > 1:
+                    settled.append((batch.column(key)[k].as_py(), batch.column("chunk")[k].as_py(), roots))
+            if links:
+                a, b = np.concatenate(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), t) for t in kinds]], names)
+            if settled:
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(settled), pa.int64())] * 2, *[pa.array(x, t) for x, t in zip(zip(*settled, strict=True), kinds, strict=True)]], names)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = []
+            for k in range(batch.num_rows):
+                own, other = (table(batch.column(c)[k].values) for c in ("own", "other"))
+                groups = [np.asarray(batch.column(c)[k].values) for c in ("settled", "known")]
+                for side, known in zip((own, other), groups, strict=True):
+                    side[0][:, -1] = known
+                links += stars(join(own, other), np.concatenate(groups))
+            if links:
+                a, b = np.concatenate(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    names, kinds = ["a", "b", key, "chunk", "settled"], (pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    found = stored(packed.select(key, "chunk", "chunks", "own").mapInArrow(alone, f"a long, b long, {key} long, chunk int, settled array<long>"), "alone")
+    settled = found.where("settled is not null").select(key, "chunk", "settled")
+    ends = settled.select(key, "chunk")
     pairs = ends.join(ends.withColumnRenamed("chunk", "guest"), key).where("chunk < guest")
-    sides = pairs.join(packed.select(key, "chunk", "own"), [key, "chunk"]).join(packed.select(key, F.col("chunk").alias("guest"), F.col("own").alias("other")), [key, "guest"])
-    return packed.select("own", F.lit(None).cast(own).alias("other")).union(sides.select("own", "other"))
+    full = packed.where("chunks > 1").select(key, "chunk", "own").join(settled, [key, "chunk"])
+    sides = pairs.join(full, [key, "chunk"]).join(full.toDF(key, "guest", "other", "known"), [key, "guest"])
+    met = sides.select("own", "settled", "other", "known").mapInArrow(meet, "a long, b long")
+    links = stored(found.where("settled is null").select("a", "b").union(met).distinct(), "links")
+    drop_stored(found)
+    return links
 
 
 def candidate_links(classes: DataFrame, similarity: float, rows_per_tile: int = 8000) -> DataFrame:
-    """Stored links (a, b) of ``classes`` (lanes, size, node, bands): forests over tiles of what is within the radius."""
+    """Stored links (a, b) of ``classes`` (lanes, size, node, bands) that join, tile by tile, what is within the radius."""
     homes = classes.select(F.explode("bands").alias("tile"), "node")
     several = homes.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1").select("tile", F.ceil(F.col("n") / rows_per_tile).cast("int").alias("chunks"))
     homes = homes.join(several, "tile").select("tile", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"), "node", "chunks")
     rows = homes.join(classes.select("node", F.array(*_PRINT, "size", "node", "node").alias("row")), "node")
     packed = stored(rows.groupBy("tile", "chunk").agg(F.flatten(F.collect_list("row")).alias("own"), F.max("chunks").alias("chunks")), "tiles")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            links = []
-            for k in range(batch.num_rows):
-                own = np.asarray(batch.column("own")[k].values).reshape(-1, LANES + 3)
-                other = batch.column("other")[k].values
-                links += Tiles(own, None if other is None else np.asarray(other).reshape(-1, LANES + 3), similarity).forest()
-            if links:
-                a, b = np.array(sorted({(min(x), max(x)) for x in links}), np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def table(held: pa.Array) -> tuple[np.ndarray]:
+        return (np.array(held).reshape(-1, LANES + 3),)
+
+    def join(own: tuple, other: tuple | None) -> np.ndarray:
+        tiles = Tiles(own[0], other and other[0], similarity)
+        tiles.forest()
+        return tiles.roots()
 
-    links = stored(met_chunks(packed, "tile").mapInArrow(run, "a long, b long").distinct(), "links")
+    links = chunk_links(packed, "tile", table, join)
     drop_stored(packed)
     return links
 
 
 def sound_links(source: DataFrame, classes: DataFrame, links: DataFrame, words: int, similarity: float, rows_per_chunk: int = 1000, shingles_per_chunk: int = 500_000) -> DataFrame:
-    """Stored links (a, b) that pass the exact similarity: a forest of each cloud that ``links`` make, by pairs of its chunks."""
+    """Stored links (a, b) that join, cloud by cloud of ``links``, what passes the exact similarity or is linked by rows that do."""
     clouds = components(links).withColumnRenamed("root", "cloud")
     members = stored(clouds.join(classes.select("node", "size", *_PRINT), "node"), "members")
     full = members.groupBy("cloud").agg(F.ceil(F.greatest(F.count("*") / rows_per_chunk, F.sum("size") / shingles_per_chunk)).cast("int").alias("chunks"))
@@ -282,28 +334,20 @@ def sound_links(source: DataFrame, classes: DataFrame, links: DataFrame, words:
     rows = dealt.hint("shuffle_hash").join(text, "node").mapInArrow(read, kind)
     packed = stored(rows.groupBy("cloud", "chunk").agg(F.collect_list(F.struct(*_PRINT, "size", "node", "shingles")).alias("own"), F.max("chunks").alias("chunks")), "clouds")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def table(column: pa.Array, k: int, first: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-            held = column[k].values
-            nodes = held.field("node").to_numpy()
-            number = np.arange(first, first + len(nodes))
-            parts = [*[held.field(c).to_numpy() for c in (*_PRINT, "size")], number, number]
-            return np.stack(parts, 1), nodes, [np.frombuffer(x, np.uint64) for x in held.field("shingles").to_pylist()]
+    def table(held: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+        nodes = held.field("node").to_numpy()
+        rows = np.stack([*[held.field(c).to_numpy() for c in (*_PRINT, "size")], np.arange(len(nodes)), nodes], 1)
+        return rows, [np.frombuffer(x, np.uint64) for x in held.field("shingles").to_pylist()]
 
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for k in range(batch.num_rows):
-                own, nodes, sets = table(batch.column("own"), k, 0)
-                other = None
-                if batch.column("other")[k].is_valid:
-                    other, more, guests = table(batch.column("other"), k, len(own))
-                    nodes, sets = np.concatenate((nodes, more)), sets + guests
-                out += [(int(nodes[x]), int(nodes[y])) for x, y in Tiles(own, other, similarity).verified(sets)]
-            if out:
-                a, b = np.array(out, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+    def join(own: tuple, other: tuple | None) -> np.ndarray:
+        (rows, sets), (more, guests) = own, other or (None, [])
+        if more is not None:
+            more[:, LANES + 1] += len(rows)  # places in both lists of sets
+        tiles = Tiles(rows, more, similarity)
+        tiles.verified(sets + guests)
+        return tiles.roots()
 
-    sound = stored(met_chunks(packed, "cloud").mapInArrow(run, "a long, b long"), "sound")
+    sound = chunk_links(packed, "cloud", table, join)
     drop_stored(members)
     drop_stored(packed)
     return sound

@@ -155,26 +155,38 @@ def near_links(distinct: DataFrame, radius: int, rows_per_tile: int = 20_000) ->
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of stored links (a, b): root is the smallest node reachable.
 
-    Each round every node takes the smallest root of its neighbours, and then its
-    root's root, until nothing changes; the labels are stored between rounds.
+    Each round every node goes to its first neighbour's first neighbour (itself, where it is first), which never
+    leaves its group, and the links between the nodes gone to, once each, are the next round's: a round reads
+    only links that still join different nodes. First is the smallest, which takes up stars at once, and in
+    every second round the least hash, which shortens any path. What nodes went to is followed at the end.
     """
-    both = stored(links.union(links.select("b", "a")).distinct().toDF("node", "near"), "graph")
-    labels = stored(both.groupBy("node").agg(F.least(F.col("node"), F.min("near")).alias("root")), "labels")
-    while True:
-        seen = both.join(labels.withColumnRenamed("node", "near"), "near").groupBy("node").agg(F.min("root").alias("seen"))
-        hooked = labels.join(seen, "node").select("node", "root", F.least("root", "seen").alias("to"))
-        # The root of a node learns the smallest label that any of its nodes has seen, so that groups join as wholes.
-        told = hooked.groupBy(F.col("root").alias("node")).agg(F.min("to").alias("told"))
-        lower = hooked.join(told, "node", "left").select("node", "root", F.least("to", "told").alias("to"))
-        lower = stored(lower, "hooked")
-        jump = lower.select(F.col("node").alias("to"), F.col("to").alias("onward"))
-        fresh = stored(lower.join(jump, "to", "left").select("node", F.col("root").alias("old"), F.least("to", "onward").alias("root")), "labels")
-        moved = not fresh.where("old <> root").isEmpty()
-        drop_stored(lower)
-        drop_stored(labels)
-        labels = fresh.drop("old")
-        if not moved:
-            return labels
+    rounds: list[DataFrame] = []
+    edges = links
+    while not rounds or not edges.isEmpty():
+        rank = (lambda c: F.xxhash64(c, F.lit(len(rounds)))) if len(rounds) % 2 else F.col
+        both = edges.select("a", "b").union(edges.select("b", "a")).toDF("node", "near")
+        first = both.groupBy("node").agg(F.min_by("near", rank("near")).alias("near"))
+        heads = first.select("node", F.when(rank("near") < rank("node"), F.col("near")).otherwise(F.col("node")).alias("root"))
+        onward = heads.toDF("root", "onward")
+        rounds.append(stored(heads.join(onward, "root").select("node", F.col("onward").alias("root")), "heads"))
+        x, y = (rounds[-1].toDF(c, f"to_{c}") for c in "ab")
+        moved = edges.join(x, "a").join(y, "b").where("to_a <> to_b")
+        left = stored(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+        if edges is not links:
+            drop_stored(edges)
+        edges = left
+    roots = rounds[-1]
+    for heads in rounds[-2::-1]:  # fewer nodes each round
+        roots = heads.join(roots.toDF("root", "onward"), "root", "left").select("node", F.coalesce("onward", "root").alias("root"))
+    labels = stored(roots, "labels")
+    for table in (edges, *rounds):
+        drop_stored(table)
+    if len(rounds) > 1:
+        reached = labels
+        least = reached.groupBy("root").agg(F.min("node").alias("least"))
+        labels = stored(reached.join(least, "root").select("node", F.col("least").alias("root")), "labels")
+        drop_stored(reached)
+    return labels
 
 
 def simhash_groups(docs: DataFrame, radius: int = 3, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -515,6 +515,57 @@ def test_near_copies_of_a_large_cloud_below_the_similarity(spark, monkeypatch):
     assert sorted(r.doc_id for r in drop_near_copies(table).collect()) == want and 200 < len(want) <= 260
 
 
+def test_a_large_group_is_linked_once(spark, monkeypatch):
+    """Chunks of one group of near copies are linked as groups, not row by row in each pair of chunks."""
+    from pairlens.llm import near_copies
+
+    rng = random.Random(21)
+    base = words(rng, 120, 5000).split()
+    rows = [(i, " ".join([*base[: 5 + i % 100], f"n{i}", *base[6 + i % 100 :]])) for i in range(300)]
+    sound, tiles, counts = near_copies.sound_links, near_copies.candidate_links, {}
+
+    def counted(name, links):
+        counts[name] = links.count()
+        return links
+
+    monkeypatch.setattr(near_copies, "candidate_links", lambda *a: counted("near", tiles(*a, rows_per_tile=20)))
+    monkeypatch.setattr(near_copies, "sound_links", lambda *a: counted("sound", sound(*a, rows_per_chunk=20)))
+    kept = drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0]
+    assert 299 <= counts["sound"] <= 299 + 15 * 14 // 2 and counts["near"] <= 40 * 299
+
+
+def test_components_read_joined_links_once(spark, monkeypatch):
+    from pairlens.llm import simhash
+
+    rng = random.Random(22)
+    links = [(i, j) for i in range(60) for j in range(i)]  # one dense group
+    links += [(1000 + i, 1001 + i) for i in range(70)] + [(2500, 2000 + i) for i in range(50)] + [(3000, 3000)]
+    links += [(rng.randrange(4000, 4400), rng.randrange(4000, 4400)) for _ in range(180)]
+    root = {x: x for link in links for x in link}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        root[y] = x
+    original, rows = simhash.stored, []
+
+    def counted(df, label):
+        rows.append((out := original(df, label)).count())
+        return out
+
+    table = original(spark.createDataFrame(links, "a long, b long"), "links")
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {r.node: r.root for r in simhash.components(table).collect()}
+    assert got == {k: top(k) for k in root}
+    assert sum(rows) < 2 * len(links), rows
+    assert simhash.components(table.limit(0)).count() == 0
+
+
 def test_near_copies_equal_brute_force(spark):
     rng = random.Random(9)
     rows = [(i, words(rng, rng.randrange(1, 150), 5000)) for i in range(60)]
