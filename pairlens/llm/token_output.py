@@ -32,6 +32,8 @@ from .tokens import token_cache
 _HEAD = struct.Struct("<4sIIIQIBBBB")
 #: Ids read back at a time, from the symbols that cover them.
 READ = 1 << 16
+#: Pieces a writing worker keeps in each of its two generations; it holds little else but a shard.
+PIECES = 800_000
 SHARD_SCHEMA = "part int, seq int, first_token long, n_tokens long, doc_ids array<long>, shard binary"
 
 
@@ -204,7 +206,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_tokens
     end = np.array([end_id], "<u4").tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, part = token_cache(tokenizer_path), TaskContext.get().partitionId()
+        cache, part = token_cache(tokenizer_path, PIECES), TaskContext.get().partitionId()
         seq = first = held = 0
         ids: list[bytes] = []
         doc_ids: list = []

@@ -43,12 +43,12 @@ class _Known(dict):
 class TokenCache:
     """Token ids of texts by the vocabulary file at ``path``."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cut = self.tokenizer.model.tokenize
+        self.cut, self.entries = self.tokenizer.model.tokenize, entries
         self.drops_space = self._ids("a b") == self._ids("a  b")
         letters = self.tokenizer.pre_tokenizer.pre_tokenize_str
         # How the library writes the bytes that texts hold: learned from its own pre-tokenizer.
@@ -69,6 +69,8 @@ class TokenCache:
 
     def _learn(self, piece: str) -> bytes:
         """Ids of a piece with the blank before it; one that begins with a line end or, to say that nothing is before it, with NUL has none."""
+        if piece.isascii() and piece.isalpha():
+            return self._model(self.blank + (piece.lower() if self.drops_space else piece))
         lead = piece[:1]
         if lead == "\0" or lead == "\n" and self.line is not None:
             rest = piece[1:]
@@ -96,7 +98,7 @@ class TokenCache:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
         known, out = self.known, []
-        if len(known) > CACHE_ENTRIES:
+        if len(known) > self.entries:
             known.older = dict(known)
             known.clear()
         find = known.__getitem__
@@ -105,7 +107,7 @@ class TokenCache:
                 out.append(self._bytes(text) if text else b"")
             elif self.drops_space:
                 out.append(b"".join(map(find, text.replace("\n", " ").split(" "))))
-            elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or _ODD.search(text):
+            elif "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0] in " \n" or text[-1] in " \n" or not text.replace("\n", "").isprintable() and _ODD.search(text):  # printable: no other white space, which takes less time to see
                 out.append(self._bytes(text))
             else:
                 out.append(b"".join(map(find, ("\0" + text.replace("\n", " \n")).split(" "))))
@@ -113,6 +115,6 @@ class TokenCache:
 
 
 @lru_cache(maxsize=4)
-def token_cache(path: str) -> TokenCache:
+def token_cache(path: str, entries: int = CACHE_ENTRIES) -> TokenCache:
     """The worker's cache for the vocabulary file at ``path``."""
-    return TokenCache(path)
+    return TokenCache(path, entries)

@@ -284,3 +284,22 @@ def test_pieces_at_text_and_line_ends_are_the_librarys(name):
     if not cache.drops_space:  # words go to the model, not through the whole tokenizer
         cache._ids = None
         assert cache._learn("\nWord") and cache._learn("\0Word")
+
+
+def test_a_larger_cache_asks_the_library_once():
+    from pairlens.llm import token_output
+
+    path = queries.tokenizer("byte_bpe_50k.json")
+    spaces = [chr(c) for c in range(0x3100) if chr(c).isspace() and c not in (10, 32)]
+    texts = [f"wörd{c}a{i}, next" for i, c in enumerate(spaces)] + [" ".join(f"{a}{b}ord" for a in "abcdefgh") for b in "abcdefgh"] + ["one\ntwo three"]
+    asked = {}
+    for entries in (5, 2000):
+        cache = tokens.TokenCache(path, entries)
+        learn, seen = cache._learn, []
+        cache.known.learn = lambda piece, learn=learn, seen=seen: seen.append(piece) or learn(piece)
+        for _ in range(3):
+            got = [cache.encode([t])[0] for t in texts]
+        assert got == [np.array(cache.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        asked[entries] = seen
+    assert len(asked[2000]) == len(set(asked[2000])) < len(asked[5])
+    assert token_output.PIECES > tokens.CACHE_ENTRIES
