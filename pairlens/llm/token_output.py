@@ -203,31 +203,36 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int, shard_tokens
     ``shard_tokens`` ids; a longer document makes a longer shard.
     """
     tune(docs.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, part = token_cache(tokenizer_path, PIECES), TaskContext.get().partitionId()
         seq = first = held = 0
-        ids: list[bytes] = []
+        ids: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         doc_ids: list = []
 
         def close() -> pa.RecordBatch:
-            nonlocal seq, first, held, ids, doc_ids
-            flat = np.frombuffer(b"".join(ids), "<u4")
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            row = [[part], [seq], [first], [len(flat)], [doc_ids], [pack_shard(flat, lengths)]]
-            seq, first, held, ids, doc_ids = seq + 1, first + len(flat), 0, [], []
+            nonlocal seq, first, held, ids, lengths, doc_ids
+            flat, sizes = np.concatenate(ids), np.concatenate(lengths)
+            row = [[part], [seq], [first], [len(flat)], [doc_ids], [pack_shard(flat, sizes)]]
+            seq, first, held, ids, lengths, doc_ids = seq + 1, first + len(flat), 0, [], [], []
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["part", "seq", "first_token", "n_tokens", "doc_ids", "shard"])
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                some = batch.slice(a, 500)
-                for doc, code in zip(some.column(0).to_pylist(), cache.encode([t or "" for t in some.column(1).to_pylist()]), strict=True):
-                    doc_ids.append(doc)
-                    ids.append(code + end)
-                    held += len(code) // 4 + 1
-                    if held >= shard_tokens:
-                        yield close()
+            docs, (codes, counts) = batch.column(0).to_pylist(), cache.encode_column(batch.column(1))
+            codes = np.insert(codes, np.cumsum(counts), end_id)
+            counts = counts + 1
+            ends = np.concatenate(([0], np.cumsum(counts)))
+            a, n = 0, len(docs)
+            while a < n:
+                b = min(n, int(np.searchsorted(ends, ends[a] + shard_tokens - held)))  # the document that fills the shard is its last
+                ids.append(codes[ends[a] : ends[b]])
+                lengths.append(counts[a:b])
+                doc_ids += docs[a:b]
+                held += int(ends[b] - ends[a])
+                a = b
+                if held >= shard_tokens:
+                    yield close()
         if ids:
             yield close()
 

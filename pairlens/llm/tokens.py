@@ -17,14 +17,29 @@ from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+from .common import ranges, slices, text_bytes
+
+#: Ids put in place at a time; only memory and time depend on it.
+PLACED = 1 << 16
 #: Pieces in each of the two generations a worker keeps. Only memory and time depend on it.
 CACHE_ENTRIES = 400_000
 #: White space other than single blanks and line ends between words.
 _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: What sends a text to the library whole, where blanks count: special strings, NUL, and blanks and line ends that are not single between other characters.
+_WHOLE = r"<\||\x00|[ \n][ \n]|\A[ \n]|[ \n]\z|" + _ODD.pattern
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Up to here letters and their lower case are the same in every version of Unicode since 5.
 _LATIN = "ɏ"
+#: Kinds of bytes for ``part_starts``; _LEAD begins the two bytes of a character from U+00C0 to U+023F.
+_MARK, _LETTER, _LEAD, _BLANK, _LINE = range(1, 6)
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[[ord(c) for c in _MARKS if c != "'"]] = _MARK
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[0xC3:0xC9] = _LEAD
+_KINDS[[32, 10]] = _BLANK, _LINE
 
 
 class _Known(dict):
@@ -39,6 +54,30 @@ class _Known(dict):
         self[piece] = ids = self.learn(piece) if ids is None else ids
         return ids
 
+    def age(self, entries: int) -> None:
+        """Make a generation of more than ``entries`` the older one."""
+        if len(self) > entries:
+            self.older = dict(self)
+            self.clear()
+
+
+def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the parts of UTF-8 texts begin, at places that always end a piece of byte-level pre-tokenization.
+
+    These are blanks, line ends and what follows them, and ASCII marks after a Latin letter, but
+    for the apostrophe, which may begin a contraction. In the texts blanks and line ends must stand alone.
+    """
+    start = np.zeros(len(data) + 1, bool)
+    kind = _KINDS[data]
+    start[:-1] = kind >= _BLANK
+    start[1:] |= kind == _LINE
+    letter = kind == _LETTER
+    letter[1:] |= (kind[:-1] == _LEAD) & ~((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7)))  # but for the signs of multiplication and division
+    start[1:-1] |= letter[:-1] & (kind[1:] == _MARK)
+    start[offsets] = True
+    start[-1] = False
+    return np.flatnonzero(start)
+
 
 class TokenCache:
     """Token ids of texts by the vocabulary file at ``path``."""
@@ -57,6 +96,7 @@ class TokenCache:
         # A line end is a piece of its own before a letter, or else what begins with one goes to the library whole.
         self.line = self._bytes("\n") if not self.drops_space and [x for x, _ in letters("\na")] == [letters("\n")[0][0], "a"] else None
         self.known = _Known(self._learn)
+        self.parts = _Known(self._part)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -95,12 +135,52 @@ class TokenCache:
         shown = core.lower() if self.drops_space else core
         return shown if shown.isascii() else "".join(map(self.written.__getitem__, shown))
 
+    def _part(self, part: str) -> bytes:
+        """Ids of a part of a text as ``part_starts`` cuts it, with the blank it begins with, if any."""
+        blank, core = (self.blank, part[1:]) if part[0] == " " else ("", part)
+        if core.isascii() and core.isalpha():
+            return self._model(blank + core)
+        return self._model(blank + self._shown(core)) if self._latin(core) else self._bytes(part)
+
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column one after the other, and the number of each text's ids; null counts as empty.
+
+        The same ids as by ``encode``. Where blanks count, Arrow finds the different parts of all
+        texts, so that a part is looked up once however often the column has it, and letters and
+        the marks after them are parts of their own, so that there are fewer to learn.
+        """
+        texts = pc.fill_null(texts, "")
+        plain = self.line is not None and self.tokenizer.normalizer is None
+        whole = pc.match_substring_regex(texts, _WHOLE).to_numpy(zero_copy_only=False) if plain else np.ones(len(texts), bool)
+        data, offsets = text_bytes(texts.filter(pa.array(~whole)))
+        starts = part_starts(data, offsets)
+        bounds = pa.py_buffer(np.append(starts, len(data)))
+        parts = pa.LargeStringArray.from_buffers(len(starts), bounds, pa.py_buffer(data)).dictionary_encode()
+        which = parts.indices.to_numpy()
+        self.parts.age(self.entries)
+        found = list(map(self.parts.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False)))
+        flat = np.frombuffer(b"".join(found), "<u4")
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        begin = np.cumsum(size) - size
+        ends = np.concatenate(([0], np.cumsum(size[which])))  # of the parts' ids
+        ids = np.empty(int(ends[-1]), np.uint32)
+        for a, b in slices(ends, PLACED):
+            some = which[a:b]
+            ids[ends[a] : ends[b]] = flat[ranges(begin[some], size[some])]
+        counts = np.zeros(len(texts), np.int64)
+        counts[~whole] = np.diff(ends[np.searchsorted(starts, offsets)])
+        alone = np.flatnonzero(whole)
+        if len(alone):
+            own = [np.frombuffer(code, "<u4") for code in self.encode([texts[i].as_py() for i in alone.tolist()])]
+            places, more = np.cumsum(counts)[alone], np.array([len(x) for x in own])  # places among the others' ids
+            counts[alone] = more
+            ids = np.insert(ids, np.repeat(places, more), np.concatenate(own))
+        return ids, counts
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as bytes."""
         known, out = self.known, []
-        if len(known) > self.entries:
-            known.older = dict(known)
-            known.clear()
+        known.age(self.entries)
         find = known.__getitem__
         for text in texts:
             if not text or "<|" in text or "\0" in text:  # special strings may be cut otherwise

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pairlens.llm import decontaminate, html_text, lang_id, quality, queries, suffix_dedup, tokens
 from pairlens.llm.chat import chat_windows, read_windows
@@ -303,3 +304,38 @@ def test_a_larger_cache_asks_the_library_once():
         asked[entries] = seen
     assert len(asked[2000]) == len(set(asked[2000])) < len(asked[5])
     assert token_output.PIECES > tokens.CACHE_ENTRIES
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_a_column_has_the_librarys_ids(name):
+    cache = tokens.TokenCache(queries.tokenizer(name), 20)
+    odd = [None, "", "Ab, ab,\nAb.", "a  b", " a", "a\n", "a\n\nb", "a\tb", "a\x00b", "x <|endoftext|> y", "a b"]
+    marks = ["it's, 'tis it'll'd", "é, ×, ÷. Ǆ! ɏ; é, ª: 中文, a1. 1a, a.b,c's", "(a) [é] a--b é%%% ,\n.\n1", "'s\n's, a\n'll"]
+    column = pa.array(["before", *odd, *marks, *odd]).slice(1)
+    library = [cache.tokenizer.encode(t or "", add_special_tokens=False).ids for t in column.to_pylist()]
+    for some in (slice(None), slice(0, 0), slice(0, 1), slice(11, 15)):
+        ids, counts = cache.encode_column(column[some])
+        assert counts.tolist() == [len(x) for x in library[some]] and ids.tolist() == sum(library[some], [])
+
+
+def test_words_of_a_column_are_looked_up_and_learned_once():
+    cache = tokens.TokenCache(queries.tokenizer("byte_bpe_50k.json"))
+    learn, learned = cache.parts.learn, []
+    cache.parts.learn = lambda part: learned.append(part) or learn(part)
+    column = pa.array(["Word wörd, word\nWord wörd.", "Word, word wörd! word."] * 50)
+    ids, counts = cache.encode_column(column)
+    assert sorted(learned) == sorted(["Word", " wörd", ",", " word", "\n", ".", "!"])  # a word with marks is not another word
+    assert len(ids) == counts.sum()
+
+
+def test_shards_close_at_the_document_that_fills_them(spark):
+    from pairlens.llm.token_output import Shard, write_shards
+
+    rows = [(i, "a b c" if i % 3 else None if i % 2 else " ".join("ab" * 9), "l", 1, 2) for i in range(40)]
+    lengths = [len(ids_of("byte_bpe_50k.json", r[1], 2)) for r in rows]
+    shards = write_shards(spark.createDataFrame(rows, DOCS), queries.tokenizer("byte_bpe_50k.json"), 2, shard_tokens=20).orderBy("part", "seq").collect()
+    assert [k for s in shards for k in s.doc_ids] == list(range(40))
+    for s, after in zip(shards, [*shards[1:], None]):
+        mine = [lengths[k] for k in s.doc_ids]
+        assert Shard(s.shard).doc_lengths.tolist() == mine and s.n_tokens == sum(mine) and sum(mine[:-1]) < 20
+        assert sum(mine) >= 20 or after is None or after.part != s.part
