@@ -6,7 +6,8 @@ ids of its pieces one after the other. Texts with any other white-space pattern
 go to the library whole. A piece of Latin letters, with ASCII marks after them
 perhaps, goes to the library's model at once, as its normalizer and pre-tokenizer
 would pass it on; any other piece goes through the whole tokenizer. Ids come as
-little-endian unsigned 32-bit bytes.
+little-endian unsigned 32-bit bytes. ``encode_column`` does the same for a column
+of texts at once, in finer parts, and gives arrays.
 """
 
 from __future__ import annotations
